@@ -76,4 +76,72 @@ select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_s
 from counts
 """
 
-ORACLE_SQL: dict[str, str] = {"op6_chat_format": OP6, "op10_quality_rules": OP10}
+OP8 = r"""
+with docs as (
+  select row_number() over () as r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words
+  from documents),
+items as (
+  select item_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words
+  from benchmark),
+item_windows as (
+  select distinct item_id, least(10, len(words)) as size,
+    unnest(list_transform(range(greatest(len(words) - 9, 1)), lambda i: array_to_string(list_slice(words, i + 1, i + 10), ' '))) as w
+  from items where len(words) > 0),
+sizes as (select distinct size from item_windows),
+doc_windows as (
+  select r, size, unnest(range(len(words) - size + 1)) as i,
+    unnest(list_transform(range(len(words) - size + 1), lambda i: array_to_string(list_slice(words, i + 1, i + size), ' '))) as w
+  from docs, sizes where len(words) >= size),
+hits as (
+  select r, i, size, item_id from doc_windows join item_windows using (size, w)),
+covered as (
+  select r, count(distinct word) as n_hit
+  from (select r, unnest(range(i, i + size)) as word from (select distinct r, i, size from hits)) group by r),
+named as (
+  select r, count(*) as n_items, string_agg(item, ',' order by item) as items
+  from (select distinct r, item_id::varchar as item from hits where item_id is not null) group by r)
+select doc_id, len(words)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+  sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from docs left join covered using (r) left join named using (r)
+"""
+
+OP1 = r"""
+with docs as (
+  select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
+windows as (
+  select r, doc_id, unnest(range(len(words) - 49)) as i,
+    unnest(list_transform(range(len(words) - 49), lambda i: array_to_string(list_slice(words, i + 1, i + 50), ' '))) as w
+  from docs where len(words) >= 50),
+first_seen as (
+  select w, min(doc_id) as first_id from windows group by w having min(doc_id) < max(doc_id)),
+removed as (
+  select distinct r, unnest(range(i, i + 50)) as i from windows join first_seen using (w) where doc_id > first_id),
+words as (
+  select r, unnest(words) as word, unnest(range(len(words))) as i from docs),
+kept as (
+  select r, string_agg(word, ' ' order by i) as kept, count(*) as n from words anti join removed using (r, i) group by r)
+select doc_id, len(words)::bigint as n_words, (len(words) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from docs left join kept using (r)
+"""
+
+OP3 = r"""
+with recursive docs as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as words from documents),
+shingles as (
+  select distinct doc_id, unnest(list_transform(range(greatest(len(words) - 4, 1)), lambda i: array_to_string(list_slice(words, i + 1, i + 5), ' '))) as s
+  from docs where len(words) > 0),
+sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+links as (
+  select a, b from (
+    select x.doc_id as a, y.doc_id as b, count(*) as n from shingles x join shingles y on x.s = y.s and x.doc_id <> y.doc_id group by all) pairs
+  join sizes p on p.doc_id = a join sizes q on q.doc_id = b where 100 * pairs.n >= 85 * (p.n + q.n - pairs.n)),
+reach as (
+  select doc_id, doc_id as other from documents
+  union select reach.doc_id, links.b from reach join links on links.a = reach.other)
+select documents.doc_id, coalesce(sizes.n, 0)::bigint as n_shingles, component_id, documents.doc_id = component_id as kept
+from documents left join sizes using (doc_id) join (select doc_id, min(other) as component_id from reach group by doc_id) using (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": OP1, "op3_near_dedup": OP3, "op8_decontamination": OP8, "op6_chat_format": OP6, "op10_quality_rules": OP10}

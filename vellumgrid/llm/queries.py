@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumgrid.llm import bpe, chat_format, language_mix, near_dedup, quality_model, quality_rules, sharding, substring_dedup, token_counts
+from vellumgrid.llm import bpe, chat_format, decontaminate, language_mix, near_dedup, quality_model, quality_rules, sharding, substring_dedup, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +73,14 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie in benchmark windows, and the items concerned."""
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")
+    )
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of the quality rules for every document."""
     measured = quality_rules.measure(table(spark, sf_dir, "documents"))
@@ -87,6 +95,7 @@ QUERIES = {
     "op5_language": op5_language,
     "op6_chat_format": op6_chat_format,
     "op7_token_counts": op7_token_counts,
+    "op8_decontamination": op8_decontamination,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_quality_rules": op10_quality_rules,
 }
