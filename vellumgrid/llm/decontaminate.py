@@ -37,13 +37,26 @@ def _each(n: Column, size: int, make) -> Column:
     return F.when(n >= size, F.transform(F.sequence(F.lit(1), n - (size - 1)), make)).otherwise(F.array().cast("array<bigint>"))
 
 
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often a lambda in ``use`` refers to it.
+
+    The optimiser puts a column's expression wherever it stands once in the text of another, lambdas
+    included, where it would be computed for each element.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _prints(frame: DataFrame, size: int) -> DataFrame:
-    """Adds ``prints``: the fingerprint of every window of ``size`` words."""
+    """Adds ``prints``: the fingerprint of every window of ``size`` words.
+
+    They are to be exploded with the outer forms only: for the others the optimiser adds a filter on
+    the array's size, for which it computes the array once more, and badly.
+    """
     n = F.size("words")
     if size < WINDOW:
         return frame.withColumn("prints", _each(n, size, lambda i: F.xxhash64(F.slice("words", i, size))))
-    grams = frame.withColumn("grams", _each(n, GRAM, lambda i: F.xxhash64(F.slice("words", i, GRAM))))
-    return grams.withColumn("prints", _each(n, size, lambda i: F.array_min(F.slice("grams", i, size - GRAM + 1)))).drop("grams")
+    grams = _each(n, GRAM, lambda i: F.xxhash64(F.slice("words", i, GRAM)))
+    return frame.withColumn("prints", _bound(grams, lambda g: _each(n, size, lambda i: F.array_min(F.slice(g, i, size - GRAM + 1)))))
 
 
 def _text_of(at: Column, size: int) -> Column:
@@ -56,8 +69,8 @@ def item_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str =
     out = None
     for size in range(1, WINDOW + 1):
         fits = F.size("words") == size if size < WINDOW else F.size("words") >= size
-        own = _prints(items.where(fits), size).select("item", "words", F.posexplode("prints").alias("at", "print"))
-        own = own.select("item", F.lit(size).alias("size"), "print", _text_of(F.col("at") + 1, size).alias("window"))
+        own = _prints(items.where(fits), size).select("item", "words", F.posexplode_outer("prints").alias("at", "print"))
+        own = own.where("print is not null").select("item", F.lit(size).alias("size"), "print", _text_of(F.col("at") + 1, size).alias("window"))
         out = own if out is None else out.unionByName(own)
     return keep(out.distinct())
 
@@ -72,14 +85,14 @@ def _hits(docs: DataFrame, windows: DataFrame, size: int, small: bool) -> DataFr
     texts = own.select(F.col("print").alias("own_print"), "window", "item")
     if small:
         marked = _prints(docs, size).withColumn("prints", F.concat(F.array(F.lit(None).cast("bigint")), "prints"))
-        each = marked.select("id", "key", "n_words", "words", F.posexplode("prints").alias("at", "print"))
+        each = marked.select("id", "key", "n_words", "words", F.posexplode_outer("prints").alias("at", "print"))
         met = each.join(F.broadcast(prints.withColumn("met", F.lit(True))), "print", "left").where("met or at = 0")
         spelt = met.select("id", "key", "n_words", "at", "print", F.when(F.col("at") > 0, _text_of(F.col("at"), size)).alias("window"))
         full = spelt.join(F.broadcast(texts), (F.col("print") == F.col("own_print")) & (spelt["window"] == texts["window"]), "left")
         return full.where("item is not null or own_print is not null or at = 0").select("id", "key", "n_words", F.when(F.col("at") > 0, F.col("at")).alias("at"), F.lit(size).alias("size"), "item")
-    distinct = _prints(docs, size).select("id", "key", F.explode(F.array_distinct("prints")).alias("print"))
+    distinct = _prints(docs, size).select("id", "key", F.explode_outer(F.array_distinct("prints")).alias("print")).where("print is not null")
     some = keep(distinct.join(prints, "print", "left_semi").select("id", "key").distinct())
-    each = _prints(docs.join(some, ["id", "key"], "left_semi"), size).select("id", "key", "n_words", "words", F.posexplode("prints").alias("at", "print"))
+    each = _prints(docs.join(some, ["id", "key"], "left_semi"), size).select("id", "key", "n_words", "words", F.posexplode_outer("prints").alias("at", "print")).where("print is not null")
     spelt = each.select("id", "key", "n_words", (F.col("at") + 1).alias("at"), "print", _text_of(F.col("at") + 1, size).alias("window"))
     return spelt.join(texts, (F.col("print") == F.col("own_print")) & (spelt["window"] == texts["window"])).select("id", "key", "n_words", "at", F.lit(size).alias("size"), "item")
 
