@@ -22,6 +22,7 @@ import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from vellumgrid.llm._arrow import columns, slices
 
@@ -157,22 +158,24 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
-def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col``, n_tokens, ids (binary, little-endian unsigned 32-bit) and decoded (binary) of every row.
+def encode(docs: DataFrame, vocabulary: str, pattern: str, keep_cols: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_col``, the columns in ``keep_cols``, n_tokens, ids (binary, little-endian unsigned 32-bit) and decoded (binary) of every row.
 
     ``decoded`` is made from ``ids`` alone. ``vocabulary`` is a rank file present on every executor;
     ``pattern`` splits texts into the pieces that are encoded separately.
     """
-    frame = columns(docs, id=id_col, text=text_col)
-    kind = dict(frame.dtypes)["id"]
+    extra = {f"keep{i}": name for i, name in enumerate(keep_cols)}
+    frame = columns(docs, text=text_col, id=id_col, **extra)
+    passed = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in frame.schema[1:])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(vocabulary, pattern)
         for part in slices(batches, "text", 2 << 20):
-            ids = [own.encode(t or "") for t in part.column(1).to_pylist()]
+            ids = [own.encode(t or "") for t in part.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([own.decode(x) for x in ids], pa.binary())],
-                names=["id", "n_tokens", "ids", "decoded"],
+                [*part.columns[1:], pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([own.decode(x) for x in ids], pa.binary())],
+                names=[*part.schema.names[1:], "n_tokens", "ids", "decoded"],
             )
 
-    return frame.mapInArrow(run, f"id {kind}, n_tokens long, ids binary, decoded binary").withColumnRenamed("id", id_col)
+    out = frame.mapInArrow(run, f"{passed}, n_tokens long, ids binary, decoded binary")
+    return out.select(F.col("id").alias(id_col), *(F.col(a).alias(n) for a, n in extra.items()), "n_tokens", "ids", "decoded")
