@@ -227,7 +227,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     leaders = each.groupBy("band").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader < last").select("band", "leader")
     members = each.join(leaders, "band").select("leader", "rep").distinct()
     members = keep(members)
-    groups = members.groupBy("leader").agg(F.count("*").alias("size"))
+    # Kept first: then both sides of the join are plain exchanges, whose hot partitions can be split.
+    groups = keep(members.groupBy("leader").agg(F.count("*").alias("size")))
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     tasks = (
