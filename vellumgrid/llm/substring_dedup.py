@@ -152,7 +152,8 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
     located = keep(shards.mapInArrow(_locate(window), f"id {kind}, twin int, starts array<int>, hashes array<bigint>"))
     pairs = located.select("id", "twin", F.explode(F.arrays_zip("hashes", "starts")).alias("w")).select("id", F.col("w.hashes").alias("hash"), F.shiftleft(F.col("twin").cast("long"), 32).bitwiseOR(F.col("w.starts")).alias("at"))
     earliest = pairs.groupBy("hash").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id")).where("first_id < last_id").select("hash", "first_id")
-    repeats = pairs.join(earliest, "hash").where("id > first_id")
+    # Kept first: then both sides of the join are plain exchanges, whose hot partitions can be split.
+    repeats = pairs.join(keep(earliest), "hash").where("id > first_id")
     grouped = repeats.select("id", F.shiftright("at", 32).cast("int").alias("twin"), F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("start")).groupBy("id", "twin").agg(F.collect_list("start").alias("starts"))
     spans_found = grouped.mapInArrow(_merge(window), f"id {kind}, twin int, spans {SPANS}")
     return keep(spans_found.unionByName(copies))
