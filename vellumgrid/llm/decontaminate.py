@@ -66,8 +66,10 @@ def _text_of(at: Column, size: int) -> Column:
 def item_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """item, size, print and window (its words joined by spaces) of every window of every item."""
     items = columns(benchmark, item=id_col, text=text_col).select("item", words(F.col("text")).alias("words")).where(F.size("words") > 0)
+    # At most WINDOW sizes; each that occurs gets a plan of its own.
+    sizes = sorted({WINDOW} | {r[0] for r in items.select(F.least(F.size("words"), F.lit(WINDOW))).distinct().collect()})
     out = None
-    for size in range(1, WINDOW + 1):
+    for size in sizes:
         fits = F.size("words") == size if size < WINDOW else F.size("words") >= size
         own = _prints(items.where(fits), size).select("item", "words", F.posexplode_outer("prints").alias("at", "print"))
         own = own.where("print is not null").select("item", F.lit(size).alias("size"), "print", _text_of(F.col("at") + 1, size).alias("window"))
