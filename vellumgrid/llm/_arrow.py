@@ -9,12 +9,20 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
 
 def columns(df: DataFrame, **wanted: str) -> DataFrame:
     """Only the wanted columns under fixed internal names: ``columns(docs, id="doc_id", text="text")``.
 
-    Anything else a caller's table carries, clashing names included, is dropped here.
+    Anything else a caller's table carries, clashing names included, is dropped here. Texts go to Python
+    in batches of BATCH_ROWS and BATCH_BYTES, unless the session says otherwise, so that what a task holds at
+    once does not depend on how the table is laid out.
     """
+    conf = df.sparkSession.conf
+    for key, given, own in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", BATCH_BYTES)):
+        if conf.get(key, None) == given:
+            conf.set(key, str(own))
     return df.select(*[column(df, name).alias(alias) for alias, name in wanted.items()])
 
 
@@ -25,7 +33,7 @@ def column(df: DataFrame, name: str) -> Column:
     return df[f"`{name.replace('`', '``')}`"]
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int = 4 << 20, max_rows: int = 2000) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int = 1 << 20, max_rows: int = 2000) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each piece holds about ``max_bytes`` of text (one longer text stands alone)."""
     for batch in batches:
         n = batch.num_rows
