@@ -36,7 +36,7 @@ from vellumgrid.llm._words import SPACE, U, buffers, gram_hashes, span_hashes, s
 WINDOW = 50
 #: Words of a phrase; each is two Latin-1 characters of its hash in the automata.
 PHRASE = 8
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 
 _KINDS = (~SPACE).astype(np.uint8)
 
@@ -146,7 +146,8 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
     own = long.select("id", "twin", "phrases").join(F.broadcast(names) if small else names, ["id", "twin"], "left_anti")
     each = own.select("id", "twin", F.explode("phrases").alias("phrase"))
     recurring = each.groupBy("phrase").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("phrase")
-    carried = keep(each.join(recurring, "phrase", "left_semi").groupBy("id", "twin").agg(F.collect_set("phrase").alias("phrases")))
+    # Kept first, as below: the join's hot partitions can be split.
+    carried = keep(each.join(keep(recurring), "phrase", "left_semi").groupBy("id", "twin").agg(F.collect_set("phrase").alias("phrases")))
     texts = semi(base, carried.select("id", "twin"), ["id", "twin"], carried.count(), 24)
     shards = texts.join(carried, ["id", "twin"]).select("id", "twin", "text", "phrases")
     located = keep(shards.mapInArrow(_locate(window), f"id {kind}, twin int, starts array<int>, hashes array<bigint>"))
