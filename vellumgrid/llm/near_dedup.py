@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellumgrid.llm._arrow import columns, slices
-from vellumgrid.llm._tables import keep, semi
+from vellumgrid.llm._tables import BROADCAST_BYTES, keep, semi
 from vellumgrid.llm._words import SPACE, U, buffers, gram_hashes, mix, span_hashes, spans
 
 SHINGLE = 5
@@ -95,7 +95,7 @@ def band_keys(sets: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in slices(batches, "text", 2 << 20):
+    for part in slices(batches, "text"):
         sets, first = shingle_sets(part.column(1))
         sizes = np.diff(first)
         full = np.flatnonzero(sizes)
@@ -117,7 +117,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in slices(batches, "text", 2 << 20):
+    for part in slices(batches, "text"):
         sets, first = shingle_sets(part.column(1))
         yield pa.RecordBatch.from_arrays([part.column(0), pa.array([sets[i:j].tobytes() for i, j in zip(first[:-1], first[1:], strict=True)], pa.binary())], names=["id", "shingles"])
 
@@ -225,9 +225,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     classes = keep(named.groupBy("set_name").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")))
     each = classes.select("rep", F.explode("bands").alias("band"))
     leaders = each.groupBy("band").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader < last").select("band", "leader")
-    members = each.join(leaders, "band").select("leader", "rep").distinct()
-    members = keep(members)
     # Kept first: then both sides of the join are plain exchanges, whose hot partitions can be split.
+    members = each.join(keep(leaders), "band").select("leader", "rep").distinct()
+    members = keep(members)
     groups = keep(members.groupBy("leader").agg(F.count("*").alias("size")))
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
@@ -245,8 +245,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     own_class = keep(rows.select("id", "n_shingles", "set_name").join(classes.select("set_name", "rep"), "set_name", "left").select("id", "n_shingles", "rep"))
     shared = own_class.where("id is not null and rep is not null").groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z")
     same = own_class.join(shared, "id").where("rep > a").select("a", F.col("rep").alias("b"))
-    found = components(links.unionByName(same))
-    return own_class.join(found, own_class["rep"] == found["node"], "left").select(
+    found = keep(components(links.unionByName(same)))
+    if found.count() * 24 <= BROADCAST_BYTES:
+        found = F.broadcast(found)
+    return own_class.join(found, F.col("rep") == F.col("node"), "left").select(
         F.col("id").alias(id_col),
         "n_shingles",
         F.coalesce("component", "rep", "id").alias("component_id"),
