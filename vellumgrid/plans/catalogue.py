@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from vellumgrid.plans import evidence_queries, search_queries, text_queries
+
 FLAGSHIP = "hybrid_rrf"
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = text_queries.QUERIES | search_queries.QUERIES | evidence_queries.QUERIES
+ORACLE_SQL = text_queries.ORACLE_SQL | search_queries.ORACLE_SQL | evidence_queries.ORACLE_SQL
