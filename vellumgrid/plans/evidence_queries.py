@@ -1 +1,333 @@
+"""Queries over guards, holdings, evidence, grading and call limits."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vellumgrid.functions import fixed as X
+from vellumgrid.functions import text as T
+from vellumgrid.operators import evals, evidence, guard, holdings
+from vellumgrid.plans import derived as D
+from vellumgrid.streaming import limits
+
 QUERIES, ORACLE_SQL = {}, {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# Answers and the pages they were drawn from.
+
+KEYS = "company, fiscal_year, page"
+#: Figures each page prints, and each answer with what its two claims say.
+GUARD_SQL = f"""
+rows as ({D.STATEMENT_SQL}),
+printed as (
+  select distinct {KEYS}, figure from (select {KEYS}, unnest(string_split(text, ' | ')) as figure from rows where line between 3 and 14 or line = 21) cells where regexp_full_match(figure, '\\d+\\.\\d+')),
+answers as ({D.ANSWERS_SQL}),
+shown as (select distinct {KEYS} from rows)
+"""
+
+
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.spark_rows(spark, sf_dir, D.ANSWERS, statement_rows=D.statement_rows(spark, sf_dir))
+
+
+def answer_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each answer the page it is about and the next one, where there is one."""
+    rows = D.statement_rows(spark, sf_dir)
+    pages = rows.groupBy("company", "fiscal_year", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda r: r["text"]), "\n").alias("text"))
+    asked = answers(spark, sf_dir).select("question_id", "company", "fiscal_year", F.explode(F.array(F.col("page"), F.col("page") + 1)).alias("page"))
+    return asked.join(pages, ["company", "fiscal_year", "page"]).select("question_id", "page", "text")
+
+
+@query(f"""
+with {GUARD_SQL}
+select question_id, c.page, shown.page is not null as valid
+from (select question_id, company, fiscal_year, cited as page from answers union select question_id, company, fiscal_year, page from answers) c left join shown using ({KEYS})
+""")
+def citation_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Is each cited page among those shown."""
+    return guard.citation_status(answers(spark, sf_dir), answer_context(spark, sf_dir))
+
+
+@query(f"""
+with {GUARD_SQL},
+claims as (
+  select question_id, company, fiscal_year, cited as page, figure, figure as digits from answers
+  union all select question_id, company, fiscal_year, page, '1,00,999.99', '100999.99' from answers)
+select question_id, claims.figure, cast(claims.page as varchar) as pages from claims left join printed p on p.company = claims.company and p.fiscal_year = claims.fiscal_year and p.page = claims.page and p.figure = digits
+where p.page is null and not (regexp_full_match(digits, '\\d{{1,2}}'))
+""")
+def ungrounded_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures that the pages cited for them do not print."""
+    frame = answers(spark, sf_dir).join(guard.printed(answer_context(spark, sf_dir)), "question_id", "left")
+    frame = frame.withColumn("pages", F.coalesce("pages", F.array().cast(guard.PAGES)))
+    # The answers' own words, cut before the advice that a few of them end with.
+    text = F.regexp_replace("raw", r" You may buy the stock now\.$", "")
+    found = frame.select("question_id", F.explode(guard.ungrounded(text, F.col("pages"))).alias("u"))
+    return found.select("question_id", F.col("u.figure").alias("figure"), F.array_join(F.transform("u.pages", lambda p: p.cast("string")), ",").alias("pages"))
+
+
+@query(f"""
+with {GUARD_SQL},
+holders as (
+  select question_id, p.page from answers a join printed p on p.company = a.company and p.fiscal_year = a.fiscal_year and p.page in (a.page, a.page + 1) and p.figure = a.figure)
+select a.question_id, a.cited as cited, h.page as page from answers a join holders h using (question_id)
+where not exists (select 1 from holders x where x.question_id = a.question_id and x.page = a.cited) and (select count(*) from holders x where x.question_id = a.question_id) = 1
+""")
+def recited_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Citations moved to the one page that prints the claim's figures (J8, H)."""
+    frame = answers(spark, sf_dir).select("question_id", F.col("raw").alias("text")).join(guard.printed(answer_context(spark, sf_dir)), "question_id", "left")
+    frame = guard.recite(frame.withColumn("pages", F.coalesce("pages", F.array().cast(guard.PAGES))))
+    return frame.select("question_id", F.explode("recited").alias("r")).select("question_id", F.array_join(F.transform("r.cited", lambda p: p.cast("string")), ",").cast("int").alias("cited"), F.col("r.page").alias("page"))
+
+
+@query(f"""
+with {GUARD_SQL},
+hits as (select question_id, (page % 10) / 10.0 as score, * exclude (question_id) from answers),
+moved as (
+  select hits.*, coalesce((select min(p.page) from printed p where p.company = hits.company and p.fiscal_year = hits.fiscal_year and p.page in (hits.page, hits.page + 1) and p.figure = hits.figure having count(*) = 1
+      and not exists (select 1 from printed x where x.company = hits.company and x.fiscal_year = hits.fiscal_year and x.page = hits.cited and x.figure = hits.figure and x.page in (hits.page, hits.page + 1))), cited) as to_page from hits),
+judged as (select moved.*, s.page is not null as is_shown from moved left join shown s on s.company = moved.company and s.fiscal_year = moved.fiscal_year and s.page = moved.to_page)
+select question_id, score < 0.67 as refused, case when score < 0.67 then 'best similarity ' || printf('%.3f', score) || ' is below the 0.67 floor' else '' end as reason,
+  case when score < 0.67 then 'Not in the filing.'
+    else 'Value was ' || figure || ' crore ' || case when is_shown then '[page ' || to_page || ']' else '[unverified citation to page ' || to_page || ' — not in the retrieved context]' end || '. Total was 1,00,999.99 crore [page ' || page || '].' end as text,
+  case when score < 0.67 then 0 when page % 4 = 0 then 1 else 0 end as n_scrubbed
+from judged
+""")
+def guarded_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole guard, in its order, over supplied raw answers."""
+    raw = answers(spark, sf_dir)
+    hits = raw.select("question_id", ((F.col("page") % 10) / 10.0).alias("score"))
+    done = guard.guarded_answers(raw.select("question_id", "raw"), hits, answer_context(spark, sf_dir))
+    return done.select("question_id", "refused", "reason", "text", F.size("scrubbed").alias("n_scrubbed"))
+
+
+@query(f"""
+with a as ({D.ANSWERS_SQL})
+select question_id, raw as text from (
+  select question_id, 'Value was ' || figure || ' crore [page ' || cited || '].' as raw from a union all select question_id, 'Total was 1,00,999.99 crore [page ' || page || '].' from a) s
+""")
+def report_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences that carry their own citation and no advice (P20)."""
+    return answers(spark, sf_dir).select("question_id", F.explode(T.report_sentences(F.col("raw"))).alias("text"))
+
+
+# Holdings.
+
+RANKED_SQL = f"""
+select *, case when asset_type = 'domestic equity' then row_number() over (partition by fund, asset_type order by weight_pct desc, row) end as rank from ({D.HOLDINGS_SQL})
+"""
+
+
+def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return holdings.rank_holdings(D.spark_rows(spark, sf_dir, D.HOLDINGS))
+
+
+@query(f"select fund, row, isin, weight_pct, asset_type, rank::int as rank, coalesce(rank <= 10, false) as eligible from ({RANKED_SQL})")
+def holdings_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Domestic equity ranked by weight within its fund (W4, P)."""
+    return ranked(spark, sf_dir).select("fund", "row", "isin", "weight_pct", "asset_type", "rank", "eligible")
+
+
+@query(f"""
+select fund, count(*) as n_rows, count(distinct (sheet, row)) as n_locations, round(sum(weight_pct), 6) as total, round(abs(sum(weight_pct) - 100), 6) as gap,
+  round(abs(sum(weight_pct) - 100), 9) <= round(count(*) * 0.005 + 0.005, 9) as reconciled from ({D.HOLDINGS_SQL}) group by fund
+""")
+def holdings_reconciled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights summed against the disclosed total."""
+    rows = D.spark_rows(spark, sf_dir, D.HOLDINGS)
+    out = holdings.reconcile(rows, rows.select("fund").distinct().withColumn("disclosed_total_pct", F.lit(100.0)))
+    return out.select("fund", "n_rows", "n_locations", F.round("total", 6).alias("total"), F.round("gap", 6).alias("gap"), "reconciled")
+
+
+@query(f"select fund, rank::int as rank, name, weight_pct from ({RANKED_SQL}) where rank <= 10")
+def top_holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten largest holdings of every fund."""
+    return holdings.top_holdings(ranked(spark, sf_dir)).select("fund", "rank", "name", "weight_pct")
+
+
+@query(f"select fund, row, company, company is not null and coalesce(rank <= 10, false) and company in (select 'P' || p_partkey from part where p_partkey % 2 = 0) as indexed from ({RANKED_SQL})")
+def coverage_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which holdings open an indexed filing."""
+    filings = D.load(spark, sf_dir, "part").where("p_partkey % 2 = 0").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("company"))
+    return holdings.coverage(ranked(spark, sf_dir), filings).select("fund", "row", "company", F.coalesce("indexed", F.lit(False)).alias("indexed"))
+
+
+@query(f"""
+with r as ({RANKED_SQL}), n as (select fund, count(*) as n, sum(weight_pct) as total, sum(case when rank <= 10 and (company is null or not regexp_full_match(company, '[A-Z0-9]{{2,20}}')) then 1 else 0 end) as unmapped from r group by fund)
+select fund, 'mapping' as rule, unmapped::bigint as n from n where unmapped > 0
+union all select fund, 'count', 1 from n where fund % 5 = 0
+union all select fund, 'total', 1 from n where round(abs(total - 100 - fund % 3), 9) > round(n * 0.005 + 0.005, 9)
+union all select fund, 'source', 1 from n where fund % 7 = 0
+union all select fund, 'expense', 1 from n where fund % 11 = 0
+""")
+def snapshot_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every broken constraint of every snapshot."""
+    rows = ranked(spark, sf_dir)
+    fund = F.col("fund")
+    snapshots = rows.groupBy("fund").agg(F.count("*").alias("n")).select(
+        "fund",
+        F.when(fund % 5 == 0, F.col("n") + 1).otherwise(F.col("n")).alias("holding_count"),
+        (100.0 + fund % 3).alias("disclosed_total_pct"),
+        F.lit("2026-09-30").alias("portfolio_date"),
+        F.lit("2026-09-30").alias("factsheet_date"),
+        F.when(fund % 7 == 0, "http://example.com/f").otherwise("https://example.com/f").alias("source_url"),
+        F.sha2(fund.cast("string"), 256).alias("source_sha256"),
+        F.when(fund % 11 == 0, "OCF").otherwise("TER").alias("expense_kind"),
+    )
+    return holdings.snapshot_violations(rows, snapshots)
+
+
+@query(f"""
+with r as ({RANKED_SQL}),
+top as (select fund, string_agg(name || ': ' || printf('%.2f', weight_pct) || '% of net assets as of 2026-09-30 [Portfolio row ' || row || '](https://example.com/p).', chr(10) || chr(10) order by rank) as answer from r where rank <= 10 group by fund),
+largest as (select fund, name || ': ' || printf('%.2f', weight_pct) || '% of net assets as of 2026-09-30 [Portfolio row ' || row || '](https://example.com/p).' as answer from r where rank = 1)
+select 'top ' || fund as question_id, answer, false as refused from top
+union all select 'largest ' || fund, answer, false from largest
+union all select 'advice ' || fund, 'Not in the filing.', true from top
+union all select 'old ' || fund, 'Not in the filing.', true from top
+union all select 'benchmark ' || fund, 'Benchmark: Index ' || fund || '. As of 2026-08-31 [factsheet page 4](https://example.com/f#page=4).', false from top
+union all select 'expense ' || fund, case when fund % 2 = 0 then 'Not in the filing.' else 'Direct-plan expense ratio: 0.23%. Total expense ratio. As of 2026-08-31 [factsheet page 29](https://example.com/f#page=29).' end, fund % 2 = 0 from top
+union all select 'base ' || fund, case when fund % 2 = 0 then 'Direct-plan expense ratio: 0.23%. Base expense ratio. As of 2026-08-31 [factsheet page 29](https://example.com/f#page=29).' else 'Direct-plan base expense ratio: 0.13%. As of 2026-08-31 [factsheet page 29](https://example.com/f#page=29).' end, false from top
+""")
+def fund_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fund questions answered from disclosures, or refused (P16, P17, F17, J10, L)."""
+    rows = ranked(spark, sf_dir).withColumn("weight_display", F.concat(F.format_string("%.2f", "weight_pct"), F.lit("%")))
+    fund = F.col("fund")
+    base = fund % 2 == 0
+    funds = rows.where("rank = 1").select("fund").distinct()
+    snapshots = funds.select(
+        "fund", F.lit("2026-09-30").alias("portfolio_date"), F.lit("2026-08-31").alias("factsheet_date"), F.lit("https://example.com/p").alias("portfolio_url"), F.lit("https://example.com/f").alias("factsheet_url"),
+        F.struct(F.concat(F.lit("Index "), fund.cast("string")).alias("value"), F.lit(4).alias("page")).alias("benchmark"),
+        F.struct(
+            F.lit("0.23%").alias("value"), F.lit(29).alias("page"), F.when(base, "BER").otherwise("TER").alias("kind"),
+            F.when(base, "Base expense ratio.").otherwise("Total expense ratio.").alias("definition"), F.when(~base, "0.13%").alias("base_value"),
+        ).alias("expense_ratio"),
+        F.struct(F.lit("Nil").alias("value"), F.lit(30).alias("page")).alias("exit_load"),
+    )
+    asked = {"top": "Top 10 holdings as of 30 September 2026?", "largest": "What is the largest holding?", "advice": "Should I buy the top 10 holdings?", "old": "Top ten holdings in August 2026?",
+             "benchmark": "What is the benchmark?", "expense": "What is the total expense ratio?", "base": "What is the base expense ratio?"}
+    questions = funds.select("fund", F.explode(F.create_map(*[F.lit(x) for pair in asked.items() for x in pair])).alias("kind", "question"))
+    return holdings.fund_lookup(questions.select(F.concat("kind", F.lit(" "), fund.cast("string")).alias("question_id"), "fund", "question"), snapshots, rows)
+
+
+# Evidence and memos.
+
+
+@query("""
+select conv_id as request_id, 'E' || row_number() over (partition by conv_id order by turn) as id, turn as seq from conversations where len(regexp_extract_all(text, '\\S+')) <= 200
+""".replace("\\\\", "\\"))
+def evidence_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence of at most 200 words, numbered within its request."""
+    turns = D.load(spark, sf_dir, "conversations").select(F.col("conv_id").alias("request_id"), F.col("turn").alias("seq"), "text", F.col("role").alias("source"))
+    return evidence.register(turns).select("request_id", "id", "seq")
+
+
+@query(r"""
+with registry as (
+  select conv_id as request_id, 'E' || row_number() over (partition by conv_id order by turn) as id, text, role as source, row_number() over (partition by conv_id order by turn) as n
+  from conversations where len(regexp_extract_all(text, '\S+')) <= 200),
+chosen as (select *, row_number() over (partition by request_id order by n) as pos from registry where n <= 2 + request_id % 3),
+sums as (select request_id, string_agg(id, ',' order by pos) as ids, sum(len(regexp_extract_all(text, '\S+')) + len(regexp_extract_all(source, '\S+'))) as words from chosen group by 1)
+select request_id, request_id % 4 <> 0 or words > 450 as refused,
+  case request_id % 4 when 1 then 'The agent did not return an evidence selection' when 2 then 'Invalid evidence selection' when 3 then 'Missing, repeated or unknown evidence' else case when words > 450 then 'The memo exceeds one page of text' else '' end end as reason,
+  case when request_id % 4 = 0 and words <= 450 then ids end as ids, case when request_id % 4 = 0 and words <= 450 then words::bigint end as words
+from sums
+""")
+def evidence_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Selections resolved to memos, or refused."""
+    turns = D.load(spark, sf_dir, "conversations").select(F.col("conv_id").alias("request_id"), F.col("turn").alias("seq"), "text", F.col("role").alias("source"))
+    registry = evidence.register(turns)
+    n = F.regexp_extract("id", r"\d+", 0).cast("int")
+    own = registry.where(n <= 2 + F.col("request_id") % 3).groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct(n.alias("n"), "id"))).alias("e"))
+    ids = F.concat(F.lit('["'), F.array_join(F.transform("e", lambda e: e["id"]), '","'), F.lit('"]'))
+    kind = F.col("request_id") % 4
+    raw = (
+        F.when(kind == 1, "I choose E1")
+        .when(kind == 2, F.concat(F.lit('{"evidence_ids": '), ids, F.lit(', "note": "x"}')))
+        .when(kind == 3, F.lit('{"evidence_ids": ["E1", "E99"]}'))
+        .otherwise(F.concat(F.lit('{"evidence_ids": '), ids, F.lit("}")))
+    )
+    return evidence.memos(own.select("request_id", raw.alias("raw")), registry).select("request_id", "refused", "reason", "ids", "words")
+
+
+@query("""
+select request_id, seq, n_turns <= 6 and n_tools <= 8 and seq <= 12 as admitted from (
+  select o_custkey as request_id, seq, sum(kind) over w as n_turns, sum(1 - kind) over w as n_tools from (
+    select o_custkey, row_number() over (partition by o_custkey order by o_orderkey) as seq, case when o_orderkey % 3 = 0 then 1 else 0 end as kind from orders) c
+  window w as (partition by o_custkey order by seq))
+""")
+def call_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls admitted within turns, tools and calls."""
+    from pyspark.sql import Window
+
+    calls = D.load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("request_id"), F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("seq"), F.when(F.col("o_orderkey") % 3 == 0, "turn").otherwise("tool").alias("kind"))
+    return evidence.call_budget(calls).select("request_id", F.col("seq").cast("long").alias("seq"), "admitted")
+
+
+# Grading.
+
+
+@query(f"""
+with s as ({D.SAMPLES_SQL}),
+g as (
+  select *, starts_with(trim(raw), 'Not in the filing.') and trim(raw) <> 'Not in the filing.' as leaked from s),
+p as (select *, case when answerable then not refused and not leaked and correct and faithful and n_invalid = 0 and n_ungrounded = 0 else refused and text = 'Not in the filing.' and not leaked end as passed from g)
+select case grouping_id(type, split, answerable) when 3 then 'type' when 5 then 'split' when 6 then 'answerable' else 'all' end as dimension,
+  coalesce(type, split, answerable::varchar, 'all') as value, count(*) filter (passed) as passed, count(*) as total, count(*) filter (leaked) as leaks, count(*) filter (n_ungrounded > 0) as ungrounded
+from p group by grouping sets ((type), (split), (answerable), ())
+""")
+def eval_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Graded samples by type, split, answerability and over all."""
+    return evals.rollup(evals.grade(D.spark_rows(spark, sf_dir, D.SAMPLES)))
+
+
+@query("""
+select item_id, case when item_id % 3 = 0 then 'Not in the filing.' else text end = 'Not in the filing.' and item_id % 2 = 0 or (item_id % 2 <> 0 and item_id % 3 <> 0) as passed from benchmark
+""")
+def disclosure_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers that hold all they must, or refuse where they must (E5)."""
+    item = F.col("item_id")
+    cases = D.load(spark, sf_dir, "benchmark").select("item_id", F.when(item % 3 == 0, X.REFUSAL).otherwise(F.col("text")).alias("answer"), (item % 2 == 0).alias("refusal"), F.array(F.left("text", F.lit(9)), F.right("text", F.lit(9))).alias("contains"))
+    return evals.disclosure_checks(cases).select("item_id", "passed")
+
+
+# Limits.
+
+
+@query("""
+with own as (select *, ts::date as day, row_number() over (partition by ts::date, user_id order by ts, event_id) as n from events),
+first as (select *, row_number() over (partition by day order by ts, event_id) as m from own where n <= 5)
+select event_id, day, user_id, true as admitted from first where m <= 120
+union all select event_id, day, user_id, false from first where m > 120
+union all select event_id, day, user_id, false from own where n > 5
+""")
+def daily_call_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls admitted under a visitor's and the day's cap."""
+    return limits.daily_caps(D.load(spark, sf_dir, "events"), per_visitor=5, total=120).select("event_id", "day", "user_id", "admitted")
+
+
+@query("select ts::date as day, user_id, count(*) as n, least(count(*), 25) as admitted from events group by 1, 2")
+def daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls of a visitor and UTC day, as the stream counts them."""
+    return limits.daily_counts(D.load(spark, sf_dir, "events"))
+
+
+@query("""
+with gaps as (select *, case when ts - lag(ts) over (partition by user_id order by ts) < interval 30 minute then 0 else 1 end as new from events),
+numbered as (select *, sum(new) over (partition by user_id order by ts rows unbounded preceding) as session from gaps)
+select user_id, min(ts) as start, count(*) as n, least(count(*), 10) as admitted from numbered group by user_id, session
+""")
+def session_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions by a gap of half an hour, ten calls each."""
+    return limits.session_caps(D.load(spark, sf_dir, "events"))
