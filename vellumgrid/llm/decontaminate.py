@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellumgrid.llm._arrow import columns
+from vellumgrid.llm._arrow import column, columns
 from vellumgrid.llm._tables import BROADCAST_BYTES, keep
 
 WINDOW, GRAM = 10, 5
@@ -94,7 +94,9 @@ def _hits(docs: DataFrame, windows: DataFrame, size: int, small: bool) -> DataFr
         return full.where("item is not null or own_print is not null or at = 0").select("id", "key", "n_words", F.when(F.col("at") > 0, F.col("at")).alias("at"), F.lit(size).alias("size"), "item")
     distinct = _prints(docs, size).select("id", "key", F.explode_outer(F.array_distinct("prints")).alias("print")).where("print is not null")
     some = keep(distinct.join(prints, "print", "left_semi").select("id", "key").distinct())
-    each = _prints(docs.join(some, ["id", "key"], "left_semi"), size).select("id", "key", "n_words", "words", F.posexplode_outer("prints").alias("at", "print")).where("print is not null")
+    some = some.select(F.col("id").alias("some_id"), F.col("key").alias("some_key"))
+    hit = (F.col("key") == F.col("some_key")) & F.col("id").eqNullSafe(F.col("some_id"))
+    each = _prints(docs.join(some, hit, "left_semi"), size).select("id", "key", "n_words", "words", F.posexplode_outer("prints").alias("at", "print")).where("print is not null")
     spelt = each.select("id", "key", "n_words", (F.col("at") + 1).alias("at"), "print", _text_of(F.col("at") + 1, size).alias("window"))
     return spelt.join(texts, (F.col("print") == F.col("own_print")) & (spelt["window"] == texts["window"])).select("id", "key", "n_words", "at", F.lit(size).alias("size"), "item")
 
@@ -127,7 +129,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, of whose words at most ``share`` lie in an occurrence of a benchmark window."""
     found = contamination(docs, benchmark, id_col, text_col)
-    bad = keep(found.where(F.col("n_hit") > share * F.col("n_words")).select(F.col(id_col).alias("bad_id"), "key").distinct())
+    name = next(n for n in (f"contaminated_{i}" for i in range(len(docs.columns) + 1)) if n not in docs.columns)
+    bad = keep(found.where(F.col("n_hit") > share * F.col("n_words")).select(F.struct(F.col(id_col).alias("id"), "key").alias(name)).distinct())
     mark = F.broadcast(bad) if bad.count() * 24 <= BROADCAST_BYTES else bad
-    match = docs[id_col].eqNullSafe(F.col("bad_id")) & (F.xxhash64(docs[text_col]) == F.col("key"))
+    match = (F.xxhash64(column(docs, text_col)) == F.col(f"{name}.key")) & column(docs, id_col).eqNullSafe(F.col(f"{name}.id"))
     return docs.join(mark, match, "left_anti")
