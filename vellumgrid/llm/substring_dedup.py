@@ -66,8 +66,16 @@ def _phrases(window: int):
             data, offsets, words, first = _words(part.column(2))
             _, place, _ = _windows(words, first, window)
             place = np.unique(place)
-            per_doc = np.searchsorted(place, first)
             raw = _codes(words)[(place * 2)[:, None] + np.arange(2 * PHRASE)] if len(place) else np.empty((0, 2 * PHRASE), np.uint8)
+            # A phrase once for each document, however often it stands there.
+            doc = np.searchsorted(first[1:], place, side="right")
+            halves = np.ascontiguousarray(raw).view(U).reshape(-1, 2)
+            order = np.lexsort((halves[:, 1], halves[:, 0], doc))
+            again = np.zeros(len(order), dtype=bool)
+            again[1:] = (doc[order[1:]] == doc[order[:-1]]) & (halves[order[1:]] == halves[order[:-1]]).all(1)
+            once = np.sort(order[~again])
+            place, raw = place[once], raw[once]
+            per_doc = np.searchsorted(place, first)
             values = pa.Array.from_buffers(pa.binary(), len(place), [None, pa.py_buffer(np.arange(len(place) + 1, dtype=np.int32) * (2 * PHRASE)), pa.py_buffer(np.ascontiguousarray(raw))])
             sha = [hashlib.sha256(b" ".join(data[i:j].tobytes().split())).digest() for i, j in zip(offsets[:-1], offsets[1:], strict=True)]
             yield pa.RecordBatch.from_arrays(
