@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -48,6 +49,16 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int = 1 << 2
                 start, total = i, 0
             total += size
         yield batch.slice(start, n - start)
+    release()
+
+
+def release() -> None:
+    """Give freed memory back at the end of a task: workers live on, and the next task may run elsewhere."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
 
 
 def sha256_hex(binary: Column) -> Column:

@@ -195,14 +195,19 @@ def _confirm_groups(percent: int):
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of the edges (a, b), component being the smallest node it reaches."""
 
+    def once(least: DataFrame) -> DataFrame:
+        """Kept, and sent everywhere if counted small, so that a hub's edges need not meet in one task."""
+        least = keep(least)
+        return F.broadcast(least) if least.count() * 24 <= BROADCAST_BYTES else least
+
     def large_star(e: DataFrame) -> DataFrame:
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = once(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         return both.where("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a <> b").distinct()
 
     def small_star(e: DataFrame) -> DataFrame:
         # a < b: every node b is joined to the smallest of its smaller neighbours, and so are they.
-        least = e.groupBy("b").agg(F.min("a").alias("m"))
+        least = once(e.groupBy("b").agg(F.min("a").alias("m")))
         others = e.join(least, "b").where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))
         return others.unionByName(least.select(F.col("m").alias("a"), "b")).distinct()
 
@@ -213,7 +218,7 @@ def components(edges: DataFrame) -> DataFrame:
         if now == state or not now[0]:
             break
         state = now
-        edges = keep(small_star(large_star(edges)))
+        edges = keep(small_star(keep(large_star(edges))))
     return edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("component"))
 
 
@@ -251,6 +256,6 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     return own_class.join(found, F.col("rep") == F.col("node"), "left").select(
         F.col("id").alias(id_col),
         "n_shingles",
-        F.coalesce("component", "rep", "id").alias("component_id"),
+        F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id")).alias("component_id"),
         F.coalesce(F.col("id") == F.coalesce("component", "rep", "id"), F.lit(True)).alias("kept"),
     )
