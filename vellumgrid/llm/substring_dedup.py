@@ -145,7 +145,10 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
     # Copies: rows of one word sequence. Partial aggregation keeps large groups apart until the end.
     long = prints.where(F.col("n_words") >= window)
     first = long.groupBy("words_sha").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id")).where("first_id < last_id")
-    slim = long.select("id", "twin", "n_words", "words_sha").join(first.select("words_sha", "first_id"), "words_sha")
+    # Kept, and sent everywhere if counted small; if not, the join's hot partitions can be split.
+    first = keep(first.select("words_sha", "first_id"))
+    first = F.broadcast(first) if first.count() * 64 <= BROADCAST_BYTES else first
+    slim = long.select("id", "twin", "n_words", "words_sha").join(first, "words_sha")
     copies = keep(slim.where("id > first_id").select("id", "twin", F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_words").alias("end"))).alias("spans")).distinct())
     # The rows that take part: all but the copies.
     n_copies = copies.count()
