@@ -27,9 +27,11 @@ from pyspark.sql import functions as F
 from vellumgrid.llm._arrow import columns, slices
 
 #: Pieces whose tokens a Python worker keeps; the table is emptied when full.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 150_000
 #: Longer pieces are encoded each time they occur.
 CACHE_CHARS = 48
+#: Pairs of tokens whose compatibility is remembered.
+CACHE_PAIRS = 150_000
 
 
 class Codec:
@@ -49,7 +51,7 @@ class Codec:
         self.sizes = [len(t) for t in self.tokens]
         self.pieces = regex.compile(pattern)
         self.cache: dict[str, bytes] = {}
-        self.beside: dict[tuple[int, int], bool] = {}
+        self.beside: dict[int, bool] = {}
         self.joined: dict[tuple[int, int], int] = {}
         self.halves: list[tuple[int, int]] = [(i, i) for i in range(len(self.tokens))]
         self.shorter: list[int] = [-1] * len(self.tokens)
@@ -113,11 +115,12 @@ class Codec:
                 if open_at[end]:
                     if last < 0:
                         break
-                    fits = beside.get((last, token))
+                    pair = last << 32 | token
+                    fits = beside.get(pair)
                     if fits is None:
-                        if len(beside) >= 2_000_000:
+                        if len(beside) >= CACHE_PAIRS:
                             beside.clear()
-                        fits = beside[last, token] = self._fits(last, token)
+                        fits = beside[pair] = self._fits(last, token)
                     if fits:
                         break
                 token = shorter[token]

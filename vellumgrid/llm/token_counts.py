@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from vellumgrid.llm._arrow import columns, slices
 
 #: Words whose counts a Python worker keeps; the table is emptied when full, so memory is bounded.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 #: Longer words are counted each time they occur.
 CACHE_CHARS = 64
 
