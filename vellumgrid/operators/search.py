@@ -68,11 +68,16 @@ def vector_topk(index: DataFrame, queries: DataFrame, k: int = X.FUSION_DEPTH, k
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(F.col("q").alias(query), F.col("k").alias(key), F.col("s").alias("score"), "rank")
 
 
-def postings(docs: DataFrame, key: str = "key", text: str = "text", group: str | None = None) -> DataFrame:
-    """The inverted index: key, term, tf and length (terms of the document), with the group column if any."""
+def postings(docs: DataFrame, key: str = "key", text: str = "text", group: str | None = None, only: DataFrame | None = None) -> DataFrame:
+    """The inverted index: key, term, tf and length (terms of the document), with the group column if any.
+
+    With ``only`` (term and the group column) no other terms are counted: they are gone before the shuffle.
+    """
     keep = [key] + ([group] if group else [])
     terms = docs.select(*keep, T.tokens(F.coalesce(F.col(text), F.lit(""))).alias("terms"))
     each = terms.select(*keep, F.size("terms").alias("length"), F.explode_outer("terms").alias("term")).where("term is not null")
+    if only is not None:
+        each = each.join(only, ["term"] + ([group] if group else []), "left_semi")
     return each.groupBy(*keep, "length", "term").agg(F.count("*").alias("tf"))
 
 
@@ -87,9 +92,10 @@ def keyword_topk(docs: DataFrame, queries: DataFrame, k: int = X.FUSION_DEPTH, k
     totals = own.groupBy(*by).agg(F.count("*").alias("n_docs"), F.avg("length").alias("mean_length"))
     asked = queries.select(query, *by, F.explode_outer(F.array_distinct(T.tokens(F.col("text")))).alias("term")).where("term is not null")
     size = asked.count() * 64
-    asked = F.broadcast(asked) if size <= BROADCAST_BYTES else asked
-    # Only terms that are asked for are counted: the semi join keeps the shuffle to them.
-    index = postings(docs, key, text, group).join(asked.select("term", *by).distinct(), ["term", *by], "left_semi")
+    terms = asked.select("term", *by).distinct()
+    if size <= BROADCAST_BYTES:
+        asked, terms = F.broadcast(asked), F.broadcast(terms)
+    index = postings(docs, key, text, group, terms)
     frequency = index.groupBy("term", *by).agg(F.count("*").alias("df"))
     matched = index.join(asked, ["term", *by]).join(frequency, ["term", *by])
     matched = matched.join(F.broadcast(totals), by) if by else matched.crossJoin(F.broadcast(totals))

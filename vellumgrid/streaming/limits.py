@@ -11,16 +11,15 @@ from vellumgrid.functions import fixed as X
 def daily_caps(calls: DataFrame, per_visitor: int = X.PER_VISITOR_DAILY, total: int = X.GLOBAL_DAILY, order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
     """Adds day (UTC) and admitted: the first calls of a visitor's day, and of these the first of the day.
 
-    A call over the visitor's cap is not counted towards the day's, as a refused call costs nothing. The
-    second ranking sees at most ``per_visitor`` calls a visitor and day.
+    A call over the visitor's cap is not counted towards the day's, as a refused call costs nothing. Both
+    rankings are cut at their caps, so each task drops what cannot be admitted before the shuffle, and a day
+    gathers at most ``total`` calls of each task. ``order`` names a call.
     """
-    day = F.to_date("ts")
-    own = Window.partitionBy("day", "user_id").orderBy(*order)
-    ranked = calls.withColumn("day", day).withColumn("_own", F.row_number().over(own))
-    within = F.col("_own") <= per_visitor
-    everyone = Window.partitionBy("day").orderBy(*order)
-    first = ranked.where(within).withColumn("admitted", F.row_number().over(everyone) <= total)
-    return first.unionByName(ranked.where(~within).withColumn("admitted", F.lit(False))).drop("_own")
+    dated = calls.withColumn("day", F.to_date("ts"))
+    own, everyone = (Window.partitionBy(*by).orderBy(*order) for by in (("day", "user_id"), ("day",)))
+    first = dated.select("day", "user_id", *order).withColumn("_own", F.row_number().over(own)).where(F.col("_own") <= per_visitor)
+    admitted = first.withColumn("_all", F.row_number().over(everyone)).where(F.col("_all") <= total).select(*order, F.lit(True).alias("admitted"))
+    return dated.join(admitted, list(order), "left").withColumn("admitted", F.coalesce("admitted", F.lit(False)))
 
 
 def daily_counts(calls: DataFrame, watermark: str = "1 hour", per_visitor: int = X.PER_VISITOR_DAILY) -> DataFrame:
