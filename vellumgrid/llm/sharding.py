@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellumgrid.llm._arrow import columns
+from vellumgrid.llm._tables import keep
 
 #: Fine ranges for each shard, and sampled keys for each range.
 RANGES_PER_SHARD = 32
@@ -74,13 +75,13 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
     )
     slim = slim.withColumn("key", F.struct(F.xxhash64("id").alias("h"), F.col("id"), F.monotonically_increasing_id().alias("row")))
     # The row number tells ties apart; the checkpoint keeps it the same if a task is run again.
-    slim = slim.withColumn("range", F.lit(0)).checkpoint()
+    slim = keep(slim.withColumn("range", F.lit(0)))
     total = slim.agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).first()
     if not total["rows"]:
         return slim.select(F.col("id").alias(id_col), "size", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
     step = total["bytes"] / (shards * RANGES_PER_SHARD)
     rate = SAMPLES_PER_RANGE / step
-    bounds = _splitters(slim, step, rate).select("key").checkpoint()
+    bounds = keep(_splitters(slim, step, rate).select("key"))
     placed = _assign(slim, bounds)
     most_rows = max(64.0, OVERFULL * total["rows"] / (shards * RANGES_PER_SHARD))
     for _ in range(max_rounds):
@@ -92,7 +93,7 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
         inside = placed.where(F.col("range").isin([r[0] for r in overfull]))
         finer = _splitters(inside, step / 2, rate * 4)
         by_rows = _splitters(inside.withColumn("size", F.lit(1).cast("long")), most_rows / 4, min(1.0, 4 * SAMPLES_PER_RANGE / most_rows))
-        bounds = bounds.unionByName(finer.select("key")).unionByName(by_rows.select("key")).checkpoint()
+        bounds = keep(bounds.unionByName(finer.select("key")).unionByName(by_rows.select("key")))
         placed = _assign(slim, bounds)
     sizes = placed.groupBy("range").agg(F.sum("size").alias("bytes"))
     # As many rows as ranges: a bounded number.
@@ -103,7 +104,7 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
     ranked = placed.join(F.broadcast(starts), "range").select(
         "id", "size", "text_crc32", "range", F.row_number().over(within).alias("n"), F.least(F.lit(shards - 1), F.floor(at * shards / F.lit(total["bytes"]))).cast("int").alias("shard")
     )
-    ranked = ranked.checkpoint()
+    ranked = keep(ranked)
     cells = ranked.groupBy("shard", "range").agg(F.count("*").alias("rows"), (F.min("n") - 1).alias("skip"))
     earlier = Window.partitionBy("shard").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = cells.select("shard", "range", (F.coalesce(F.sum("rows").over(earlier), F.lit(0)) - F.col("skip") - 1).alias("offset"))
