@@ -28,7 +28,7 @@ RULES: tuple[tuple[str, float | None, float | None], ...] = (
     ("mean_word_chars", 1.5, 15.0),
     ("symbols_per_word", None, 0.1),
     ("stop_word_share", 0.01, None),
-    ("duplicate_line_share", None, 0.3),
+    ("duplicate_line_share", None, 0.5),
     ("repeated_word_share", None, 0.3),
 )
 
