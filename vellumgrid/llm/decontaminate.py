@@ -37,15 +37,6 @@ def _each(n: Column, size: int, make) -> Column:
     return F.when(n >= size, F.transform(F.sequence(F.lit(1), n - (size - 1)), make)).otherwise(F.array().cast("array<bigint>"))
 
 
-def _bound(value: Column, use) -> Column:
-    """``use(value)`` with the value computed once, however often a lambda in ``use`` refers to it.
-
-    The optimiser puts a column's expression wherever it stands once in the text of another, lambdas
-    included, where it would be computed for each element.
-    """
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def _prints(frame: DataFrame, size: int) -> DataFrame:
     """Adds ``prints``: the fingerprint of every window of ``size`` words.
 
@@ -55,8 +46,10 @@ def _prints(frame: DataFrame, size: int) -> DataFrame:
     n = F.size("words")
     if size < WINDOW:
         return frame.withColumn("prints", _each(n, size, lambda i: F.xxhash64(F.slice("words", i, size))))
-    grams = _each(n, GRAM, lambda i: F.xxhash64(F.slice("words", i, GRAM)))
-    return frame.withColumn("prints", _bound(grams, lambda g: _each(n, size, lambda i: F.array_min(F.slice(g, i, size - GRAM + 1)))))
+    # The grams are named several times, so that the optimiser leaves them a column of their own: put into
+    # the lambda, they would be computed for every window, and a lambda within a lambda costs the compiler dearly.
+    grams = frame.withColumn("grams", _each(n, GRAM, lambda i: F.xxhash64(F.slice("words", i, GRAM))))
+    return grams.withColumn("prints", _each(F.size("grams"), size - GRAM + 1, lambda i: F.array_min(F.slice("grams", i, size - GRAM + 1)))).drop("grams")
 
 
 def _text_of(at: Column, size: int) -> Column:
