@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellumgrid.functions import fixed as X
@@ -20,21 +20,21 @@ def grade(samples: DataFrame) -> DataFrame:
     return samples.withColumns({"leaked": leaked, "passed": F.when(F.col("answerable"), F.coalesce(right, F.lit(False))).otherwise(bare & ~leaked)})
 
 
-def judged_faithful(faithful, computed):
+def judged_faithful(faithful: Column, computed: Column) -> Column:
     """A judge's verdict, overruled by its own list of computed figures (structs labelled, arithmetic_right)."""
     return faithful & ~F.exists(computed, lambda c: ~c["labelled"] | ~c["arithmetic_right"])
 
 
 def rollup(graded: DataFrame) -> DataFrame:
     """passed, total, leaks, ungrounded by type, by split, by answerable and over all: one pass over the samples."""
-    graded.createOrReplaceTempView("_graded_samples")
     return graded.sparkSession.sql(
         """
         select case grouping_id(type, split, answerable) when 3 then 'type' when 5 then 'split' when 6 then 'answerable' else 'all' end as dimension,
           coalesce(type, split, cast(answerable as string), 'all') as value,
           count_if(passed) as passed, count(*) as total, count_if(leaked) as leaks, count_if(n_ungrounded > 0) as ungrounded
-        from _graded_samples group by grouping sets ((type), (split), (answerable), ())
-        """
+        from {graded} group by grouping sets ((type), (split), (answerable), ())
+        """,
+        graded=graded,
     )
 
 
