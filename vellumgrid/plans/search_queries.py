@@ -153,7 +153,7 @@ def pack_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = Window.partitionBy("company").orderBy(F.desc("tokens"), "page", "chunk")
     hits = chunks.withColumn("rank", F.row_number().over(order)).where("rank <= 8").withColumn("question_id", F.col("company"))
     packed = search.pack_context(hits, chunks, budget=1500)
-    return packed.select("question_id", "page", "chunk", "tokens", "sibling", F.col("position").cast("long").alias("position"))
+    return packed.select("question_id", "page", *(F.col(c).cast("long").alias(c) for c in ("chunk", "tokens", "position")), "sibling")
 
 
 @query(rf"""

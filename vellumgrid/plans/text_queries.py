@@ -96,7 +96,7 @@ def chunk_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of the statement pages with the context in force."""
     pages = chunking.page_context(statement_pages(spark, sf_dir)).withColumn("scope", T.heading_scope(F.col("text")))
     chunks = chunking.chunk_pages(pages, target=120, overlap=40)
-    return chunks.select("company", "fiscal_year", "page", "chunk", "tokens")
+    return chunks.select("company", "fiscal_year", F.col("page").cast("int").alias("page"), "chunk", F.col("tokens").cast("long").alias("tokens"))
 
 
 @query(r"""
