@@ -46,6 +46,12 @@ def test_shards_of_one_key(spark):
     check_shards(sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 8).collect(), sized(rows), 8)
 
 
+def test_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "ROWS_PER_RANGE", 10)
+    rows = [(i % 700, "y" * (i * 7 % 90)) for i in range(2000)]
+    check_shards(sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 3).collect(), sized(rows), 3)
+
+
 def test_no_shards(none):
     assert sharding.shard(none).collect() == []
 

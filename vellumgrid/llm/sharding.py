@@ -13,15 +13,19 @@ empty table gives an empty one. The slim rows (no texts) are checkpointed, which
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellumgrid.llm._arrow import columns
 from vellumgrid.llm._tables import keep
 
-#: Fine ranges for each shard, and sampled keys for each range.
+#: Fine ranges for each shard, at least, and sampled keys for each range.
 RANGES_PER_SHARD = 32
 SAMPLES_PER_RANGE = 16
+#: Rows for which a range is planned, at most: a task sorts one range, so ranges grow in number and not in size.
+ROWS_PER_RANGE = 1_000_000
 #: A range of more than this many times its share of bytes or rows is subdivided.
 OVERFULL = 4.0
 
@@ -79,17 +83,18 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
     total = slim.agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).first()
     if not total["rows"]:
         return slim.select(F.col("id").alias(id_col), "size", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
-    step = total["bytes"] / (shards * RANGES_PER_SHARD)
+    ranges = shards * max(RANGES_PER_SHARD, math.ceil(total["rows"] / (shards * ROWS_PER_RANGE)))
+    step = total["bytes"] / ranges
     rate = SAMPLES_PER_RANGE / step
     bounds = keep(_splitters(slim, step, rate).select("key"))
     placed = _assign(slim, bounds)
-    most_rows = max(64.0, OVERFULL * total["rows"] / (shards * RANGES_PER_SHARD))
+    most_rows = max(64.0, OVERFULL * total["rows"] / ranges)
     for _ in range(max_rounds):
         sizes = placed.groupBy("range").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
         overfull = sizes.where((F.col("rows") > 1) & ((F.col("bytes") > OVERFULL * step) | (F.col("rows") > most_rows))).select("range").collect()
         if not overfull:
             break
-        # At most shards * RANGES_PER_SHARD / OVERFULL ranges can be overfull by either measure.
+        # At most ranges / OVERFULL of them can be overfull by either measure.
         inside = placed.where(F.col("range").isin([r[0] for r in overfull]))
         finer = _splitters(inside, step / 2, rate * 4)
         by_rows = _splitters(inside.withColumn("size", F.lit(1).cast("long")), most_rows / 4, min(1.0, 4 * SAMPLES_PER_RANGE / most_rows))
