@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from vellumgrid.functions import fixed as X
 from vellumgrid.operators import chunking, evals, evidence, guard, holdings, layout, search
-from vellumgrid.operators.layout import Box
 
 
 def hits_of(spark, rows):
@@ -67,7 +66,7 @@ def test_every_chunk_has_its_unit(spark, unit):
     chunks = [r["text"] for r in chunking.chunk_pages(page(spark, rows)).orderBy("chunk").collect()]
     assert len(chunks) > 1
     assert all(unit in c and "Standalone Balance Sheet" in c and "As at March 31, 2025" in c for c in chunks)
-    assert all(chunking.count_tokens(c) <= X.CHUNK_TOKENS for c in chunks)
+    assert all(r["tokens"] <= X.CHUNK_TOKENS for r in chunking.chunk_pages(page(spark, rows)).collect())
     assert [r for c in chunks for r in c.split("\n") if r.startswith("Item")] == rows[3:]
 
 
@@ -186,33 +185,69 @@ def test_holdings_from_cells(spark):
     assert [r["row"] for r in holdings.layout_violations(df, expected).collect()] == [8]
 
 
-def lines(*boxes):
-    return [Box(t, x0, y0, x1, y0 + 10, 9.0, b) for t, x0, y0, x1, b in boxes]
+LINE = "company string, page int, line int, text string, x0 double, y0 double, x1 double, y1 double, size double, block int, height double, width double"
 
 
-def test_rows_and_cells():
-    boxes = lines(("2,365.71", 300, 102, 340, 1), ("Trade receivables", 50, 100, 150, 0), ("6", 200, 101, 206, 2), ("1,852.73", 342, 102, 380, 3), ("•", 50, 120, 54, 4), ("An item", 80, 120, 140, 4))
-    rows, columns, _ = layout.page_rows(boxes)
-    assert rows == ["Trade receivables | 6 | 2,365.71 | 1,852.73", "• An item"] and columns == 1
+def read_page(spark, boxes, width=600.0, height=800.0):
+    rows = [("C", 1, i, t, float(x0), float(y0), float(x1), y0 + 10.0, 9.0, b, height, width) for i, (t, x0, y0, x1, b) in enumerate(boxes)]
+    r = layout.clean_pages(layout.repaired(spark.createDataFrame(rows, LINE))).first()
+    return r["text"].split("\n"), r["columns"], r["spread"]
 
 
-def test_stacked_periods_and_wrapped_labels():
-    boxes = lines(("As at", 200, 100, 240, 0), ("As at", 300, 100, 340, 0), ("March 31, 2025", 195, 109, 260, 0), ("March 31, 2024", 295, 109, 360, 0), ("Dues of creditors other than", 50, 140, 180, 0), ("small enterprises", 50, 155, 130, 0), ("1,935.74", 200, 155, 240, 0), ("1,706.06", 300, 155, 340, 0))
-    assert layout.page_rows(boxes)[0] == ["As at March 31, 2025 | As at March 31, 2024", "Dues of creditors other than small enterprises | 1,935.74 | 1,706.06"]
+def test_rows_and_cells(spark):
+    boxes = [("2,365.71", 300, 102, 340, 1), ("Trade receivables", 50, 100, 150, 0), ("6", 200, 101, 206, 2), ("1,852.73", 342, 102, 380, 3), ("•", 50, 120, 54, 4), ("An item", 80, 120, 140, 4)]
+    boxes += [("(₹", 50, 140, 60, 5), ("in", 62, 140, 70, 5), ("crore)", 72, 140, 99, 5), ("Total assets", 101, 140, 160, 5), ("1.5 2.5", 300, 160, 340, 6), ("As at", 50, 180, 70, 7), ("March 31, 2025", 72, 180, 120, 7), ("3.5", 122, 180, 130, 7)]
+    rows, columns, _ = read_page(spark, boxes)
+    assert rows == ["Trade receivables | 6 | 2,365.71 | 1,852.73", "• An item", "(₹ in crore) | Total assets", "1.5 | 2.5", "As at March 31, 2025 | 3.5"] and columns == 1
 
 
-def test_two_columns_are_read_in_turn():
-    boxes = [b for i in range(6) for b in lines((f"left {i}", 50, 100 + i * 37, 270, 2 * i), (f"right {i}", 320, 113 + i * 37, 540, 2 * i + 1))]
-    rows, columns, _ = layout.page_rows(boxes)
+def test_stacked_periods_and_wrapped_labels(spark):
+    boxes = [("As at", 200, 100, 240, 0), ("As at", 300, 100, 340, 0), ("March 31, 2025", 195, 109, 260, 0), ("March 31, 2024", 295, 109, 360, 0), ("Dues of creditors other than", 50, 140, 180, 0), ("small enterprises", 50, 155, 130, 0), ("1,935.74", 200, 155, 240, 0), ("1,706.06", 300, 155, 340, 0)]
+    boxes += [("considered", 50, 170, 100, 0), ("good", 50, 185, 80, 0), ("b) Advances", 50, 200, 100, 0)]
+    assert read_page(spark, boxes)[0] == ["As at March 31, 2025 | As at March 31, 2024", "Dues of creditors other than small enterprises considered good | 1,935.74 | 1,706.06", "b) Advances"]
+
+
+def test_heading_over_three_lines(spark):
+    boxes = [("for the year ended", 200, 100, 260, 0), ("31 March 2025 to", 200, 111, 260, 0), ("31 March 2026", 200, 122, 260, 0), ("31 March 2027", 200, 145, 260, 0)]
+    # A finished heading takes nothing from below it.
+    boxes += [("As at March 31, 2024", 200, 300, 260, 0), ("March 31, 2023", 200, 311, 260, 0)]
+    assert read_page(spark, boxes)[0] == ["for the year ended 31 March 2025 to 31 March 2026", "31 March 2027", "As at March 31, 2024", "March 31, 2023"]
+
+
+def test_two_columns_are_read_in_turn(spark):
+    boxes = [b for i in range(6) for b in [(f"left {i}", 50, 100 + i * 37, 270, 2 * i), (f"right {i}", 320, 113 + i * 37, 540, 2 * i + 1)]]
+    rows, columns, _ = read_page(spark, boxes)
     assert columns == 2 and rows == [f"left {i}" for i in range(6)] + [f"right {i}" for i in range(6)]
+    # Blocks that start level are a grid, whatever their width.
+    level = [(t, x0, 100 + (b // 2) * 37, x1, b) for t, x0, _, x1, b in boxes]
+    assert read_page(spark, level)[:2] == ([f"left {i} | right {i}" for i in range(6)], 1)
+
 
+def test_bands_and_strays(spark):
+    boxes = [b for i in range(6) for b in [(f"left {i}", 50, 100 + i * 37, 270, 2 * i), (f"right {i}", 320, 113 + i * 37, 540, 2 * i + 1)]]
+    boxes += [("A heading across", 50, 205, 540, 20), ("caption", 430, 330, 500, 21)]
+    rows, columns, _ = read_page(spark, boxes)
+    # The caption stands in the band under the heading and goes with the nearer column.
+    assert columns == 2 and rows == ["left 0", "left 1", "left 2", "right 0", "right 1", "right 2", "A heading across", "left 3", "left 4", "left 5", "right 3", "right 4", "right 5", "caption"]
 
-def test_spread_is_read_half_by_half():
-    boxes = [b for i in range(5) for b in lines((f"left {i}", 50, 100 + i * 20, 300, i), (f"right {i}", 700, 100 + i * 20, 950, 10 + i))]
-    rows, _, spread = layout.page_rows(boxes, 1000.0, 700.0)
+
+def test_spread_is_read_half_by_half(spark):
+    boxes = [b for i in range(5) for b in [(f"left {i}", 50, 100 + i * 20, 300, i), (f"right {i}", 700, 100 + i * 20, 950, 10 + i)]]
+    rows, _, spread = read_page(spark, boxes, 1000.0, 700.0)
     assert spread and rows == [f"left {i}" for i in range(5)] + [f"right {i}" for i in range(5)]
 
 
+def test_page_of_furniture_only(spark):
+    rows = [("C", p, 0, "Annual Report", 50.0, 780.0, 90.0, 790.0, 7.0, 0, 800.0, 600.0) for p in range(1, 5)] + [("C", p, 1, "Body text of the page " * 3, 50.0, 400.0, 90.0, 410.0, 9.0, 1, 800.0, 600.0) for p in range(1, 4)]
+    got = {r["page"]: (r["text"], r["furniture"], r["n_words"]) for r in layout.clean_pages(spark.createDataFrame(rows, LINE)).collect()}
+    assert got[4] == ("", ["Annual Report"], 0) and got[1][2] == 15 and len(got) == 4
+
+
+def test_glyphs_are_repaired_first(spark):
+    boxes = [("(` in  crore)", 50, 100, 90, 0), ("ﬁnance C crore", 50, 130, 90, 1), ("C crore", 50, 160, 90, 2)]
+    assert read_page(spark, boxes)[0] == ["(₹ in crore)", "finance C crore", "₹ crore"]
+
+
 def test_upright(spark):
     df = spark.createDataFrame([(10.0, 20.0, 30.0, 40.0, d, 600.0, 800.0) for d in (0.0, -1.0, 1.0)], "x0 double, y0 double, x1 double, y1 double, dy double, width double, height double")
     assert [tuple(r)[:4] for r in layout.upright(df).collect()] == [(10, 20, 30, 40), (760, 10, 780, 30), (20, 570, 40, 590)]

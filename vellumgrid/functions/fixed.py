@@ -66,8 +66,8 @@ ALL_AMOUNTS = r"(?iU)^\(?all amounts?\b"
 LIST_MARKER = r"(?i)^(?:[•▪◦\-–]|\(?[a-z]\)|[a-z]\.|\(?[ivx]{1,5}\)|\(?\d{1,2}[.)])$"
 
 RUPEE_BACKTICK = r"(?<![A-Za-z])`|`(?![A-Za-z])"
-CURRENCY_LABEL = r"(?iU)^\s*[(\[]?[CHvIK]\s+(?:in\s+)?(?:crores?|millions?|thousands?|[‘’']?000s?)[)\]]?\s*$"
-THOUSANDS_LABEL = r"(?iU)^\s*[(\[]?₹\s+in\s+[‘’']?000s?[)\]]?\s*$"
+CURRENCY_LABEL = r"(?U)^(\s*[(\[]?)[CHvIK](?i:(\s+(?:in\s+)?(?:crores?|millions?|thousands?|[‘’']?000s?)[)\]]?\s*))$"
+THOUSANDS_LABEL = r"(?iU)^(\s*[(\[]?₹\s+in\s+)[‘’']?000s?([)\]]?\s*)$"
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl"}
 CONTROL_CHARS = r"[\x00-\x08\x0b-\x1f\x7f]"
 

@@ -10,7 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: One row a printed line: title, unit, period header, item rows, and on some pages a second header.
+#: One row a printed line: title, unit, period header, item rows, on some pages a second header, on others prose.
+#: Every line comes from an item row and a small list of kinds, so that items are read once.
 STATEMENT_ROWS = """
 with items as (
   select l_suppkey, year(l_shipdate) as y, p_name, cast(cast(l_quantity as decimal(18,0)) as varchar(30)) as qty,
@@ -18,17 +19,19 @@ with items as (
     row_number() over (partition by l_suppkey, year(l_shipdate) order by l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 as n
   from {lineitem} join {part} on p_partkey = l_partkey),
 placed as (
-  select concat('C', cast(l_suppkey as varchar(20))) as company, concat('FY', right(cast(y as varchar(10)), 2)) as fiscal_year, y,
-    cast(floor(n / 12) as int) + 1 as page, cast(n % 12 as int) as k, p_name, qty, price, l_suppkey from items),
-pages as (select distinct company, fiscal_year, page, y, l_suppkey from placed)
-select company, fiscal_year, page, 0 as line,
-  concat(case when (l_suppkey + page) % 3 = 0 then 'Standalone' when (l_suppkey + page) % 3 = 1 then 'Consolidated' else 'Notes to the' end,
-    case when (l_suppkey + page) % 3 = 2 then ' accounts' else concat(' Balance Sheet as at March 31, ', cast(y as varchar(10))) end) as text from pages
-union all select company, fiscal_year, page, 1, case when page % 2 = 0 then '(₹ in crore)' else 'All rates as agreed' end from pages
-union all select company, fiscal_year, page, 2, concat('As at March 31, ', cast(y as varchar(10)), ' | As at March 31, ', cast(y - 1 as varchar(10))) from pages
-union all select company, fiscal_year, page, 3 + k, concat(p_name, ' | ', qty, ' | ', price) from placed
-union all select company, fiscal_year, page, 20, concat('year ended March 31, ', cast(y as varchar(10)), ' | year ended March 31, ', cast(y - 1 as varchar(10))) from pages where page % 3 = 0
-union all select company, fiscal_year, page, 21, concat('Closing | ', qty, ' | ', price) from placed where k = 0 and page % 3 = 0
+  select concat('C', cast(l_suppkey as varchar(20))) as company, concat('FY', right(cast(y as varchar(10)), 2)) as fiscal_year, cast(y as varchar(10)) as y, cast(y - 1 as varchar(10)) as z,
+    cast(floor(n / 12) as int) + 1 as page, cast(n % 12 as int) as k, p_name, qty, price, l_suppkey from items)
+select company, fiscal_year, page, case kind when 3 then 3 + k when 30 then 30 + k else kind end as line,
+  case kind
+    when 0 then case (l_suppkey + page) % 3 when 0 then concat('Standalone Balance Sheet as at March 31, ', y) when 1 then concat('Consolidated Balance Sheet as at March 31, ', y) else 'Notes to the accounts' end
+    when 1 then case when page % 2 = 0 then '(₹ in crore)' else 'All rates as agreed' end
+    when 2 then concat('As at March 31, ', y, ' | As at March 31, ', z)
+    when 3 then concat(p_name, ' | ', qty, ' | ', price)
+    when 20 then concat('year ended March 31, ', y, ' | year ended March 31, ', z)
+    when 21 then concat('Closing | ', qty, ' | ', price)
+    else concat('The stock of ', p_name, ' was counted by the auditors') end as text
+from placed join (values (0), (1), (2), (3), (20), (21), (30)) kinds(kind)
+  on kind = 3 or (kind = 30 and page % 4 = 1) or (k = 0 and (kind < 3 or (kind in (20, 21) and page % 3 = 0)))
 """
 
 #: One answer a page: the first price, cited to its page or (every third page) to the next, and a made-up sum.
@@ -53,16 +56,32 @@ select sales.l_suppkey as fund, p_name as name, concat('IN', lpad(cast(l_partkey
 from sales join totals on totals.l_suppkey = sales.l_suppkey join {part} on p_partkey = l_partkey
 """
 
-#: Line boxes: a footer and a running head on most pages of a company, and items in two columns.
+#: Line boxes of pages of ten items. By ``shape``: 1 two columns of prose around a heading across both, 2 a table with
+#: stacked headings, a wrapped label and fused figures, 3 a spread, else a grid. Most pages have a footer and all a unit.
 LINES = """
 with own as (
-  select concat('C', cast(l_suppkey as varchar(20))) as company, cast(floor((rn - 1) / 10) as int) + 1 as page, cast((rn - 1) % 10 as int) as k, p_name, p_size, l_quantity
+  select concat('C', cast(l_suppkey as varchar(20))) as company, cast(floor((rn - 1) / 10) as int) + 1 as page, cast((rn - 1) % 10 as int) as k, concat(p_name, ' ', cast(p_size as varchar(10))) as item,
+    cast(cast(l_extendedprice as decimal(18,2)) as varchar(30)) as price, l_quantity
   from (select *, row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber, l_partkey, l_extendedprice) as rn from {lineitem} join {part} on p_partkey = l_partkey) numbered),
-pages as (select distinct company, page from own)
-select company, page, k as line, concat(p_name, ' ', cast(p_size as varchar(10))) as text, cast(50 + (k % 2) * 300 as double) as x0, cast(100 + floor(k / 2) * 60 as double) as y0,
-  cast(250 + (k % 2) * 300 as double) as x1, cast(112 + floor(k / 2) * 60 as double) as y1, cast(case when l_quantity > 49 then 12.0 else 9.0 end as double) as size, k % 2 as block, 800.0e0 as height, 600.0e0 as width from own
-union all select company, page, 90, concat('Annual Report ', cast(page as varchar(10))), 50.0e0, 770.0e0 + (page % 3), 250.0e0, 780.0e0, 7.0e0, 90, 800.0e0, 600.0e0 from pages where page % 5 <> 0
-union all select company, page, 91, '(₹ in crore)', 50.0e0, 20.0e0, 150.0e0, 30.0e0, 7.0e0, 91, 800.0e0, 600.0e0 from pages
+paged as (
+  select *, case when count(*) over (partition by company, page) < 10 then 0 else page % 6 end as shape, lead(price) over (partition by company, page order by k) as price2 from own),
+drawn as (
+  select * from paged join (values (0), (90), (91), (92), (93), (94), (95), (96), (97), (98), (99), (100), (101), (102)) kinds(kind)
+    on (kind = 0 and not (shape = 2 and k < 2)) or (k = 0 and ((kind = 90 and page % 5 <> 0) or kind = 91 or (kind = 92 and shape = 1) or (kind > 92 and shape = 2))))
+select company, page, case when kind = 0 then k else kind end as line, shape,
+  case kind when 0 then item when 90 then concat('Annual Report ', cast(page as varchar(10))) when 91 then case when page % 7 = 0 then '(` in  crore)' else '(₹ in crore)' end when 92 then 'Review of the year'
+    when 93 then 'As at' when 94 then 'As at' when 95 then 'March 31, 2025' when 96 then 'March 31, 2024' when 97 then 'Dues of creditors other than' when 98 then 'small enterprises'
+    when 99 then price when 100 then price2 when 101 then 'Total' else concat(price, ' ', price2) end as text,
+  cast(case kind when 0 then 50 + (k % 2) * case shape when 1 then 270 when 3 then 500 else 300 end when 93 then 300 when 94 then 400 when 95 then 295 when 96 then 395 when 99 then 300 when 100 then 400 when 102 then 300 else 50 end as double) as x0,
+  cast(case kind when 0 then 100 + floor(k / 2) * 60 + case shape when 1 then (k % 2) * 13 when 2 then 120 else 0 end when 90 then 770 + (page % 3) when 91 then 20 when 92 then 200
+    when 93 then 100 when 94 then 100 when 95 then 109 when 96 then 109 when 97 then 140 when 98 then 155 when 99 then 155 when 100 then 155 else 180 end as double) as y0,
+  cast(case kind when 0 then case shape when 1 then 270 when 3 then 250 else 250 end + (k % 2) * case shape when 1 then 270 when 3 then 500 else 300 end when 90 then 250 when 91 then 150 when 92 then 540 when 93 then 340 when 94 then 440
+    when 95 then 360 when 96 then 460 when 97 then 180 when 98 then 130 when 99 then 340 when 100 then 440 when 101 then 80 else 380 end as double) as x1,
+  cast(case kind when 0 then 112 + floor(k / 2) * 60 + case shape when 1 then (k % 2) * 13 when 2 then 120 else 0 end when 90 then 780 + (page % 3) when 91 then 30 when 92 then 212
+    when 93 then 110 when 94 then 110 when 95 then 119 when 96 then 119 when 97 then 150 when 98 then 165 when 99 then 165 when 100 then 165 else 190 end as double) as y1,
+  cast(case when kind in (90, 91) then 7.0 when kind = 0 and l_quantity > 49 then 12.0 else 9.0 end as double) as size,
+  case when kind > 0 then kind when shape = 1 then k else k % 2 end as block, 800.0e0 as height, case when shape = 3 then 1000.0e0 else 600.0e0 end as width
+from drawn
 """
 
 #: Graded samples from orders: question types, splits and outcomes.

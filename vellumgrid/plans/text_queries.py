@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellumgrid.functions import fixed as X
@@ -24,7 +24,12 @@ def query(sql: str | None = None):
     return add
 
 
-DATE = r"[a-z]+ \d{1,2}, \d{4}"
+def _kind() -> Column:
+    """What a statement row is to its page, by what the page's own rows declare."""
+    text = F.col("text")
+    title = F.when(F.col("line") == 0, T.statement_title(text))
+    listed = lambda holds: F.array_compact(F.array(F.when(holds, text)))
+    return chunking.context_kind(text, title, listed(T.is_period_header(text)), F.filter(T.cells(text), T.is_unit_declaration))
 
 
 @query(f"""
@@ -35,9 +40,7 @@ union all select company, fiscal_year, page, line, 'header' from ({D.STATEMENT_S
 def context_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Title, unit and period rows of the statement pages."""
     rows = D.statement_rows(spark, sf_dir)
-    text = F.col("text")
-    kind = F.when((F.col("line") == 0) & T.statement_title(text).isNotNull(), "title").when(T.is_period_header(text), "header").when(F.exists(T.cells(text), T.is_unit_declaration), "unit")
-    return rows.select("company", "fiscal_year", "page", "line", kind.alias("kind")).where("kind is not null")
+    return rows.select("company", "fiscal_year", "page", "line", _kind().alias("kind")).where("kind is not null")
 
 
 @query(f"""
@@ -48,9 +51,7 @@ from rows
 """)
 def context_in_force(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The title, unit and period above each row."""
-    text = F.col("text")
-    kind = F.when((F.col("line") == 0) & T.statement_title(text).isNotNull(), "title").when(T.is_period_header(text), "header").when(F.exists(T.cells(text), T.is_unit_declaration), "unit")
-    rows = chunking.context_in_force(D.statement_rows(spark, sf_dir).withColumn("kind", kind))
+    rows = chunking.context_in_force(D.statement_rows(spark, sf_dir).withColumn("kind", _kind()))
     return rows.select("company", "fiscal_year", "page", "line", "title_above", "unit_above", "header_above")
 
 
@@ -68,35 +69,49 @@ def page_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statement_pages(spark, sf_dir).select("company", "fiscal_year", "page", T.heading_scope(F.col("text")).alias("scope"))
 
 
-#: The packer as recursion over a page's rows: tokens in force (t, u, h), which of them the chunk states, its body.
-#: On the derived pages every chunk ends in a table row, so nothing overlaps.
+#: The packer as recursion over a page's rows: where the chunk starts, the tokens before that, whether it holds figures.
+#: Running token sums, the last row of each kind and the rows that may be carried over come from windows and a self join.
 CHUNKS_SQL = rf"""
 with recursive raw as ({D.STATEMENT_SQL}),
-rows as (
-  select company, fiscal_year, page, row_number() over (partition by company, fiscal_year, page order by line) as n,
+kinds as (
+  select company, fiscal_year, page, text, row_number() over (partition by company, fiscal_year, page order by line) as n,
     case when line = 0 and text like '%Balance Sheet%' then 't' when text = '(₹ in crore)' then 'u' when line in (2, 20) then 'h' end as kind,
     len(regexp_extract_all(text, '\p{{L}}+|\p{{N}}|[^\s\p{{L}}\p{{N}}]')) as tok, line between 3 and 14 or line = 21 as fig from raw),
+rows as (
+  select *, sum(tok) over w as upto, {', '.join(f"max(case when kind = '{k}' then n end) over w as {k}, last_value(case when kind = '{k}' then tok end ignore nulls) over w as {k}tok, last_value(case when kind = '{k}' then text end ignore nulls) over w as {k}text" for k in 'tuh')},
+    coalesce(max(case when fig then n end) over (partition by company, fiscal_year, page order by n rows between unbounded preceding and 1 preceding), 0) as figs
+  from kinds window w as (partition by company, fiscal_year, page order by n)),
+tails as (
+  select r.company, r.fiscal_year, r.page, r.n, coalesce(min(b.n), r.n) as tail, r.upto - r.tok - coalesce(sum(b.tok), 0) as tail_before
+  from rows r left join rows b on b.company = r.company and b.fiscal_year = r.fiscal_year and b.page = r.page and b.n < r.n and b.n > r.figs and r.upto - r.tok - b.upto + b.tok <= 40 group by r.company, r.fiscal_year, r.page, r.n, r.upto, r.tok),
+ready as (select rows.*, tail, tail_before from rows join tails using (company, fiscal_year, page, n)),
 fold as (
-  select company, fiscal_year, page, n, 0 as chunk, tok as body, fig, coalesce(kind = 't', false) as st, coalesce(kind = 'u', false) as su, coalesce(kind = 'h', false) as sh,
-    case when kind = 't' then tok end as t, case when kind = 'u' then tok end as u, case when kind = 'h' then tok end as h from rows where n = 1
+  select company, fiscal_year, page, n, 0 as chunk, cast(1 as bigint) as start, cast(0 as hugeint) as before, fig from ready where n = 1
   union all
-  select company, fiscal_year, page, n, chunk + closes::int, case when closes then tok else body + tok end, case when closes then rfig else fig or rfig end,
-    (st and not closes) or kt, (su and not closes) or ku, (sh and not closes) or kh, case when kt then tok else t end, case when ku then tok else u end, case when kh then tok else h end
+  select company, fiscal_year, page, n, chunk + (hard or soft)::int, case when hard then n when soft then case when again then n else s end else start end,
+    case when hard then upto - tok when soft then case when again then upto - tok else sb end else before end, case when hard or soft then rfig else fig or rfig end
   from (
-    select f.* exclude (n), r.n, r.tok, r.fig as rfig, coalesce(r.kind = 't', false) as kt, coalesce(r.kind = 'u', false) as ku, coalesce(r.kind = 'h', false) as kh,
-      (r.kind is not null and f.fig) or f.body + r.tok + case when st or kt then 0 else coalesce(t, 0) end + case when su or ku then 0 else coalesce(u, 0) end + case when sh or kh then 0 else coalesce(h, 0) end > 120 as closes
-    from fold f join rows r on r.company = f.company and r.fiscal_year = f.fiscal_year and r.page = f.page and r.n = f.n + 1) step),
-sized as (select *, body + case when st then 0 else coalesce(t, 0) end + case when su then 0 else coalesce(u, 0) end + case when sh then 0 else coalesce(h, 0) end as tokens from fold)
-select company, fiscal_year, page, chunk, arg_max(tokens, n) as tokens from sized group by company, fiscal_year, page, chunk
+    select *, kind is not null and fig as hard, upto - before + {' + '.join(f"case when {k} < start then {k}tok else 0 end" for k in 'tuh')} > 120 as soft,
+      upto - sb + {' + '.join(f"case when {k} < s then {k}tok else 0 end" for k in 'tuh')} > 120 as again
+    from (
+      select f.company, f.fiscal_year, f.page, f.chunk, f.start, f.before, f.fig, r.fig as rfig, r.n, r.kind, r.tok, r.upto, r.t, r.u, r.h, r.ttok, r.utok, r.htok,
+        greatest(f.start, r.tail) as s, case when r.tail > f.start then r.tail_before else f.before end as sb
+      from fold f join ready r on r.company = f.company and r.fiscal_year = f.fiscal_year and r.page = f.page and r.n = f.n + 1) step) closing),
+ends as (select company, fiscal_year, page, chunk, max(n) as last, min(start) as start from fold group by company, fiscal_year, page, chunk)
+select e.company, e.fiscal_year, e.page, e.chunk, sum(b.tok) + min({' + '.join(f"case when l.{k} < e.start then l.{k}tok else 0 end" for k in 'tuh')}) as tokens,
+  concat({', '.join(f"min(case when l.{k} < e.start then l.{k}text || chr(10) else '' end)" for k in 'tuh')}, string_agg(b.text, chr(10) order by b.n)) as text
+from ends e join rows l on l.company = e.company and l.fiscal_year = e.fiscal_year and l.page = e.page and l.n = e.last
+join rows b on b.company = e.company and b.fiscal_year = e.fiscal_year and b.page = e.page and b.n between e.start and e.last
+group by e.company, e.fiscal_year, e.page, e.chunk
 """
 
 
 @query(CHUNKS_SQL)
 def chunk_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks of the statement pages with the context in force."""
+    """Chunks of the statement pages with the context in force."""
     pages = chunking.page_context(statement_pages(spark, sf_dir)).withColumn("scope", T.heading_scope(F.col("text")))
     chunks = chunking.chunk_pages(pages, target=120, overlap=40)
-    return chunks.select("company", "fiscal_year", F.col("page").cast("int").alias("page"), "chunk", F.col("tokens").cast("long").alias("tokens"))
+    return chunks.select("company", "fiscal_year", F.col("page").cast("int").alias("page"), "chunk", F.col("tokens").cast("long").alias("tokens"), "text")
 
 
 @query(r"""
@@ -150,7 +165,7 @@ body as (select company, size as body_size from sizes qualify row_number() over
 pages as (select company, count(distinct page) as n_pages from lines group by all),
 marked as (
   select lines.*, n_pages, regexp_replace(lower(text), '\\d+', '#', 'g') as signature from lines join body using (company) join pages using (company)
-  where (y1 <= height * 0.15 or y0 >= height * (1 - 0.15)) and abs(size - body_size) > 0.3 and text <> '(₹ in crore)'),
+  where (y1 <= height * 0.15 or y0 >= height * (1 - 0.15)) and abs(size - body_size) > 0.3 and not (text like '(%' or text like 'March 31, %')),
 gaps as (select *, case when y0 - lag(y0) over w > 3.0 then 1 else 0 end as new from marked window w as (partition by company, signature order by y0, page, line)),
 clustered as (select *, sum(new) over (partition by company, signature order by y0, page, line rows unbounded preceding) as cluster from gaps),
 running as (select company, signature, cluster from clustered group by company, signature, cluster, n_pages having count(distinct page) >= greatest(3, ceil(n_pages * 0.10)))
@@ -161,7 +176,7 @@ select company, page, line from clustered semi join running using (company, sign
 @query(FURNITURE_SQL)
 def page_furniture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running heads and footers by size, margin, signature and height."""
-    return layout.furniture(D.spark_rows(spark, sf_dir, D.LINES))
+    return layout.furniture(layout.repaired(D.spark_rows(spark, sf_dir, D.LINES)))
 
 
 @query(f"select company, size as body_size from (select company, size, sum(length(text)) as chars from ({D.LINES_SQL}) group by all) qualify row_number() over (partition by company order by chars desc, size) = 1")
@@ -187,22 +202,38 @@ def column_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.gap_clusters(lines, ("company", "page"), "x0", F.col("width") * X.COLUMN_GAP, ("line",)).select("company", "page", "line", "cluster")
 
 
-@query(f"select company, page, false as spread from ({D.LINES_SQL}) group by company, page")
+@query(f"""
+select company, page, max(width) > 1.2 * max(height) and count(*) filter (x0 < width / 2 - 5 and x1 > width / 2 + 5) <= 0.02 * count(*) and count(*) filter ((x0 + x1) / 2 < width / 2) between 1 and count(*) - 1 as spread
+from ({D.LINES_SQL}) group by company, page
+""")
 def page_spreads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two-page spreads (P24); the derived pages are portraits."""
+    """Two-page spreads."""
     return layout.spreads(D.spark_rows(spark, sf_dir, D.LINES))
 
 
-@query(f"""
+#: Where the lines of every shape end up: group of reading, row and cell; what is joined or split is written out.
+CLEAN_SQL = f"""
 with lines as ({D.LINES_SQL}), furniture as ({FURNITURE_SQL}),
-rows as (
-  select company, page, case line when 91 then 0 when 90 then 99 else 1 + line // 2 end as row, string_agg(text, ' | ' order by x0) as text
-  from lines anti join furniture using (company, page, line) group by all)
-select company, page, string_agg(text, chr(10) order by row) as text, 1 as columns, false as spread from rows group by company, page
-""")
+body as (select * from lines anti join furniture using (company, page, line) where line not in (95, 96, 98)),
+placed as (
+  select company, page, shape, line, x0,
+    case when line = 90 then case shape when 1 then 90 when 3 then 20 else 99 end when line = 91 then 0 when line = 92 then 50 when line in (93, 94) then 1 when line in (97, 99, 100) then 2 when line > 92 then 3
+      when shape = 1 then case when line < 4 then 1 + line // 2 + (line % 2) * 20 else 60 + line // 2 + (line % 2) * 35 end
+      when shape = 3 then 1 + line // 2 + (line % 2) * 30 else 10 + line // 2 end as row,
+    case line when 91 then '(₹ in crore)' when 93 then 'As at March 31, 2025' when 94 then 'As at March 31, 2024' when 97 then 'Dues of creditors other than small enterprises' when 102 then replace(text, ' ', ' | ') else text end as text
+  from body),
+rows as (select company, page, shape, row, string_agg(text, ' | ' order by x0) as text from placed group by all)
+select company, page, string_agg(text, chr(10) order by row) as text, case when shape = 1 then 2 else 1 end as columns, shape = 3 as spread, cast(null as varchar) as title,
+  coalesce((select string_agg(l.text, chr(10) order by l.line) from lines l semi join furniture using (company, page, line) where l.company = rows.company and l.page = rows.page), '') as furniture
+from rows group by company, page, shape
+"""
+
+
+@query(CLEAN_SQL)
 def clean_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages rebuilt from their lines: reading order, rows, cells."""
-    return layout.clean_pages(D.spark_rows(spark, sf_dir, D.LINES))
+    """Pages rebuilt from their lines: columns, bands, spreads, rows, cells."""
+    pages = layout.clean_pages(layout.repaired(D.spark_rows(spark, sf_dir, D.LINES)))
+    return pages.select("company", "page", "text", "columns", "spread", "title", F.array_join("furniture", "\n").alias("furniture"))
 
 
 @query(f"""
