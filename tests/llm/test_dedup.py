@@ -98,6 +98,30 @@ def test_near_groups_in_hard_texts(hard):
     assert found_groups(hard) == near_groups(hard_texts())
 
 
+def test_near_groups_without_broadcast(hard, monkeypatch):
+    monkeypatch.setattr("vellumgrid.llm._tables.BROADCAST_BYTES", -1)
+    monkeypatch.setattr(near_dedup, "BLOCK", 3)
+    assert found_groups(hard) == near_groups(hard_texts())
+
+
+def test_sets_of_a_hot_group_are_shipped_once(spark, monkeypatch):
+    """Near copies of one text: after the round with their leader nothing is left to compare."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    shipped = []
+    real = near_dedup._rest
+    monkeypatch.setattr(near_dedup, "_rest", lambda *a: shipped.append(real(*a)) or shipped[-1])
+    rng = random.Random(4)
+    base = prose(rng, 200).split(" ")
+    rows = []
+    for i in range(300):
+        own = list(base)
+        own[rng.randrange(len(own))] = f"edit{i}"
+        rows.append((i, " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found_groups(df) == near_groups(rows)
+    assert shipped[0].count() == 0
+
+
 @pytest.mark.parametrize(("block", "percent"), [(4, 85), (256, 80)])
 def test_near_groups_of_many_copies(spark, monkeypatch, block, percent):
     """One group of edited copies, in blocks much smaller than it, and chains whose ends are far apart."""
@@ -114,7 +138,10 @@ def test_near_groups_of_many_copies(spark, monkeypatch, block, percent):
     for i in range(12):
         rows.append((100 + (i * 7) % 12, " ".join(chain[i * 3 :] + [f"more{k}" for k in range(i * 3)])))
     rng.shuffle(rows)
-    assert found_groups(spark.createDataFrame(rows, "doc_id long, text string"), percent=percent) == near_groups(rows, percent)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found_groups(df, percent=percent) == near_groups(rows, percent)
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", 700)
+    assert found_groups(df, percent=percent) == near_groups(rows, percent)
 
 
 def test_components_of_long_chain(spark):

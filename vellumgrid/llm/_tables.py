@@ -14,18 +14,29 @@ BROADCAST_BYTES = 48 << 20
 def keep(df: DataFrame) -> DataFrame:
     """Compute a table once and cut its lineage, in the shared folder that spark.checkpoint.dir names.
 
-    Lost executors cost nothing: the files are in the shared folder. Only where no folder is set, as
-    in local tests, a temporary one is used.
+    Lost executors cost nothing: the files are in the shared folder. Without such a folder the operators
+    do not run, since a folder of one machine would not outlive it; only a session with a local master,
+    which is one machine, gets a temporary one.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if folder is None:
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="checkpoint-")
+        context.setCheckpointDir(folder)
     return df.checkpoint()
 
 
 def text_key(text: Column) -> Column:
-    """31 bits of a text's hash: with the id, the name of a row where ids repeat."""
-    return F.xxhash64(text).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
+    """64 bits of a text's hash: with the id, the name of a row where ids repeat."""
+    return F.xxhash64(text)
+
+
+def small(df: DataFrame, row_bytes: int) -> DataFrame:
+    """A kept table, sent to every executor in joins if its counted rows are within the bound; else the join shuffles."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
 def semi(big: DataFrame, small: DataFrame, keys: list[str], rows: int, row_bytes: int) -> DataFrame:

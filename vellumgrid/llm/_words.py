@@ -1,19 +1,21 @@
 """Vectorised words and word hashes over the buffers of an Arrow string column.
 
-Everything works on UTF-8 bytes in place: a byte class table marks where words start and end, and
-prefix sums of a polynomial give the 64-bit hash of any span in constant time. Spans are hashed in
-blocks, so the working memory does not depend on how long a text is.
+Everything works on UTF-8 bytes in place: a byte class table marks where words start and end. A word's
+hash absorbs it eight bytes at a time and mixes after each step, its length first; a span of words is
+hashed by halves, mixed at every joint. Neither is a sum of powers, so no family of strings (such as
+Thue-Morse words under a polynomial modulo 2**64) collides by construction.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 BLOCK = 1 << 18
 U = np.uint64
-#: Odd, so that it has an inverse modulo 2**64.
-BASE = 0x9E3779B97F4A7C15 | 1
+#: Longer words are hashed one by one: few words, many bytes.
+LONG_WORD = 256
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -26,34 +28,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=U)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-class _Powers:
-    """base**i and base**-i, lengthened when a longer block comes."""
-
-    def __init__(self, base: int):
-        self.base, self.inverse, self.n = base, pow(base, -1, 1 << 64), 0
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n > self.n:
-            self.n = max(n, BLOCK + 1)
-            self.up, self.down = powers(self.base, self.n), powers(self.inverse, self.n)
-        return self.up[:n], self.down[:n]
-
-
-_BYTES, _WORDS = _Powers(BASE), _Powers(0xD1342543DE82EF95)
-
 #: ASCII white space as the contracts have it: a word is a run of anything else.
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
-_CODES = mix(np.arange(1, 257, dtype=U)) | U(1)
-_LOWER_CODES = _CODES.copy()
-_LOWER_CODES[0x41:0x5B] = _CODES[0x61:0x7B]
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[0x41:0x5B] += 0x20
+#: The low n bytes of eight.
+_LOW = np.array([(1 << (8 * n)) - 1 for n in range(8)] + [(1 << 64) - 1], dtype=U)
 
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -90,35 +72,54 @@ def spans(data: np.ndarray, offsets: np.ndarray, kinds: np.ndarray) -> tuple[np.
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
     """64-bit hashes of byte spans; ``lower`` folds A-Z only."""
-    codes = _LOWER_CODES if lower else _CODES
-    out = np.empty(len(starts), dtype=U)
-    i = 0
-    while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + BLOCK, side="right")))
-        base, end = int(starts[i]), int(ends[j - 1])
-        up, down = _BYTES.get(end - base + 1)
-        total = np.zeros(end - base + 1, dtype=U)
-        np.cumsum(codes[data[base:end]] * up[:-1], out=total[1:])
-        s, e = starts[i:j] - base, ends[i:j] - base
-        out[i:j] = (total[e] - total[s]) * down[s]
-        i = j
-    return mix(out)
-
-
-def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
-    """Hash of every ``k`` consecutive word hashes (len(words) - k + 1 of them), by prefix sums."""
+    sizes = ends - starts
+    out = mix(sizes.astype(U) * U(0x9E3779B97F4A7C15))
+    for i in range(0, len(starts), BLOCK):
+        s, n, h = starts[i : i + BLOCK], sizes[i : i + BLOCK], out[i : i + BLOCK]
+        if not len(s):
+            continue
+        long = np.flatnonzero(n > LONG_WORD)
+        for k in long.tolist():
+            word = data[s[k] : s[k] + n[k]]
+            h[k] = xxhash.xxh3_64_intdigest((_FOLD[word] if lower else word).tobytes())
+        live = np.flatnonzero(n <= LONG_WORD) if len(long) else np.arange(len(s))
+        if not len(live):
+            continue
+        base = int(s[live[0]])
+        own = data[base : int((s + n)[live].max())]
+        own = np.concatenate((_FOLD[own] if lower else own, np.zeros(8, dtype=np.uint8)))
+        lanes = np.ndarray(shape=(len(own) - 7,), dtype="<u8", buffer=own, strides=(1,))
+        at = s - base
+        done = 0
+        while len(live):
+            left = n[live] - done
+            h[live] = mix((h[live] ^ (lanes[at[live] + done] & _LOW[np.minimum(left, 8)])) * U(0xD1342543DE82EF95))
+            done += 8
+            live = live[left > 8]
+    return out
+
+
+def gram_hashes(words: np.ndarray, k: int, seed: int = 0x9E3779B97F4A7C15) -> np.ndarray:
+    """Hash of every ``k`` consecutive word hashes (len(words) - k + 1 of them), by doubling."""
     n = len(words)
     if n < k:
         return np.empty(0, dtype=U)
     out = np.empty(n - k + 1, dtype=U)
     for i in range(0, n - k + 1, BLOCK):
-        part = words[i : i + BLOCK + k - 1]
-        up, down = _WORDS.get(len(part) + 1)
-        total = np.zeros(len(part) + 1, dtype=U)
-        np.cumsum(part * up[:-1], out=total[1:])
-        m = len(part) - k + 1
-        out[i : i + m] = (total[k:] - total[:m]) * down[:m]
-    return mix(out)
+        power = words[i : i + BLOCK + k - 1]
+        m = len(power) - k + 1
+        whole, taken, size = None, 0, 1
+        while True:
+            if k & size:
+                part = power[taken : taken + m]
+                whole = part if whole is None else mix(whole * U(seed) + part)
+                taken += size
+            if size * 2 > k:
+                break
+            power = mix(power[:-size] * U(seed) + power[size:])
+            size *= 2
+        out[i : i + m] = mix(whole + U(k)) if k == 1 else whole
+    return out
 
 
 def window_argmin(values: np.ndarray, width: int) -> np.ndarray:

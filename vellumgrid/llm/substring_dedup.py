@@ -3,19 +3,23 @@
 A window is ``window`` consecutive words. Each window is named by one short phrase inside it, the one
 with the smallest hash, so equal windows have equal phrases. The steps:
 
-1. Texts with the same words are one class; only its smallest id takes part, the others are repeats
-   of it from end to end.
-2. Phrases that occur under two or more ids are the recurring passages' phrases.
-3. Documents with such phrases are cut into shards of bounded size; each shard's phrases are compiled
-   into one Aho-Corasick automaton, through which its documents are streamed to find every occurrence.
-   (A document without any recurring phrase can hold no repeated window.) A shard holds the
-   phrases of its own documents only, so the work is proportional to the text.
-4. The windows named by the occurrences are confirmed: the hash of all their words is grouped, and a
-   word is removed if a window over it also starts in a document with a smaller id.
-
-Null texts have no words. A null id is neither earlier nor later than another, so such rows are
-returned whole. Rows that share an id are not earlier than one another; each is answered for its own
-text. Empty tables give empty results. Texts may be of any length.
+1. Texts with the same words are one class (by SHA-256); only its smallest id takes part, the others are
+   repeats of it from end to end.
+2. Phrases that occur under two or more ids are the recurring passages' phrases. They are dealt by hash
+   into shards of about ``shard_phrases``, whose number grows with them.
+3. Shard by shard, the phrases are sent to the executors (16 bytes each), compiled into one Aho-Corasick automaton in each worker,
+   and all documents are streamed through it; what it finds, and nothing else, are the phrases' occurrences.
+4. The windows named by the occurrences are confirmed: 128 bits of hash over all their words are grouped, and
+   a word is removed if a window over it also starts in a document with a smaller id.
+
+A pass over the documents costs the same for each shard, so beyond one shard the streaming grows with the
+product of text and recurring phrases; memory does not grow.
+
+Null texts have no words; an empty text has none either. A null id is neither earlier nor later than
+another, so such rows are returned whole. Rows that share an id are not earlier than one another; each is
+answered for its own text, rows that share both alike. Of equal windows that of the smallest id stays, so there are
+no ties. Empty tables give empty results. Texts may be of any length: they are hashed in blocks, a text is one row and has to
+fit into a task. Other columns, whatever their names, are dropped at once unless asked for.
 """
 
 from __future__ import annotations
@@ -30,13 +34,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellumgrid.llm._arrow import columns, slices
-from vellumgrid.llm._tables import BROADCAST_BYTES, keep, semi, text_key
+from vellumgrid.llm._tables import BROADCAST_BYTES, keep, small, text_key
 from vellumgrid.llm._words import SPACE, U, buffers, gram_hashes, span_hashes, spans, window_argmin
 
 WINDOW = 50
 #: Words of a phrase; each is two Latin-1 characters of its hash in the automata.
 PHRASE = 8
-SHARD_BYTES = 1 << 20
+SLICE_BYTES = 1 << 20
+#: Phrases of an automaton: about 50 MB in a worker.
+SHARD_PHRASES = 1 << 16
+#: Mixed into the second half of a window's 128 bits.
+SECOND = 0xA24BAED4963EE407
 
 _KINDS = (~SPACE).astype(np.uint8)
 
@@ -62,7 +70,7 @@ def _codes(words: np.ndarray) -> np.ndarray:
 
 def _phrases(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text", SHARD_BYTES):
+        for part in slices(batches, "text", SLICE_BYTES):
             data, offsets, words, first = _words(part.column(2))
             _, place, _ = _windows(words, first, window)
             place = np.unique(place)
@@ -86,34 +94,45 @@ def _phrases(window: int):
     return run
 
 
-def _locate(window: int):
-    """Stream the documents of every shard through the automaton of its phrases."""
+def compile_phrases(phrases: list[bytes]) -> ahocorasick.Automaton:
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+    for p in phrases:
+        automaton.add_word(p.decode("latin-1"))
+    automaton.make_automaton()
+    return automaton
+
+
+def occurrences(automaton: ahocorasick.Automaton, words: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Whether a phrase of the automaton starts at each word, by streaming the documents one after another."""
+    found = np.zeros(len(words) + 1, dtype=bool)
+    codes = _codes(words).tobytes()
+    for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        ends = np.fromiter((e for e, _ in automaton.iter(codes[2 * i : 2 * j].decode("latin-1"))), dtype=np.int64)
+        # A phrase ends at an odd place; matches in between are halves of words.
+        ends = ends[ends % 2 == 1]
+        found[i + (ends + 1) // 2 - PHRASE] = True
+    return found
+
+
+def _locate(window: int, shared):
+    """Stream all documents through the automaton of one shard's phrases."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text", SHARD_BYTES):
-            phrases = set(part.column(3).flatten().to_pylist())
-            automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-            for p in phrases:
-                automaton.add_word(p.decode("latin-1"))
-            automaton.make_automaton()
+        automaton = None
+        for part in slices(batches, "text", SLICE_BYTES):
+            automaton = automaton or compile_phrases(shared.value)
             _, _, words, first = _words(part.column(2))
             starts, place, before = _windows(words, first, window)
-            found = np.zeros(len(words) + 1, dtype=bool)
-            codes = _codes(words).tobytes()
-            for i, j in zip(first[:-1], first[1:], strict=True):
-                # A phrase ends at an odd place; matches in between are halves of words.
-                ends = np.fromiter((e for e, _ in automaton.iter(codes[2 * i : 2 * j].decode("latin-1"))), dtype=np.int64)
-                ends = ends[ends % 2 == 1]
-                found[i + (ends + 1) // 2 - PHRASE] = True
-            chosen = found[place]
+            chosen = occurrences(automaton, words, first)[place]
+            if not chosen.any():
+                continue
             counts = np.concatenate(([0], np.cumsum(chosen)))[before]
-            hashes = gram_hashes(words, window)[starts[chosen]] if chosen.any() else np.empty(0, U)
-            own = starts[chosen] - np.repeat(first[:-1], np.diff(counts))
+            at = starts[chosen]
+            own = pa.array(at - np.repeat(first[:-1], np.diff(counts)), pa.int32())
+            hashes = [pa.array(gram_hashes(words, window, *seed)[at].view(np.int64), pa.int64()) for seed in ((), (SECOND,))]
             offsets = pa.array(counts, pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.ListArray.from_arrays(offsets, pa.array(own, pa.int32())), pa.ListArray.from_arrays(offsets, pa.array(hashes.view(np.int64), pa.int64()))],
-                names=["id", "twin", "starts", "hashes"],
-            )
+            lists = [pa.ListArray.from_arrays(offsets, x) for x in (own, *hashes)]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *lists], names=["id", "twin", "start", "h1", "h2"])
 
     return run
 
@@ -135,39 +154,40 @@ def _merge(window: int):
 SPANS = "array<struct<start:bigint,end:bigint>>"
 
 
-def find_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", shard_phrases: int = SHARD_PHRASES) -> DataFrame:
     """id, twin (see ``text_key``) and spans: the word ranges that repeat an earlier document, one row for each text that has any."""
     if window < PHRASE:
         raise ValueError(f"a window has at least {PHRASE} words")
+    context = docs.sparkSession.sparkContext
     base = columns(docs, id=id_col, text=text_col).where("id is not null").select("id", text_key(F.col("text")).alias("twin"), "text")
     kind = dict(base.dtypes)["id"]
-    prints = keep(base.mapInArrow(_phrases(window), f"id {kind}, twin int, n_words long, words_sha binary, phrases array<binary>"))
+    prints = keep(base.mapInArrow(_phrases(window), f"id {kind}, twin long, n_words long, words_sha binary, phrases array<binary>"))
     # Copies: rows of one word sequence. Partial aggregation keeps large groups apart until the end.
     long = prints.where(F.col("n_words") >= window)
     first = long.groupBy("words_sha").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id")).where("first_id < last_id")
     # Kept, and sent everywhere if counted small; if not, the join's hot partitions can be split.
-    first = keep(first.select("words_sha", "first_id"))
-    first = F.broadcast(first) if first.count() * 64 <= BROADCAST_BYTES else first
+    first = small(keep(first.select("words_sha", "first_id")), 64)
     slim = long.select("id", "twin", "n_words", "words_sha").join(first, "words_sha")
     copies = keep(slim.where("id > first_id").select("id", "twin", F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_words").alias("end"))).alias("spans")).distinct())
     # The rows that take part: all but the copies.
-    n_copies = copies.count()
-    small = n_copies * 24 <= BROADCAST_BYTES
-    names = copies.select("id", "twin")
-    own = long.select("id", "twin", "phrases").join(F.broadcast(names) if small else names, ["id", "twin"], "left_anti")
-    each = own.select("id", "twin", F.explode("phrases").alias("phrase"))
-    recurring = each.groupBy("phrase").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("phrase")
-    # Kept first, as below: the join's hot partitions can be split.
-    carried = keep(each.join(keep(recurring), "phrase", "left_semi").groupBy("id", "twin").agg(F.collect_set("phrase").alias("phrases")))
-    texts = semi(base, carried.select("id", "twin"), ["id", "twin"], carried.count(), 24)
-    shards = texts.join(carried, ["id", "twin"]).select("id", "twin", "text", "phrases")
-    located = keep(shards.mapInArrow(_locate(window), f"id {kind}, twin int, starts array<int>, hashes array<bigint>"))
-    pairs = located.select("id", "twin", F.explode(F.arrays_zip("hashes", "starts")).alias("w")).select("id", F.col("w.hashes").alias("hash"), F.shiftleft(F.col("twin").cast("long"), 32).bitwiseOR(F.col("w.starts")).alias("at"))
-    earliest = pairs.groupBy("hash").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id")).where("first_id < last_id").select("hash", "first_id")
+    names = small(copies.select("id", "twin"), 32)
+    each = long.select("id", "twin", "phrases").join(names, ["id", "twin"], "left_anti").select("id", F.explode("phrases").alias("phrase"))
+    recurring = keep(each.groupBy("phrase").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("phrase"))
+    shards = -(-recurring.count() // shard_phrases)
+    streamed = base.join(names, ["id", "twin"], "left_anti")
+    windows = f"id {kind}, twin long, start array<int>, h1 array<bigint>, h2 array<bigint>"
+    located = docs.sparkSession.createDataFrame([], windows)
+    for shard in range(shards):
+        # Bounded by the shard's size: its phrases pass through the driver, never a document's or the whole table's.
+        own = recurring.where(F.pmod(F.xxhash64("phrase"), F.lit(shards)) == shard)
+        shared = context.broadcast([bytes(r[0]) for r in own.toLocalIterator()])
+        located = located.unionByName(keep(streamed.mapInArrow(_locate(window, shared), windows)))
+        shared.destroy()
+    pairs = located.select("id", "twin", F.explode(F.arrays_zip("start", "h1", "h2")).alias("w")).select("id", "twin", "w.start", "w.h1", "w.h2")
+    earliest = pairs.groupBy("h1", "h2").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id")).where("first_id < last_id").select("h1", "h2", "first_id")
     # Kept first: then both sides of the join are plain exchanges, whose hot partitions can be split.
-    repeats = pairs.join(keep(earliest), "hash").where("id > first_id")
-    grouped = repeats.select("id", F.shiftright("at", 32).cast("int").alias("twin"), F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("start")).groupBy("id", "twin").agg(F.collect_list("start").alias("starts"))
-    spans_found = grouped.mapInArrow(_merge(window), f"id {kind}, twin int, spans {SPANS}")
+    repeats = pairs.join(keep(earliest), ["h1", "h2"]).where("id > first_id")
+    spans_found = repeats.groupBy("id", "twin").agg(F.collect_list("start").alias("starts")).mapInArrow(_merge(window), f"id {kind}, twin long, spans {SPANS}")
     return keep(spans_found.unionByName(copies))
 
 
@@ -179,8 +199,8 @@ def remove_spans(docs: DataFrame, found: DataFrame, keep_cols: tuple[str, ...] =
     extra = {f"keep{i}": name for i, name in enumerate(keep_cols)}
     base = columns(docs, id=id_col, text=text_col, **extra).withColumn("twin", text_key(F.col("text")))
     size = found.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("spans")), F.lit(0)).alias("spans")).first()
-    small = size["rows"] * 48 + size["spans"] * 16 <= BROADCAST_BYTES
-    joined = base.join(F.broadcast(found) if small else found, ["id", "twin"], "left").select("id", "text", "spans", *extra)
+    fits = size["rows"] * 48 + size["spans"] * 16 <= BROADCAST_BYTES
+    joined = base.join(F.broadcast(found) if fits else found, ["id", "twin"], "left").select("id", "text", "spans", *extra)
     fields = {f.name: f.dataType.simpleString() for f in joined.schema}
     schema = ", ".join([f"id {fields['id']}", *(f"{x} {fields[x]}" for x in extra), "text string, kept_text string, n_words long, n_removed long"])
 
