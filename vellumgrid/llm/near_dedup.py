@@ -6,14 +6,23 @@ that agree on a band are candidates, and candidates are confirmed on their full
 
 Documents with the same set are one class, named by its smallest id. Every band bucket has a leader,
 its smallest class; all classes that ever share a bucket with a leader form that leader's group, which
-holds every candidate pair of those buckets. A group is confirmed by one sparse matrix product, in blocks
-of bounded size when it is large, and only a star for each connected part of a block leaves the task.
+holds every candidate pair of those buckets. Groups are dealt into blocks bounded in classes and in shingles, and
+confirmed in two rounds by sparse matrix products, of which only a star for each connected part leaves the task:
+
+1. every block with its leader. A group of copies of one text is one component afterwards, at one
+   shipment of each set;
+2. in groups of several blocks that are not yet one component, the classes outside the largest
+   component with each other and with it. Pairs within that component need no comparing.
+
 Components are then found by alternating large-star and small-star steps.
 
-With 25 bands of 5 values a pair at similarity 0.85 is missed with a probability of 4e-7, one at 0.9
-of 2e-10. Empty and null texts have no shingles and no links. A row with a null id is a class of none:
-its component is null and it is kept. Rows that share an id are one node. Empty tables give empty
-results. No group is ever cut short.
+With 26 bands of 5 values a pair at similarity 0.85 is missed with a probability of 3e-7, one at 0.9
+of 5e-11. Empty and null texts have no shingles and no links. A row with a null id is a class of none:
+its component is null and it is kept. Rows that share an id are one node, repeated rows are answered alike. Ties
+do not arise: the smallest id stands for its class and component. Empty tables give empty results. Whole texts are
+read, a very long one in blocks of its shingles; a set is one row and has to fit into a task. Other columns of
+``docs`` are dropped at once, whatever their names. No group is ever cut short; one whose classes are all candidates but no
+links costs the square of its size, in comparisons and, divided by the block, in shipped sets.
 """
 
 from __future__ import annotations
@@ -22,18 +31,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellumgrid.llm._arrow import columns, slices
-from vellumgrid.llm._tables import BROADCAST_BYTES, keep, semi
+from vellumgrid.llm._tables import keep, semi, small
 from vellumgrid.llm._words import SPACE, U, buffers, gram_hashes, mix, span_hashes, spans
 
 SHINGLE = 5
-PERMUTATIONS = 64
+PERMUTATIONS = 65
 BAND = 5
-#: Classes in a block of a large group; a task confirms at most two blocks.
+#: Classes and shingles in a block of a large group (about); a task confirms at most two blocks.
 BLOCK = 256
+BLOCK_SHINGLES = 1 << 19
 COLUMNS = 8192
 
 _KINDS = (~SPACE).astype(np.uint8)
@@ -169,21 +179,24 @@ def confirm(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     return out
 
 
+#: What names a task: the group, the round's kind of blocks, and the two blocks.
+TASK = ("leader", "kind", "i", "j")
+
+
 def _confirm_groups(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, ids, sets = None, [], []
 
         def links() -> pa.RecordBatch:
-            found = confirm(sets, percent) if len(sets) > 1 else []
-            pairs = [(min(ids[i], ids[j]), max(ids[i], ids[j])) for i, j in found if ids[i] != ids[j]]
+            pairs = [(min(ids[i], ids[j]), max(ids[i], ids[j])) for i, j in confirm(sets, percent) if ids[i] != ids[j]]
             return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
 
         for batch in batches:
-            for leader, i, j, own, shingles in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
-                if (leader, i, j) != key:
+            for *task, own, shingles in zip(*(batch.column(c).to_pylist() for c in range(len(TASK) + 2)), strict=True):
+                if task != key:
                     if len(sets) > 1:
                         yield links()
-                    key, ids, sets = (leader, i, j), [], []
+                    key, ids, sets = task, [], []
                 ids.append(own)
                 sets.append(np.frombuffer(shingles, dtype=U))
         if len(sets) > 1:
@@ -197,8 +210,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     def once(least: DataFrame) -> DataFrame:
         """Kept, and sent everywhere if counted small, so that a hub's edges need not meet in one task."""
-        least = keep(least)
-        return F.broadcast(least) if least.count() * 24 <= BROADCAST_BYTES else least
+        return small(keep(least), 24)
 
     def large_star(e: DataFrame) -> DataFrame:
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
@@ -222,40 +234,70 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("component"))
 
 
+def _blocks(size: str, shingles: str) -> Column:
+    return F.greatest(F.ceil(F.col(size) / BLOCK), F.ceil(F.col(shingles) / BLOCK_SHINGLES), F.lit(1)).cast("int")
+
+
+def _dealt(blocks: str) -> Column:
+    return F.pmod(F.xxhash64("rep"), F.col(blocks)).cast("int")
+
+
+def _to(blocks: str) -> Column:
+    return F.sequence(F.lit(0), F.col(blocks) - 1)
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col`` (long), n_shingles, component_id and kept of every row of ``docs``."""
     base = columns(docs, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"), "text")
     rows = keep(base.mapInArrow(_sign, "id long, n_shingles long, set_name binary, bands array<bigint>"))
     named = rows.where("id is not null and set_name is not null")
-    classes = keep(named.groupBy("set_name").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")))
-    each = classes.select("rep", F.explode("bands").alias("band"))
+    classes = keep(named.groupBy("set_name").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")))
+    each = classes.select("rep", "n", F.explode("bands").alias("band"))
     leaders = each.groupBy("band").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader < last").select("band", "leader")
     # Kept first: then both sides of the join are plain exchanges, whose hot partitions can be split.
-    members = each.join(keep(leaders), "band").select("leader", "rep").distinct()
-    members = keep(members)
-    groups = keep(members.groupBy("leader").agg(F.count("*").alias("size")))
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    tasks = (
-        members.join(groups.select("leader", blocks.alias("blocks")), "leader")
-        .select("leader", "rep", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        .select("leader", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep")
-    )
-    wanted = keep(members.select("rep").distinct())
-    sets = semi(base, wanted.select(F.col("rep").alias("id")), ["id"], wanted.count(), 16).mapInArrow(_ship, "id long, shingles binary")
-    sets = sets.where(F.length("shingles") > 0)
-    filled = tasks.join(sets, tasks["rep"] == sets["id"]).select("leader", "i", "j", "rep", "shingles")
-    links = filled.repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j").mapInArrow(_confirm_groups(percent), "a long, b long")
+    members = keep(each.join(keep(leaders), "band").select("leader", "rep", "n").distinct())
+    groups = keep(members.groupBy("leader").agg(F.count("*").alias("size"), F.sum("n").alias("shingles")))
+    dealt = members.join(groups.select("leader", _blocks("size", "shingles").alias("blocks")), "leader")
+
+    def links_of(tasks: DataFrame) -> DataFrame:
+        """Links within each task (``TASK``, rep), confirmed on the sets of the classes concerned."""
+        wanted = keep(tasks.select("rep").distinct())
+        sets = semi(base, wanted.select(F.col("rep").alias("id")), ["id"], wanted.count(), 16).mapInArrow(_ship, "id long, shingles binary").where(F.length("shingles") > 0)
+        filled = tasks.join(sets, tasks["rep"] == sets["id"]).select(*TASK, "rep", "shingles")
+        return filled.repartition(*TASK).sortWithinPartitions(*TASK).mapInArrow(_confirm_groups(percent), "a long, b long")
+
+    at = F.when(F.col("rep") == F.col("leader"), _to("blocks")).otherwise(F.array(_dealt("blocks")))
+    first = keep(links_of(dealt.select("leader", F.lit(0).alias("kind"), F.explode(at).alias("i"), F.lit(0).alias("j"), "rep")))
     # Rows that share an id but not a set are one node all the same.
     own_class = keep(rows.select("id", "n_shingles", "set_name").join(classes.select("set_name", "rep"), "set_name", "left").select("id", "n_shingles", "rep"))
     shared = own_class.where("id is not null and rep is not null").groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z")
     same = own_class.join(shared, "id").where("rep > a").select("a", F.col("rep").alias("b"))
-    found = keep(components(links.unionByName(same)))
-    if found.count() * 24 <= BROADCAST_BYTES:
-        found = F.broadcast(found)
-    return own_class.join(found, F.col("rep") == F.col("node"), "left").select(
+    found = keep(components(first.unionByName(same)))
+    rest = _rest(dealt.where("blocks > 1"), found)
+    if not rest.isEmpty():
+        found = keep(components(found.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(links_of(rest))))
+    return own_class.join(small(found, 24), F.col("rep") == F.col("node"), "left").select(
         F.col("id").alias(id_col),
         "n_shingles",
         F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id")).alias("component_id"),
         F.coalesce(F.col("id") == F.coalesce("component", "rep", "id"), F.lit(True)).alias("kept"),
     )
+
+
+def _rest(dealt: DataFrame, found: DataFrame) -> DataFrame:
+    """The second round's tasks (``TASK``, rep) for groups of several blocks (leader, rep, n): every class outside a group's
+    largest component with each other (kind 1) and with that component (kind 2)."""
+    known = dealt.select("leader", "rep", "n").join(small(found, 24), F.col("rep") == F.col("node"), "left").select("leader", "rep", "n", F.coalesce("component", "rep").alias("part"))
+    known = keep(known)
+    parts = known.groupBy("leader", "part").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    facts = parts.groupBy("leader").agg(F.max(F.struct("c", "s", "part")).alias("main"), F.sum("c").alias("all_c"), F.sum("s").alias("all_s")).where("all_c > main.c")
+    facts = facts.select("leader", "main.part", F.col("main.c").alias("c"), F.col("main.s").alias("s"), (F.col("all_c") - F.col("main.c")).alias("rest_c"), (F.col("all_s") - F.col("main.s")).alias("rest_s"))
+    facts = keep(facts.select("leader", F.col("part").alias("main"), _blocks("c", "s").alias("mains"), _blocks("rest_c", "rest_s").alias("rests")))
+    open_ = known.join(facts, "leader")
+    inside, outside = open_.where("part = main"), open_.where("part <> main")
+    among = outside.select("leader", F.lit(1).alias("kind"), "rep", _dealt("rests").alias("own"), F.explode(_to("rests")).alias("other"))
+    return keep(
+        among.select("leader", "kind", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep")
+        .unionByName(outside.select("leader", F.lit(2).alias("kind"), _dealt("rests").alias("i"), F.explode(_to("mains")).alias("j"), "rep"))
+        .unionByName(inside.select("leader", F.lit(2).alias("kind"), F.explode(_to("rests")).alias("i"), _dealt("mains").alias("j"), "rep"))
+    )
