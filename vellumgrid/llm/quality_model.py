@@ -5,10 +5,15 @@ and runs of symbols; A-Z is folded. Features are the hashes of single runs and o
 pair of equal runs is one feature of its own, whatever the run is. A document's vector holds each
 feature's share of its runs, so that a score is a sparse dot product of bounded size.
 
-Learning uses at most about ``sample`` labelled rows, drawn by a hash of the text; they are learnt one
-after another in the order of that hash, so that the same table gives the same model. Scoring covers
-every row. Rows with a null label do not teach; of several labels of one id the smallest counts. Null,
-empty and blank texts get the score of the bias alone; without any labelled row every score is 0.5.
+Learning uses at most ``sample`` distinct labelled texts, those with the smallest hashes; they are learnt one
+after another in the order of that hash, so that the same table gives the same model. Neither ids nor other columns
+enter the draw, the order or a score. Scoring covers every row and every whole text.
+
+Rows with a null label do not teach; of several labels of one id, or of one text, the smallest counts, so there are no
+ties, and repeated rows teach once. Null, empty and blank texts get the score of the bias alone; without any labelled
+row every score is 0.5. An empty table gives an empty one. A text may be of any length: its vector is bounded by the
+number of features and its words are hashed in blocks. Other columns, whatever their names, are dropped at once
+unless asked for.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ from vellumgrid.llm._arrow import column, columns, slices
 from vellumgrid.llm._words import U, buffers, mix, span_hashes, spans
 
 BITS = 18
-#: Rows learnt from, at most (about: rows are drawn by hash).
+#: Distinct texts learnt from, at most.
 SAMPLE = 8000
 #: Shares are multiplied by this before the dot product.
 SCALE = 8.0
@@ -85,13 +90,10 @@ def fit(docs: DataFrame, labels: DataFrame, teaches: Column, label: str = "quali
     """Weights learnt from those labelled documents for which ``teaches`` (over the label table) holds."""
     known = labels.where(teaches).select(column(labels, id_col).alias("id"), column(labels, label).cast("int").alias("label")).where("label is not null and id is not null")
     known = known.groupBy("id").agg(F.min("label").alias("label"))
-    total = known.count()
-    if not total:
-        return None
+    texts = columns(docs, id=id_col, text=text_col).withColumn("turn", F.xxhash64("text"))
     # The drawn rows are bounded by the parameter, not by the table, so they can be sent everywhere.
-    share = min(1.0, 0.95 * sample / total)
-    drawn = known.where(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 20)) < int(share * (1 << 20)))
-    rows = columns(docs, id=id_col, text=text_col).join(F.broadcast(drawn), "id").select("label", F.xxhash64("text", "id").alias("turn"), "text")
+    drawn = texts.select("id", "turn").join(known, "id").groupBy("turn").agg(F.min("label").alias("label")).orderBy("turn").limit(sample)
+    rows = texts.select("turn", "text").join(F.broadcast(drawn), "turn").groupBy("turn", "label").agg(F.max("text").alias("text")).select("label", "turn", "text")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", 1 << 20):
