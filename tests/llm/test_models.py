@@ -109,3 +109,123 @@ def test_documents_in_one_batch_do_not_touch():
         words = np.flatnonzero(doc == i)
         ends = np.append(first, len(place))
         assert np.array_equal(np.concatenate([place[first[w] : ends[w + 1]] for w in words]) if len(words) else np.empty(0), own)
+
+
+def test_learning_is_the_plain_loop():
+    """The vectorised learner against follow-the-regularised-leader written out feature by feature."""
+    rng = np.random.default_rng(1)
+    s = quality_model.Settings(epochs=2)
+    rows = []
+    for _ in range(40):
+        at = np.unique(rng.integers(0, 30, 8)).astype(np.int32)
+        rows.append((int(rng.integers(0, 2)), np.append(at, 1 << quality_model.BITS).astype(np.int32), np.append(rng.random(len(at)), 1.0).astype(np.float32)))
+    z, n = Counter(), Counter()
+
+    def weight(f):
+        return 0.0 if abs(z[f]) <= s.l1 else -(z[f] - np.sign(z[f]) * s.l1) / ((s.beta + n[f] ** 0.5) / s.alpha + s.l2)
+
+    for _ in range(s.epochs):
+        for y, at, x in rows:
+            w = {f: weight(f) for f in at.tolist()}
+            p = 1 / (1 + np.exp(-sum(w[f] * v for f, v in zip(at.tolist(), x.tolist(), strict=True))))
+            for f, v in zip(at.tolist(), x.tolist(), strict=True):
+                g = (p - y) * v
+                z[f] += g - ((n[f] + g * g) ** 0.5 - n[f] ** 0.5) / s.alpha * w[f]
+                n[f] += g * g
+    got = quality_model.learn(rows, s)
+    assert np.allclose(got[list(n)], [weight(f) for f in n], atol=1e-5) and not np.delete(got, list(n)).any()
+
+
+def test_quality_does_not_know_ids(spark):
+    """Other ids, repeated rows and contradicting labels of one text change no score."""
+    good, bad = quality_rows()
+    labels = [(i, int(i < 500)) for i, _ in good + bad]
+    a = quality_model.fit(spark.createDataFrame(good + bad, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int"), F.lit(True))
+    moved = [(9000 - i, t) for i, t in good + bad]
+    again = moved + [(20000 + i, t) for i, t in moved]
+    b_labels = [(9000 - i, y) for i, y in labels] + [(29000 - i, 1) for i, _ in labels]
+    b = quality_model.fit(spark.createDataFrame(again, "doc_id long, text string"), spark.createDataFrame(b_labels, "doc_id long, quality int"), F.lit(True))
+    assert np.array_equal(a, b)
+
+
+def test_queries_hold_out_and_decide_as_they_say(spark):
+    import zlib
+
+    from vellumgrid.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    crc = lambda i: zlib.crc32(str(i).encode())
+    rows = queries.op4_quality(spark, sf).collect()
+    assert rows and all(r["held_out"] == (crc(r["doc_id"]) % 4 == 2) and r["predicted"] == int(r["score"] >= 0.7) for r in rows)
+    rows = queries.op5_language(spark, sf).collect()
+    assert rows and all(r["held_out"] == (crc(r["doc_id"]) % 3 == 1) and 0 <= r["score"] <= 1 for r in rows)
+
+
+def plain_mixture(likely, penalty=0.5):
+    """Proportions of one document's chosen languages, by loops over its words."""
+    n = len(likely[0])
+
+    def fit(w):
+        while True:
+            new, value = [0.0] * n, 0.0
+            for row in likely:
+                top = max(row)
+                p = [w[k] * np.exp(row[k] - top) for k in range(n)]
+                value += np.log(sum(p)) + top
+                for k in range(n):
+                    new[k] += p[k] / sum(p) / len(likely)
+            if max(abs(a - b) for a, b in zip(w, new, strict=True)) < 1e-7:
+                return new, value
+            w = new
+
+    full, _ = fit([1 / n] * n)
+    order = sorted(range(n), key=lambda k: -full[k])
+    best = None
+    for k in range(1, n + 1):
+        start = [max(full[x], 1e-6) if x in order[:k] else 0.0 for x in range(n)]
+        w, value = fit([x / sum(start) for x in start])
+        value -= penalty * k * np.log(len(likely) + 1)
+        if best is None or value > best[0]:
+            best = value, w
+    return best[1]
+
+
+def test_mixtures_are_those_of_the_plain_loops():
+    rng = np.random.default_rng(12)
+    docs = []
+    for _ in range(40):
+        langs = rng.choice(4, size=rng.integers(1, 4), replace=False)
+        likely = rng.normal(-30, 1.5, (rng.integers(5, 80), 4))
+        likely[np.arange(len(likely)), rng.choice(langs, len(likely))] += rng.gamma(4, 1.5, len(likely))
+        docs.append(likely.astype(np.float32))
+    got = language_mix.infer(np.concatenate(docs), np.repeat(np.arange(40), [len(d) for d in docs]), 40)
+    for d, share in zip(docs, got, strict=True):
+        expected = plain_mixture(d.astype(float).tolist())
+        assert int(share.argmax()) == int(np.argmax(expected))
+        assert np.abs(share - expected).max() < 0.03 and ((share > 0) == (np.array(expected) > 1e-9)).all()
+    # Counted words are as good as repeated ones, and a document is the same in any company.
+    for d in docs[:5]:
+        twice = language_mix.infer(np.concatenate([d, d]), np.zeros(2 * len(d), int), 1)
+        assert np.allclose(twice, language_mix.infer(d, np.zeros(len(d), int), 1, times=np.full(len(d), 2)), atol=1e-4)
+
+
+def test_very_long_texts_in_blocks(spark, monkeypatch):
+    rng = random.Random(13)
+    rows = [(i, in_language(rng, lang, 40), lang) for i, lang in enumerate(sorted(LANGS) * 20)]
+    model = language_mix.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    text = in_language(rng, "xx", 3000) + " " + in_language(rng, "yy", 1000)
+    whole = language_mix.infer(np.add.reduceat(model.tables[language_mix.grams([text])[0]], language_mix.grams([text])[1], axis=0), np.zeros(4000, int), 1)
+    monkeypatch.setattr(language_mix, "BLOCK", 1000)
+    assert len(list(language_mix.pieces([text, "short", "x" * 5000]))) > 20 and "".join(p[0] for p in language_mix.pieces([text])) == text
+    likely, times = language_mix.words_of(text, model.tables)
+    assert times.sum() == 4000 and len(likely) < 4000
+    assert np.allclose(language_mix.infer(likely, np.zeros(len(likely), int), 1, times=times), whole, atol=2e-3)
+
+
+def test_multi_megabyte_text(spark):
+    rng = random.Random(14)
+    rows = [(i, in_language(rng, lang, 40), lang) for i, lang in enumerate(sorted(LANGS) * 20)]
+    model = language_mix.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    long = spark.createDataFrame([(1, (in_language(rng, "yy", 2000) + "\n") * 300)], "doc_id long, text string")
+    assert language_mix.identify(long, model).first()["lang_pred"] == "yy"
+    assert 0 <= quality_model.score(long, np.zeros((1 << quality_model.BITS) + 1, np.float32)).first()["score"] <= 1

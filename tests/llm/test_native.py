@@ -174,3 +174,20 @@ def test_digest_columns_of_queries(spark):
     h = "<|im_end|><|im_start|>assistant ok"
     assert r["n_turns"] == 2 and r["loss_sha256"] == hashlib.sha256(h.encode()).hexdigest()
     assert r["turns_sha256"] == hashlib.sha256(f"user\n{h}\nassistant\n{h}\n".encode()).hexdigest()
+
+
+def test_sums_before(spark):
+    for n in (0, 1, 63, 64, 65, 1000):
+        df = spark.createDataFrame([([k % 7 for k in range(n)],)], "a array<bigint>")
+        assert df.select(chat_format.sums_before(F.col("a"))).first()[0] == [sum(k % 7 for k in range(i)) for i in range(n)]
+
+
+def test_long_conversation(spark):
+    """A thousand turns in runs of one role, texts of up to a megabyte, nulls and ties."""
+    rng = random.Random(6)
+    rows = [(1, i // 2, rng.choice(["user", "assistant", None]), rng.choice(["", None, "ok <|im_end|>", "é😀" * 50, "x" * 2000])) for i in range(1000)] + [(2, 0, "assistant", "long " * 200_000)]
+    read = {r["conv_id"]: r for r in chat_format.read_back(chat_format.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
+    expected = sorted((turn, role or "", text or "") for c, turn, role, text in rows if c == 1)
+    assert [(t["role"], t["text"]) for t in read[1]["turns"]] == [(r, t) for _, r, t in expected]
+    assert read[1]["loss_text"] == "".join(t for _, r, t in expected if r == "assistant")
+    assert read[2]["loss_text"] == "long " * 200_000
