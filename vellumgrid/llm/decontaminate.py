@@ -2,14 +2,19 @@
 
 Texts are words: A-Z folded, then runs of ASCII letters, digits and non-ASCII characters. Of every
 window of ``WINDOW`` words the smallest hash of its ``GRAM``-word grams is kept; equal windows keep
-equal hashes, so a join of the documents' fingerprints with the benchmark's misses no shared window.
-Hits are then extended to the whole window, compared as words, and every document word inside an
-occurrence is counted. Benchmark items shorter than a window are one window of their own length; for
-each such length that occurs, documents are fingerprinted by the grams of that length.
+equal hashes, so a join of the documents' fingerprints with the benchmark's misses no shared window. Neighbouring windows
+that keep the same hash are one fingerprint with an extent. Those that the join finds are extended to their
+windows, compared as words, and every document word inside an occurrence is counted. Benchmark items shorter than a window are
+one window of their own length; for each such length that occurs, the same projection also takes the grams of that length.
 
-A null text has no words; an item without words has no window; an item with a null id marks words
+A benchmark that is counted small is sent to the executors, and documents are read once; else its fingerprints are shuffled,
+and the documents that they meet are read again. Either way no row that leaves a task holds more than one window.
+
+A null text has no words, nor has an empty one; an item without words has no window; an item with a null id marks words
 but is not named. Rows that share id and text are answered alike, each on its own row. Null document
-ids are kept. Empty tables give empty results, an empty benchmark clean ones.
+ids are kept. Equal windows of several items name all of these, so there are no ties. Empty tables give empty results, an
+empty benchmark clean ones. Texts may be of any length: the work is in proportion to it. Other columns, whatever their
+names, are dropped; ``drop_contaminated`` keeps them all.
 """
 
 from __future__ import annotations
@@ -20,7 +25,10 @@ from pyspark.sql import functions as F
 from vellumgrid.llm._arrow import column, columns
 from vellumgrid.llm._tables import BROADCAST_BYTES, keep
 
-WINDOW, GRAM = 10, 5
+WINDOW, GRAM = 10, 8
+#: Windows of a chunk: texts are cut into chunks (which overlap by a window less a word), so that what travels with a
+#: fingerprint does not grow with the text.
+CHUNK = 512
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -32,82 +40,100 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(folded, "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"), "")
 
 
-def _each(n: Column, size: int, make) -> Column:
-    """``make(start)`` for the start, from 1, of every run of ``size`` words."""
-    return F.when(n >= size, F.transform(F.sequence(F.lit(1), n - (size - 1)), make)).otherwise(F.array().cast("array<bigint>"))
+MARK = "struct<size:int,at:int,n:int,print:bigint>"
+
+
+def _sliding(array: str, size: int, make, kind: str = "bigint") -> Column:
+    """``make(values)`` for every ``size`` consecutive values of an array."""
+    n = F.size(array)
+    own = F.transform(F.sequence(F.lit(0), n - size), lambda i: make([F.get(array, i + k) for k in range(size)]))
+    return F.when(n >= size, own).otherwise(F.array().cast(f"array<{kind}>"))
 
 
-def _prints(frame: DataFrame, size: int) -> DataFrame:
-    """Adds ``prints``: the fingerprint of every window of ``size`` words.
+def _marks(frame: DataFrame, sizes: list[int]) -> DataFrame:
+    """Adds ``marks``: the fingerprints (size, at, n, print) of the windows of each size, of n windows from ``at`` on.
 
-    They are to be exploded with the outer forms only: for the others the optimiser adds a filter on
-    the array's size, for which it computes the array once more, and badly.
+    Every array is named more than once, so that the optimiser leaves it a column of its own: put into a lambda it
+    would be computed for every window. Marks are to be exploded with the outer forms only: for the others the optimiser
+    adds a filter on the array's size, for which it computes the array once more, and badly.
     """
-    n = F.size("words")
-    if size < WINDOW:
-        return frame.withColumn("prints", _each(n, size, lambda i: F.xxhash64(F.slice("words", i, size))))
-    # The grams are named several times, so that the optimiser leaves them a column of their own: put into
-    # the lambda, they would be computed for every window, and a lambda within a lambda costs the compiler dearly.
-    grams = frame.withColumn("grams", _each(n, GRAM, lambda i: F.xxhash64(F.slice("words", i, GRAM))))
-    return grams.withColumn("prints", _each(F.size("grams"), size - GRAM + 1, lambda i: F.array_min(F.slice("grams", i, size - GRAM + 1)))).drop("grams")
+    out = frame.withColumn("_words", F.transform("words", lambda w: F.xxhash64(w)))
+    marks = []
+    for size in sizes:
+        if size < WINDOW:
+            out = out.withColumn(f"_least{size}", _sliding("_words", size, lambda v: F.xxhash64(*v)))
+        else:
+            out = out.withColumn("_grams", _sliding("_words", GRAM, lambda v: F.xxhash64(*v)))
+            out = out.withColumn(f"_least{size}", _sliding("_grams", WINDOW - GRAM + 1, lambda v: F.least(*v)))
+        kept, begins = f"_least{size}", f"_begins{size}"
+        places = F.filter(F.sequence(F.lit(0), F.size(kept) - 1), lambda i: (i == 0) | (F.get(kept, i) != F.get(kept, i - 1)))
+        out = out.withColumn(begins, F.when(F.size(kept) > 0, places).otherwise(F.array().cast("array<int>")))
+        marks.append(_marked(size, kept, begins))
+    return out.select(*frame.columns, F.concat(*marks).alias("marks"))
 
 
-def _text_of(at: Column, size: int) -> Column:
-    return F.array_join(F.slice("words", at, size), " ")
+def _marked(size: int, kept: str, begins: str) -> Column:
+    def mark(at: Column, k: Column) -> Column:
+        n = F.coalesce(F.get(begins, k + 1), F.size(kept)) - at
+        return F.struct(F.lit(size).alias("size"), at.alias("at"), n.alias("n"), F.get(kept, at).alias("print"))
 
+    return F.transform(begins, mark).cast(f"array<{MARK}>")
 
-def item_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """item, size, print and window (its words joined by spaces) of every window of every item."""
-    items = columns(benchmark, item=id_col, text=text_col).select("item", words(F.col("text")).alias("words")).where(F.size("words") > 0)
-    # At most WINDOW sizes; each that occurs gets a plan of its own.
-    sizes = sorted({WINDOW} | {r[0] for r in items.select(F.least(F.size("words"), F.lit(WINDOW))).distinct().collect()})
-    out = None
-    for size in sizes:
-        fits = F.size("words") == size if size < WINDOW else F.size("words") >= size
-        own = _prints(items.where(fits), size).select("item", "words", F.posexplode_outer("prints").alias("at", "print"))
-        own = own.where("print is not null").select("item", F.lit(size).alias("size"), "print", _text_of(F.col("at") + 1, size).alias("window"))
-        out = own if out is None else out.unionByName(own)
-    return keep(out.distinct())
 
+def _chunks(frame: DataFrame) -> DataFrame:
+    """A row for each chunk, with its place ``k``; a text without words has one."""
+    last = F.greatest(F.ceil(F.size("words") / CHUNK).cast("int") - 1, F.lit(0))
+    each = F.transform(F.sequence(F.lit(0), last), lambda k: F.slice("words", k * CHUNK + 1, F.lit(CHUNK + WINDOW - 1)))
+    return frame.select(*[c for c in frame.columns if c != "words"], F.posexplode_outer(each).alias("k", "words"))
 
-def _hits(docs: DataFrame, windows: DataFrame, size: int, small: bool) -> DataFrame:
-    """id, key, n_words, at, size and item of every occurrence of the windows of one size.
 
-    With a small benchmark one more row for each document, its ``at`` null, carries n_words.
-    """
-    own = windows.where(F.col("size") == size)
-    prints = own.select("print").distinct()
-    texts = own.select(F.col("print").alias("own_print"), "window", "item")
-    if small:
-        marked = _prints(docs, size).withColumn("prints", F.concat(F.array(F.lit(None).cast("bigint")), "prints"))
-        each = marked.select("id", "key", "n_words", "words", F.posexplode_outer("prints").alias("at", "print"))
-        met = each.join(F.broadcast(prints.withColumn("met", F.lit(True))), "print", "left").where("met or at = 0")
-        spelt = met.select("id", "key", "n_words", "at", "print", F.when(F.col("at") > 0, _text_of(F.col("at"), size)).alias("window"))
-        full = spelt.join(F.broadcast(texts), (F.col("print") == F.col("own_print")) & (spelt["window"] == texts["window"]), "left")
-        return full.where("item is not null or own_print is not null or at = 0").select("id", "key", "n_words", F.when(F.col("at") > 0, F.col("at")).alias("at"), F.lit(size).alias("size"), "item")
-    distinct = _prints(docs, size).select("id", "key", F.explode_outer(F.array_distinct("prints")).alias("print")).where("print is not null")
-    some = keep(distinct.join(prints, "print", "left_semi").select("id", "key").distinct())
-    some = some.select(F.col("id").alias("some_id"), F.col("key").alias("some_key"))
-    hit = (F.col("key") == F.col("some_key")) & F.col("id").eqNullSafe(F.col("some_id"))
-    each = _prints(docs.join(some, hit, "left_semi"), size).select("id", "key", "n_words", "words", F.posexplode_outer("prints").alias("at", "print")).where("print is not null")
-    spelt = each.select("id", "key", "n_words", (F.col("at") + 1).alias("at"), "print", _text_of(F.col("at") + 1, size).alias("window"))
-    return spelt.join(texts, (F.col("print") == F.col("own_print")) & (spelt["window"] == texts["window"])).select("id", "key", "n_words", "at", F.lit(size).alias("size"), "item")
+def _windows(words: str, mark: Column) -> Column:
+    """(at, window) of the windows that a fingerprint stands for, ``at`` from 1."""
+    each = F.sequence(mark["at"] + 1, mark["at"] + mark["n"])
+    return F.transform(each, lambda at: F.struct(at.alias("at"), F.array_join(F.slice(words, at, mark["size"]), " ").alias("window")))
+
+
+def item_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> tuple[DataFrame, list[int]]:
+    """item, size, print and window (its words joined by spaces) of every window of every item, kept, and the sizes that occur."""
+    items = columns(benchmark, item=id_col, text=text_col).select("item", words(F.col("text")).alias("words")).where(F.size("words") > 0)
+    items = items.withColumn("own", F.least(F.size("words"), F.lit(WINDOW)))
+    # At most WINDOW numbers.
+    sizes = sorted({WINDOW} | {r[0] for r in items.select("own").distinct().collect()})
+    each = _marks(_chunks(items), sizes).select("item", "words", "own", F.explode_outer("marks").alias("m")).where("m.size = own")
+    spelt = each.select("item", F.col("m.size").alias("size"), F.col("m.print").alias("print"), F.explode_outer(_windows("words", F.col("m"))).alias("w"))
+    return keep(spelt.select("item", "size", "print", F.col("w.window").alias("window")).distinct()), sizes
+
+
+def _hits(docs: DataFrame, windows: DataFrame, sizes: list[int], broadcast_bytes: int) -> DataFrame:
+    """id, key, n_words, at, size and item of every occurrence, and a row for each document whose ``at`` is null."""
+    prints = windows.select(F.col("size").alias("own_size"), F.col("print").alias("own_print")).distinct()
+    texts = windows.select(F.col("size").alias("item_size"), F.col("window").alias("item_window"), "item")
+    bytes_ = windows.agg(F.coalesce(F.count("*") * 40 + F.sum(F.length("window")), F.lit(0))).first()[0]
+    chunks = _chunks(docs)
+    # The first chunk of a text begins with a mark of nothing, which stands for the text.
+    nothing = F.when(F.col("k") == 0, F.array(F.lit(None).cast(MARK))).otherwise(F.array().cast(f"array<{MARK}>"))
+    met = (F.col("m.print") == F.col("own_print")) & (F.col("m.size") == F.col("own_size"))
+    if bytes_ <= broadcast_bytes:
+        marked = _marks(chunks, sizes).select("id", "key", "n_words", "k", "words", F.explode_outer(F.concat(nothing, "marks")).alias("m"))
+        some = marked.join(F.broadcast(prints), met, "left").where("own_print is not null or (m is null and k = 0)")
+        texts = F.broadcast(texts)
+    else:
+        slim = _marks(chunks, sizes).select("id", "key", "k", F.explode_outer("marks").alias("m")).join(prints, met).select(F.col("id").alias("own_id"), F.col("key").alias("own_key"), F.col("k").alias("own_k"), "m")
+        found = keep(slim.groupBy("own_id", "own_key", "own_k").agg(F.collect_set("m").alias("marks")))
+        hit = (F.col("key") == F.col("own_key")) & (F.col("k") == F.col("own_k")) & F.col("id").eqNullSafe(F.col("own_id"))
+        given = F.coalesce("marks", F.array().cast(f"array<{MARK}>"))
+        some = chunks.join(found, hit, "left").select("id", "key", "n_words", "k", "words", F.explode_outer(F.concat(nothing, given)).alias("m")).where("m is not null or k = 0")
+    spelt = some.select("id", "key", "n_words", "k", F.col("m.size").alias("size"), F.explode_outer(F.when(F.col("m").isNotNull(), _windows("words", F.col("m")))).alias("w"))
+    same = (F.col("size") == F.col("item_size")) & (F.col("w.window") == F.col("item_window"))
+    found = spelt.join(texts, same, "left").where("item_window is not null or w is null")
+    return found.select("id", "key", "n_words", (F.col("w.at") + F.col("k") * CHUNK).alias("at"), "size", "item")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``id_col``, key (hash of the text), n_words, n_hit, items (sorted names) and spans (at, size) of every row."""
     base = columns(docs, id=id_col, text=text_col).select("id", F.xxhash64("text").alias("key"), words(F.col("text")).alias("words")).withColumn("n_words", F.size("words").cast("long"))
-    windows = item_windows(benchmark, item_id_col, item_text_col)
-    sizes = {r["size"]: r["n"] for r in windows.groupBy("size").agg((F.count("*") * 40 + F.sum(F.length("window"))).alias("n")).collect()}
-    small = sum(sizes.values()) <= broadcast_bytes
-    found = None
-    for size in sorted({WINDOW} | set(sizes)):
-        own = _hits(base, windows, size, small)
-        # One row for each document is enough to count rows and words.
-        own = own if not small or size == WINDOW else own.where("at is not null")
-        found = own if found is None else found.unionByName(own)
-    if not small:
-        found = found.unionByName(base.select("id", "key", "n_words", F.lit(None).cast("int").alias("at"), F.lit(WINDOW).alias("size"), F.lit(None).cast(dict(windows.dtypes)["item"]).alias("item")))
+    windows, sizes = item_windows(benchmark, item_id_col, item_text_col)
+    found = _hits(base, windows, sizes, broadcast_bytes)
     per_text = found.groupBy("id", "key").agg(
         F.max("n_words").alias("n_words"),
         F.count(F.when(F.col("at").isNull(), 1)).alias("rows"),
