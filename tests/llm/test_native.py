@@ -191,3 +191,24 @@ def test_long_conversation(spark):
     assert [(t["role"], t["text"]) for t in read[1]["turns"]] == [(r, t) for _, r, t in expected]
     assert read[1]["loss_text"] == "".join(t for _, r, t in expected if r == "assistant")
     assert read[2]["loss_text"] == "long " * 200_000
+
+
+@pytest.mark.parametrize("broadcast_bytes", [1 << 20, -1])
+def test_contamination_across_chunks(spark, monkeypatch, broadcast_bytes):
+    """Texts of many chunks, items of every length from 1 word, and passages that lie across the cuts."""
+    monkeypatch.setattr(decontaminate, "CHUNK", 16)
+    rng = random.Random(21)
+    items = [(f"i{n}-{k}", prose(rng, n)) for n in (*range(1, 13), 25, 60) for k in range(2)]
+    rows = [(i, " ".join([prose(rng, rng.randint(0, 40)), rng.choice(items)[1], prose(rng, rng.randint(0, 40)), rng.choice(items)[1]])) for i in range(60)] + [(100, None), (101, "")]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string")
+    got = Counter((r["doc_id"], r["n_words"], r["n_hit"], ",".join(r["items"])) for r in decontaminate.contamination(docs, bench, broadcast_bytes=broadcast_bytes).collect())
+    assert got == contaminated(rows, items)
+
+
+def test_contamination_of_a_very_long_text(spark):
+    rng = random.Random(22)
+    item = prose(rng, 40)
+    text = (prose(rng, 2000) + " ") * 100 + item + " the end"
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    r = decontaminate.contamination(docs, spark.createDataFrame([("a", item)], "item_id string, text string")).first()
+    assert r["items"] == ["a"] and r["n_hit"] >= len(BENCH_WORD.findall(item.translate(FOLD)))
