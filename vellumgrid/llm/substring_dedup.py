@@ -5,10 +5,11 @@ with the smallest hash, so equal windows have equal phrases. The steps:
 
 1. Texts with the same words are one class (by SHA-256); only its smallest id takes part, the others are
    repeats of it from end to end.
-2. Phrases that occur under two or more ids are the recurring passages' phrases. They are dealt by hash
-   into shards of about ``shard_phrases``, whose number grows with them.
-3. Shard by shard, the phrases are sent to the executors (16 bytes each), compiled into one Aho-Corasick automaton in each worker,
-   and all documents are streamed through it; what it finds, and nothing else, are the phrases' occurrences.
+2. Phrases that recur together with half a window's other words on one side, under two or more ids, are those of the recurring
+   passages (of every repeated window at least that much is the same). They are dealt by hash into shards of about
+   ``shard_phrases``, whose number grows with them.
+3. Shard by shard, the phrases are sent to the executors (8 bytes each) and compiled into one Aho-Corasick automaton in each
+   worker, and all documents are streamed through it, a character a word; what it finds, and nothing else, are the phrases' occurrences.
 4. The windows named by the occurrences are confirmed: 128 bits of hash over all their words are grouped, and
    a word is removed if a window over it also starts in a document with a smaller id.
 
@@ -38,11 +39,11 @@ from vellumgrid.llm._tables import BROADCAST_BYTES, keep, small, text_key
 from vellumgrid.llm._words import SPACE, U, buffers, gram_hashes, span_hashes, spans, window_argmin
 
 WINDOW = 50
-#: Words of a phrase; each is two Latin-1 characters of its hash in the automata.
+#: Words of a phrase; each is a Latin-1 character of its hash in the automata, and all are one long integer.
 PHRASE = 8
 SLICE_BYTES = 1 << 20
-#: Phrases of an automaton: about 50 MB in a worker.
-SHARD_PHRASES = 1 << 16
+#: Phrases of an automaton: about 60 MB in a worker.
+SHARD_PHRASES = 1 << 17
 #: Mixed into the second half of a window's 128 bits.
 SECOND = 0xA24BAED4963EE407
 
@@ -65,65 +66,78 @@ def _windows(words: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndar
 
 
 def _codes(words: np.ndarray) -> np.ndarray:
-    return (words >> U(48)).astype("<u2").view(np.uint8)
+    return (words >> U(56)).astype(np.uint8)
 
 
-def _phrases(window: int):
+def _read(window: int):
+    """What later steps need of every document: its words as codes, and its phrases (code, and hash with either context)."""
+    half = PHRASE + (window - PHRASE + 1) // 2
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", SLICE_BYTES):
             data, offsets, words, first = _words(part.column(2))
-            _, place, _ = _windows(words, first, window)
-            place = np.unique(place)
-            raw = _codes(words)[(place * 2)[:, None] + np.arange(2 * PHRASE)] if len(place) else np.empty((0, 2 * PHRASE), np.uint8)
-            # A phrase once for each document, however often it stands there.
+            place = np.unique(_windows(words, first, window)[1])
+            codes = _codes(words)
             doc = np.searchsorted(first[1:], place, side="right")
-            halves = np.ascontiguousarray(raw).view(U).reshape(-1, 2)
-            order = np.lexsort((halves[:, 1], halves[:, 0], doc))
-            again = np.zeros(len(order), dtype=bool)
-            again[1:] = (doc[order[1:]] == doc[order[:-1]]) & (halves[order[1:]] == halves[order[:-1]]).all(1)
-            once = np.sort(order[~again])
-            place, raw = place[once], raw[once]
-            per_doc = np.searchsorted(place, first)
-            values = pa.Array.from_buffers(pa.binary(), len(place), [None, pa.py_buffer(np.arange(len(place) + 1, dtype=np.int32) * (2 * PHRASE)), pa.py_buffer(np.ascontiguousarray(raw))])
+            phrase = np.ascontiguousarray(codes[place[:, None] + np.arange(PHRASE)]).view("<i8").reshape(-1) if len(place) else np.empty(0, np.int64)
+            spans_ = gram_hashes(words, half)
+            left = place + PHRASE - half
+            sides = ((place, place + half <= first[doc + 1], U(0)), (left, left >= first[doc], U(SECOND)))
+            at = np.concatenate([start[ok] for start, ok, _ in sides])
+            mark = np.concatenate([np.full(int(ok.sum()), m) for _, ok, m in sides])
+            own = np.concatenate([doc[ok] for _, ok, _ in sides])
+            named = np.concatenate([phrase[ok] for _, ok, _ in sides])
+            order = np.argsort(own, kind="stable")
+            lists = pa.array(np.searchsorted(own[order], np.arange(len(first))), pa.int32())
+            context = (spans_[at[order]] ^ mark[order]).view(np.int64) if len(at) else np.empty(0, np.int64)
             sha = [hashlib.sha256(b" ".join(data[i:j].tobytes().split())).digest() for i, j in zip(offsets[:-1], offsets[1:], strict=True)]
+            coded = pa.Array.from_buffers(pa.binary(), len(first) - 1, [None, pa.py_buffer(first.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(codes))])
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array(np.diff(first), pa.int64()), pa.array(sha, pa.binary()), pa.ListArray.from_arrays(pa.array(per_doc, pa.int32()), values)],
-                names=["id", "twin", "n_words", "words_sha", "phrases"],
+                [part.column(0), part.column(1), pa.array(np.diff(first), pa.int64()), pa.array(sha, pa.binary()), coded, pa.ListArray.from_arrays(lists, pa.array(named[order], pa.int64())), pa.ListArray.from_arrays(lists, pa.array(context, pa.int64()))],
+                names=["id", "twin", "n_words", "words_sha", "codes", "phrase", "context"],
             )
 
     return run
 
 
-def compile_phrases(phrases: list[bytes]) -> ahocorasick.Automaton:
+def compile_phrases(phrases: list[int]) -> ahocorasick.Automaton:
     automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
     for p in phrases:
-        automaton.add_word(p.decode("latin-1"))
+        automaton.add_word(p.to_bytes(PHRASE, "little", signed=True).decode("latin-1"))
     automaton.make_automaton()
     return automaton
 
 
-def occurrences(automaton: ahocorasick.Automaton, words: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Whether a phrase of the automaton starts at each word, by streaming the documents one after another."""
-    found = np.zeros(len(words) + 1, dtype=bool)
-    codes = _codes(words).tobytes()
-    for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-        ends = np.fromiter((e for e, _ in automaton.iter(codes[2 * i : 2 * j].decode("latin-1"))), dtype=np.int64)
-        # A phrase ends at an odd place; matches in between are halves of words.
-        ends = ends[ends % 2 == 1]
-        found[i + (ends + 1) // 2 - PHRASE] = True
-    return found
+def occurrences(automaton: ahocorasick.Automaton, codes: bytes) -> list[int]:
+    """The words of a document at which a phrase of the automaton starts."""
+    return [end - PHRASE + 1 for end, _ in automaton.iter(codes.decode("latin-1"))]
 
 
-def _locate(window: int, shared):
-    """Stream all documents through the automaton of one shard's phrases."""
+def _stream(shared):
+    """All documents, as codes, through the automaton of one shard's phrases."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = None
-        for part in slices(batches, "text", SLICE_BYTES):
+        for part in slices(batches, "codes", SLICE_BYTES):
             automaton = automaton or compile_phrases(shared.value)
+            found = pa.array([occurrences(automaton, c.as_buffer().to_pybytes()) for c in part.column(2)], pa.list_(pa.int32()))
+            some = pa.compute.greater(pa.compute.list_value_length(found), 0)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), found], names=["id", "twin", "found"]).filter(some)
+
+    return run
+
+
+def _locate(window: int):
+    """The windows (start and 128 bits of hash) whose phrase stands at one of the places found."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text", SLICE_BYTES):
             _, _, words, first = _words(part.column(2))
             starts, place, before = _windows(words, first, window)
-            chosen = occurrences(automaton, words, first)[place]
+            found = np.zeros(len(words) + 1, dtype=bool)
+            places = part.column(3)
+            found[places.flatten().to_numpy() + np.repeat(first[:-1], pa.compute.list_value_length(places).to_numpy())] = True
+            chosen = found[place]
             if not chosen.any():
                 continue
             counts = np.concatenate(([0], np.cumsum(chosen)))[before]
@@ -161,7 +175,7 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
     context = docs.sparkSession.sparkContext
     base = columns(docs, id=id_col, text=text_col).where("id is not null").select("id", text_key(F.col("text")).alias("twin"), "text")
     kind = dict(base.dtypes)["id"]
-    prints = keep(base.mapInArrow(_phrases(window), f"id {kind}, twin long, n_words long, words_sha binary, phrases array<binary>"))
+    prints = keep(base.mapInArrow(_read(window), f"id {kind}, twin long, n_words long, words_sha binary, codes binary, phrase array<bigint>, context array<bigint>"))
     # Copies: rows of one word sequence. Partial aggregation keeps large groups apart until the end.
     long = prints.where(F.col("n_words") >= window)
     first = long.groupBy("words_sha").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id")).where("first_id < last_id")
@@ -171,18 +185,22 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
     copies = keep(slim.where("id > first_id").select("id", "twin", F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_words").alias("end"))).alias("spans")).distinct())
     # The rows that take part: all but the copies.
     names = small(copies.select("id", "twin"), 32)
-    each = long.select("id", "twin", "phrases").join(names, ["id", "twin"], "left_anti").select("id", F.explode("phrases").alias("phrase"))
-    recurring = keep(each.groupBy("phrase").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("phrase"))
+    streamed = prints.select("id", "twin", "codes", "phrase", "context").join(names, ["id", "twin"], "left_anti")
+    each = streamed.select("id", F.explode(F.arrays_zip("phrase", "context")).alias("p")).select("id", "p.phrase", "p.context")
+    confirmed = each.groupBy("context").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.first("phrase").alias("phrase")).where("a < b")
+    recurring = keep(confirmed.select("phrase").distinct())
     shards = -(-recurring.count() // shard_phrases)
-    streamed = base.join(names, ["id", "twin"], "left_anti")
-    windows = f"id {kind}, twin long, start array<int>, h1 array<bigint>, h2 array<bigint>"
-    located = docs.sparkSession.createDataFrame([], windows)
+    found = docs.sparkSession.createDataFrame([], f"id {kind}, twin long, found array<int>")
     for shard in range(shards):
         # Bounded by the shard's size: its phrases pass through the driver, never a document's or the whole table's.
         own = recurring.where(F.pmod(F.xxhash64("phrase"), F.lit(shards)) == shard)
-        shared = context.broadcast([bytes(r[0]) for r in own.toLocalIterator()])
-        located = located.unionByName(keep(streamed.mapInArrow(_locate(window, shared), windows)))
+        shared = context.broadcast([r[0] for r in own.collect()])
+        found = found.unionByName(keep(streamed.select("id", "twin", "codes").mapInArrow(_stream(shared), found.schema)))
         shared.destroy()
+    places = keep(found.groupBy("id", "twin").agg(F.array_distinct(F.flatten(F.collect_list("found"))).alias("found")))
+    size = places.agg(F.count("*") * 32 + F.coalesce(F.sum(F.size("found")), F.lit(0)) * 4).first()[0]
+    texts = base.join(F.broadcast(places) if size <= BROADCAST_BYTES else places, ["id", "twin"]).select("id", "twin", "text", "found")
+    located = keep(texts.mapInArrow(_locate(window), f"id {kind}, twin long, start array<int>, h1 array<bigint>, h2 array<bigint>"))
     pairs = located.select("id", "twin", F.explode(F.arrays_zip("start", "h1", "h2")).alias("w")).select("id", "twin", "w.start", "w.h1", "w.h2")
     earliest = pairs.groupBy("h1", "h2").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id")).where("first_id < last_id").select("h1", "h2", "first_id")
     # Kept first: then both sides of the join are plain exchanges, whose hot partitions can be split.
