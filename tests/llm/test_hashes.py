@@ -89,7 +89,6 @@ def test_every_document_streams_through_every_shard(spark):
 def test_occurrences_come_from_the_automaton():
     """What counts is what the automaton is compiled from and finds, not what a document is known to hold."""
     rng = random.Random(3)
-    texts = [prose(rng, 200), "", prose(rng, 90)]
     streamed = []
 
     class Spy:
@@ -97,13 +96,39 @@ def test_occurrences_come_from_the_automaton():
             self.automaton = automaton
 
         def iter(self, text):
-            streamed.append(len(text) // 2)
+            streamed.append(len(text))
             return self.automaton.iter(text)
 
-    _, _, words, first = substring_dedup._words(pa.array(texts))
+    words = word_hashes([prose(rng, 300)])
     codes = substring_dedup._codes(words).tobytes()
-    wanted = [12, 250]
-    automaton = substring_dedup.compile_phrases([codes[2 * w : 2 * (w + substring_dedup.PHRASE)] for w in wanted])
-    found = substring_dedup.occurrences(Spy(automaton), words, first)
-    assert np.flatnonzero(found).tolist() == wanted and streamed == np.diff(first).tolist()
-    assert not substring_dedup.occurrences(Spy(substring_dedup.compile_phrases([b"\0" * 16])), words, first).any()
+    phrase = lambda at: int.from_bytes(codes[at : at + substring_dedup.PHRASE], "little", signed=True)
+    automaton = substring_dedup.compile_phrases([phrase(12), phrase(250)])
+    assert substring_dedup.occurrences(Spy(automaton), codes) == [12, 250] and substring_dedup.occurrences(Spy(automaton), b"") == [] and streamed == [len(words), 0]
+    assert not substring_dedup.occurrences(Spy(substring_dedup.compile_phrases([phrase(12) ^ 1])), codes)
+
+
+def test_documents_without_phrases_are_streamed_too(spark, monkeypatch):
+    """Every document but word-for-word copies reaches every automaton, whatever it holds."""
+    seen = spark.sparkContext.accumulator(0)
+    real = substring_dedup._stream
+
+    def spied(shared):
+        run = real(shared)
+
+        def count(batches):
+            def each():
+                for b in batches:
+                    seen.add(b.num_rows)
+                    yield b
+
+            return run(each())
+
+        return count
+
+    monkeypatch.setattr(substring_dedup, "_stream", spied)
+    rng = random.Random(10)
+    passage = prose(rng, 80)
+    rows = [(1, passage + " " + prose(rng, 40)), (2, prose(rng, 30) + " " + passage), (3, prose(rng, 200)), (4, "short"), (5, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    substring_dedup.find_repeats(df, shard_phrases=1000).count()
+    assert seen.value == len(rows)
