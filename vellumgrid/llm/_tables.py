@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Bytes up to which a table, counted beforehand, is sent to every executor.
 BROADCAST_BYTES = 48 << 20
+#: Bounds of an Arrow batch: Spark's default, and what is used instead while a table is kept.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8388608b")}
 
 
 def keep(df: DataFrame) -> DataFrame:
@@ -17,6 +19,9 @@ def keep(df: DataFrame) -> DataFrame:
     Lost executors cost nothing: the files are in the shared folder. Without such a folder the operators
     do not run, since a folder of one machine would not outlive it; only a session with a local master,
     which is one machine, gets a temporary one.
+
+    While the table is computed, Python gets its rows in batches of BATCH, unless the session has bounds of its own;
+    afterwards the session is as it was.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
@@ -26,7 +31,16 @@ def keep(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             folder = tempfile.mkdtemp(prefix="checkpoint-")
         context.setCheckpointDir(folder)
-    return df.checkpoint()
+    conf = df.sparkSession.conf
+    before = {key: conf.get(key, None) for key in BATCH}
+    changed = {key: own for key, (given, own) in BATCH.items() if before[key] in (None, given)}
+    try:
+        for key, own in changed.items():
+            conf.set(key, own)
+        return df.checkpoint()
+    finally:
+        for key in changed:
+            conf.unset(key) if before[key] is None else conf.set(key, before[key])
 
 
 def text_key(text: Column) -> Column:

@@ -1,14 +1,15 @@
 """Sharding by sampled splitters, without user functions.
 
 Rows are ordered by a key (a hash of the id, the id, and a row number that tells ties apart). A
-size-weighted sample of keys gives quantile boundaries of fine ranges; ranges that come out overfull
-are subdivided by a denser sample of their own rows until none is left, and every row's place in the
+size-weighted sample of keys gives quantile boundaries of fine ranges, by which the rows are partitioned; ranges that come
+out overfull are subdivided by a denser sample of their own rows, round after round, until none is left. Every row's place in the
 order of all bytes follows from its range's start and a running sum within the range. Shard k takes the rows
 whose first byte lies in the k-th of equal parts of all bytes, so shard sizes differ from the
 mean by less than one text.
 
-Null texts have size 1, null ids are keys like any other, repeated rows are rows of their own and an
-empty table gives an empty one. The slim rows (no texts) are checkpointed, which fixes the row number.
+Null texts have size 1, null ids are keys like any other, repeated rows are rows of their own (so there are no ties) and
+an empty table gives an empty one. A very long text is one row, which may fill a shard; texts are measured and not moved: what
+is ranged are slim rows, checkpointed so that their row number stays. Other columns, whatever their names, are dropped.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellumgrid.llm._arrow import columns
-from vellumgrid.llm._tables import keep
+from vellumgrid.llm._tables import BROADCAST_BYTES, keep
 
 #: Fine ranges for each shard, at least, and sampled keys for each range.
 RANGES_PER_SHARD = 32
@@ -62,16 +63,18 @@ def _bisect(bounds: Column, n: int, key: Column) -> Column:
 def _assign(rows: DataFrame, bounds: DataFrame) -> DataFrame:
     """Rows with ``range`` set to the number of splitters at or before their key.
 
-    The splitters are one array of a few thousand keys at most, set by the parameters.
+    The splitters are one array, sent everywhere: a key of some 64 bytes for ROWS_PER_RANGE rows, checked against the bound.
     """
-    sorted_bounds = bounds.groupBy().agg(F.array_sort(F.collect_set("key")).alias("bounds"))
-    n = len(sorted_bounds.first()["bounds"])
+    n = bounds.count()
+    if n * 64 > BROADCAST_BYTES:
+        raise ValueError(f"{n} ranges are too many to send everywhere: raise ROWS_PER_RANGE")
     if not n:
         return rows.withColumn("range", F.lit(0))
+    sorted_bounds = bounds.groupBy().agg(F.array_sort(F.collect_list("key")).alias("bounds"))
     return rows.crossJoin(F.broadcast(sorted_bounds)).withColumn("range", _bisect(F.col("bounds"), n, F.col("key"))).drop("bounds")
 
 
-def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", max_rounds: int = 6) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, size, text_crc32, shard (0 to ``shards`` - 1) and slot (gapless within the shard) of every row."""
     text = F.col("text")
     slim = columns(docs, id=id_col, text=text_col).select(
@@ -86,19 +89,22 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
     ranges = shards * max(RANGES_PER_SHARD, math.ceil(total["rows"] / (shards * ROWS_PER_RANGE)))
     step = total["bytes"] / ranges
     rate = SAMPLES_PER_RANGE / step
-    bounds = keep(_splitters(slim, step, rate).select("key"))
+    bounds = keep(_splitters(slim, step, rate).select("key").distinct())
     placed = _assign(slim, bounds)
     most_rows = max(64.0, OVERFULL * total["rows"] / ranges)
-    for _ in range(max_rounds):
+    density = 1
+    while True:
         sizes = placed.groupBy("range").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
         overfull = sizes.where((F.col("rows") > 1) & ((F.col("bytes") > OVERFULL * step) | (F.col("rows") > most_rows))).select("range").collect()
         if not overfull:
             break
         # At most ranges / OVERFULL of them can be overfull by either measure.
         inside = placed.where(F.col("range").isin([r[0] for r in overfull]))
-        finer = _splitters(inside, step / 2, rate * 4)
-        by_rows = _splitters(inside.withColumn("size", F.lit(1).cast("long")), most_rows / 4, min(1.0, 4 * SAMPLES_PER_RANGE / most_rows))
-        bounds = keep(bounds.unionByName(finer.select("key")).unionByName(by_rows.select("key")))
+        # Denser every round: in the end every row is drawn, and keys differ, so that every range of two rows can be cut.
+        density *= 4
+        finer = _splitters(inside, step / 2, rate * density)
+        by_rows = _splitters(inside.withColumn("size", F.lit(1).cast("long")), most_rows / 4, min(1.0, density * SAMPLES_PER_RANGE / most_rows))
+        bounds = keep(bounds.unionByName(finer.select("key")).unionByName(by_rows.select("key")).distinct())
         placed = _assign(slim, bounds)
     sizes = placed.groupBy("range").agg(F.sum("size").alias("bytes"))
     # As many rows as ranges: a bounded number.
