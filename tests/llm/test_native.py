@@ -212,3 +212,25 @@ def test_contamination_of_a_very_long_text(spark):
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
     r = decontaminate.contamination(docs, spark.createDataFrame([("a", item)], "item_id string, text string")).first()
     assert r["items"] == ["a"] and r["n_hit"] >= len(BENCH_WORD.findall(item.translate(FOLD)))
+
+
+def test_the_session_stays_as_it_was(spark, hard):
+    from vellumgrid.llm import substring_dedup
+    from vellumgrid.llm._tables import BATCH
+
+    before = {k: spark.conf.get(k) for k in BATCH}
+    substring_dedup.remove_repeats(hard).count()
+    assert {k: spark.conf.get(k) for k in BATCH} == before
+
+
+def test_overfull_ranges_are_cut_until_none_is_left(spark, monkeypatch):
+    """A sample so thin that first ranges are far too full."""
+    monkeypatch.setattr(sharding, "SAMPLES_PER_RANGE", 0.01)
+    rows = [(1, "x" * 5000)] * 40 + [(i, "y" * (i % 30)) for i in range(3000)]
+    check_shards(sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 8).collect(), sized(rows), 8)
+
+
+def test_too_many_splitters_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "BROADCAST_BYTES", 10)
+    with pytest.raises(ValueError, match="ROWS_PER_RANGE"):
+        sharding.shard(spark.createDataFrame([(i, "text " * 30) for i in range(500)], "doc_id long, text string"), 8)
