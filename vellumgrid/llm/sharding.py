@@ -35,14 +35,16 @@ def _splitters(rows: DataFrame, step: float, rate: float) -> DataFrame:
     """Quantile boundaries: (range, key) of the sampled rows that begin a new part of ``step`` bytes in their range.
 
     A row is drawn with probability min(1, size * rate) and stands for max(size, 1 / rate) bytes. The
-    sample's size is set by the number of ranges asked for, not by the table.
+    sample's size is set by the number of ranges asked for, not by the table. A row of half a part or more stands alone: the
+    row after it begins a part, too. So once every row is drawn, a range is one row or less than two parts.
     """
     u = F.pmod(F.xxhash64("key", F.lit(29)), F.lit(1 << 30)) / float(1 << 30)
     drawn = rows.where(u < F.col("size") * rate).select("range", "key", F.greatest(F.col("size").cast("double"), F.lit(1 / rate)).alias("stands_for"))
     order = Window.partitionBy("range").orderBy("key")
     total = F.sum("stands_for").over(order)
     part = F.floor(total / step)
-    return drawn.select("range", "key", part.alias("part"), F.floor((total - F.col("stands_for")) / step).alias("before")).where("part > before").select("range", "key")
+    after = F.coalesce(F.lag("stands_for").over(order) >= step / 2, F.lit(False))
+    return drawn.select("range", "key", part.alias("part"), F.floor((total - F.col("stands_for")) / step).alias("before"), after.alias("after")).where("part > before or after").select("range", "key")
 
 
 def _bisect(bounds: Column, n: int, key: Column) -> Column:
