@@ -48,10 +48,28 @@ def test_search_stays_in_its_filing_and_scope(spark, built, hybrid):
     assert len({(r["company"], r["page"], r["chunk"]) for r in got if r["question_id"] == "b"}) == 5
 
 
+def test_stored_terms_and_blocks_give_the_same(spark, built, tmp_path, monkeypatch):
+    q = asked(spark, ("a", "What were BEL standalone total assets?", "BEL"), ("b", "total assets", None), ("c", "consolidated total assets of the group", "BEL"), ("d", "radar and ships", "HCC"))
+    rows = lambda **kw: sorted((r["question_id"], r["rank"], r["company"], r["page"], r["chunk"], round(r["rrf"], 9), round(r["score"], 6)) for r in ask.search(built, q, make, DIM, k=8, **kw).collect())
+    plain = rows()
+    index.write_text_index(built, str(tmp_path))
+    assert rows(stored=index.open_text_index(spark, str(tmp_path))) == plain
+    monkeypatch.setattr("vellumgrid.operators.search.BROADCAST_BYTES", -1)
+    monkeypatch.setattr("vellumgrid.operators.search.BLOCK_ROWS", 2)
+    assert rows() == plain
+
+
+def test_no_question_meets_a_foreign_filing(spark, built):
+    plan = ask.search(built, asked(spark, ("a", "total assets", "BEL")), make, DIM)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin BuildRight, Inner, (" not in plan
+
+
 def test_answers_are_guarded(spark, built):
     got = {r["question_id"]: r for r in ask.ask(built, asked(spark, ("a", "standalone total assets at the year end", "BEL"), ("z", "zebra quagga", "BEL")), make, DIM, Quoter, floor=0.4).collect()}
     assert got["a"]["text"] == "It was 8,743.37 crore [page 1]." and not got["a"]["ungrounded"]
     assert got["z"]["refused"] and "below the 0.4 floor" in got["z"]["reason"]
+    narrow = ask.ask(built, asked(spark, ("a", "standalone total assets at the year end", "BEL")), make, DIM, Quoter, floor=0.4, widen=False).first()
+    assert narrow["text"] == got["a"]["text"]
 
 
 def test_embedders_are_checked(spark):

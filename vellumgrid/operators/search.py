@@ -15,6 +15,8 @@ from vellumgrid.functions import text as T
 #: Bytes up to which a counted table is sent to every executor.
 BROADCAST_BYTES = 48 << 20
 QUERY_BLOCK = 1024
+#: Rows of a block where neither side is sent everywhere.
+BLOCK_ROWS = 4096
 
 
 def in_scope(index: DataFrame, company: str | None = None, scope: str | None = None) -> DataFrame:
@@ -33,72 +35,128 @@ def unit(vector: Column) -> Column:
     return F.transform(wide, lambda x: x / norm)
 
 
-def vector_topk(index: DataFrame, queries: DataFrame, k: int = X.FUSION_DEPTH, key: str = "key", vector: str = "vector", query: str = "question_id") -> DataFrame:
-    """question_id, key, score and rank of the k nearest rows by dot product.
+def _blocks(table: DataFrame, by: str, columns: list[Column], name: str) -> DataFrame:
+    """Rows packed into about BLOCK_ROWS a block, by a hash of ``by``."""
+    n = max(1, -(-table.count() // BLOCK_ROWS))
+    return table.groupBy(F.pmod(F.xxhash64(by), F.lit(n)).alias("b")).agg(F.collect_list(F.struct(*columns)).alias(name)).select(name)
 
-    ``queries`` (question_id, vector) is a stated set of bounded size: it is sent to every task, which
-    multiplies it with its rows in blocks and lets only the best k of each block pass on. Ties go to the
-    smaller key.
-    """
-    asked = queries.select(query, vector).collect()
-    names = [r[0] for r in asked]
-    matrix = np.array([r[1] for r in asked], dtype=np.float64) if asked else np.empty((0, 1))
-    shared = index.sparkSession.sparkContext.broadcast((names, matrix))
-    kind, name_kind = dict(index.dtypes)[key], dict(queries.dtypes)[query]
 
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own_names, own = shared.value
-        for batch in batches:
-            if not batch.num_rows or not own_names:
-                continue
-            rows = np.stack(batch.column(1).to_numpy(zero_copy_only=False)).astype(np.float64)
-            keys = np.array(batch.column(0).to_pylist())
-            for at in range(0, len(own_names), QUERY_BLOCK):
-                scores = own[at : at + QUERY_BLOCK] @ rows.T
+class _Asked:
+    """Questions as a matrix, found by the company they ask."""
+
+    def __init__(self, rows: list[tuple]):
+        self.names, self.matrix = [r[0] for r in rows], np.array([r[1] for r in rows], dtype=np.float64).reshape(len(rows), -1)
+        self.scopes = np.array([r[3] or "" for r in rows], dtype=object)
+        self.of: dict[str | None, list[int]] = {}
+        for i, r in enumerate(rows):
+            self.of.setdefault(r[2], []).append(i)
+
+    def best(self, keys: list, vectors: np.ndarray, companies: list, scopes: list, k: int) -> Iterator[pa.RecordBatch]:
+        """The k best rows for each question that these rows may answer."""
+        keys, companies, scopes = np.array(keys), np.array(companies, dtype=object), np.array(scopes, dtype=object)
+        for company, places in [(None, np.arange(len(keys)))] + [(c, np.flatnonzero(companies == c)) for c in set(companies.tolist()) if c is not None]:
+            asking = np.array(self.of.get(company, []), dtype=np.int64)
+            for at in range(0, len(asking), QUERY_BLOCK):
+                block = asking[at : at + QUERY_BLOCK]
                 out_q, out_k, out_s = [], [], []
-                for q, s in enumerate(scores):
-                    order = np.lexsort((keys, -s))[:k]
-                    out_q += [own_names[at + q]] * len(order)
-                    out_k += keys[order].tolist()
+                for q, s in zip(block.tolist(), self.matrix[block] @ vectors[places].T, strict=True):
+                    ok = np.flatnonzero((scopes[places] == self.scopes[q]) | np.isin(scopes[places], ("unstated", "mixed"))) if self.scopes[q] else np.arange(len(places))
+                    order = ok[np.lexsort((keys[places[ok]], -s[ok]))[:k]]
+                    out_q += [self.names[q]] * len(order)
+                    out_k += keys[places[order]].tolist()
                     out_s += s[order].tolist()
-                yield pa.RecordBatch.from_arrays([pa.array(out_q), pa.array(out_k), pa.array(out_s, pa.float64())], names=["q", "k", "s"])
+                if out_q:
+                    yield pa.RecordBatch.from_arrays([pa.array(out_q), pa.array(out_k), pa.array(out_s, pa.float64())], names=["q", "k", "s"])
+
 
-    near = index.where(F.col(vector).isNotNull()).select(key, vector).mapInArrow(best, f"q {name_kind}, k {kind}, s double")
+def vector_topk(index: DataFrame, queries: DataFrame, k: int = X.FUSION_DEPTH, key: str = "key", vector: str = "vector", query: str = "question_id", company: str | None = None, scope: str | None = None) -> DataFrame:
+    """question_id, key, score and rank of the k nearest rows by dot product.
+
+    ``queries``: question_id, vector and, if named, the company and scope each asks (null: any); the rows' are in
+    ``company`` and ``scope``. Queries counted small are sent to every task, which multiplies them with its rows in
+    blocks and lets only the best k of each block pass on; more of them are packed into blocks that meet the
+    rows' blocks one by one. Ties go to the smaller key.
+    """
+    none = F.lit(None).cast("string")
+    asked = queries.select(F.col(query).alias("q"), F.col(vector).alias("v"), (F.col(company) if company else none).alias("c"), (F.col(scope) if scope else none).alias("s"))
+    kind, name_kind = dict(index.dtypes)[key], dict(queries.dtypes)[query]
+    rows = index.where(F.col(vector).isNotNull()).select(F.col(key).alias("k"), F.col(vector).alias("v"), (F.col("company") if company else none).alias("c"), (F.col("scope") if scope else none).alias("s"))
+    schema = f"q {name_kind}, k {kind}, s double"
+    first = asked.first()
+    n, width = asked.count(), len(first["v"]) if first else 0
+    if n * (8 * width + 200) <= BROADCAST_BYTES:
+        shared = index.sparkSession.sparkContext.broadcast([tuple(r) for r in asked.collect()])
+
+        def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = _Asked(shared.value)
+            for batch in batches:
+                if batch.num_rows and own.names:
+                    keys, vectors, companies, scopes = (batch.column(i) for i in range(4))
+                    yield from own.best(keys.to_pylist(), np.stack(vectors.to_numpy(zero_copy_only=False)).astype(np.float64), companies.to_pylist(), scopes.to_pylist(), k)
+
+        near = rows.mapInArrow(sent, schema)
+    else:
+        cells = [F.col(c) for c in ("v", "c", "s")]
+        pairs = _blocks(rows, "k", [F.col("k"), *cells], "rows").crossJoin(_blocks(asked, "q", [F.col("q"), *cells], "asked"))
+
+        def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for found, questions in zip(batch.column(0), batch.column(1), strict=True):
+                    own = _Asked([tuple(q.values()) for q in questions.as_py()])
+                    keys, vectors, companies, scopes = zip(*(r.values() for r in found.as_py()), strict=True)
+                    yield from own.best(list(keys), np.array(vectors, dtype=np.float64), list(companies), list(scopes), k)
+
+        near = pairs.mapInArrow(met, schema)
     order = Window.partitionBy("q").orderBy(F.desc("s"), "k")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(F.col("q").alias(query), F.col("k").alias(key), F.col("s").alias("score"), "rank")
 
 
-def postings(docs: DataFrame, key: str = "key", text: str = "text", group: str | None = None, only: DataFrame | None = None) -> DataFrame:
-    """The inverted index: key, term, tf and length (terms of the document), with the group column if any.
+def text_totals(docs: DataFrame, text: str = "text", group: str | None = None) -> DataFrame:
+    """n_docs and mean_length (terms of a document) of the collection, or of each group."""
+    length = F.regexp_count(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(T.TERM))
+    return docs.groupBy(*([group] if group else [])).agg(F.count("*").alias("n_docs"), F.avg(length).alias("mean_length"))
 
-    With ``only`` (term and the group column) no other terms are counted: they are gone before the shuffle.
+
+def postings(docs: DataFrame, key: str = "key", text: str = "text", group: str | None = None, only: DataFrame | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """The inverted index: key, term, tf, length (terms of the document) and df, with the group column, if any, and ``carry``.
+
+    Texts are cut into terms once. With ``only`` (term and the group column) no other terms are counted: they are
+    gone before the shuffle.
     """
-    keep = [key] + ([group] if group else [])
+    by = [group] if group else []
+    keep = [key, *by, *(c for c in carry if c not in by)]
     terms = docs.select(*keep, T.tokens(F.coalesce(F.col(text), F.lit(""))).alias("terms"))
     each = terms.select(*keep, F.size("terms").alias("length"), F.explode_outer("terms").alias("term")).where("term is not null")
     if only is not None:
-        each = each.join(only, ["term"] + ([group] if group else []), "left_semi")
-    return each.groupBy(*keep, "length", "term").agg(F.count("*").alias("tf"))
+        each = each.join(only, ["term", *by], "left_semi")
+    counted = each.groupBy(*keep, "length", "term").agg(F.count("*").alias("tf"))
+    return counted.withColumn("df", F.count("*").over(Window.partitionBy("term", *by)))
 
 
-def keyword_topk(docs: DataFrame, queries: DataFrame, k: int = X.FUSION_DEPTH, key: str = "key", text: str = "text", query: str = "question_id", group: str | None = None) -> DataFrame:
+def keyword_topk(docs: DataFrame | None, queries: DataFrame, k: int = X.FUSION_DEPTH, key: str = "key", text: str = "text", query: str = "question_id", group: str | None = None, belongs: Column | None = None, carry: tuple[str, ...] = (), stored: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """question_id, key, score and rank of the k best documents by BM25.
 
     Statistics are those of the whole collection, or with ``group`` those of each group, in which case
-    ``queries`` carry the group they ask and only its documents compete. Ties go to the smaller key.
+    ``queries`` carry the group they ask and only its documents compete. ``belongs`` says, over the columns of ``queries``
+    and those of the documents in ``carry``, which documents compete for a question. With ``stored`` (postings and totals,
+    as ``postings`` and ``text_totals`` make them) no text is read. Ties go to the smaller key.
     """
     by = [group] if group else []
-    own = docs.select(key, *by, F.size(T.tokens(F.coalesce(F.col(text), F.lit("")))).alias("length"))
-    totals = own.groupBy(*by).agg(F.count("*").alias("n_docs"), F.avg("length").alias("mean_length"))
-    asked = queries.select(query, *by, F.explode_outer(F.array_distinct(T.tokens(F.col("text")))).alias("term")).where("term is not null")
+    others = [c for c in queries.columns if c not in (query, "text", *by)] if belongs is not None else []
+    asked = queries.select(query, *by, *others, F.explode_outer(F.array_distinct(T.tokens(F.col("text")))).alias("term")).where("term is not null")
     size = asked.count() * 64
     terms = asked.select("term", *by).distinct()
     if size <= BROADCAST_BYTES:
         asked, terms = F.broadcast(asked), F.broadcast(terms)
-    index = postings(docs, key, text, group, terms)
-    frequency = index.groupBy("term", *by).agg(F.count("*").alias("df"))
-    matched = index.join(asked, ["term", *by]).join(frequency, ["term", *by])
-    matched = matched.join(F.broadcast(totals), by) if by else matched.crossJoin(F.broadcast(totals))
+    if stored is None:
+        index, totals = postings(docs, key, text, group, terms, carry), text_totals(docs, text, group)
+    else:
+        index, totals = stored[0].join(terms, ["term", *by], "left_semi"), stored[1]
+    matched = index.join(asked, ["term", *by])
+    if belongs is not None:
+        matched = matched.where(belongs)
+    # One row, or one a group; groups are left to the optimiser, which sends them everywhere if they turn out small.
+    matched = matched.join(totals, by) if by else matched.crossJoin(F.broadcast(totals))
     weight = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     damp = F.col("tf") + X.BM25_K1 * (1 - X.BM25_B + X.BM25_B * F.col("length") / F.col("mean_length"))
     scored = matched.groupBy(query, key).agg(F.sum(weight * F.col("tf") * (X.BM25_K1 + 1) / damp).alias("score"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellumgrid.functions import fixed as X
@@ -12,6 +12,7 @@ from vellumgrid.functions import models
 from vellumgrid.functions import text as T
 from vellumgrid.operators import guard
 from vellumgrid.operators import search as S
+from vellumgrid.sources.tables import keep
 
 CHUNK = ("company", "fiscal_year", "page", "chunk")
 
@@ -36,27 +37,21 @@ def rewrite(questions: DataFrame, make: Callable[[], models.Embedder], dim: int,
     return questions.withColumns({"scope_asked": T.requested_scope(asked), "keywords": T.keyword_query(asked, company)}).withColumns({"rank_vector": models.embed(instruct(ranks), make, dim), "gate_vector": models.embed(instruct(gates), make, dim)})
 
 
-def search(index: DataFrame, questions: DataFrame, make: Callable[[], models.Embedder], dim: int, k: int = X.DEFAULT_K, expand: bool = True, hybrid: bool = True) -> DataFrame:
+def search(index: DataFrame, questions: DataFrame, make: Callable[[], models.Embedder], dim: int, k: int = X.DEFAULT_K, expand: bool = True, hybrid: bool = True, stored: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """question_id, the chunk's columns, rrf, score and rank of the k best chunks of each question's filing and scope.
 
-    ``questions``: question_id, question, company (null: all). ``index`` as written by ``sources.index``.
+    ``questions``: question_id, question, company (null: all). ``index`` as written by ``sources.index``, ``stored`` its
+    text index if it has one. Questions are rewritten and embedded once; a question meets the rows of its own filing only.
     """
-    asked = rewrite(questions, make, dim, expand).select("question_id", F.col("company").alias("of"), "scope_asked", "keywords", "rank_vector", "gate_vector")
-    asked = asked.persist()
-    # A batch of questions is a stated set; it is sent everywhere only when counted small.
-    sent = F.broadcast(asked) if asked.count() * (16 * dim + 400) <= S.BROADCAST_BYTES else asked
+    asked = keep(rewrite(questions, make, dim, expand).select("question_id", F.col("company").alias("of"), "scope_asked", "keywords", "rank_vector", "gate_vector"))
     rows = _key(index)
-    belongs = (F.col("of").isNull() | (F.col("company") == F.col("of"))) & (F.col("scope_asked").isNull() | F.col("scope").isin("unstated", "mixed") | (F.col("scope") == F.col("scope_asked")))
-    pairs = rows.join(sent, belongs)
-    order = Window.partitionBy("question_id").orderBy(F.desc("near"), "key")
-    vector = pairs.select("question_id", "key", dot("vector", "rank_vector").alias("near")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= X.FUSION_DEPTH)
+    near = asked.select("question_id", F.col("rank_vector").alias("vector"), "of", "scope_asked")
+    vector = S.vector_topk(rows, near, company="of", scope="scope_asked")
     if hybrid:
-        words = asked.select("question_id", F.col("keywords").alias("text"))
-        # Statistics are the collection's; the filing only decides who competes.
-        scored = S.keyword_topk(rows, words, k=1 << 30)
-        allowed = pairs.select("question_id", "key")
-        again = Window.partitionBy("question_id").orderBy(F.desc(F.round("score", 9)), "key")
-        keyword = scored.drop("rank").join(allowed, ["question_id", "key"], "left_semi").withColumn("rank", F.row_number().over(again)).where(F.col("rank") <= X.FUSION_DEPTH)
+        words = asked.select("question_id", F.col("keywords").alias("text"), "of", "scope_asked")
+        # Statistics are the collection's; the filing and scope only decide who competes.
+        fits = (F.col("of").isNull() | (F.col("company") == F.col("of"))) & (F.col("scope_asked").isNull() | F.col("scope").isin("unstated", "mixed") | (F.col("scope") == F.col("scope_asked")))
+        keyword = S.keyword_topk(rows, words, belongs=fits, carry=("company", "scope"), stored=stored)
     else:
         keyword = vector.limit(0)
     fused = S.fuse(vector, keyword, k=k)
@@ -64,10 +59,11 @@ def search(index: DataFrame, questions: DataFrame, make: Callable[[], models.Emb
     return found.select("question_id", *CHUNK, "scope", "tokens", "text", "rrf", dot("vector", "gate_vector").alias("score"), "rank")
 
 
-def ask(index: DataFrame, questions: DataFrame, make_embedder: Callable[[], models.Embedder], dim: int, make_generator: Callable[[], models.Generator], floor: float = X.MIN_SIMILARITY) -> DataFrame:
-    """One verdict for each question; only questions above the floor reach the generator."""
-    hits = search(index, questions, make_embedder, dim, k=max(X.DEFAULT_K, X.EXPANSION_SEEDS)).persist()
-    context = S.pack_context(hits, index)
+def ask(index: DataFrame, questions: DataFrame, make_embedder: Callable[[], models.Embedder], dim: int, make_generator: Callable[[], models.Generator], floor: float = X.MIN_SIMILARITY, widen: bool = True, stored: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """One verdict for each question; only questions above the floor reach the generator. ``widen`` adds the hits' page siblings."""
+    hits = search(index, questions, make_embedder, dim, k=max(X.DEFAULT_K, X.EXPANSION_SEEDS), stored=stored)
+    hits = keep(hits)
+    context = S.pack_context(hits, index) if widen else hits.select("question_id", *CHUNK, "tokens", F.lit(False).alias("sibling"), F.col("rank").alias("position"))
     texts = context.join(index.select(*CHUNK, "scope", "text"), list(CHUNK))
     worth = guard.needs_generation(questions, hits, floor)
     prompts = guard.prompts(texts).join(worth.select("question_id", "question"), "question_id")

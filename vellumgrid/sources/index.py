@@ -7,6 +7,8 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vellumgrid.operators import search
+
 REQUIRED = {"company", "fiscal_year", "page", "chunk", "scope", "tokens", "text", "vector"}
 
 
@@ -29,6 +31,19 @@ def open_index(spark: SparkSession, path: str, model: str) -> DataFrame:
     return rows
 
 
+def write_text_index(index: DataFrame, path: str) -> None:
+    """Store the inverted index beside the rows, by term, so that keyword search reads no text."""
+    rows = index.withColumn("key", F.concat_ws("|", *[F.col(c).cast("string") for c in ("company", "fiscal_year", "page", "chunk")]))
+    terms = search.postings(rows, carry=("company", "scope"))
+    terms.repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
+    search.text_totals(rows).coalesce(1).write.mode("overwrite").parquet(f"{path}/totals")
+
+
+def open_text_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Postings and totals, as ``search.keyword_topk`` takes them."""
+    return spark.read.parquet(f"{path}/terms"), spark.read.parquet(f"{path}/totals")
+
+
 def replace_filings(chunks: DataFrame, path: str) -> None:
     """Put these chunks in place of all rows of their companies; other partitions are not touched."""
     out = chunks.repartition("company").sortWithinPartitions("company", "page", "chunk")
