@@ -2,11 +2,14 @@ from __future__ import annotations
 
 import hashlib
 import io
+import json
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
+from vellumgrid.functions import models
+from vellumgrid.operators import layout
 from vellumgrid.sources import files, index
 from vellumgrid.streaming import limits, upserts
 
@@ -116,10 +119,84 @@ def test_streamed_counts_equal_stored_ones(spark, tmp_path):
 
 
 def test_streamed_filings_replace_theirs(spark, tmp_path):
+    """A filing that comes in two batches replaces the old one when it is whole; the same filing again changes nothing."""
     path = str(tmp_path / "index")
     index.write_index(chunks(spark, [("A", 1, "a"), ("B", 1, "c")]), path, "hash", 2)
-    chunks(spark, [("A", 5, "new")]).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(chunks(spark, []).schema).parquet(str(tmp_path / "in"))
-    for _ in range(2):  # the second start finds nothing new
+    rows = lambda: {(r["company"], r["page"], r["text"]) for r in index.open_index(spark, path, "hash").collect()}
+    send = lambda n, sha, name, *given: chunks(spark, list(given)).withColumns({"sha256": F.lit(sha), "n_chunks": F.lit(n)}).write.mode("append").parquet(str(tmp_path / name))
+
+    def run():
+        stream = spark.readStream.schema(chunks(spark, []).withColumns({"sha256": F.lit(""), "n_chunks": F.lit(0)}).schema).parquet(str(tmp_path / "in"))
         upserts.upsert_filings(stream, path, str(tmp_path / "checkpoint")).awaitTermination(120)
-    assert {(r["company"], r["page"]) for r in index.open_index(spark, path, "hash").collect()} == {("A", 5), ("B", 1)}
+
+    send(2, "s1", "in", ("A", 5, "new"))
+    run()
+    assert rows() == {("A", 1, "a"), ("B", 1, "c")}
+    send(2, "s1", "in", ("A", 6, "rest"))
+    run()
+    assert rows() == {("A", 5, "new"), ("A", 6, "rest"), ("B", 1, "c")}
+    send(2, "s1", "in", ("A", 5, "changed under the same name"), ("A", 6, "rest"))
+    run()
+    assert rows() == {("A", 5, "new"), ("A", 6, "rest"), ("B", 1, "c")}
+
+
+def test_manifest_and_registry_refuse_repetitions(spark, tmp_path):
+    row = {"company": "AB", "fiscal_year": "FY25", "sha256": "a" * 64}
+    (tmp_path / "m.json").write_text(json.dumps([row, row]))
+    with pytest.raises(Exception, match="malformed manifest row"):
+        files.read_manifest(spark, str(tmp_path / "m.json")).collect()
+    known = spark.createDataFrame([("AB",)], "code string")
+    with pytest.raises(Exception, match="repeated code"):
+        files.register(known, spark.createDataFrame([("CD",), ("CD",)], "code string")).collect()
+
+
+def test_written_only_on_change(tmp_path):
+    path = str(tmp_path / "t.md")
+    assert files.write_if_changed(path, "a") and not files.write_if_changed(path, "a") and files.write_if_changed(path, "b")
+
+
+def boxes(content):
+    for n, page in enumerate(content.decode().split("\f"), 1):
+        yield n, 800.0, 600.0, [([(t[:2], 12.0), (t[2:], 9.0)], 50, 100 + 20 * i, 200, 110 + 20 * i, 0.0, i) for i, t in enumerate(page.split("\n"))]
+
+
+def slow(content):
+    import time
+
+    for page in boxes(content):
+        time.sleep(0.3)
+        yield page
+
+
+def test_line_boxes_from_an_injected_reader(spark, tmp_path):
+    (tmp_path / "f.txt").write_text("first line\nsecond\fnext page")
+    got = files.read_lines(spark, str(tmp_path / "f.txt"), boxes).orderBy("page", "line").collect()
+    assert [(r["page"], r["line"], r["text"], r["size"]) for r in got] == [(1, 0, "first line", 9.0), (1, 1, "second", 9.0), (2, 0, "next page", 9.0)]
+    pages = layout.clean_pages(layout.repaired(files.read_lines(spark, str(tmp_path / "f.txt"), boxes).withColumnRenamed("path", "company")))
+    assert {(r["page"], r["text"]) for r in pages.collect()} == {(1, "first line\nsecond"), (2, "next page")}
+    with pytest.raises(Exception, match="took too long"):
+        files.read_lines(spark, str(tmp_path / "f.txt"), slow, seconds=0.1).collect()
+
+
+class Fixed:
+    def judge(self, question, expected, answer, context):
+        return json.dumps({"correct": expected in answer, "faithful": True, "computed": [{"labelled": "computed" in answer, "arithmetic_right": True}] if "sum" in answer else []})
+
+    def generate(self, question, prompt):
+        return "x"
+
+    def rerank(self, question, texts):
+        return [float(len(texts))] * len(texts)
+
+
+def test_judge_budget_and_rerank_hooks(spark):
+    rows = [("a", 1, "q", "5.25", "It is 5.25", "c"), ("b", 1, "q", "5.25", "The sum is 5.25", "c"), ("c", 2, "q", "9", "The sum (computed) is 8", "c")]
+    got = models.judge(spark.createDataFrame(rows, "question_id string, sample int, question string, expected string, text string, context string"), Fixed)
+    assert {(r["question_id"], r["sample"], r["correct"], r["faithful"]) for r in got.collect()} == {("a", 1, True, True), ("b", 1, True, False), ("c", 2, False, True)}
+    counted = []
+    model = models.Budgeted(Fixed(), 2, counted.append)
+    assert [model.generate("q", "p"), model.generate("q", "p")] == ["x", "x"] and counted == [0, 1]
+    with pytest.raises(models.CallLimit):
+        model.generate("q", "p")
+    pairs = spark.createDataFrame([("q1", "a"), ("q2", "b"), ("q1", "c")], "q string, t string").coalesce(1)
+    assert sorted(r[0] for r in pairs.select(models.rerank_score(F.col("q"), F.col("t"), Fixed)).collect()) == [1.0, 2.0, 2.0]

@@ -6,6 +6,7 @@ similarities mean shared words and nothing more.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -42,7 +43,7 @@ class HashEmbedder:
         out = np.zeros((len(texts), self.dim))
         for i, text in enumerate(texts):
             for word in text.lower().removeprefix(QUERY_INSTRUCTION.lower()).split():
-                seed = int.from_bytes(word.encode()[:32].ljust(8, b"\0"), "little") % (1 << 63)
+                seed = int.from_bytes(hashlib.sha256(word.encode()).digest()[:8], "little")
                 out[i] += np.random.default_rng(seed).standard_normal(self.dim)
         return out
 
@@ -68,7 +69,11 @@ def rerank_score(question: Column, text: Column, make: Callable[[], Reranker]) -
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         model = make()
         for questions, texts in batches:
-            yield pd.Series([model.rerank(q, [t])[0] for q, t in zip(questions, texts, strict=True)], dtype="float64")
+            # One call for each question of a batch.
+            out = np.empty(len(texts))
+            for _, at in questions.reset_index(drop=True).groupby(questions.reset_index(drop=True), sort=False, dropna=False):
+                out[at.index] = model.rerank(at.iloc[0], [texts.iloc[i] for i in at.index])
+            yield pd.Series(out, dtype="float64")
 
     return run(question, text)
 
@@ -85,6 +90,55 @@ def generate(prompts: DataFrame, make: Callable[[], Generator]) -> DataFrame:
     return prompts.select(F.col("question_id").cast("string"), "question", "prompt").mapInArrow(run, "question_id string, raw string")
 
 
+class Judge(Protocol):
+    def judge(self, question: str, expected: str, answer: str, context: str) -> str: ...
+
+
+VERDICT = "correct boolean, faithful boolean, computed array<struct<labelled:boolean,arithmetic_right:boolean>>"
+
+
+def judge(samples: DataFrame, make: Callable[[], Judge]) -> DataFrame:
+    """question_id, sample and the judge's verdict for rows of these with question, expected, text and context.
+
+    The judge answers in JSON; what does not parse is an error, and its own list of computed figures overrules
+    its word on faithfulness.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = make()
+        for batch in batches:
+            ids, numbers, *rest = (c.to_pylist() for c in batch.columns)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(numbers, pa.int32()), pa.array([model.judge(*x) for x in zip(*rest, strict=True)], pa.string())], names=["question_id", "sample", "raw"])
+
+    asked = samples.select(F.col("question_id").cast("string"), F.col("sample").cast("int"), "question", "expected", "text", "context").mapInArrow(run, "question_id string, sample int, raw string")
+    read = asked.withColumn("v", F.from_json("raw", VERDICT, {"mode": "FAILFAST"}))
+    own = F.coalesce("v.computed", F.array().cast("array<struct<labelled:boolean,arithmetic_right:boolean>>"))
+    return read.select("question_id", "sample", "v.correct", judged_faithful(F.col("v.faithful"), own).alias("faithful"))
+
+
+def judged_faithful(faithful: Column, computed: Column) -> Column:
+    """A judge's verdict, overruled by its own list of computed figures (structs labelled, arithmetic_right)."""
+    return faithful & ~F.exists(computed, lambda c: ~c["labelled"] | ~c["arithmetic_right"])
+
+
+class CallLimit(Exception):
+    """A budget of model calls is spent."""
+
+
+class Budgeted:
+    """A generator that may be asked ``most`` times, counted before each call, in one worker's task."""
+
+    def __init__(self, generator: Generator, most: int, before_call: Callable[[int], None] = lambda n: None):
+        self.generator, self.most, self.before_call, self.n = generator, most, before_call, 0
+
+    def generate(self, question: str, prompt: str) -> str:
+        if self.n >= self.most:
+            raise CallLimit(f"{self.most} calls are spent")
+        self.before_call(self.n)
+        self.n += 1
+        return self.generator.generate(question, prompt)
+
+
 def overlap_score(question: Column, text: Column) -> Column:
     """A reranker without a model: the share of a question's terms that a text holds."""
     asked = F.array_distinct(tokens(question))

@@ -20,11 +20,6 @@ def grade(samples: DataFrame) -> DataFrame:
     return samples.withColumns({"leaked": leaked, "passed": F.when(F.col("answerable"), F.coalesce(right, F.lit(False))).otherwise(bare & ~leaked)})
 
 
-def judged_faithful(faithful: Column, computed: Column) -> Column:
-    """A judge's verdict, overruled by its own list of computed figures (structs labelled, arithmetic_right)."""
-    return faithful & ~F.exists(computed, lambda c: ~c["labelled"] | ~c["arithmetic_right"])
-
-
 def rollup(graded: DataFrame) -> DataFrame:
     """passed, total, leaks, ungrounded by type, by split, by answerable and over all: one pass over the samples."""
     return graded.sparkSession.sql(

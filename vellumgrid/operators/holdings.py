@@ -90,7 +90,7 @@ def holdings_from_cells(cells: DataFrame, sections: DataFrame, name_col: str, is
     inside = F.col("row").between(F.col("start"), F.col("end"))
     raw = F.col(weight_col)
     return (
-        wide.join(F.broadcast(sections), "sheet").where(inside)
+        wide.join(sections, "sheet").where(inside)
         .select("fund", "sheet", "row", "asset_type", F.col(name_col).alias("name"), F.coalesce(F.col(isin_col), F.lit("")).alias("isin"), F.when(raw == "$0.00", 0.0).otherwise(raw.cast("double")).alias("weight_pct"), T.weight_display(raw).alias("weight_display"))
     )
 

@@ -71,7 +71,7 @@ def build_funds(cells: DataFrame, checks: DataFrame, sections: DataFrame, review
     """Ranked holdings from sheets whose reviewed cells are as expected; a changed layout is an error."""
     changed = holdings.layout_violations(cells, checks).groupBy("sheet").agg(F.min(F.concat("col", F.col("row").cast("string"))).alias("_at"))
     rows = holdings.map_companies(holdings.holdings_from_cells(cells, sections, name_col, isin_col, weight_col), reviewed)
-    checked = rows.join(F.broadcast(changed), "sheet", "left")
+    checked = rows.join(changed, "sheet", "left")
     sheet: Column = F.when(F.col("_at").isNotNull(), F.raise_error(F.concat(F.lit("layout changed at "), F.col("_at")))).otherwise(F.col("sheet"))
     return holdings.rank_holdings(checked.withColumn("sheet", sheet).drop("_at"))
 

@@ -209,6 +209,13 @@ def pack_context(hits: DataFrame, chunks: DataFrame, budget: int = X.CONTEXT_TOK
     return rows.withColumn("position", F.row_number().over(order)).drop("first_seen")
 
 
+def display(context: DataFrame, text: Column, query: str = "question_id") -> DataFrame:
+    """Context rows in reading order (place, by page and chunk) with whether the answer ``text`` cites them and how they came in."""
+    order = Window.partitionBy(query).orderBy("page", "chunk")
+    how = F.when(F.col("sibling"), "same page as a hit").otherwise(F.concat(F.lit("similarity "), F.format_string("%.3f", F.col("score"))))
+    return context.withColumns({"place": F.row_number().over(order), "cited": F.array_contains(T.cited_pages(text), F.col("page").cast("int")), "how": how})
+
+
 def rerank(hits: DataFrame, score: Column, query: str = "question_id", key: str = "key", depth: int = X.RERANK_DEPTH) -> DataFrame:
     """The first ``depth`` hits in the order of another model's score, with both ranks."""
     order = Window.partitionBy(query).orderBy(F.desc("rerank"), "rank_before")

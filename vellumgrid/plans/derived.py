@@ -60,7 +60,7 @@ from sales join totals on totals.l_suppkey = sales.l_suppkey join {part} on p_pa
 #: stacked headings, a wrapped label and fused figures, 3 a spread, else a grid. Most pages have a footer and all a unit.
 LINES = """
 with own as (
-  select concat('C', cast(l_suppkey as varchar(20))) as company, cast(floor((rn - 1) / 10) as int) + 1 as page, cast((rn - 1) % 10 as int) as k, concat(p_name, ' ', cast(p_size as varchar(10))) as item,
+  select concat('C', cast(l_suppkey as varchar(20))) as company, cast(floor((rn - 1) / 10) as int) + 1 as page, cast((rn - 1) % 10 as int) as k, concat(p_name, ' kept in the stores ', cast(p_size as varchar(10))) as item,
     cast(cast(l_extendedprice as decimal(18,2)) as varchar(30)) as price, l_quantity
   from (select *, row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber, l_partkey, l_extendedprice) as rn from {lineitem} join {part} on p_partkey = l_partkey) numbered),
 paged as (

@@ -154,7 +154,7 @@ def furniture_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = docs.groupBy("source").agg(F.count("*").alias("pages"))
     lines = docs.select("source", "doc_id", F.explode(F.split("text", "\n")).alias("line")).select("source", "doc_id", T.signature(F.col("line")).alias("signature")).distinct()
     need = F.greatest(F.lit(X.MIN_FURNITURE_PAGES), F.ceil(F.col("pages") * X.MIN_FURNITURE_SHARE))
-    running = lines.groupBy("source", "signature").agg(F.count("*").alias("n")).join(F.broadcast(n), "source").where(F.col("n") >= need)
+    running = lines.groupBy("source", "signature").agg(F.count("*").alias("n")).join(n, "source").where(F.col("n") >= need)
     return lines.join(running.select("source", "signature"), ["source", "signature"], "left_semi").select(F.col("doc_id").alias("page"), "signature").distinct()
 
 
@@ -262,7 +262,7 @@ def question_rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
         "concat('C', item_id) as company",
     )
     text, company = F.col("question"), F.col("company")
-    return q.select("question_id", T.expand_fiscal_years(text).alias("expanded"), F.regexp_replace(T.keyword_query(text, company), " and ", " ").alias("keywords"), T.requested_scope(text).alias("scope"))
+    return q.select("question_id", T.expand_fiscal_years(text).alias("expanded"), T.keyword_query(text, company).alias("keywords"), T.requested_scope(text).alias("scope"))
 
 
 @query(f"""

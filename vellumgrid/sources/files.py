@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import io
 import re
+import time
 import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vellumgrid.functions import fixed as X
@@ -31,16 +32,17 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """The filings' manifest, checked on load: one row a company, a well-formed code and checksum."""
     rows = spark.read.schema(MANIFEST_SCHEMA).option("multiLine", "true").json(path)
-    broken = F.coalesce(~T.matches(F.col("company"), X.COMPANY_CODE) | ~T.matches(F.col("sha256"), X.SHA256), F.lit(True))
+    repeated = F.count("*").over(Window.partitionBy("company")) > 1
+    broken = repeated | F.coalesce(~T.matches(F.col("company"), X.COMPANY_CODE) | ~T.matches(F.col("sha256"), X.SHA256), F.lit(True))
     return rows.withColumn("company", F.when(broken, F.raise_error(F.concat(F.lit("malformed manifest row: "), F.coalesce("company", F.lit("?"))))).otherwise(F.col("company")))
 
 
 def register(registry: DataFrame, new: DataFrame) -> DataFrame:
     """Rows of ``new`` (code, ...) appended; a malformed or known code is an error."""
     known = registry.select(F.col("code").alias("known")).distinct()
-    checked = new.join(known, F.col("code") == F.col("known"), "left")
-    bad = F.when(~F.coalesce(T.matches(F.col("code"), X.COMPANY_CODE), F.lit(False)), "malformed code").when(F.col("known").isNotNull(), "known code")
-    checked = checked.withColumn("code", F.when(bad.isNotNull(), F.raise_error(bad)).otherwise(F.col("code"))).drop("known")
+    checked = new.withColumn("again", F.count("*").over(Window.partitionBy("code")) > 1).join(known, F.col("code") == F.col("known"), "left")
+    bad = F.when(~F.coalesce(T.matches(F.col("code"), X.COMPANY_CODE), F.lit(False)), "malformed code").when(F.col("known").isNotNull(), "known code").when(F.col("again"), "repeated code")
+    checked = checked.withColumn("code", F.when(bad.isNotNull(), F.raise_error(bad)).otherwise(F.col("code"))).drop("known", "again")
     return registry.unionByName(checked, allowMissingColumns=True)
 
 
@@ -163,3 +165,49 @@ def sources_table(manifest: DataFrame) -> DataFrame:
     rows = manifest.agg(F.array_sort(F.collect_list(F.struct("company", row.alias("r")))).alias("rows"))
     head = "| Company | Name | Year | Source | SHA-256 |\n|---|---|---|---|---|\n"
     return rows.select(F.concat(F.lit(head), F.array_join(F.transform("rows", lambda r: r["r"]), "\n"), F.lit("\n")).alias("markdown"))
+
+
+def write_if_changed(path: str, text: str) -> bool:
+    """Write a small generated file only if its text is another; says whether it was written."""
+    try:
+        with open(path, encoding="utf-8") as f:
+            if f.read() == text:
+                return False
+    except FileNotFoundError:
+        pass
+    with open(path, "w", encoding="utf-8") as f:
+        f.write(text)
+    return True
+
+
+LINE_SCHEMA = "path string, page int, line int, text string, x0 double, y0 double, x1 double, y1 double, size double, dy double, block int, height double, width double"
+
+
+def read_lines(spark: SparkSession, paths: str, parse: Callable[[bytes], Iterator[tuple]], seconds: float = 10.0) -> DataFrame:
+    """Line boxes of paged files by an injected reader, as the layout operators take them.
+
+    ``parse`` yields for each page (page, height, width, lines), a line being (spans, x0, y0, x1, y1, dy, block) and a
+    span (text, size); a line's size is that of its longest span. A file whose reader takes longer than ``seconds`` a page on
+    average is an error: reading goes page by page, so the limit is looked at between pages.
+    """
+    files = spark.read.format("binaryFile").load(paths).select("path", "content")
+    names = [f.split()[0] for f in LINE_SCHEMA.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                began = time.monotonic()
+                for n, (page, height, width, lines) in enumerate(parse(content), 1):
+                    rows = []
+                    for i, (spans, x0, y0, x1, y1, dy, block) in enumerate(lines):
+                        size = max(spans, key=lambda s: len(s[0].strip()))[1] if spans else 0.0
+                        rows.append((path, page, i, "".join(s[0] for s in spans), float(x0), float(y0), float(x1), float(y1), float(size), float(dy), block, float(height), float(width)))
+                    if time.monotonic() - began > seconds * n:
+                        raise TimeoutError(f"page {page} of {path} took too long")
+                    if rows:
+                        yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema=_LINES)
+
+    return files.mapInArrow(run, LINE_SCHEMA)
+
+
+_LINES = pa.schema([(f.split()[0], {"string": pa.string(), "int": pa.int32(), "double": pa.float64()}[f.split()[1]]) for f in LINE_SCHEMA.split(", ")])

@@ -1,13 +1,45 @@
-"""Filings that arrive as a stream replace their partition of the index, once for each checksum."""
+"""Filings that arrive as a stream replace their partition of the index when they are whole, once for each checksum."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from vellumgrid.sources import index
+from vellumgrid.sources.tables import keep
+
+
+def _read(df: DataFrame, path: str) -> DataFrame:
+    """The table at ``path``, or an empty one like ``df``."""
+    try:
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return df.limit(0)
+
+
+def put_whole(batch: DataFrame, path: str) -> None:
+    """Put the filings of a batch (chunks with their filing's sha256 and n_chunks) that are whole by now into the index at ``path``.
+
+    Chunks of filings that are not whole yet wait beside the index, under the batches' own names, until the rest comes. A chunk
+    that comes twice counts once; a filing whose checksum is the one in the index changes nothing.
+    """
+    columns = [c for c in batch.columns if c != "n_chunks"]
+    filing = ["company", "sha256"]
+    seen = keep(_read(batch, f"{path}/waiting").unionByName(batch).dropDuplicates([*filing, "fiscal_year", "page", "chunk"]).withColumn("_n", F.count("*").over(Window.partitionBy(*filing))))
+    known = keep(_read(batch.select(*filing), f"{path}/filings"))
+    whole = seen.where("_n >= n_chunks").drop("_n")
+    new = whole.join(known, filing, "left_anti")
+    if not new.isEmpty():
+        index.replace_filings(new.select(*columns).drop("sha256"), path)
+        names = new.select(*filing).distinct()
+        known.join(names.select("company"), "company", "left_anti").unionByName(names).coalesce(1).write.mode("overwrite").parquet(f"{path}/filings")
+    seen.where("_n < n_chunks").drop("_n").write.mode("overwrite").parquet(f"{path}/waiting")
 
 
 def upsert_filings(chunks: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Write each micro-batch of chunks over the partitions of its companies; a repeated batch changes nothing."""
-    return chunks.writeStream.foreachBatch(lambda batch, _: index.replace_filings(batch, path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Every micro-batch through ``put_whole``; a repeated batch changes nothing."""
+    return chunks.writeStream.foreachBatch(lambda batch, _: put_whole(batch, path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
