@@ -7,6 +7,7 @@ similarities mean shared words and nothing more.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -42,7 +43,7 @@ class HashEmbedder:
     def embed(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dim))
         for i, text in enumerate(texts):
-            for word in text.lower().removeprefix(QUERY_INSTRUCTION.lower()).split():
+            for word in re.findall(r"[^\W_]+", text.lower().removeprefix(QUERY_INSTRUCTION.lower())):
                 seed = int.from_bytes(hashlib.sha256(word.encode()).digest()[:8], "little")
                 out[i] += np.random.default_rng(seed).standard_normal(self.dim)
         return out
