@@ -8,7 +8,7 @@ from vellumgrid.functions import models
 from vellumgrid.plans import ask
 from vellumgrid.sources import index
 
-DIM = 32
+DIM = 512
 
 
 class Quoter:
