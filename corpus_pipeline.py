@@ -2,7 +2,9 @@
 
 Every stage works on all rows its predecessor kept and, but for the last, returns the columns of
 ``documents``. Null and blank texts: the quality model decides on them by its bias alone; they are no
-one's near duplicate, hold no repeat and no benchmark window, and encode to no tokens.
+one's near duplicate, hold no repeat and no benchmark window, and encode to no tokens. Ties go to the smallest
+doc_id, repeated rows stay together (all or none of a doc_id's equal rows go), texts may be of any length that a task
+holds, and columns other than those of ``documents``, whatever their names, are dropped.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ Two tokens may stand side by side when the merge rules, applied to their joined
 cross the boundary; answers are memoised. The result equals that of applying the merges by rank.
 
 Null text is encoded as empty: no tokens. Rows are independent of one another, so repeated rows, null
-ids and empty tables need no special case; a text of any length is encoded piece by piece.
+ids and empty tables need no special case; a text of any length is encoded piece by piece. Ranks differ, so there are no
+ties. Other columns, whatever their names, are dropped unless asked for.
 """
 
 from __future__ import annotations

@@ -9,12 +9,13 @@ with the smallest hash, so equal windows have equal phrases. The steps:
    passages (of every repeated window at least that much is the same). They are dealt by hash into shards of about
    ``shard_phrases``, whose number grows with them.
 3. Shard by shard, the phrases are sent to the executors (8 bytes each) and compiled into one Aho-Corasick automaton in each
-   worker, and all documents are streamed through it, a character a word; what it finds, and nothing else, are the phrases' occurrences.
+   worker, through which documents are streamed, a character a word; what it finds, and nothing else, are the phrases' occurrences.
 4. The windows named by the occurrences are confirmed: 128 bits of hash over all their words are grouped, and
    a word is removed if a window over it also starts in a document with a smaller id.
 
-A pass over the documents costs the same for each shard, so beyond one shard the streaming grows with the
-product of text and recurring phrases; memory does not grow.
+With one shard that is every document but the copies. With more, a document passes the shards that any of its own windows'
+phrases, recurring or not, is dealt to: no window of it could be named by another shard's phrases. So a document passes
+no more automata than it has phrases, however many shards there are, and memory does not grow with them.
 
 Null texts have no words; an empty text has none either. A null id is neither earlier nor later than
 another, so such rows are returned whole. Rows that share an id are not earlier than one another; each is
@@ -193,9 +194,11 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
     found = docs.sparkSession.createDataFrame([], f"id {kind}, twin long, found array<int>")
     for shard in range(shards):
         # Bounded by the shard's size: its phrases pass through the driver, never a document's or the whole table's.
-        own = recurring.where(F.pmod(F.xxhash64("phrase"), F.lit(shards)) == shard)
+        dealt = lambda p: F.pmod(F.xxhash64(p), F.lit(shards)) == shard
+        own = recurring.where(dealt(F.col("phrase")))
         shared = context.broadcast([r[0] for r in own.collect()])
-        found = found.unionByName(keep(streamed.select("id", "twin", "codes").mapInArrow(_stream(shared), found.schema)))
+        concerned = streamed if shards == 1 else streamed.where(F.exists("phrase", dealt))
+        found = found.unionByName(keep(concerned.select("id", "twin", "codes").mapInArrow(_stream(shared), found.schema)))
         shared.destroy()
     places = keep(found.groupBy("id", "twin").agg(F.array_distinct(F.flatten(F.collect_list("found"))).alias("found")))
     size = places.agg(F.count("*") * 32 + F.coalesce(F.sum(F.size("found")), F.lit(0)) * 4).first()[0]

@@ -5,7 +5,8 @@ pair that some merge rule joins. The lowest rank is popped until none is left. N
 emitted: the count is the number of initial symbols minus the number of merges.
 
 Null text counts as empty: 0 bytes, 0 tokens. Every row is answered on its own, so repeated rows,
-null ids and empty tables need no special case.
+null ids and empty tables need no special case. Of pairs with equal rank the leftmost is merged first, so there are no other
+ties. A text of any length is counted word by word. Other columns, whatever their names, are dropped.
 """
 
 from __future__ import annotations
