@@ -7,6 +7,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from vellumgrid.llm import substring_dedup
 from vellumgrid.llm._words import SPACE, buffers, gram_hashes, span_hashes, spans
@@ -76,14 +77,34 @@ def test_texts_of_one_id_whose_names_agree(spark, monkeypatch):
     assert found_repeats(spark.createDataFrame(rows, "doc_id long, text string")) == without_repeats(rows)
 
 
-def test_every_document_streams_through_every_shard(spark):
+def shared_parts():
     rng = random.Random(9)
     parts = [prose(rng, rng.randint(20, 60)) for _ in range(12)]
-    rows = [(i, " ".join(rng.choice(parts) for _ in range(rng.randint(0, 5)))) for i in range(60)] + [(99, prose(rng, 300))]
+    return [(i, " ".join(rng.choice(parts) for _ in range(rng.randint(0, 5)))) for i in range(60)] + [(99, prose(rng, 300)), (100, "short"), (101, None)]
+
+
+@pytest.mark.parametrize(("shard_phrases", "part_words"), [(1000, 1 << 20), (7, 1 << 20), (3, 500)])
+def test_every_document_streams_through_every_shard(spark, monkeypatch, shard_phrases, part_words):
+    """Rows are counted as they reach the automata: documents (but word-for-word copies) times shards, however many there are."""
+    rows = shared_parts()
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert found_repeats(df) == without_repeats(rows)
-    many = substring_dedup.remove_spans(df, substring_dedup.find_repeats(df, shard_phrases=7))
-    assert {(r["doc_id"], r["kept_text"]) for r in many.collect()} == {(i, kept) for i, _, _, kept in without_repeats(rows)}
+    dealt = []
+    real = substring_dedup.streamed
+
+    def spied(documents, recurring, own=shard_phrases, words=part_words):
+        dealt.append((documents.count(), -(-recurring.count() // shard_phrases), real(documents, recurring, shard_phrases, part_words)))
+        return dealt[-1][2]
+
+    monkeypatch.setattr(substring_dedup, "streamed", spied)
+    cut = substring_dedup.remove_spans(df, substring_dedup.find_repeats(df))
+    assert {(r["doc_id"], r["kept_text"]) for r in cut.collect()} == {(i, kept) for i, _, _, kept in without_repeats(rows)}
+    documents, shards, passing = dealt[0]
+    # Copies are one class; every other document takes part, with phrases or without.
+    assert documents == len({tuple((t or "").split()) if len((t or "").split()) >= 50 else i for i, t in rows})
+    assert (shards > 1) == (shard_phrases < 100)
+    per_shard = {r["shard"]: r["n"] for r in passing.where("phrase is null").groupBy("shard").agg(F.count("*").alias("n")).collect()}
+    assert per_shard == {shard: documents for shard in range(shards)}
+    assert passing.where("phrase is not null").groupBy("salt").agg(F.countDistinct("phrase").alias("n")).select("n").distinct().count() == 1
 
 
 def test_occurrences_come_from_the_automaton():
@@ -105,30 +126,3 @@ def test_occurrences_come_from_the_automaton():
     automaton = substring_dedup.compile_phrases([phrase(12), phrase(250)])
     assert substring_dedup.occurrences(Spy(automaton), codes) == [12, 250] and substring_dedup.occurrences(Spy(automaton), b"") == [] and streamed == [len(words), 0]
     assert not substring_dedup.occurrences(Spy(substring_dedup.compile_phrases([phrase(12) ^ 1])), codes)
-
-
-def test_documents_without_phrases_are_streamed_too(spark, monkeypatch):
-    """Every document but word-for-word copies reaches every automaton, whatever it holds."""
-    seen = spark.sparkContext.accumulator(0)
-    real = substring_dedup._stream
-
-    def spied(shared):
-        run = real(shared)
-
-        def count(batches):
-            def each():
-                for b in batches:
-                    seen.add(b.num_rows)
-                    yield b
-
-            return run(each())
-
-        return count
-
-    monkeypatch.setattr(substring_dedup, "_stream", spied)
-    rng = random.Random(10)
-    passage = prose(rng, 80)
-    rows = [(1, passage + " " + prose(rng, 40)), (2, prose(rng, 30) + " " + passage), (3, prose(rng, 200)), (4, "short"), (5, None)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    substring_dedup.find_repeats(df, shard_phrases=1000).count()
-    assert seen.value == len(rows)

@@ -229,3 +229,27 @@ def test_multi_megabyte_text(spark):
     long = spark.createDataFrame([(1, (in_language(rng, "yy", 2000) + "\n") * 300)], "doc_id long, text string")
     assert language_mix.identify(long, model).first()["lang_pred"] == "yy"
     assert 0 <= quality_model.score(long, np.zeros((1 << quality_model.BITS) + 1, np.float32)).first()["score"] <= 1
+
+
+def test_words_impossible_in_a_language_leave_no_nan():
+    """A likelihood that underflows under all languages of a set is small, not nothing."""
+    likely = np.full((2, 3), -400.0, dtype=np.float32)
+    likely[0, 0], likely[1, 1] = -5.0, -5.0
+    with np.errstate(all="raise", under="ignore"):
+        share = language_mix.infer(likely, np.zeros(2, dtype=np.int64), 1, times=np.array([3_000_000, 1]))
+        few = language_mix.infer(likely[[0] * 50 + [1]], np.zeros(51, dtype=np.int64), 1)
+        many = language_mix.infer(likely[[0, 1]], np.zeros(2, dtype=np.int64), 1, times=np.array([1, 1]))
+    for got in (share, few, many):
+        assert np.isfinite(got).all() and abs(got.sum() - 1) < 1e-6
+    assert share[0, 0] > 0.99 and few[0, 0] > 0.9 and few[0, 1] > 0
+
+
+def test_a_long_text_with_one_foreign_word_has_a_language(spark, monkeypatch):
+    rng = random.Random(21)
+    rows = [(i, in_language(rng, lang, 40), lang) for i, lang in enumerate(sorted(LANGS) * 30)]
+    model = language_mix.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    model = language_mix.Model(model.languages, model.tables * np.float32(40))  # far apart, as tables over large samples are
+    monkeypatch.setattr(language_mix, "BLOCK", 4096)
+    text = in_language(rng, "xx", 20_000) + " " + LANGS["zz"][0] * 3
+    got = language_mix.identify(spark.createDataFrame([(1, text), (2, "schl ba")], "doc_id long, text string"), model).collect()
+    assert [r["lang_pred"] for r in got][0] == "xx" and all(0 < r["score"] <= 1 for r in got)

@@ -1,8 +1,8 @@
 """Document fingerprints by order MinHash, as column expressions.
 
 A text is cut into tokens (words, long ones in pieces of ``PIECE`` characters) and its k-mers of ``K`` tokens are numbered by occurrence,
-so that every one of them is an element of its own. The ``SKETCH`` elements of smallest hash are kept; then for each of ``SIZE`` permutations the
-``TUPLE`` minimal ones are selected, put back into the order in which they stand in the text and hashed as a tuple. Two texts agree
+so that every one of them is an element of its own. The ``SKETCH`` elements of smallest hash are kept; then for each of ``SIZE`` permutations the two
+minimal ones are selected and hashed as a tuple, in the order in which they stand in the text. Two texts agree
 in a tuple if they share those elements and have them in the same order, so the share of equal tuples falls with their edit
 distance and not only with their sets of k-mers. A fingerprint is all tuples' hashes, ``HEX`` hex digits each.
 
@@ -30,8 +30,7 @@ from vellumgrid.llm.sharding import SAMPLES_PER_RANGE, _assign, _splitters
 PIECE = 12
 K = 3
 SKETCH = 96
-SIZE = 32
-TUPLE = 2
+SIZE = 64
 HEX = 8
 PLACE = 30
 
@@ -55,7 +54,7 @@ def tokens(text: Column) -> Column:
 
 
 def _elements(words: Column) -> Column:
-    """The SKETCH smallest occurrence-numbered k-mers."""
+    """The hashes of the SKETCH smallest occurrence-numbered k-mers, in the order of the text."""
     last = F.greatest(F.size(words) - K, F.lit(0))
     kmers = F.transform(F.sequence(F.lit(0), last), lambda i: _packed(F.xxhash64(*[F.get(words, i + j) for j in range(K)]), i.cast("long")))
 
@@ -64,20 +63,27 @@ def _elements(words: Column) -> Column:
         counts = _let(first, lambda at: F.flatten(F.transform(at, lambda a, i: F.sequence(F.lit(1), F.coalesce(F.get(at, i + 1), F.size(sorted_)) - a))))
         return F.zip_with(sorted_, counts, lambda p, n: _packed(F.xxhash64(F.shiftright(p, PLACE), n), p))
 
-    return F.slice(F.sort_array(_let(F.sort_array(kmers), numbered)), 1, SKETCH)
+    smallest = F.slice(F.sort_array(_let(F.sort_array(kmers), numbered)), 1, SKETCH)
+    placed = F.transform(smallest, lambda v: F.shiftleft(v.bitwiseAND(F.lit(_LOW)), 63 - PLACE).bitwiseOR(F.shiftrightunsigned(v, PLACE + 1)))
+    return F.transform(F.sort_array(placed), lambda v: v.bitwiseAND(F.lit((1 << (63 - PLACE)) - 1)))
 
 
-def _tuple(sketch: Column, permutation: Column) -> Column:
-    """32 bits of the hash of a permutation's minimal elements in the order of the text."""
-    permuted = F.transform(sketch, lambda e: _packed(F.xxhash64(F.shiftright(e, PLACE), permutation), e))
-    minimal = F.slice(F.sort_array(permuted), 1, TUPLE)
-    placed = F.sort_array(F.transform(minimal, lambda v: F.shiftleft(v.bitwiseAND(F.lit(_LOW)), 63 - PLACE).bitwiseOR(F.shiftrightunsigned(v, PLACE + 1))))
-    return F.xxhash64(F.transform(placed, lambda v: v.bitwiseAND(F.lit((1 << (63 - PLACE)) - 1)))).bitwiseAND(F.lit(0xFFFFFFFF))
+def _pair(elements: Column, permutation: Column) -> Column:
+    """32 bits of the hash of a permutation's two minimal elements in the order of the text (of one element, of itself twice)."""
+    index = (1 << SKETCH.bit_length()) - 1
+    permuted = F.transform(elements, lambda e, i: F.xxhash64(e, permutation).bitwiseAND(F.lit(~index)).bitwiseOR(i.cast("long")))
+
+    def minimal(values: Column, smallest: Column) -> Column:
+        a = smallest.bitwiseAND(F.lit(index)).cast("int")
+        b = F.array_min(F.array_remove(values, smallest)).bitwiseAND(F.lit(index)).cast("int")
+        return F.xxhash64(F.get(elements, F.least(a, b)), F.get(elements, F.greatest(a, b))).bitwiseAND(F.lit(0xFFFFFFFF))
+
+    return _let(permuted, lambda values: _let(F.array_min(values), lambda smallest: minimal(values, smallest)))
 
 
 def signature(text: Column) -> Column:
     """The tuples' hashes of a text; empty for a text without tokens."""
-    some = lambda words: F.when(F.size(words) > 0, _let(_elements(words), lambda sketch: F.transform(F.sequence(F.lit(1), F.lit(SIZE)), lambda i: _tuple(sketch, i))))
+    some = lambda words: F.when(F.size(words) > 0, _let(_elements(words), lambda elements: F.transform(F.sequence(F.lit(1), F.lit(SIZE)), lambda i: _pair(elements, i))))
     return F.coalesce(_let(tokens(text), some), F.array().cast("array<bigint>"))
 
 
