@@ -37,6 +37,8 @@ TOLERANCE = 1e-3
 #: Characters of a text that are looked at at once.
 BLOCK = 1 << 20
 SMOOTHING = 0.25
+#: Log-likelihood that a word has under any language at least, against its best one: e^-80 is a normal number of 32 bits.
+FLOOR = np.float32(-80)
 UNKNOWN = "und"
 
 
@@ -143,7 +145,8 @@ def infer(likely: np.ndarray, docs: np.ndarray, n_docs: int, penalty: float = 0.
     weight = None if times is None else times.astype(np.float32)[:, None]
     words = sizes if times is None else np.add.reduceat(times, first)
     top = likely.max(1)
-    ratio = np.exp(likely - top[:, None])
+    # Floored: a set without a word's own language still gives it some likelihood, so that no total is 0.
+    ratio = np.exp(np.maximum(likely - top[:, None], FLOOR))
     base = np.add.reduceat(top.astype(np.float64) if times is None else top.astype(np.float64) * times, first)
 
     def em(start: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -160,7 +163,7 @@ def infer(likely: np.ndarray, docs: np.ndarray, n_docs: int, penalty: float = 0.
                 begin = np.concatenate(([0], np.cumsum(sizes[among[known]])[:-1]))
             mixed = r * w[known][own]
             total = mixed.sum(1, keepdims=True)
-            fit[known] = np.add.reduceat(np.log(total[:, 0].astype(np.float64) + 1e-300) * (1 if t is None else t[:, 0]), begin)
+            fit[known] = np.add.reduceat(np.log(total[:, 0].astype(np.float64)) * (1 if t is None else t[:, 0]), begin)
             mixed /= total
             new = np.add.reduceat(mixed if t is None else mixed * t, begin, axis=0) / n[:, None].astype(np.float32)
             new = np.maximum(new, np.float32(1e-30)) * (start[known] > 0)

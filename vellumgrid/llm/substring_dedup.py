@@ -8,14 +8,14 @@ with the smallest hash, so equal windows have equal phrases. The steps:
 2. Phrases that recur together with half a window's other words on one side, under two or more ids, are those of the recurring
    passages (of every repeated window at least that much is the same). They are dealt by hash into shards of about
    ``shard_phrases``, whose number grows with them.
-3. Shard by shard, the phrases are sent to the executors (8 bytes each) and compiled into one Aho-Corasick automaton in each
-   worker, through which documents are streamed, a character a word; what it finds, and nothing else, are the phrases' occurrences.
+3. Every document but the copies, as codes (a character a word), is dealt to every shard, and each shard's phrases to all its
+   parts, in one exchange. A worker compiles a part's phrases, which come first, into an Aho-Corasick automaton and streams the
+   part's documents through it; what it finds, and nothing else, are the phrases' occurrences.
 4. The windows named by the occurrences are confirmed: 128 bits of hash over all their words are grouped, and
    a word is removed if a window over it also starts in a document with a smaller id.
 
-With one shard that is every document but the copies. With more, a document passes the shards that any of its own windows'
-phrases, recurring or not, is dealt to: no window of it could be named by another shard's phrases. So a document passes
-no more automata than it has phrases, however many shards there are, and memory does not grow with them.
+So documents are streamed as many times as there are shards, whatever they hold; a worker's memory is set by ``shard_phrases`` and
+the driver only learns counts.
 
 Null texts have no words; an empty text has none either. A null id is neither earlier nor later than
 another, so such rows are returned whole. Rows that share an id are not earlier than one another; each is
@@ -43,8 +43,10 @@ WINDOW = 50
 #: Words of a phrase; each is a Latin-1 character of its hash in the automata, and all are one long integer.
 PHRASE = 8
 SLICE_BYTES = 1 << 20
-#: Phrases of an automaton: about 60 MB in a worker.
-SHARD_PHRASES = 1 << 17
+#: Phrases of an automaton: at most about 120 MB in a worker.
+SHARD_PHRASES = 1 << 18
+#: Words (bytes of codes) of a shard's part.
+PART_WORDS = 4 << 20
 #: Mixed into the second half of a window's 128 bits.
 SECOND = 0xA24BAED4963EE407
 
@@ -114,18 +116,41 @@ def occurrences(automaton: ahocorasick.Automaton, codes: bytes) -> list[int]:
     return [end - PHRASE + 1 for end, _ in automaton.iter(codes.decode("latin-1"))]
 
 
-def _stream(shared):
-    """All documents, as codes, through the automaton of one shard's phrases."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = None
-        for part in slices(batches, "codes", SLICE_BYTES):
-            automaton = automaton or compile_phrases(shared.value)
-            found = pa.array([occurrences(automaton, c.as_buffer().to_pybytes()) for c in part.column(2)], pa.list_(pa.int32()))
-            some = pa.compute.greater(pa.compute.list_value_length(found), 0)
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), found], names=["id", "twin", "found"]).filter(some)
-
-    return run
+def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parts of shards, one after another: first their phrases, then the documents, as codes, which the automaton reads."""
+    own, phrases, automaton = None, [], None
+    for part in slices(batches, "codes", SLICE_BYTES):
+        shards, salts, ids, twins, codes, phrase = part.columns
+        where = np.stack([shards.to_numpy(), salts.to_numpy()], axis=1)
+        cuts = np.flatnonzero(np.concatenate(([True], (np.diff(where, axis=0) != 0).any(1)))).tolist()
+        for a, b in zip(cuts, [*cuts[1:], part.num_rows], strict=True):
+            if where[a, 0] != own:
+                own, phrases, automaton = where[a, 0], [], None
+            new = phrase.slice(a, b - a).drop_null()
+            if automaton is None:  # else another part of the same shard, with the same phrases
+                phrases += new.to_pylist()
+            at = a + len(new)
+            if at < b:
+                automaton = automaton or compile_phrases(phrases)
+                found = pa.array([occurrences(automaton, c.as_buffer().to_pybytes()) for c in codes.slice(at, b - at)], pa.list_(pa.int32()))
+                some = pa.compute.greater(pa.compute.list_value_length(found), 0)
+                yield pa.RecordBatch.from_arrays([ids.slice(at, b - at), twins.slice(at, b - at), found], names=["id", "twin", "found"]).filter(some)
+
+
+def streamed(documents: DataFrame, recurring: DataFrame, shard_phrases: int = SHARD_PHRASES, part_words: int = PART_WORDS) -> DataFrame:
+    """Every document (id, twin, codes), once for each shard of the phrases, with those phrases, in their parts and in order.
+
+    Columns: shard, salt, id, twin, codes, phrase; a phrase's row has no codes and stands before its part's documents.
+    """
+    shards = -(-recurring.count() // shard_phrases)
+    words = documents.agg(F.coalesce(F.sum(F.octet_length("codes")), F.lit(0))).first()[0]
+    salts = max(1, -(-words // part_words))
+    part = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    names = ("shard", "salt", "id", "twin", "codes", "phrase")
+    dealt = documents.withColumn("phrase", F.lit(None).cast("long")).withColumn("salt", F.pmod(F.xxhash64("id", "twin"), F.lit(salts)).cast("int"))
+    dealt = (dealt.withColumn("shard", part(shards)) if shards else dealt.withColumn("shard", F.lit(0)).where(F.lit(False))).select(*names)
+    own = recurring.select(F.pmod(F.xxhash64("phrase"), F.lit(max(1, shards))).cast("int").alias("shard"), part(salts).alias("salt"), *[F.lit(None).cast(kind).alias(c) for c, kind in documents.dtypes], "phrase").select(*names)
+    return dealt.unionByName(own).repartition(max(1, shards * salts), "shard", "salt").sortWithinPartitions("shard", "salt", F.col("phrase").asc_nulls_last())
 
 
 def _locate(window: int):
@@ -173,7 +198,6 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
     """id, twin (see ``text_key``) and spans: the word ranges that repeat an earlier document, one row for each text that has any."""
     if window < PHRASE:
         raise ValueError(f"a window has at least {PHRASE} words")
-    context = docs.sparkSession.sparkContext
     base = columns(docs, id=id_col, text=text_col).where("id is not null").select("id", text_key(F.col("text")).alias("twin"), "text")
     kind = dict(base.dtypes)["id"]
     prints = keep(base.mapInArrow(_read(window), f"id {kind}, twin long, n_words long, words_sha binary, codes binary, phrase array<bigint>, context array<bigint>"))
@@ -186,20 +210,12 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
     copies = keep(slim.where("id > first_id").select("id", "twin", F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_words").alias("end"))).alias("spans")).distinct())
     # The rows that take part: all but the copies.
     names = small(copies.select("id", "twin"), 32)
-    streamed = prints.select("id", "twin", "codes", "phrase", "context").join(names, ["id", "twin"], "left_anti")
-    each = streamed.select("id", F.explode(F.arrays_zip("phrase", "context")).alias("p")).select("id", "p.phrase", "p.context")
+    taking_part = prints.select("id", "twin", "codes", "phrase", "context").join(names, ["id", "twin"], "left_anti")
+    each = taking_part.select("id", F.explode(F.arrays_zip("phrase", "context")).alias("p")).select("id", "p.phrase", "p.context")
     confirmed = each.groupBy("context").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.first("phrase").alias("phrase")).where("a < b")
     recurring = keep(confirmed.select("phrase").distinct())
-    shards = -(-recurring.count() // shard_phrases)
-    found = docs.sparkSession.createDataFrame([], f"id {kind}, twin long, found array<int>")
-    for shard in range(shards):
-        # Bounded by the shard's size: its phrases pass through the driver, never a document's or the whole table's.
-        dealt = lambda p: F.pmod(F.xxhash64(p), F.lit(shards)) == shard
-        own = recurring.where(dealt(F.col("phrase")))
-        shared = context.broadcast([r[0] for r in own.collect()])
-        concerned = streamed if shards == 1 else streamed.where(F.exists("phrase", dealt))
-        found = found.unionByName(keep(concerned.select("id", "twin", "codes").mapInArrow(_stream(shared), found.schema)))
-        shared.destroy()
+    passing = streamed(taking_part.select("id", "twin", "codes"), recurring, shard_phrases)
+    found = passing.mapInArrow(_stream, f"id {kind}, twin long, found array<int>")
     places = keep(found.groupBy("id", "twin").agg(F.array_distinct(F.flatten(F.collect_list("found"))).alias("found")))
     size = places.agg(F.count("*") * 32 + F.coalesce(F.sum(F.size("found")), F.lit(0)) * 4).first()[0]
     texts = base.join(F.broadcast(places) if size <= BROADCAST_BYTES else places, ["id", "twin"]).select("id", "twin", "text", "found")
