@@ -52,8 +52,8 @@ def test_stored_terms_and_blocks_give_the_same(spark, built, tmp_path, monkeypat
     q = asked(spark, ("a", "What were BEL standalone total assets?", "BEL"), ("b", "total assets", None), ("c", "consolidated total assets of the group", "BEL"), ("d", "radar and ships", "HCC"))
     rows = lambda **kw: sorted((r["question_id"], r["rank"], r["company"], r["page"], r["chunk"], round(r["rrf"], 9), round(r["score"], 6)) for r in ask.search(built, q, make, DIM, k=8, **kw).collect())
     plain = rows()
-    index.write_text_index(built, str(tmp_path))
-    assert rows(stored=index.open_text_index(spark, str(tmp_path))) == plain
+    index.write_index(built, str(tmp_path / "i"), "hash", DIM)
+    assert rows(stored=index.open_text_index(spark, str(tmp_path / "i"))) == plain
     monkeypatch.setattr("vellumgrid.operators.search.BROADCAST_BYTES", -1)
     monkeypatch.setattr("vellumgrid.operators.search.BLOCK_ROWS", 2)
     assert rows() == plain

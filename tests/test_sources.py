@@ -97,7 +97,7 @@ def test_index_round_trip_and_replacement(spark, tmp_path):
     index.replace_filings(new, path)
     rows = index.open_index(spark, path, "hash")
     assert {(r["company"], r["page"]) for r in rows.collect()} == expected == {("A", 9), ("B", 1)}
-    plan = rows.where("company = 'A'")._jdf.queryExecution().executedPlan().toString()
+    plan = rows.where("company = 'B'")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(company" in plan
     with pytest.raises(Exception, match="not of 3 numbers"):
         index.write_index(new, path, "hash", 3)

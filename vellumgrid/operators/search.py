@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from vellumgrid.functions import fixed as X
 from vellumgrid.functions import text as T
+from vellumgrid.sources.tables import keep
 
 #: Bytes up to which a counted table is sent to every executor.
 BROADCAST_BYTES = 48 << 20
@@ -35,25 +37,32 @@ def unit(vector: Column) -> Column:
     return F.transform(wide, lambda x: x / norm)
 
 
-def _blocks(table: DataFrame, by: str, columns: list[Column], name: str) -> DataFrame:
-    """Rows packed into about BLOCK_ROWS a block, by a hash of ``by``."""
-    n = max(1, -(-table.count() // BLOCK_ROWS))
-    return table.groupBy(F.pmod(F.xxhash64(by), F.lit(n)).alias("b")).agg(F.collect_list(F.struct(*columns)).alias(name)).select(name)
+def _blocks(table: DataFrame, by: str, columns: list[Column], name: str, company: bool) -> DataFrame:
+    """Rows packed into about BLOCK_ROWS a block, by company if wanted and by a hash of ``by``."""
+    keyed = table.withColumn("g", F.coalesce("c", F.lit("")) if company else F.lit(""))
+    counted = keyed.groupBy("g").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("n"))
+    return keyed.join(counted, "g").groupBy("g", F.pmod(F.xxhash64(by), F.col("n")).alias("b")).agg(F.collect_list(F.struct(*columns)).alias(name)).select("g", name)
+
+
+def _matrix(vectors: pa.Array) -> np.ndarray:
+    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(vectors), -1) if len(vectors) else np.empty((0, 0))
 
 
 class _Asked:
     """Questions as a matrix, found by the company they ask."""
 
-    def __init__(self, rows: list[tuple]):
-        self.names, self.matrix = [r[0] for r in rows], np.array([r[1] for r in rows], dtype=np.float64).reshape(len(rows), -1)
-        self.scopes = np.array([r[3] or "" for r in rows], dtype=object)
+    def __init__(self, names: pa.Array, vectors: pa.Array, companies: pa.Array, scopes: pa.Array):
+        self.names, self.kind, self.matrix = names.to_pylist(), names.type, _matrix(vectors)
+        self.scopes = np.array([x or "" for x in scopes.to_pylist()], dtype=object)
         self.of: dict[str | None, list[int]] = {}
-        for i, r in enumerate(rows):
-            self.of.setdefault(r[2], []).append(i)
+        for i, company in enumerate(companies.to_pylist()):
+            self.of.setdefault(company, []).append(i)
 
-    def best(self, keys: list, vectors: np.ndarray, companies: list, scopes: list, k: int) -> Iterator[pa.RecordBatch]:
+    def best(self, names: pa.Array, vectors: pa.Array, companies: pa.Array, scopes: pa.Array, k: int) -> Iterator[pa.RecordBatch]:
         """The k best rows for each question that these rows may answer."""
-        keys, companies, scopes = np.array(keys), np.array(companies, dtype=object), np.array(scopes, dtype=object)
+        keys, companies, scopes = np.array(names.to_pylist()), np.array(companies.to_pylist(), dtype=object), np.array(scopes.to_pylist(), dtype=object)
+        vectors = _matrix(vectors)
         for company, places in [(None, np.arange(len(keys)))] + [(c, np.flatnonzero(companies == c)) for c in set(companies.tolist()) if c is not None]:
             asking = np.array(self.of.get(company, []), dtype=np.int64)
             for at in range(0, len(asking), QUERY_BLOCK):
@@ -66,97 +75,111 @@ class _Asked:
                     out_k += keys[places[order]].tolist()
                     out_s += s[order].tolist()
                 if out_q:
-                    yield pa.RecordBatch.from_arrays([pa.array(out_q), pa.array(out_k), pa.array(out_s, pa.float64())], names=["q", "k", "s"])
+                    yield pa.RecordBatch.from_arrays([pa.array(out_q, self.kind), pa.array(out_k, names.type), pa.array(out_s, pa.float64())], names=["q", "k", "s"])
 
 
-def vector_topk(index: DataFrame, queries: DataFrame, k: int = X.FUSION_DEPTH, key: str = "key", vector: str = "vector", query: str = "question_id", company: str | None = None, scope: str | None = None) -> DataFrame:
+def vector_topk(index: DataFrame, queries: DataFrame, k: int = X.FUSION_DEPTH, key: str = "key", vector: str = "vector", query: str = "question_id", company: str | None = None, scope: str | None = None, of: str = "company") -> DataFrame:
     """question_id, key, score and rank of the k nearest rows by dot product.
 
     ``queries``: question_id, vector and, if named, the company and scope each asks (null: any); the rows' are in
-    ``company`` and ``scope``. Queries counted small are sent to every task, which multiplies them with its rows in
-    blocks and lets only the best k of each block pass on; more of them are packed into blocks that meet the
-    rows' blocks one by one. Ties go to the smaller key.
+    ``of`` and ``scope``. Queries counted small are sent to every task, which multiplies them with its rows in
+    blocks and lets only the best k of each block pass on. More of them are packed into blocks by company, which meet the blocks of
+    their own company's rows by an equality join; only questions that ask any company meet all blocks. Ties go to the smaller key.
     """
     none = F.lit(None).cast("string")
-    asked = queries.select(F.col(query).alias("q"), F.col(vector).alias("v"), (F.col(company) if company else none).alias("c"), (F.col(scope) if scope else none).alias("s"))
+    asked = keep(queries.select(F.col(query).alias("q"), F.col(vector).alias("v"), (F.col(company) if company else none).alias("c"), (F.col(scope) if scope else none).alias("s")))
     kind, name_kind = dict(index.dtypes)[key], dict(queries.dtypes)[query]
-    rows = index.where(F.col(vector).isNotNull()).select(F.col(key).alias("k"), F.col(vector).alias("v"), (F.col("company") if company else none).alias("c"), (F.col("scope") if scope else none).alias("s"))
+    rows = index.where(F.col(vector).isNotNull()).select(F.col(key).alias("k"), F.col(vector).alias("v"), (F.col(of) if company else none).alias("c"), (F.col("scope") if scope else none).alias("s"))
     schema = f"q {name_kind}, k {kind}, s double"
-    first = asked.first()
-    n, width = asked.count(), len(first["v"]) if first else 0
-    if n * (8 * width + 200) <= BROADCAST_BYTES:
-        shared = index.sparkSession.sparkContext.broadcast([tuple(r) for r in asked.collect()])
+    size = asked.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width")).first()
+    if size["n"] * (8 * (size["width"] or 0) + 200) <= BROADCAST_BYTES:
+        shared = index.sparkSession.sparkContext.broadcast(asked.toArrow().combine_chunks())
 
         def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own = _Asked(shared.value)
+            own = _Asked(*(c.combine_chunks() for c in shared.value.columns))
             for batch in batches:
                 if batch.num_rows and own.names:
-                    keys, vectors, companies, scopes = (batch.column(i) for i in range(4))
-                    yield from own.best(keys.to_pylist(), np.stack(vectors.to_numpy(zero_copy_only=False)).astype(np.float64), companies.to_pylist(), scopes.to_pylist(), k)
+                    yield from own.best(*batch.columns, k)
 
         near = rows.mapInArrow(sent, schema)
     else:
         cells = [F.col(c) for c in ("v", "c", "s")]
-        pairs = _blocks(rows, "k", [F.col("k"), *cells], "rows").crossJoin(_blocks(asked, "q", [F.col("q"), *cells], "asked"))
+        packed = lambda frame, name, by, keyed: _blocks(frame, name, [F.col(name), *cells], by, keyed)
+        pairs = packed(rows, "k", "rows", True).join(packed(asked.where("c is not null"), "q", "asked", True), "g").select("rows", "asked")
+        anyone = packed(asked.where("c is null"), "q", "asked", False).select("asked")
+        # A stated set of questions against all rows, block by block: there is no key to join them by.
+        pairs = pairs.unionByName(packed(rows, "k", "rows", False).crossJoin(anyone).select("rows", "asked"))
 
         def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for found, questions in zip(batch.column(0), batch.column(1), strict=True):
-                    own = _Asked([tuple(q.values()) for q in questions.as_py()])
-                    keys, vectors, companies, scopes = zip(*(r.values() for r in found.as_py()), strict=True)
-                    yield from own.best(list(keys), np.array(vectors, dtype=np.float64), list(companies), list(scopes), k)
+                    yield from _Asked(*questions.values.flatten()).best(*found.values.flatten(), k)
 
         near = pairs.mapInArrow(met, schema)
     order = Window.partitionBy("q").orderBy(F.desc("s"), "k")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(F.col("q").alias(query), F.col("k").alias(key), F.col("s").alias("score"), "rank")
 
 
-def text_totals(docs: DataFrame, text: str = "text", group: str | None = None) -> DataFrame:
-    """n_docs and mean_length (terms of a document) of the collection, or of each group."""
-    length = F.regexp_count(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(T.TERM))
-    return docs.groupBy(*([group] if group else [])).agg(F.count("*").alias("n_docs"), F.avg(length).alias("mean_length"))
+@dataclass(frozen=True)
+class TextIndex:
+    """An inverted index: postings (key, term, tf, length and what was carried), df of each term, n_docs and mean_length; the last two by group, if any."""
+
+    postings: DataFrame
+    df: DataFrame
+    totals: DataFrame
+
 
+def _each_term(docs: DataFrame, keep_cols: list[str], text: str) -> DataFrame:
+    """A row for each term of each document and one, without a term, for the document; texts are cut once."""
+    terms = docs.select(*keep_cols, T.tokens(F.coalesce(F.col(text), F.lit(""))).alias("terms"))
+    return terms.select(*keep_cols, F.size("terms").alias("length"), F.explode(F.concat("terms", F.array(F.lit(None).cast("string")))).alias("term"))
 
-def postings(docs: DataFrame, key: str = "key", text: str = "text", group: str | None = None, only: DataFrame | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
-    """The inverted index: key, term, tf, length (terms of the document) and df, with the group column, if any, and ``carry``.
 
-    Texts are cut into terms once. With ``only`` (term and the group column) no other terms are counted: they are
-    gone before the shuffle.
+def term_counts(docs: DataFrame, key: str = "key", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """key, ``carry``, length, term and tf of every term of every document."""
+    names = [key, *carry]
+    return _each_term(docs, names, text).where("term is not null").groupBy(*names, "length", "term").agg(F.count("*").alias("tf"))
+
+
+def text_index(docs: DataFrame, key: str = "key", text: str = "text", group: str | None = None, only: DataFrame | None = None, carry: tuple[str, ...] = ()) -> TextIndex:
+    """The inverted index of documents. With ``only`` (term and the group column) no other terms are counted: they are gone before the shuffle.
+
+    Counted terms are kept, so that a text is cut once for postings, document counts and totals. Every statistic is a partial
+    aggregation: a term that all documents hold is not gathered anywhere.
     """
     by = [group] if group else []
-    keep = [key, *by, *(c for c in carry if c not in by)]
-    terms = docs.select(*keep, T.tokens(F.coalesce(F.col(text), F.lit(""))).alias("terms"))
-    each = terms.select(*keep, F.size("terms").alias("length"), F.explode_outer("terms").alias("term")).where("term is not null")
+    names = [key, *by, *(c for c in carry if c not in by)]
+    each = _each_term(docs, names, text)
     if only is not None:
-        each = each.join(only, ["term", *by], "left_semi")
-    counted = each.groupBy(*keep, "length", "term").agg(F.count("*").alias("tf"))
-    return counted.withColumn("df", F.count("*").over(Window.partitionBy("term", *by)))
+        each = each.join(only.withColumn("_asked", F.lit(True)), ["term", *by], "left").where("term is null or _asked").drop("_asked")
+    counted = keep(each.groupBy(*names, "length", "term").agg(F.count("*").alias("tf")))
+    postings = counted.where("term is not null")
+    lengths = counted.where("term is null").groupBy(*by).agg(F.sum("tf").alias("n_docs"), F.sum(F.col("tf") * F.col("length")).alias("n_terms"))
+    return TextIndex(postings, postings.groupBy("term", *by).agg(F.count("*").alias("df")), lengths.withColumn("mean_length", F.col("n_terms") / F.col("n_docs")).drop("n_terms"))
 
 
-def keyword_topk(docs: DataFrame | None, queries: DataFrame, k: int = X.FUSION_DEPTH, key: str = "key", text: str = "text", query: str = "question_id", group: str | None = None, belongs: Column | None = None, carry: tuple[str, ...] = (), stored: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+def keyword_topk(docs: DataFrame | None, queries: DataFrame, k: int = X.FUSION_DEPTH, key: str = "key", text: str = "text", query: str = "question_id", group: str | None = None, belongs: Column | None = None, carry: tuple[str, ...] = (), stored: TextIndex | None = None) -> DataFrame:
     """question_id, key, score and rank of the k best documents by BM25.
 
     Statistics are those of the whole collection, or with ``group`` those of each group, in which case
     ``queries`` carry the group they ask and only its documents compete. ``belongs`` says, over the columns of ``queries``
-    and those of the documents in ``carry``, which documents compete for a question. With ``stored`` (postings and totals,
-    as ``postings`` and ``text_totals`` make them) no text is read. Ties go to the smaller key.
+    and those of the documents in ``carry``, which documents compete for a question. With ``stored`` no text is read. Ties go to the smaller key.
     """
     by = [group] if group else []
     others = [c for c in queries.columns if c not in (query, "text", *by)] if belongs is not None else []
-    asked = queries.select(query, *by, *others, F.explode_outer(F.array_distinct(T.tokens(F.col("text")))).alias("term")).where("term is not null")
-    size = asked.count() * 64
-    terms = asked.select("term", *by).distinct()
-    if size <= BROADCAST_BYTES:
-        asked, terms = F.broadcast(asked), F.broadcast(terms)
-    if stored is None:
-        index, totals = postings(docs, key, text, group, terms, carry), text_totals(docs, text, group)
-    else:
-        index, totals = stored[0].join(terms, ["term", *by], "left_semi"), stored[1]
-    matched = index.join(asked, ["term", *by])
+    asked = keep(queries.select(query, *by, *others, F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term")))
+    fits = asked.count() * 64 <= BROADCAST_BYTES
+    small = F.broadcast if fits else (lambda table: table)
+    terms = small(asked.select("term", *by).distinct())
+    index = stored or text_index(docs, key, text, group, terms, carry)
+    # At most one row for each asked term, however many documents hold it.
+    df = small(index.df.join(terms, ["term", *by], "left_semi"))
+    matched = index.postings.join(small(asked), ["term", *by])
     if belongs is not None:
         matched = matched.where(belongs)
+    matched = matched.join(df, ["term", *by])
     # One row, or one a group; groups are left to the optimiser, which sends them everywhere if they turn out small.
-    matched = matched.join(totals, by) if by else matched.crossJoin(F.broadcast(totals))
+    matched = matched.join(index.totals, by) if by else matched.crossJoin(F.broadcast(index.totals))
     weight = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     damp = F.col("tf") + X.BM25_K1 * (1 - X.BM25_B + X.BM25_B * F.col("length") / F.col("mean_length"))
     scored = matched.groupBy(query, key).agg(F.sum(weight * F.col("tf") * (X.BM25_K1 + 1) / damp).alias("score"))

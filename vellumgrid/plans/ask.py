@@ -14,6 +14,8 @@ from vellumgrid.operators import guard
 from vellumgrid.operators import search as S
 from vellumgrid.sources.tables import keep
 
+#: Filings up to which a scan is pruned to them by name.
+MAX_PRUNED = 1000
 CHUNK = ("company", "fiscal_year", "page", "chunk")
 
 
@@ -37,13 +39,23 @@ def rewrite(questions: DataFrame, make: Callable[[], models.Embedder], dim: int,
     return questions.withColumns({"scope_asked": T.requested_scope(asked), "keywords": T.keyword_query(asked, company)}).withColumns({"rank_vector": models.embed(instruct(ranks), make, dim), "gate_vector": models.embed(instruct(gates), make, dim)})
 
 
-def search(index: DataFrame, questions: DataFrame, make: Callable[[], models.Embedder], dim: int, k: int = X.DEFAULT_K, expand: bool = True, hybrid: bool = True, stored: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+def _asked_filings(index: DataFrame, stored: S.TextIndex | None, asked: DataFrame) -> tuple[DataFrame, S.TextIndex | None]:
+    """Rows and postings of the asked filings alone, where those are few and every question names one; statistics stay the collection's."""
+    of = [r[0] for r in asked.select("of").distinct().limit(MAX_PRUNED + 1).collect()]
+    if stored is None or None in of or len(of) > MAX_PRUNED:
+        return index, stored
+    return index.where(F.col("company").isin(of)), S.TextIndex(stored.postings.where(F.col("company").isin(of)), stored.df, stored.totals)
+
+
+def search(index: DataFrame, questions: DataFrame, make: Callable[[], models.Embedder], dim: int, k: int = X.DEFAULT_K, expand: bool = True, hybrid: bool = True, stored: S.TextIndex | None = None) -> DataFrame:
     """question_id, the chunk's columns, rrf, score and rank of the k best chunks of each question's filing and scope.
 
     ``questions``: question_id, question, company (null: all). ``index`` as written by ``sources.index``, ``stored`` its
-    text index if it has one. Questions are rewritten and embedded once; a question meets the rows of its own filing only.
+    text index if it has one. Questions are rewritten and embedded once; a question meets the rows of its own filing only, and if
+    all name one, no other filing's files are read.
     """
     asked = keep(rewrite(questions, make, dim, expand).select("question_id", F.col("company").alias("of"), "scope_asked", "keywords", "rank_vector", "gate_vector"))
+    index, stored = _asked_filings(index, stored, asked)
     rows = _key(index)
     near = asked.select("question_id", F.col("rank_vector").alias("vector"), "of", "scope_asked")
     vector = S.vector_topk(rows, near, company="of", scope="scope_asked")
@@ -59,7 +71,7 @@ def search(index: DataFrame, questions: DataFrame, make: Callable[[], models.Emb
     return found.select("question_id", *CHUNK, "scope", "tokens", "text", "rrf", dot("vector", "gate_vector").alias("score"), "rank")
 
 
-def ask(index: DataFrame, questions: DataFrame, make_embedder: Callable[[], models.Embedder], dim: int, make_generator: Callable[[], models.Generator], floor: float = X.MIN_SIMILARITY, widen: bool = True, stored: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+def ask(index: DataFrame, questions: DataFrame, make_embedder: Callable[[], models.Embedder], dim: int, make_generator: Callable[[], models.Generator], floor: float = X.MIN_SIMILARITY, widen: bool = True, stored: S.TextIndex | None = None) -> DataFrame:
     """One verdict for each question; only questions above the floor reach the generator. ``widen`` adds the hits' page siblings."""
     hits = search(index, questions, make_embedder, dim, k=max(X.DEFAULT_K, X.EXPANSION_SEEDS), stored=stored)
     hits = keep(hits)
