@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 from vellumgrid.functions import fixed as X
 from vellumgrid.functions import text as T
+from vellumgrid.sources.tables import keep
+
+#: Characters by which holdings are looked up in questions.
+PREFIX = 8
 
 EQUITY = "domestic equity"
 
@@ -100,6 +104,23 @@ def _cite_fact(fact: Column, url: Column) -> Column:
     return F.concat(F.lit("[factsheet page "), page, F.lit("]("), url, F.lit("#page="), page, F.lit(")"))
 
 
+def named(asked: DataFrame, rows: DataFrame) -> DataFrame:
+    """Questions (fund, q in lower case) with the holdings of their fund that they name: by name, less Limited or Ltd, or by code as a word.
+
+    A dictionary join: holdings are found by the first ``PREFIX`` characters of their names and codes, which are looked up at every
+    place of a question, and only what was found that way is compared in full. So a question meets a few holdings of its fund and
+    not all of them. A name may stand inside a longer one, or inside a word; an empty one is in every question.
+    """
+    name = F.trim(F.regexp_replace(F.lower("name"), r"(?U)\b(?:limited|ltd)\.?", ""))
+    terms = F.array(F.struct(name.alias("term"), F.lit(False).alias("word")), F.struct(F.lower("company").alias("term"), F.lit(True).alias("word")))
+    entries = rows.withColumn("t", F.explode(terms)).where("t.term is not null").withColumn("key", F.substring("t.term", 1, PREFIX))
+    pieces = F.transform(F.sequence(F.lit(1), F.greatest(F.length("q"), F.lit(1))), lambda i: F.transform(F.sequence(F.lit(0), F.lit(PREFIX)), lambda n: F.substring(F.col("q"), i, n)))
+    looked_up = asked.withColumn("key", F.explode(F.array_distinct(F.flatten(pieces))))
+    code = F.regexp_like("q", F.concat(F.lit(r"(?U)\b\Q"), F.col("t.term"), F.lit(r"\E\b")))
+    found = looked_up.join(entries, ["fund", "key"]).where(F.when(F.col("t.word"), code).otherwise(F.contains("q", F.col("t.term"))))
+    return found.drop("key", "t").dropDuplicates(["question_id", "fund", "row", "sheet", "name", "company"])
+
+
 def fund_lookup(questions: DataFrame, snapshots: DataFrame, ranked: DataFrame) -> DataFrame:
     """question_id and answer: cited disclosed facts, or the refusal.
 
@@ -146,14 +167,11 @@ def fund_lookup(questions: DataFrame, snapshots: DataFrame, ranked: DataFrame) -
         .otherwise("refuse")
     )
     asked = asked.select("question_id", "fund", "q", "portfolio_date", "portfolio_url", facts.alias("facts"), F.coalesce(way, F.lit("refuse")).alias("way"))
-    name = F.trim(F.regexp_replace(F.lower("name"), r"(?U)\b(?:limited|ltd)\.?", ""))
-    code = F.concat(F.lit(r"(?U)\b\Q"), F.lower("company"), F.lit(r"\E\b"))
-    named = F.contains("q", name) | F.coalesce(F.regexp_like("q", code), F.lit(False))
-    chosen = F.when(F.col("way") == "top", F.col("eligible")).when(F.col("way") == "largest", F.col("eligible") & (F.col("rank") == 1)).otherwise(named)
     cited = F.concat("name", F.lit(": "), "weight_display", F.lit(" of net assets as of "), "portfolio_date", F.lit(" ["), "sheet", F.lit(" row "), F.col("row").cast("string"), F.lit("]("), "portfolio_url", F.lit(")."))
-    hits = asked.where(F.col("way").isin("top", "largest", "named")).join(ranked, "fund").where(chosen)
-    place = F.when(F.col("way") == "named", F.col("row")).otherwise(F.col("rank"))
-    lines = hits.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct(place.alias("at"), F.col("row"), cited.alias("line")))).alias("lines"))
+    rows = keep(ranked.select("fund", "name", "company", "weight_display", "sheet", "row", "rank", "eligible"))
+    ordered = asked.where(F.col("way").isin("top", "largest")).join(rows.where("eligible"), "fund").where("way = 'top' or rank = 1")
+    hits = ordered.withColumn("at", F.col("rank")).unionByName(named(asked.where("way = 'named'"), rows).withColumn("at", F.col("row")))
+    lines = hits.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("at", "row", cited.alias("line")))).alias("lines"))
     joined = asked.join(lines, "question_id", "left")
     listed = F.array_join(F.transform("lines", lambda x: x["line"]), "\n\n")
     answer = F.when(F.col("way") == "facts", F.array_join("facts", "\n\n")).when(F.col("lines").isNotNull(), listed).otherwise(X.REFUSAL)

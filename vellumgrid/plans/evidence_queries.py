@@ -190,12 +190,23 @@ def snapshot_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 with r as ({RANKED_SQL}),
+codes as (select fund, cast(substr(company, 2) as bigint) as p from r where company is not null),
 top as (select fund, string_agg(name || ': ' || printf('%.2f', weight_pct) || '% of net assets as of 2026-09-30 [Portfolio row ' || row || '](https://example.com/p).', chr(10) || chr(10) order by rank) as answer from r where rank <= 10 group by fund),
+asked as (
+  select fund, kind, case kind when 'by name' then 'What is the weight of ' || (select min_by(name, r."row") from r where r.fund = f.fund) || ' Ltd.?' when 'by code' then 'Give the allocation to P' || (select max(p) from codes where codes.fund = f.fund) || ', please'
+    when 'inside' then 'Which weight has my ' || (select max(name) from r where r.fund = f.fund) || 's holding?' else 'What is the weight of Zebra Quagga Industries?' end as q
+  from (select distinct fund from r) f, (values ('by name'), ('by code'), ('inside'), ('nobody')) kinds(kind)),
+named as (
+  select asked.fund, kind, string_agg(name || ': ' || printf('%.2f', weight_pct) || '% of net assets as of 2026-09-30 [Portfolio row ' || r."row" || '](https://example.com/p).', chr(10) || chr(10) order by r."row") as answer
+  from asked join r on r.fund = asked.fund and (contains(lower(q), lower(name)) or regexp_matches(lower(q), '\\b' || lower(company) || '\\b')) group by asked.fund, kind),
 largest as (select fund, name || ': ' || printf('%.2f', weight_pct) || '% of net assets as of 2026-09-30 [Portfolio row ' || row || '](https://example.com/p).' as answer from r where rank = 1)
 select 'top ' || fund as question_id, answer, false as refused from top
 union all select 'largest ' || fund, answer, false from largest
 union all select 'advice ' || fund, 'Not in the filing.', true from top
 union all select 'old ' || fund, 'Not in the filing.', true from top
+union all select kind || ' ' || fund, coalesce(answer, 'Not in the filing.'), answer is null from asked left join named using (fund, kind) where kind <> 'by code' or fund in (select fund from codes)
+union all select 'exit ' || fund, 'Exit load: Nil. As of 2026-08-31 [factsheet page 30](https://example.com/f#page=30).', false from top
+union all select 'both ' || fund, 'Benchmark: Index ' || fund || '. As of 2026-08-31 [factsheet page 4](https://example.com/f#page=4).' || chr(10) || chr(10) || 'Exit load: Nil. As of 2026-08-31 [factsheet page 30](https://example.com/f#page=30).', false from top
 union all select 'benchmark ' || fund, 'Benchmark: Index ' || fund || '. As of 2026-08-31 [factsheet page 4](https://example.com/f#page=4).', false from top
 union all select 'expense ' || fund, case when fund % 2 = 0 then 'Not in the filing.' else 'Direct-plan expense ratio: 0.23%. Total expense ratio. As of 2026-08-31 [factsheet page 29](https://example.com/f#page=29).' end, fund % 2 = 0 from top
 union all select 'base ' || fund, case when fund % 2 = 0 then 'Direct-plan expense ratio: 0.23%. Base expense ratio. As of 2026-08-31 [factsheet page 29](https://example.com/f#page=29).' else 'Direct-plan base expense ratio: 0.13%. As of 2026-08-31 [factsheet page 29](https://example.com/f#page=29).' end, false from top
@@ -216,8 +227,12 @@ def fund_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.lit("Nil").alias("value"), F.lit(30).alias("page")).alias("exit_load"),
     )
     asked = {"top": "Top 10 holdings as of 30 September 2026?", "largest": "What is the largest holding?", "advice": "Should I buy the top 10 holdings?", "old": "Top ten holdings in August 2026?",
-             "benchmark": "What is the benchmark?", "expense": "What is the total expense ratio?", "base": "What is the base expense ratio?"}
+             "exit": "What is the exit load?", "both": "What are the benchmark and the exit load?", "nobody": "What is the weight of Zebra Quagga Industries?", "benchmark": "What is the benchmark?", "expense": "What is the total expense ratio?", "base": "What is the base expense ratio?"}
     questions = funds.select("fund", F.explode(F.create_map(*[F.lit(x) for pair in asked.items() for x in pair])).alias("kind", "question"))
+    by_fund = rows.groupBy("fund").agg(F.min_by("name", "row").alias("name"), F.max("name").alias("last"), F.max(F.substring("company", 2, 20).cast("long")).alias("code"))
+    naming = {"by name": F.concat(F.lit("What is the weight of "), "name", F.lit(" Ltd.?")), "by code": F.concat(F.lit("Give the allocation to P"), F.col("code").cast("string"), F.lit(", please")), "inside": F.concat(F.lit("Which weight has my "), "last", F.lit("s holding?"))}
+    named = by_fund.select("fund", F.explode(F.create_map(*[x for kind, q in naming.items() for x in (F.lit(kind), q)])).alias("kind", "question")).where("question is not null")
+    questions = questions.select("fund", "kind", "question").unionByName(named)
     return holdings.fund_lookup(questions.select(F.concat("kind", F.lit(" "), fund.cast("string")).alias("question_id"), "fund", "question"), snapshots, rows)
 
 
