@@ -1,18 +1,19 @@
-"""Intermediate tables that are computed once."""
+"""Intermediate tables that are computed once, and where they and other passing files go."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """Compute a table once, in the shared folder that spark.checkpoint.dir names, so that models behind it are asked once.
+def shared_folder(spark: SparkSession) -> str:
+    """The shared folder that spark.checkpoint.dir names, as the session uses it.
 
     Only a session with a local master may do without such a folder; it gets a temporary one.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir")
         if folder is None:
@@ -20,4 +21,15 @@ def keep(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             folder = tempfile.mkdtemp(prefix="checkpoint-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Compute a table once, in the shared folder, so that models behind it are asked once."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
