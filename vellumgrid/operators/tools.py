@@ -57,6 +57,30 @@ def disclosure_allowed(request: Column, field: Column, portfolio_date: Column, f
     return dated & ~T.matches(text, X.FUND_ADVICE) & ~other_plan & ~F.coalesce(other_ratio, F.lit(False))
 
 
+def disclose(calls: DataFrame, snapshots: DataFrame, ranked: DataFrame) -> DataFrame:
+    """request_id, canonical, at, text and source of what fund_disclosure calls (request_id, request, canonical, input, fund) may read.
+
+    A field is a cited sentence; top_holdings a cited row for each of the first ``count`` (ten, unless said) eligible holdings. A request
+    that is about another date, plan or kind of ratio, or asks for advice, reads nothing.
+    """
+    asked = calls.withColumns({"field": F.get_json_object("input", "$.field"), "count": F.coalesce(F.get_json_object("input", "$.count").cast("int"), F.lit(10))}).join(snapshots, "fund")
+    allowed = asked.where(disclosure_allowed(F.col("request"), F.col("field"), F.col("portfolio_date"), F.col("factsheet_date"), F.col("expense_ratio.kind")))
+
+    def fact(name: str, label: str) -> Column:
+        page = F.col(f"{name}.page").cast("string")
+        detail = F.concat(F.lit(" "), F.col("expense_ratio.definition")) if name == "expense_ratio" else F.lit("")
+        return F.concat(F.lit(f"{label}: "), f"{name}.value", F.lit("."), detail, F.lit(" As of "), "factsheet_date", F.lit(" [factsheet page "), page, F.lit("]("), "factsheet_url", F.lit("#page="), page, F.lit(")."))
+
+    sentence = F.when(F.col("field") == "benchmark", fact("benchmark", "Benchmark")).when(F.col("field") == "expense_ratio", fact("expense_ratio", "Direct-plan expense ratio")).when(F.col("field") == "exit_load", fact("exit_load", "Exit load"))
+    row = F.concat("name", F.lit(": "), "weight_display", F.lit(" of net assets as of "), "portfolio_date", F.lit(" ["), "sheet", F.lit(" row "), F.col("row").cast("string"), F.lit("]("), "portfolio_url", F.lit(")."))
+    # The eligible holdings of a fund are ten at most.
+    cited = ranked.where("eligible").join(snapshots.select("fund", "portfolio_date", "portfolio_url"), "fund").select("fund", F.struct(F.col("rank").cast("int").alias("at"), row.alias("text"), F.lit("portfolio").alias("source")).alias("line"))
+    top = cited.groupBy("fund").agg(F.array_sort(F.collect_list("line")).alias("top"))
+    fields = F.array(F.struct(F.lit(0).alias("at"), sentence.alias("text"), F.lit("factsheet").alias("source")))
+    lines = F.when(F.col("field") == "top_holdings", F.slice("top", F.lit(1), F.col("count"))).otherwise(fields)
+    return allowed.join(top, "fund", "left").select("request_id", "canonical", F.explode(lines).alias("line")).select("request_id", "canonical", "line.*").where("text is not null")
+
+
 def grade_agents(results: DataFrame, evidence: DataFrame) -> DataFrame:
     """case_id, correct, faithful and passed of results (case_id, refusal, refused, text, contains, judged) and their evidence (case_id, faithful)."""
     by_case = evidence.groupBy("case_id").agg(F.bool_and("faithful").alias("all_faithful"))
