@@ -3,6 +3,8 @@ from __future__ import annotations
 import hashlib
 import io
 import json
+import os
+import time
 import zipfile
 
 import pytest
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 
 from vellumgrid.functions import models
 from vellumgrid.operators import layout
-from vellumgrid.sources import files, index
+from vellumgrid.sources import files, formats, index
 from vellumgrid.streaming import limits, upserts
 
 SHEET = """<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>
@@ -155,27 +157,79 @@ def test_written_only_on_change(tmp_path):
     assert files.write_if_changed(path, "a") and not files.write_if_changed(path, "a") and files.write_if_changed(path, "b")
 
 
-def boxes(content):
-    for n, page in enumerate(content.decode().split("\f"), 1):
-        yield n, 800.0, 600.0, [([(t[:2], 12.0), (t[2:], 9.0)], 50, 100 + 20 * i, 200, 110 + 20 * i, 0.0, i) for i, t in enumerate(page.split("\n"))]
+class Boxes:
+    """Pages parted by form feeds; a page that says so hangs, fails or ends the process."""
 
+    def pages(self, content):
+        if content.startswith(b"broken"):
+            raise ValueError("not a paged file")
+        return content.count(b"\f") + 1
 
-def slow(content):
-    import time
-
-    for page in boxes(content):
-        time.sleep(0.3)
-        yield page
+    def page(self, content, n):
+        text = content.decode().split("\f")[n - 1]
+        if text == "hang":
+            time.sleep(600)
+        if text == "die":
+            os._exit(3)
+        if text == "fail":
+            raise KeyError("glyph")
+        return 800.0, 600.0, [([(t[:2], 12.0), (t[2:], 9.0)], 50, 100 + 20 * i, 200, 110 + 20 * i, 0.0, i) for i, t in enumerate(text.split("\n"))]
 
 
 def test_line_boxes_from_an_injected_reader(spark, tmp_path):
     (tmp_path / "f.txt").write_text("first line\nsecond\fnext page")
-    got = files.read_lines(spark, str(tmp_path / "f.txt"), boxes).orderBy("page", "line").collect()
-    assert [(r["page"], r["line"], r["text"], r["size"]) for r in got] == [(1, 0, "first line", 9.0), (1, 1, "second", 9.0), (2, 0, "next page", 9.0)]
-    pages = layout.clean_pages(layout.repaired(files.read_lines(spark, str(tmp_path / "f.txt"), boxes).withColumnRenamed("path", "company")))
+    got = files.read_lines(spark, str(tmp_path / "f.txt"), Boxes).orderBy("page", "line").collect()
+    assert [(r["page"], r["line"], r["text"], r["size"], r["problem"]) for r in got] == [(1, 0, "first line", 9.0, None), (1, 1, "second", 9.0, None), (2, 0, "next page", 9.0, None)]
+    pages = layout.clean_pages(layout.repaired(files.read_lines(spark, str(tmp_path / "f.txt"), Boxes).where("problem is null").drop("problem").withColumnRenamed("path", "company")))
     assert {(r["page"], r["text"]) for r in pages.collect()} == {(1, "first line\nsecond"), (2, "next page")}
-    with pytest.raises(Exception, match="took too long"):
-        files.read_lines(spark, str(tmp_path / "f.txt"), slow, seconds=0.1).collect()
+
+
+def test_a_page_that_hangs_is_ended(spark, tmp_path):
+    """It loses itself, not the file, the task or the other files."""
+    (tmp_path / "a.txt").write_text("one\fhang\fthree\fdie\ffive\ffail\fseven")
+    (tmp_path / "b.txt").write_text("broken\fx")
+    (tmp_path / "c.txt").write_text("fine")
+    began = time.monotonic()
+    got = files.read_lines(spark, str(tmp_path / "*.txt"), Boxes, seconds=1.5).collect()
+    assert time.monotonic() - began < 60
+    by_page = {(r["path"][-5:], r["page"]): (r["text"], r["problem"]) for r in got}
+    assert by_page == {
+        ("a.txt", 1): ("one", None), ("a.txt", 2): (None, "timed out"), ("a.txt", 3): ("three", None), ("a.txt", 4): (None, "the reader died"), ("a.txt", 5): ("five", None),
+        ("a.txt", 6): (None, "KeyError: 'glyph'"), ("a.txt", 7): ("seven", None), ("b.txt", 0): (None, "ValueError: not a paged file"), ("c.txt", 1): ("fine", None),
+    }
+
+
+def test_workbooks_as_a_data_source(spark, tmp_path):
+    formats.register(spark)
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.xlsx").write_bytes(workbook())
+    (tmp_path / "broken.xlsx").write_bytes(b"no zip")
+    (tmp_path / "other.txt").write_text("x")
+    read = spark.read.format("workbook").load(str(tmp_path))
+    assert read.rdd.getNumPartitions() == 3 and read.columns == ["path", "sheet", "row", "col", "kind", "value", "problem"]
+    plain = {(r["path"].split("/")[-1], *r[1:]) for r in files.read_sheets(spark, str(tmp_path / "[ab].xlsx")).collect()}
+    assert {(r["path"].split("/")[-1], *r[1:6]) for r in read.where("problem is null").collect()} == plain and len(plain) == 10
+    assert [(r["path"].split("/")[-1], r["problem"].split(":")[0]) for r in read.where("problem is not null").collect()] == [("broken.xlsx", "BadZipFile")]
+    some = spark.read.format("workbook").option("sheets", "Holdings, Notes").load(str(tmp_path / "a.xlsx"))
+    assert some.rdd.getNumPartitions() == 2 and some.where("sheet = 'Holdings' and problem is null").count() == 5 and some.where("problem like '%no sheet Notes%'").count() == 1
+    with pytest.raises(Exception, match="broken.xlsx"):
+        spark.read.format("workbook").option("mode", "FAILFAST").load(str(tmp_path)).collect()
+    with pytest.raises(Exception, match="nowhere"):
+        spark.read.format("workbook").load(str(tmp_path / "nowhere")).collect()
+
+
+def test_paged_files_as_a_data_source(spark, tmp_path):
+    formats.register(spark)
+    for i in range(3):
+        (tmp_path / f"{i}.txt").write_text("\f".join(f"file {i} page {n}\nmore" for n in range(1, 8)))
+    (tmp_path / "x.txt").write_text("broken")
+    load = lambda **o: spark.read.format("paged_lines").options(reader="tests.test_sources:Boxes", suffix=".txt", **o).load(str(tmp_path))
+    one, three = load(), load(parts=3)
+    assert (one.rdd.getNumPartitions(), three.rdd.getNumPartitions()) == (4, 12)
+    rows = lambda frame: sorted((r["path"], r["page"], r["line"] or 0, r["text"] or "", r["problem"] or "") for r in frame.collect())
+    assert rows(one) == rows(three) == rows(files.read_lines(spark, str(tmp_path / "*.txt"), Boxes).withColumn("path", F.regexp_replace("path", "^file:", ""))) and len(rows(one)) == 43
+    with pytest.raises(Exception, match="reader is needed"):
+        spark.read.format("paged_lines").load(str(tmp_path)).collect()
 
 
 class Fixed:
@@ -200,3 +254,20 @@ def test_judge_budget_and_rerank_hooks(spark):
         model.generate("q", "p")
     pairs = spark.createDataFrame([("q1", "a"), ("q2", "b"), ("q1", "c")], "q string, t string").coalesce(1)
     assert sorted(r[0] for r in pairs.select(models.rerank_score(F.col("q"), F.col("t"), Fixed)).collect()) == [1.0, 2.0, 2.0]
+
+
+class Counting:
+    def __init__(self, asked):
+        self.asked = asked
+
+    def generate(self, question, prompt):
+        self.asked.add(1)
+        return prompt.upper()
+
+
+@pytest.mark.parametrize(("most", "expected"), [(3, 3), (0, 0), (100, 20)])
+def test_all_tasks_spend_one_budget(spark, most, expected):
+    asked = spark.sparkContext.accumulator(0)
+    prompts = spark.createDataFrame([(f"q{i:02}", "?", f"p{i}") for i in range(20)], "question_id string, question string, prompt string").repartition(5)
+    got = models.generate(prompts, lambda: Counting(asked), most).collect()
+    assert asked.value == expected and sorted(r["question_id"] for r in got) == [f"q{i:02}" for i in range(expected)]

@@ -18,7 +18,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellumgrid.functions.text import tokens
+from vellumgrid.sources.tables import keep
 
+#: Bytes up to which a counted table is sent to every executor.
+BROADCAST_BYTES = 48 << 20
 QUERY_INSTRUCTION = "Represent this sentence for searching relevant passages: "
 
 
@@ -79,8 +82,10 @@ def rerank_score(question: Column, text: Column, make: Callable[[], Reranker]) -
     return run(question, text)
 
 
-def generate(prompts: DataFrame, make: Callable[[], Generator]) -> DataFrame:
-    """question_id and raw for rows of question_id, question and prompt; only rows passed in are paid for."""
+def generate(prompts: DataFrame, make: Callable[[], Generator], most: int | None = None) -> DataFrame:
+    """question_id and raw for rows of question_id, question and prompt; only rows passed in are paid for, and with ``most`` the first of them."""
+    if most is not None:
+        prompts = within_budget(prompts, most, "question_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = make()
@@ -126,8 +131,18 @@ class CallLimit(Exception):
     """A budget of model calls is spent."""
 
 
+def within_budget(rows: DataFrame, most: int, *order: str) -> DataFrame:
+    """The first ``most`` rows by ``order``, which names a row: what a job may ask a model, however many tasks it has.
+
+    The rows are chosen before any call, by a top-k that no task holds more than ``most`` rows of; all tasks together spend one
+    budget, and a task that is run again asks for its own rows only.
+    """
+    first = keep(rows.select(*order).orderBy(*order).limit(most))
+    return rows.join(F.broadcast(first) if most * 64 <= BROADCAST_BYTES else first, list(order), "left_semi")
+
+
 class Budgeted:
-    """A generator that may be asked ``most`` times, counted before each call, in one worker's task."""
+    """A generator that may be asked ``most`` times, counted before each call, by one loop on one machine; for a job see ``within_budget``."""
 
     def __init__(self, generator: Generator, most: int, before_call: Callable[[int], None] = lambda n: None):
         self.generator, self.most, self.before_call, self.n = generator, most, before_call, 0

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import io
 import re
-import time
 import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Callable, Iterator
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 
 from vellumgrid.functions import fixed as X
 from vellumgrid.functions import text as T
+from vellumgrid.sources import paged
 
 CHUNK_SCHEMA = "company string, fiscal_year string, page int, chunk int, scope string, tokens int, text string"
 MANIFEST_SCHEMA = "company string, name string, fiscal_year string, file string, source_url string, listing string, sha256 string, retrieved string, pages_without_text array<int>, quality_exclusions map<string,string>"
@@ -78,15 +78,20 @@ _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 
 
-def sheet_cells(content: bytes) -> Iterator[tuple[str, int, str, str, str]]:
-    """(sheet, row, column letters, kind, value) of every stored cell value; formulas are not evaluated."""
+def sheet_cells(content: bytes, only: str | None = None) -> Iterator[tuple[str, int, str, str, str]]:
+    """(sheet, row, column letters, kind, value) of every stored cell value, of one sheet if named; formulas are not evaluated."""
     with zipfile.ZipFile(io.BytesIO(content)) as book:
         names = set(book.namelist())
         shared = []
         if "xl/sharedStrings.xml" in names:
             shared = ["".join(t.text or "" for t in si.iterfind(".//m:t", _NS)) for si in ET.fromstring(book.read("xl/sharedStrings.xml")).iterfind("m:si", _NS)]
         targets = {r.get("Id"): r.get("Target") for r in ET.fromstring(book.read("xl/_rels/workbook.xml.rels"))}
-        for sheet in ET.fromstring(book.read("xl/workbook.xml")).iterfind("m:sheets/m:sheet", _NS):
+        sheets = ET.fromstring(book.read("xl/workbook.xml")).findall("m:sheets/m:sheet", _NS)
+        if only is not None and only not in [s.get("name") for s in sheets]:
+            raise KeyError(f"no sheet {only}")
+        for sheet in sheets:
+            if only not in (None, sheet.get("name")):
+                continue
             target = targets[sheet.get(_REL)].lstrip("/")
             part = target if target.startswith("xl/") else f"xl/{target}"
             for cell in ET.fromstring(book.read(part)).iterfind(".//m:c", _NS):
@@ -180,34 +185,33 @@ def write_if_changed(path: str, text: str) -> bool:
     return True
 
 
-LINE_SCHEMA = "path string, page int, line int, text string, x0 double, y0 double, x1 double, y1 double, size double, dy double, block int, height double, width double"
+LINE_SCHEMA = "path string, page int, line int, text string, x0 double, y0 double, x1 double, y1 double, size double, dy double, block int, height double, width double, problem string"
+_LINE_NAMES = [f.split()[0] for f in LINE_SCHEMA.split(", ")]
+_LINES = pa.schema([(f.split()[0], {"string": pa.string(), "int": pa.int32(), "double": pa.float64()}[f.split()[1]]) for f in LINE_SCHEMA.split(", ")])
+
+
+def line_rows(path: str, page: int, height: float, width: float, lines: list) -> Iterator[tuple]:
+    """Rows of LINE_SCHEMA for a page; a line's size is that of its longest span."""
+    for i, (spans, x0, y0, x1, y1, dy, block) in enumerate(lines):
+        size = max(spans, key=lambda s: len(s[0].strip()))[1] if spans else 0.0
+        yield path, page, i, "".join(s[0] for s in spans), float(x0), float(y0), float(x1), float(y1), float(size), float(dy), block, float(height), float(width), None
 
 
-def read_lines(spark: SparkSession, paths: str, parse: Callable[[bytes], Iterator[tuple]], seconds: float = 10.0) -> DataFrame:
-    """Line boxes of paged files by an injected reader, as the layout operators take them.
+def read_lines(spark: SparkSession, paths: str, reader: Callable[[], paged.Reader], seconds: float = paged.SECONDS) -> DataFrame:
+    """Line boxes of paged files by an injected reader, as the layout operators take them once ``problem`` is null.
 
-    ``parse`` yields for each page (page, height, width, lines), a line being (spans, x0, y0, x1, y1, dy, block) and a
-    span (text, size); a line's size is that of its longest span. A file whose reader takes longer than ``seconds`` a page on
-    average is an error: reading goes page by page, so the limit is looked at between pages.
+    Pages are read in a process of their own. One that takes longer than ``seconds`` is ended and is a row with the problem
+    "timed out"; so is one whose reading fails, with its error, and page 0 for a file that cannot be opened. The other pages go on.
     """
     files = spark.read.format("binaryFile").load(paths).select("path", "content")
-    names = [f.split()[0] for f in LINE_SCHEMA.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = reader()
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                began = time.monotonic()
-                for n, (page, height, width, lines) in enumerate(parse(content), 1):
-                    rows = []
-                    for i, (spans, x0, y0, x1, y1, dy, block) in enumerate(lines):
-                        size = max(spans, key=lambda s: len(s[0].strip()))[1] if spans else 0.0
-                        rows.append((path, page, i, "".join(s[0] for s in spans), float(x0), float(y0), float(x1), float(y1), float(size), float(dy), block, float(height), float(width)))
-                    if time.monotonic() - began > seconds * n:
-                        raise TimeoutError(f"page {page} of {path} took too long")
+                for page, read, problem in paged.read(own, content, seconds):
+                    rows = [(path, page, *[None] * 11, problem)] if problem is not None else list(line_rows(path, page, *read))
                     if rows:
-                        yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema=_LINES)
+                        yield pa.RecordBatch.from_pylist([dict(zip(_LINE_NAMES, r, strict=True)) for r in rows], schema=_LINES)
 
     return files.mapInArrow(run, LINE_SCHEMA)
-
-
-_LINES = pa.schema([(f.split()[0], {"string": pa.string(), "int": pa.int32(), "double": pa.float64()}[f.split()[1]]) for f in LINE_SCHEMA.split(", ")])
