@@ -275,3 +275,18 @@ def test_grades_and_threshold(spark):
     errors = lambda t: sum((s < t) == a for s, a in scores)
     best = min(((a + b) / 2 for a, b in zip(values, values[1:], strict=False)), key=lambda t: (errors(t), -t))
     assert math.isclose(got["threshold"], best) and got["errors"] == errors(best)
+
+
+def test_threshold_over_many_ranges(spark, monkeypatch):
+    """Ranges of any size give what one sorted pass over all scores gives."""
+    rng = random.Random(3)
+    rows = [(rng.choice([rng.random(), rng.randrange(8) / 4]), rng.random() < 0.5) for _ in range(400)] + [(None, True)]
+    df = spark.createDataFrame(rows, "score double, answerable boolean")
+    known = sorted({s for s, _ in rows if s is not None})
+    cuts = [(sum(a and s < t or not a and s >= t for s, a in rows if s is not None), -t) for t in ((x + y) / 2 for x, y in zip(known, known[1:], strict=False))]
+    expected = min(cuts)
+    for size in (100_000, 50, 3, 1):
+        monkeypatch.setattr(evals, "RANGE_SCORES", size)
+        got = evals.fit_threshold(df).first()
+        assert (got["errors"], -got["threshold"]) == expected, size
+    assert evals.fit_threshold(df.limit(0)).first()["threshold"] is None

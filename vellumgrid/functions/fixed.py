@@ -107,3 +107,13 @@ MONTHS = ("january", "february", "march", "april", "may", "june", "july", "augus
 COMPANY_CODE = r"^[A-Z0-9]{2,20}$"
 SHA256 = r"^[a-f0-9]{64}$"
 LINK = r"""(?is)<a\b[^>]*?href=["']([^"']+?)(?:[?#][^"']*)?["'][^>]*>(.*?)</a>"""
+
+#: The reasons that verdicts, memos, tools and table gates give, as results hold them.
+BELOW_FLOOR = "best similarity %s is below the %s floor"
+NO_ANSWER, CUT_OFF = "the model found no answer in the extracts", " (text after the refusal removed)"
+FOREIGN_PAGES, UNCITED = "every citation was to a page not retrieved ([%s])", "the answer carried no citation"
+NO_SELECTION, BAD_SELECTION = "The agent did not return an evidence selection", "Invalid evidence selection"
+BAD_EVIDENCE, LONG_MEMO = "Missing, repeated or unknown evidence", "The memo exceeds one page of text"
+NOT_AN_OBJECT, BAD_CALL = "Tool input must be an object", "Unknown tool or invalid arguments"
+BAD_COUNT, BAD_FIELD = "Holdings count must be between one and ten", "Unknown disclosure field"
+NO_TABLE, WIDE_CELL, REPEATED_ROWS, LOST_FIGURES = "no table found", "a cell swallowed a column", "rows repeated", "%d figure(s) lost"

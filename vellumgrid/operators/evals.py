@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellumgrid.functions import fixed as X
+from vellumgrid.sources.tables import keep
 
 
 def grade(samples: DataFrame) -> DataFrame:
@@ -49,23 +50,55 @@ def retrieval_metrics(hits: DataFrame, expected: DataFrame, shown: int = 5, gate
     return out.withColumn("gap", F.col("weakest") - F.col("strongest"))
 
 
+#: Distinct scores of a range, about, and ranges at most.
+RANGE_SCORES, MAX_RANGES = 100_000, 4096
+
+
 def fit_threshold(scores: DataFrame) -> DataFrame:
     """threshold and errors of the cut between scores (score, answerable) with the fewest errors, the larger on a tie.
 
-    Where the classes are apart it is the midpoint of the gap. Errors come from running counts over the
-    distinct scores, so nothing is compared pairwise.
+    Where the classes are apart it is the midpoint of the gap. Errors come from running counts over the distinct scores: these are
+    dealt into ranges by approximate quantiles, counted within each, and each range starts from the sums of those before it.
+    So nothing is compared pairwise and no task orders all scores. Null scores take no part.
     """
-    by_score = scores.groupBy("score").agg(F.count_if("answerable").alias("yes"), F.count_if(~F.col("answerable")).alias("no"))
-    # Running counts need one order over all distinct scores: scores are few, one for each question.
-    order = Window.orderBy("score")
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    cuts = by_score.select(
-        ((F.col("score") + F.lead("score").over(order)) / 2).alias("threshold"),
-        (F.sum("yes").over(upto) + F.sum("no").over(order.rowsBetween(1, Window.unboundedFollowing))).alias("errors"),
+    by_score = keep(scores.where("score is not null").groupBy("score").agg(F.count_if("answerable").alias("yes"), F.count_if(~F.col("answerable")).alias("no")))
+    n = min(MAX_RANGES, -(-by_score.count() // RANGE_SCORES))
+    splits = by_score.withColumn("score", F.col("score").cast("double")).approxQuantile("score", [i / n for i in range(1, n)], 0.2 / n) if n > 1 else []
+    ranged = by_score.withColumn("range", F.size(F.filter(F.array(*map(F.lit, sorted(set(splits)))).cast("array<double>"), lambda s: s <= F.col("score"))) if splits else F.lit(0))
+    # As many rows as ranges.
+    over = Window.orderBy("range")
+    before, after = over.rowsBetween(Window.unboundedPreceding, -1), over.rowsBetween(1, Window.unboundedFollowing)
+    sums = ranged.groupBy("range").agg(F.sum("yes").alias("y"), F.sum("no").alias("n"), F.min("score").alias("first"))
+    sums = sums.select("range", F.coalesce(F.sum("y").over(before), F.lit(0)).alias("yes_before"), F.coalesce(F.sum("n").over(after), F.lit(0)).alias("no_after"), F.lead("first").over(over).alias("next"))
+    within = Window.partitionBy("range").orderBy("score")
+    later = within.rowsBetween(1, Window.unboundedFollowing)
+    cuts = ranged.join(F.broadcast(sums), "range").select(
+        ((F.col("score") + F.coalesce(F.lead("score").over(within), F.col("next"))) / 2).alias("threshold"),
+        (F.col("yes_before") + F.sum("yes").over(within.rowsBetween(Window.unboundedPreceding, 0)) + F.coalesce(F.sum("no").over(later), F.lit(0)) + F.col("no_after")).alias("errors"),
     ).where("threshold is not null")
     return cuts.agg(F.min_by("threshold", F.struct("errors", (-F.col("threshold")).alias("t"))).alias("threshold"), F.min("errors").alias("errors"))
 
 
+def question_rollup(graded: DataFrame) -> DataFrame:
+    """passed, total, correct, faithful (null where there is no answer to be right), leaks, ungrounded and recited of each question's samples."""
+    yes = lambda c: F.when(F.first("answerable"), F.count_if(F.coalesce(c, F.lit(False)))).alias(c)
+    return graded.groupBy("question_id", "type", "split").agg(
+        F.count_if("passed").alias("passed"), F.count("*").alias("total"), yes("correct"), yes("faithful"), F.count_if("leaked").alias("leaks"), F.count_if(F.col("n_ungrounded") > 0).alias("ungrounded"), F.count_if(F.col("n_recited") > 0).alias("recited")
+    )
+
+
+def answer_in_context(context: DataFrame, expected: DataFrame) -> DataFrame:
+    """question_id, present, page and chunk (the first place that holds the answer text), n_chunks and tokens of each question's packed context.
+
+    ``context``: question_id, page, chunk, position, tokens, text; ``expected``: question_id, answer_text. A question without context misses its answer.
+    """
+    held = context.join(expected, "question_id").withColumn("here", F.contains("text", F.col("answer_text")))
+    at = F.min(F.when(F.col("here"), F.struct("position", "page", "chunk"))).alias("at")
+    found = held.groupBy("question_id").agg(at, F.count("*").alias("n_chunks"), F.sum("tokens").alias("tokens"))
+    out = expected.select("question_id").join(found, "question_id", "left")
+    return out.select("question_id", F.col("at").isNotNull().alias("present"), "at.page", "at.chunk", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"), F.coalesce("tokens", F.lit(0)).alias("tokens"))
+
+
 def disclosure_checks(cases: DataFrame) -> DataFrame:
     """Adds passed: the answer holds every string of ``contains``, or is the refusal where one is due."""
     holds = F.forall("contains", lambda s: F.contains("answer", s))

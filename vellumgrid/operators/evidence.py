@@ -46,10 +46,10 @@ def memos(selections: DataFrame, registry: DataFrame) -> DataFrame:
     n = F.size("ids")
     usable = F.col("strings") & n.between(1, X.MAX_SELECTED) & (F.size(F.array_distinct("ids")) == n) & (F.col("n_known") == n)
     why = (
-        F.when(~F.col("is_json"), "The agent did not return an evidence selection")
-        .when(~F.col("shaped"), "Invalid evidence selection")
-        .when(~F.coalesce(usable, F.lit(False)), "Missing, repeated or unknown evidence")
-        .when(F.col("words") > X.MAX_MEMO_WORDS, "The memo exceeds one page of text")
+        F.when(~F.col("is_json"), X.NO_SELECTION)
+        .when(~F.col("shaped"), X.BAD_SELECTION)
+        .when(~F.coalesce(usable, F.lit(False)), X.BAD_EVIDENCE)
+        .when(F.col("words") > X.MAX_MEMO_WORDS, X.LONG_MEMO)
         .otherwise("")
     )
 

@@ -124,10 +124,10 @@ def guarded_answers(answers: DataFrame, hits: DataFrame, context: DataFrame, flo
     declined = T.is_refusal(stripped)
     uncited = F.size(T.cited_pages(F.col("text"))) == 0
     why = (
-        F.when(below, F.concat(F.lit("best similarity "), F.format_string("%.3f", "best"), F.lit(f" is below the {floor} floor")))
-        .when(declined, F.concat(F.lit("the model found no answer in the extracts"), F.when(F.trim("raw") != stripped, " (text after the refusal removed)").otherwise("")))
-        .when(uncited & (F.size("invalid_citations") > 0), F.concat(F.lit("every citation was to a page not retrieved (["), F.array_join(F.transform("invalid_citations", lambda p: p.cast("string")), ", "), F.lit("])")))
-        .when(uncited, "the answer carried no citation")
+        F.when(below, F.format_string(X.BELOW_FLOOR, F.format_string("%.3f", "best"), F.lit(str(floor))))
+        .when(declined, F.concat(F.lit(X.NO_ANSWER), F.when(F.trim("raw") != stripped, X.CUT_OFF).otherwise("")))
+        .when(uncited & (F.size("invalid_citations") > 0), F.format_string(X.FOREIGN_PAGES, F.array_join(F.transform("invalid_citations", lambda p: p.cast("string")), ", ")))
+        .when(uncited, X.UNCITED)
         .otherwise("")
     )
     frame = frame.withColumn("reason", why)

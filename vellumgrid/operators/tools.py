@@ -21,16 +21,16 @@ def validate(calls: DataFrame) -> DataFrame:
     fund = F.coalesce(F.array_join(keys, ",").isin("field", "count,field"), F.lit(False))
     count = raw("count")
     error = (
-        F.when(keys.isNull(), "Tool input must be an object")
-        .when(F.col("tool") == "company_question", F.when(~company, "Unknown tool or invalid arguments").when(~quoted("company"), "Company must be a code").when(~raw("company").rlike(X.COMPANY_CODE), "Company must be a code").when(~F.length(raw("question")).between(1, 1000), "Question is 1 to 1000 characters"))
+        F.when(keys.isNull(), X.NOT_AN_OBJECT)
+        .when(F.col("tool") == "company_question", F.when(~company, X.BAD_CALL).when(~quoted("company"), "Company must be a code").when(~raw("company").rlike(X.COMPANY_CODE), "Company must be a code").when(~F.length(raw("question")).between(1, 1000), "Question is 1 to 1000 characters"))
         .when(
             F.col("tool") == "fund_disclosure",
-            F.when(~fund | ~quoted("field"), "Unknown tool or invalid arguments")
-            .when(count.isNotNull() & (quoted("count") | ~T.matches(count, r"^(?:[1-9]|10)$")), "Holdings count must be between one and ten")
+            F.when(~fund | ~quoted("field"), X.BAD_CALL)
+            .when(count.isNotNull() & (quoted("count") | ~T.matches(count, r"^(?:[1-9]|10)$")), X.BAD_COUNT)
             .when(count.isNotNull() & (raw("field") != "top_holdings"), "Only holdings have a count")
-            .when(~raw("field").isin(*FIELDS), "Unknown disclosure field"),
+            .when(~raw("field").isin(*FIELDS), X.BAD_FIELD),
         )
-        .otherwise("Unknown tool or invalid arguments")
+        .otherwise(X.BAD_CALL)
     )
     pairs = F.transform(keys, lambda k: F.concat(k, F.lit("="), F.coalesce(F.from_json("input", "map<string,string>")[k], F.lit(""))))
     return calls.withColumns({"error": error, "canonical": F.concat("tool", F.lit("?"), F.array_join(pairs, "&"))})

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellumgrid.functions import fixed as X
+from vellumgrid.functions import models
 from vellumgrid.functions import text as T
 from vellumgrid.operators import evals, evidence, guard, holdings
 from vellumgrid.plans import derived as D
@@ -307,6 +308,35 @@ def eval_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evals.rollup(evals.grade(D.spark_rows(spark, sf_dir, D.SAMPLES)))
 
 
+@query(f"""
+with s as (select *, sample % 200 as question_id, cast(sample % 19 = 0 as int) as n_recited from ({D.SAMPLES_SQL})),
+g as (select *, starts_with(trim(raw), 'Not in the filing.') and trim(raw) <> 'Not in the filing.' as leaked from s),
+p as (select *, case when answerable then not refused and not leaked and correct and faithful and n_invalid = 0 and n_ungrounded = 0 else refused and text = 'Not in the filing.' and not leaked end as passed from g)
+select question_id, type, split, count(*) filter (passed) as passed, count(*) as total,
+  case when any_value(answerable) then count(*) filter (correct) end as correct, case when any_value(answerable) then count(*) filter (faithful) end as faithful,
+  count(*) filter (leaked) as leaks, count(*) filter (n_ungrounded > 0) as ungrounded, count(*) filter (n_recited > 0) as recited
+from p group by question_id, type, split
+""")
+def question_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Graded samples of each question."""
+    samples = D.spark_rows(spark, sf_dir, D.SAMPLES).withColumns({"question_id": F.col("sample") % 200, "n_recited": (F.col("sample") % 19 == 0).cast("int")})
+    return evals.question_rollup(evals.grade(samples))
+
+
+class _Echo:
+    """A stand-in generator: it gives the prompt back."""
+
+    def generate(self, question: str, prompt: str) -> str:
+        return f"{question}: {prompt[:20]}"
+
+
+@query("select lpad(item_id::varchar, 6, '0') as question_id, 'item: ' || substr(text, 1, 20) as raw from benchmark order by 1 limit 50")
+def budgeted_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fifty calls of a model for a whole job, however many tasks share them."""
+    prompts = D.load(spark, sf_dir, "benchmark").select(F.lpad(F.col("item_id").cast("string"), 6, "0").alias("question_id"), F.lit("item").alias("question"), F.col("text").alias("prompt"))
+    return models.generate(prompts, _Echo, most=50)
+
+
 @query("""
 select item_id, case when item_id % 3 = 0 then 'Not in the filing.' else text end = 'Not in the filing.' and item_id % 2 = 0 or (item_id % 2 <> 0 and item_id % 3 <> 0) as passed from benchmark
 """)

@@ -210,7 +210,8 @@ def refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-select '| Company | Name | Year | Source | SHA-256 |' || chr(10) || '|---|---|---|---|---|' || chr(10) || string_agg('| C' || s_suppkey || ' | ' || s_name || ' | FY25 | https://x.y/' || s_suppkey || ' | abc |', chr(10) order by 'C' || s_suppkey) || chr(10) as markdown from supplier
+select 2 as place, 'C' || s_suppkey as company, '| C' || s_suppkey || ' | ' || s_name || ' | FY25 | https://x.y/' || s_suppkey || ' | abc |' as line from supplier
+union all select 0, '', '| Company | Name | Year | Source | SHA-256 |' union all select 1, '', '|---|---|---|---|---|'
 """)
 def sources_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The manifest as a Markdown table."""

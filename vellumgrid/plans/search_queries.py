@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vellumgrid.functions import fixed as X
 from vellumgrid.functions import text as T
-from vellumgrid.operators import evals, search
+from vellumgrid.operators import chunking, evals, search
 from vellumgrid.plans import derived as D
 from vellumgrid.sources import index
 
@@ -209,3 +209,31 @@ def gate_threshold_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = D.load(spark, sf_dir, "documents")
     scores = D.load(spark, sf_dir, "labels").join(docs, "doc_id").select((F.col("quality") == 1).alias("answerable"), (F.col("n_chars") % 1000).alias("score"))
     return evals.fit_threshold(scores)
+
+
+@query(rf"""
+select company, count(*) as n_chunks, count(distinct page) as n_pages, min(tokens) as smallest, median(tokens)::double as median, max(tokens) as largest, count(*) filter (tokens > 200) as over_target
+from (select source as company, doc_id as page, len(regexp_extract_all(coalesce(text, ''), '[\p{{L}}\p{{N}}]+')) as tokens from documents) group by company
+""")
+def chunk_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Smallest, median and largest chunk of each filing, a document being a chunk (A5)."""
+    chunks = documents(spark, sf_dir).select(F.col("source").alias("company"), F.col("key").alias("page"), F.size(T.tokens(F.coalesce("text", F.lit("")))).cast("long").alias("tokens"))
+    return chunking.chunk_sizes(chunks, "company")
+
+
+@query(rf"""
+with hits as (select question_id, key, rank from ({BM25_SQL}) where rank <= 8),
+context as (select question_id, key as page, rank as position, coalesce(text, '') as text, len(regexp_extract_all(coalesce(text, ''), '[\p{{L}}\p{{N}}]+')) as tokens from hits join documents on doc_id = key),
+expected as (select item_id as question_id, substr(text, 1, 40) as answer_text from benchmark),
+held as (select question_id, min(position) filter (contains(text, answer_text)) as first, count(*) as n_chunks, sum(tokens)::bigint as tokens from context join expected using (question_id) group by 1)
+select question_id, held.first is not null as present, c.page, case when held.first is not null then 0 end as chunk, coalesce(n_chunks, 0) as n_chunks, coalesce(held.tokens, 0) as tokens
+from expected left join held using (question_id) left join context c on c.question_id = expected.question_id and c.position = held.first
+""")
+def answer_in_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the best eight documents hold an item's first forty characters, and where first."""
+    asked = D.load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.substring("text", 1, 40).alias("answer_text"))
+    docs = documents(spark, sf_dir)
+    hits = search.keyword_topk(docs, questions(spark, sf_dir), k=8)
+    text = F.coalesce("text", F.lit(""))
+    context = hits.join(docs.select("key", text.alias("text"), F.size(T.tokens(text)).cast("long").alias("tokens")), "key").select("question_id", F.col("key").alias("page"), F.lit(0).alias("chunk"), F.col("rank").alias("position"), "tokens", "text")
+    return evals.answer_in_context(context, asked)

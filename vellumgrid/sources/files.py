@@ -165,11 +165,18 @@ def html_links(pages: DataFrame, extension: str | None = None) -> DataFrame:
 
 
 def sources_table(manifest: DataFrame) -> DataFrame:
-    """One row holding the manifest as a Markdown table, ordered by company."""
+    """The manifest as the lines of a Markdown table: place (0 and 1 the head, 2 the rows), company and line.
+
+    A row for each filing, wherever it is: the table is put in order when it is written.
+    """
     row = F.concat(F.lit("| "), F.concat_ws(" | ", "company", "name", "fiscal_year", "source_url", "sha256"), F.lit(" |"))
-    rows = manifest.agg(F.array_sort(F.collect_list(F.struct("company", row.alias("r")))).alias("rows"))
-    head = "| Company | Name | Year | Source | SHA-256 |\n|---|---|---|---|---|\n"
-    return rows.select(F.concat(F.lit(head), F.array_join(F.transform("rows", lambda r: r["r"]), "\n"), F.lit("\n")).alias("markdown"))
+    head = manifest.sparkSession.createDataFrame([(0, "", "| Company | Name | Year | Source | SHA-256 |"), (1, "", "|---|---|---|---|---|")], "place int, company string, line string")
+    return head.unionByName(manifest.select(F.lit(2).alias("place"), "company", row.alias("line")))
+
+
+def write_table(lines: DataFrame, path: str) -> None:
+    """Lines in order as text files whose names are in that order: sorted by ranges, so that no task holds them all."""
+    lines.orderBy("place", "company", "line").select("line").write.mode("errorifexists").text(path)
 
 
 def write_if_changed(path: str, text: str) -> bool:
