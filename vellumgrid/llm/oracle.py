@@ -144,4 +144,36 @@ select documents.doc_id, coalesce(sizes.n, 0)::bigint as n_shingles, component_i
 from documents left join sizes using (doc_id) join (select doc_id, min(other) as component_id from reach group by doc_id) using (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": OP1, "op3_near_dedup": OP3, "op8_decontamination": OP8, "op6_chat_format": OP6, "op10_quality_rules": OP10}
+OP11 = r"""
+with hashed as (
+  select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words,
+    case when doc_id is not null then xor(list_reduce(list_transform(string_split(doc_id::varchar, ''), lambda c: ord(c)::bigint),
+      lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, (x & 1) * 3988292384)), 4294967295), 4294967295) end as h
+  from documents),
+sized as (
+  select *, len(words)::bigint as n, h // 10 as g, case when h % 10 = 0 and len(words) > 0 then (h // 10) % len(words) end as a from hashed),
+edited as (
+  select r, doc_id, n, case when a is null then words else list_transform(range(n), lambda i: words[1 + case when i < a then i else a + (i - a) % (1 + (n - a) // (3 + g % 8)) end]) end as words from sized),
+places as (
+  select r, n, unnest(words) as w, unnest(range(n)) as i from edited where n >= 6),
+-- Equal words a possible period apart, and of each period the unbroken stretches of them.
+equal as (
+  select x.r, x.i, y.i - x.i as q from places x join places y on x.r = y.r and x.w = y.w and y.i > x.i and 4 * (y.i - x.i) <= x.n),
+stretches as (
+  select r, q, min(i) as start, count(*) + q as length from (select *, i - row_number() over (partition by r, q order by i) as part from equal) group by r, q, part),
+runs as (
+  select r, start, length, min(q) as period from stretches where length >= greatest(6, 4 * q) group by r, start, length),
+dropped as (
+  select distinct r, unnest(range(start + period, start + length)) as i from runs),
+kept as (
+  select r, string_agg(w, ' ' order by i) as kept from (select r, unnest(words) as w, unnest(range(n)) as i from edited) anti join dropped using (r, i) group by r),
+best as (
+  select * from runs qualify row_number() over (partition by r order by length desc, start, period) = 1),
+listed as (
+  select r, count(*) as n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period) as lines from runs group by r)
+select doc_id, coalesce(n_runs, 0)::bigint as n_runs, start, length, period, 1000 * length // period as exponent_milli,
+  sha256(coalesce(lines, '')) as runs_sha256, sha256(coalesce(kept, '')) as collapsed_sha256
+from edited left join listed using (r) left join best using (r) left join kept using (r)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": OP1, "op3_near_dedup": OP3, "op8_decontamination": OP8, "op6_chat_format": OP6, "op10_quality_rules": OP10, "op11_periodic_runs": OP11}
