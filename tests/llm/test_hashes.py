@@ -85,26 +85,44 @@ def shared_parts():
 
 @pytest.mark.parametrize(("shard_phrases", "part_words"), [(1000, 1 << 20), (7, 1 << 20), (3, 500)])
 def test_every_document_streams_through_every_shard(spark, monkeypatch, shard_phrases, part_words):
-    """Rows are counted as they reach the automata: documents (but word-for-word copies) times shards, however many there are."""
+    """Runs of the automata are counted: documents (but word-for-word copies) times shards, however many there are; each is moved once."""
     rows = shared_parts()
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    dealt = []
-    real = substring_dedup.streamed
+    seen = []
+    real = substring_dedup.dealt
 
     def spied(documents, recurring, own=shard_phrases, words=part_words):
-        dealt.append((documents.count(), -(-recurring.count() // shard_phrases), real(documents, recurring, shard_phrases, part_words)))
-        return dealt[-1][2]
+        seen.append((documents.count(), -(-recurring.count() // shard_phrases), recurring.count(), real(documents, recurring, shard_phrases, part_words)))
+        return seen[-1][3]
 
-    monkeypatch.setattr(substring_dedup, "streamed", spied)
+    monkeypatch.setattr(substring_dedup, "dealt", spied)
     cut = substring_dedup.remove_spans(df, substring_dedup.find_repeats(df))
     assert {(r["doc_id"], r["kept_text"]) for r in cut.collect()} == {(i, kept) for i, _, _, kept in without_repeats(rows)}
-    documents, shards, passing = dealt[0]
+    documents, shards, phrases, passing = seen[0]
     # Copies are one class; every other document takes part, with phrases or without.
     assert documents == len({tuple((t or "").split()) if len((t or "").split()) >= 50 else i for i, t in rows})
     assert (shards > 1) == (shard_phrases < 100)
-    per_shard = {r["shard"]: r["n"] for r in passing.where("phrase is null").groupBy("shard").agg(F.count("*").alias("n")).collect()}
-    assert per_shard == {shard: documents for shard in range(shards)}
-    assert passing.where("phrase is not null").groupBy("salt").agg(F.countDistinct("phrase").alias("n")).select("n").distinct().count() == 1
+    parts = passing.select("part").distinct().count()
+    assert (parts > 1) == (part_words < 1000) and passing.where("shard < 0").count() == documents and passing.where("shard >= 0").count() == phrases * parts
+    runs, dealt_shards = spark.sparkContext.accumulator(0), passing.where("shard >= 0").select("shard").distinct().count()
+
+    def counted(batches):
+        from vellumgrid.llm import substring_dedup as own
+
+        found = own.occurrences
+
+        def spy(automaton, codes):
+            runs.add(1)
+            return found(automaton, codes)
+
+        own.occurrences = spy
+        try:
+            yield from own._stream(batches)
+        finally:
+            own.occurrences = found
+
+    passing.mapInArrow(counted, "id long, twin long, found array<int>").count()
+    assert runs.value == documents * dealt_shards and dealt_shards > shards // 2
 
 
 def test_occurrences_come_from_the_automaton():

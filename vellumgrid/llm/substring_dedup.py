@@ -8,14 +8,15 @@ with the smallest hash, so equal windows have equal phrases. The steps:
 2. Phrases that recur together with half a window's other words on one side, under two or more ids, are those of the recurring
    passages (of every repeated window at least that much is the same). They are dealt by hash into shards of about
    ``shard_phrases``, whose number grows with them.
-3. Every document but the copies, as codes (a character a word), is dealt to every shard, and each shard's phrases to all its
-   parts, in one exchange. A worker compiles a part's phrases, which come first, into an Aho-Corasick automaton and streams the
-   part's documents through it; what it finds, and nothing else, are the phrases' occurrences.
+3. The documents but the copies, as codes (a character a word), are dealt once into parts of about ``PART_WORDS`` words, and all shards'
+   phrases to every part, in one exchange. A worker holds its part's documents and takes one shard after another: it compiles the shard's
+   phrases into an Aho-Corasick automaton and streams all of the part's documents through it; what that finds, and nothing else,
+   are the phrases' occurrences.
 4. The windows named by the occurrences are confirmed: 128 bits of hash over all their words are grouped, and
    a word is removed if a window over it also starts in a document with a smaller id.
 
-So documents are streamed as many times as there are shards, whatever they hold; a worker's memory is set by ``shard_phrases`` and
-the driver only learns counts.
+So documents are streamed as many times as there are shards, whatever they hold, but moved once; a worker's memory is set by
+``shard_phrases`` and ``PART_WORDS``, and the driver only learns counts.
 
 Null texts have no words; an empty text has none either. A null id is neither earlier nor later than
 another, so such rows are returned whole. Rows that share an id are not earlier than one another; each is
@@ -45,8 +46,8 @@ PHRASE = 8
 SLICE_BYTES = 1 << 20
 #: Phrases of an automaton: at most about 120 MB in a worker.
 SHARD_PHRASES = 1 << 18
-#: Words (bytes of codes) of a shard's part.
-PART_WORDS = 4 << 20
+#: Words (bytes of codes) of a part.
+PART_WORDS = 8 << 20
 #: Mixed into the second half of a window's 128 bits.
 SECOND = 0xA24BAED4963EE407
 
@@ -117,40 +118,46 @@ def occurrences(automaton: ahocorasick.Automaton, codes: bytes) -> list[int]:
 
 
 def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Parts of shards, one after another: first their phrases, then the documents, as codes, which the automaton reads."""
-    own, phrases, automaton = None, [], None
-    for part in slices(batches, "codes", SLICE_BYTES):
-        shards, salts, ids, twins, codes, phrase = part.columns
-        where = np.stack([shards.to_numpy(), salts.to_numpy()], axis=1)
+    """Parts, one after another: first their documents, as codes, which are held, then their phrases, shard by shard."""
+    part, shard, held, phrases = None, None, [], []
+
+    def found() -> Iterator[pa.RecordBatch]:
+        if phrases and held:
+            automaton = compile_phrases(phrases)
+            for documents in held:
+                places = pa.array([occurrences(automaton, c.as_buffer().to_pybytes()) for c in documents.column(2)], pa.list_(pa.int32()))
+                some = pa.compute.greater(pa.compute.list_value_length(places), 0)
+                yield pa.RecordBatch.from_arrays([documents.column(0), documents.column(1), places], names=["id", "twin", "found"]).filter(some)
+
+    for batch in slices(batches, "codes", SLICE_BYTES):
+        where = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], axis=1)
         cuts = np.flatnonzero(np.concatenate(([True], (np.diff(where, axis=0) != 0).any(1)))).tolist()
-        for a, b in zip(cuts, [*cuts[1:], part.num_rows], strict=True):
-            if where[a, 0] != own:
-                own, phrases, automaton = where[a, 0], [], None
-            new = phrase.slice(a, b - a).drop_null()
-            if automaton is None:  # else another part of the same shard, with the same phrases
-                phrases += new.to_pylist()
-            at = a + len(new)
-            if at < b:
-                automaton = automaton or compile_phrases(phrases)
-                found = pa.array([occurrences(automaton, c.as_buffer().to_pybytes()) for c in codes.slice(at, b - at)], pa.list_(pa.int32()))
-                some = pa.compute.greater(pa.compute.list_value_length(found), 0)
-                yield pa.RecordBatch.from_arrays([ids.slice(at, b - at), twins.slice(at, b - at), found], names=["id", "twin", "found"]).filter(some)
-
-
-def streamed(documents: DataFrame, recurring: DataFrame, shard_phrases: int = SHARD_PHRASES, part_words: int = PART_WORDS) -> DataFrame:
-    """Every document (id, twin, codes), once for each shard of the phrases, with those phrases, in their parts and in order.
-
-    Columns: shard, salt, id, twin, codes, phrase; a phrase's row has no codes and stands before its part's documents.
+        for a, b in zip(cuts, [*cuts[1:], batch.num_rows], strict=True):
+            own, number = where[a].tolist()
+            if (own, number) != (part, shard):
+                yield from found()
+                held, phrases = ([] if own != part else held), []
+                part, shard = own, number
+            if number < 0:
+                held.append(pa.RecordBatch.from_arrays([c.slice(a, b - a) for c in batch.columns[2:5]], names=["id", "twin", "codes"]))
+            else:
+                phrases += batch.column(5).slice(a, b - a).to_pylist()
+    yield from found()
+
+
+def dealt(documents: DataFrame, recurring: DataFrame, shard_phrases: int = SHARD_PHRASES, part_words: int = PART_WORDS) -> DataFrame:
+    """Every document (id, twin, codes) in its part, and all phrases, by shard, in every part: part, shard, id, twin, codes, phrase, in order.
+
+    A document's row has shard -1 and stands before the part's phrases, which have no codes.
     """
-    shards = -(-recurring.count() // shard_phrases)
+    shards = max(1, -(-recurring.count() // shard_phrases))
     words = documents.agg(F.coalesce(F.sum(F.octet_length("codes")), F.lit(0))).first()[0]
-    salts = max(1, -(-words // part_words))
-    part = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    names = ("shard", "salt", "id", "twin", "codes", "phrase")
-    dealt = documents.withColumn("phrase", F.lit(None).cast("long")).withColumn("salt", F.pmod(F.xxhash64("id", "twin"), F.lit(salts)).cast("int"))
-    dealt = (dealt.withColumn("shard", part(shards)) if shards else dealt.withColumn("shard", F.lit(0)).where(F.lit(False))).select(*names)
-    own = recurring.select(F.pmod(F.xxhash64("phrase"), F.lit(max(1, shards))).cast("int").alias("shard"), part(salts).alias("salt"), *[F.lit(None).cast(kind).alias(c) for c, kind in documents.dtypes], "phrase").select(*names)
-    return dealt.unionByName(own).repartition(max(1, shards * salts), "shard", "salt").sortWithinPartitions("shard", "salt", F.col("phrase").asc_nulls_last())
+    parts = max(1, -(-words // part_words))
+    names = ("part", "shard", "id", "twin", "codes", "phrase")
+    own = documents.withColumns({"part": F.pmod(F.xxhash64("id", "twin"), F.lit(parts)).cast("int"), "shard": F.lit(-1), "phrase": F.lit(None).cast("long")}).select(*names)
+    every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    theirs = recurring.select(every.alias("part"), F.pmod(F.xxhash64("phrase"), F.lit(shards)).cast("int").alias("shard"), *[F.lit(None).cast(kind).alias(c) for c, kind in documents.dtypes], "phrase").select(*names)
+    return own.unionByName(theirs).repartition(parts, "part").sortWithinPartitions("part", "shard")
 
 
 def _locate(window: int):
@@ -214,7 +221,7 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
     each = taking_part.select("id", F.explode(F.arrays_zip("phrase", "context")).alias("p")).select("id", "p.phrase", "p.context")
     confirmed = each.groupBy("context").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.first("phrase").alias("phrase")).where("a < b")
     recurring = keep(confirmed.select("phrase").distinct())
-    passing = streamed(taking_part.select("id", "twin", "codes"), recurring, shard_phrases)
+    passing = dealt(taking_part.select("id", "twin", "codes"), recurring, shard_phrases)
     found = passing.mapInArrow(_stream, f"id {kind}, twin long, found array<int>")
     places = keep(found.groupBy("id", "twin").agg(F.array_distinct(F.flatten(F.collect_list("found"))).alias("found")))
     size = places.agg(F.count("*") * 32 + F.coalesce(F.sum(F.size("found")), F.lit(0)) * 4).first()[0]
