@@ -290,3 +290,25 @@ def test_threshold_over_many_ranges(spark, monkeypatch):
         got = evals.fit_threshold(df).first()
         assert (got["errors"], -got["threshold"]) == expected, size
     assert evals.fit_threshold(df.limit(0)).first()["threshold"] is None
+
+
+def test_named_holdings_are_found_by_their_first_letters(spark):
+    """What a comparison of every holding of a fund with every question finds, and nothing else."""
+    import re
+
+    names = ["Bharat Electronics Limited", "Bharat Electronics Ltd. Bonds", "ITC Ltd", "HDFC Bank", "Bank", "Net Current Assets", "Limited", "Larsen & Toubro", "ab", None]
+    codes = ["BEL", None, "ITC", "M&M", "B", None, None, "LT", "AB", "ZZ"]
+    rows = [(fund, name, code, f"{i}.00%", "S", i + 9, i + 1, True) for fund in (1, 2) for i, (name, code) in enumerate(zip(names, codes, strict=True)) if fund == 1 or i % 2]
+    asked = [(1, "what is the bel weight?"), (1, "weight of bharat electronics?"), (1, "weight of bharat electronics  bonds"), (2, "bharat electronics and hdfc bank holding"), (1, "the switching cost of m&m"), (1, "weight of larsen & toubro limited"), (2, "label"), (1, ""), (3, "bank"), (1, "b"), (1, "rabbit holding zz.")]
+    asked = [(f"q{i}", *a) for i, a in enumerate(asked)]
+    expected = set()
+    for q, fund, text in asked:
+        for f, name, code, *_, row, _, _ in rows:
+            short = None if name is None else re.sub(r"\b(?:limited|ltd)\.?", "", name.lower()).strip()
+            if f == fund and (short is not None and short in text or code and re.search(r"\b" + re.escape(code.lower()) + r"\b", text)):
+                expected.add((q, row))
+    held = spark.createDataFrame(rows, "fund int, name string, company string, weight_display string, sheet string, row int, rank int, eligible boolean")
+    got = holdings.named(spark.createDataFrame(asked, "question_id string, fund int, q string"), held).collect()
+    assert sorted((r["question_id"], r["row"]) for r in got) == sorted(expected) and len(expected) > 15
+    plan = holdings.named(spark.createDataFrame(asked, "question_id string, fund int, q string"), held)._jdf.queryExecution().optimizedPlan().toString()
+    assert "key" in plan.split("Join Inner")[1].split("\n")[0]
