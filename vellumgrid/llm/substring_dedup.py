@@ -46,8 +46,8 @@ PHRASE = 8
 SLICE_BYTES = 1 << 20
 #: Phrases of an automaton: at most about 120 MB in a worker.
 SHARD_PHRASES = 1 << 18
-#: Words (bytes of codes) of a part.
-PART_WORDS = 8 << 20
+#: Words (bytes of codes) of a part, which a worker holds: all phrases go to every part, so parts are large and few.
+PART_WORDS = 64 << 20
 #: Mixed into the second half of a window's 128 bits.
 SECOND = 0xA24BAED4963EE407
 
@@ -141,22 +141,23 @@ def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if number < 0:
                 held.append(pa.RecordBatch.from_arrays([c.slice(a, b - a) for c in batch.columns[2:5]], names=["id", "twin", "codes"]))
             else:
-                phrases += batch.column(5).slice(a, b - a).to_pylist()
+                phrases += batch.column(5).slice(a, b - a).flatten().to_pylist()
     yield from found()
 
 
 def dealt(documents: DataFrame, recurring: DataFrame, shard_phrases: int = SHARD_PHRASES, part_words: int = PART_WORDS) -> DataFrame:
-    """Every document (id, twin, codes) in its part, and all phrases, by shard, in every part: part, shard, id, twin, codes, phrase, in order.
+    """Every document (id, twin, codes) in its part, and all phrases, a row for each shard, in every part: part, shard, id, twin, codes, phrases, in order.
 
-    A document's row has shard -1 and stands before the part's phrases, which have no codes.
+    A document's row has shard -1 and stands before the part's phrases, which have no codes. A shard's row has about ``shard_phrases`` of eight bytes.
     """
     shards = max(1, -(-recurring.count() // shard_phrases))
     words = documents.agg(F.coalesce(F.sum(F.octet_length("codes")), F.lit(0))).first()[0]
     parts = max(1, -(-words // part_words))
-    names = ("part", "shard", "id", "twin", "codes", "phrase")
-    own = documents.withColumns({"part": F.pmod(F.xxhash64("id", "twin"), F.lit(parts)).cast("int"), "shard": F.lit(-1), "phrase": F.lit(None).cast("long")}).select(*names)
+    names = ("part", "shard", "id", "twin", "codes", "phrases")
+    own = documents.withColumns({"part": F.pmod(F.xxhash64("id", "twin"), F.lit(parts)).cast("int"), "shard": F.lit(-1), "phrases": F.lit(None).cast("array<bigint>")}).select(*names)
+    grouped = recurring.groupBy(F.pmod(F.xxhash64("phrase"), F.lit(shards)).cast("int").alias("shard")).agg(F.collect_list("phrase").alias("phrases"))
     every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    theirs = recurring.select(every.alias("part"), F.pmod(F.xxhash64("phrase"), F.lit(shards)).cast("int").alias("shard"), *[F.lit(None).cast(kind).alias(c) for c, kind in documents.dtypes], "phrase").select(*names)
+    theirs = grouped.select(every.alias("part"), "shard", *[F.lit(None).cast(kind).alias(c) for c, kind in documents.dtypes], "phrases").select(*names)
     return own.unionByName(theirs).repartition(parts, "part").sortWithinPartitions("part", "shard")
 
 
