@@ -85,8 +85,9 @@ def shared_parts():
 
 @pytest.mark.parametrize(("shard_phrases", "part_words"), [(1000, 1 << 20), (7, 1 << 20), (3, 500)])
 def test_every_document_streams_through_every_shard(spark, monkeypatch, shard_phrases, part_words):
-    """Runs of the automata are counted: documents (but word-for-word copies) times shards, however many there are; each is moved once."""
+    """Runs of the automata are counted: documents, copies as well, times shards, however many there are; each is moved once."""
     rows = shared_parts()
+    rows += [(200 + i, t) for i, t in rows[::4]] + [(300, rows[-3][1])]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     seen = []
     real = substring_dedup.dealt
@@ -99,8 +100,7 @@ def test_every_document_streams_through_every_shard(spark, monkeypatch, shard_ph
     cut = substring_dedup.remove_spans(df, substring_dedup.find_repeats(df))
     assert {(r["doc_id"], r["kept_text"]) for r in cut.collect()} == {(i, kept) for i, _, _, kept in without_repeats(rows)}
     documents, shards, phrases, passing = seen[0]
-    # Copies are one class; every other document takes part, with phrases or without.
-    assert documents == len({tuple((t or "").split()) if len((t or "").split()) >= 50 else i for i, t in rows})
+    assert documents == len(rows)
     assert (shards > 1) == (shard_phrases < 100)
     parts = passing.select("part").distinct().count()
     assert (parts > 1) == (part_words < 1000) and passing.where("shard < 0").count() == documents and passing.where("shard >= 0").agg(F.sum(F.size("phrases"))).first()[0] == phrases * parts
@@ -111,9 +111,9 @@ def test_every_document_streams_through_every_shard(spark, monkeypatch, shard_ph
 
         found = own.occurrences
 
-        def spy(automaton, codes):
+        def spy(automaton, codes, copy):
             runs.add(1)
-            return found(automaton, codes)
+            return found(automaton, codes, copy)
 
         own.occurrences = spy
         try:
@@ -121,7 +121,7 @@ def test_every_document_streams_through_every_shard(spark, monkeypatch, shard_ph
         finally:
             own.occurrences = found
 
-    passing.mapInArrow(counted, "id long, twin long, found array<int>").count()
+    passing.mapInArrow(counted, "id long, twin long, copy boolean, found array<int>").count()
     assert runs.value == documents * dealt_shards and dealt_shards > shards // 2
 
 
@@ -144,3 +144,20 @@ def test_occurrences_come_from_the_automaton():
     automaton = substring_dedup.compile_phrases([phrase(12), phrase(250)])
     assert substring_dedup.occurrences(Spy(automaton), codes) == [12, 250] and substring_dedup.occurrences(Spy(automaton), b"") == [] and streamed == [len(words), 0]
     assert not substring_dedup.occurrences(Spy(substring_dedup.compile_phrases([phrase(12) ^ 1])), codes)
+
+
+def test_copies_are_what_the_automaton_finds(spark, monkeypatch):
+    """A copy is removed because all its windows' phrases were found in it: with none of them compiled it stays."""
+    rng = random.Random(17)
+    text = prose(rng, 140)
+    rows = [(1, text), (2, text.replace(" ", "  ")), (3, text), (3, text), (4, prose(rng, 80))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found_repeats(df) == without_repeats(rows)
+    real = substring_dedup.dealt
+    monkeypatch.setattr(substring_dedup, "dealt", lambda documents, recurring, *more: real(documents, recurring.limit(0), *more))
+    assert {r["n_removed"] for r in substring_dedup.remove_spans(df, substring_dedup.find_repeats(df)).collect()} == {0}
+
+
+def test_phrases_of_copies_count_in_copies_only():
+    automaton = substring_dedup.compile_phrases([int.from_bytes(b"abcdefgh", "little"), int.from_bytes(b"bcdefghi", "little")], [True, False])
+    assert substring_dedup.occurrences(automaton, b"xabcdefghi") == [1] and substring_dedup.occurrences(automaton, b"xabcdefghi", True) == [1, 2]

@@ -3,16 +3,15 @@
 A window is ``window`` consecutive words. Each window is named by one short phrase inside it, the one
 with the smallest hash, so equal windows have equal phrases. The steps:
 
-1. Texts with the same words are one class (by SHA-256); only its smallest id takes part, the others are
-   repeats of it from end to end.
-2. Phrases that recur together with half a window's other words on one side, under two or more ids, are those of the recurring
-   passages (of every repeated window at least that much is the same). They are dealt by hash into shards of about
-   ``shard_phrases``, whose number grows with them.
-3. The documents but the copies, as codes (a character a word), are dealt once into parts of about ``PART_WORDS`` words, and all shards'
+1. Phrases that recur together with half a window's other words on one side, in two or more different texts, are those of the recurring
+   passages (of every repeated window at least that much is the same); those of texts that recur as a whole, word for word (SHA-256),
+   are added. They are dealt by hash into shards of about ``shard_phrases``, whose number grows with them.
+2. All documents, as codes (a character a word), are dealt once into parts of about ``PART_WORDS`` words, and all shards'
    phrases to every part, in one exchange. A worker holds its part's documents and takes one shard after another: it compiles the shard's
    phrases into an Aho-Corasick automaton and streams all of the part's documents through it; what that finds, and nothing else,
    are the phrases' occurrences.
-4. The windows named by the occurrences are confirmed: 128 bits of hash over all their words are grouped, and
+3. The windows named by the occurrences are confirmed. A document of which every window was found, and whose word sequence is that
+   of an earlier document, repeats it from end to end. Of all others 128 bits of hash over each window's words are grouped, and
    a word is removed if a window over it also starts in a document with a smaller id.
 
 So documents are streamed as many times as there are shards, whatever they hold, but moved once; a worker's memory is set by
@@ -51,6 +50,8 @@ PART_WORDS = 64 << 20
 #: Mixed into the second half of a window's 128 bits.
 SECOND = 0xA24BAED4963EE407
 
+PHRASES = "array<struct<phrase:bigint,among:boolean>>"
+
 _KINDS = (~SPACE).astype(np.uint8)
 
 
@@ -104,30 +105,32 @@ def _read(window: int):
     return run
 
 
-def compile_phrases(phrases: list[int]) -> ahocorasick.Automaton:
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-    for p in phrases:
-        automaton.add_word(p.to_bytes(PHRASE, "little", signed=True).decode("latin-1"))
+def compile_phrases(phrases: list[int], among: list[bool] | None = None) -> ahocorasick.Automaton:
+    """An automaton of the phrases, each marked as one that recurs among different texts (all, unless said) or only in copies of one."""
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+    for p, mark in zip(phrases, among or [True] * len(phrases), strict=True):
+        automaton.add_word(p.to_bytes(PHRASE, "little", signed=True).decode("latin-1"), int(mark))
     automaton.make_automaton()
     return automaton
 
 
-def occurrences(automaton: ahocorasick.Automaton, codes: bytes) -> list[int]:
-    """The words of a document at which a phrase of the automaton starts."""
-    return [end - PHRASE + 1 for end, _ in automaton.iter(codes.decode("latin-1"))]
+def occurrences(automaton: ahocorasick.Automaton, codes: bytes, copy: bool = False) -> list[int]:
+    """The words of a document at which a phrase of the automaton starts; those that recur only in copies count in copies only."""
+    return [end - PHRASE + 1 for end, among in automaton.iter(codes.decode("latin-1")) if among or copy]
 
 
 def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Parts, one after another: first their documents, as codes, which are held, then their phrases, shard by shard."""
-    part, shard, held, phrases = None, None, [], []
+    part, shard, held, phrases, among = None, None, [], [], []
 
     def found() -> Iterator[pa.RecordBatch]:
         if phrases and held:
-            automaton = compile_phrases(phrases)
+            automaton = compile_phrases(phrases, among)
             for documents in held:
-                places = pa.array([occurrences(automaton, c.as_buffer().to_pybytes()) for c in documents.column(2)], pa.list_(pa.int32()))
+                rows = zip(documents.column(2), documents.column(3).to_pylist(), strict=True)
+                places = pa.array([occurrences(automaton, c.as_buffer().to_pybytes(), copy) for c, copy in rows], pa.list_(pa.int32()))
                 some = pa.compute.greater(pa.compute.list_value_length(places), 0)
-                yield pa.RecordBatch.from_arrays([documents.column(0), documents.column(1), places], names=["id", "twin", "found"]).filter(some)
+                yield pa.RecordBatch.from_arrays([documents.column(i) for i in (0, 1, 3)] + [places], names=["id", "twin", "copy", "found"]).filter(some)
 
     for batch in slices(batches, "codes", SLICE_BYTES):
         where = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], axis=1)
@@ -136,33 +139,35 @@ def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own, number = where[a].tolist()
             if (own, number) != (part, shard):
                 yield from found()
-                held, phrases = ([] if own != part else held), []
+                held, phrases, among = ([] if own != part else held), [], []
                 part, shard = own, number
             if number < 0:
-                held.append(pa.RecordBatch.from_arrays([c.slice(a, b - a) for c in batch.columns[2:5]], names=["id", "twin", "codes"]))
+                held.append(pa.RecordBatch.from_arrays([c.slice(a, b - a) for c in batch.columns[2:6]], names=["id", "twin", "codes", "copy"]))
             else:
-                phrases += batch.column(5).slice(a, b - a).flatten().to_pylist()
+                own_phrases, marks = batch.column(6).slice(a, b - a).flatten().flatten()
+                phrases += own_phrases.to_pylist()
+                among += marks.to_pylist()
     yield from found()
 
 
 def dealt(documents: DataFrame, recurring: DataFrame, shard_phrases: int = SHARD_PHRASES, part_words: int = PART_WORDS) -> DataFrame:
-    """Every document (id, twin, codes) in its part, and all phrases, a row for each shard, in every part: part, shard, id, twin, codes, phrases, in order.
+    """Every document (id, twin, codes, copy) in its part, and all phrases (phrase, among), a row for each shard, in every part: part, shard, id, twin, codes, copy, phrases, in order.
 
-    A document's row has shard -1 and stands before the part's phrases, which have no codes. A shard's row has about ``shard_phrases`` of eight bytes.
+    A document's row has shard -1 and stands before the part's phrases, which have no codes. A shard's row has about ``shard_phrases`` of nine bytes.
     """
     shards = max(1, -(-recurring.count() // shard_phrases))
     words = documents.agg(F.coalesce(F.sum(F.octet_length("codes")), F.lit(0))).first()[0]
     parts = max(1, -(-words // part_words))
-    names = ("part", "shard", "id", "twin", "codes", "phrases")
-    own = documents.withColumns({"part": F.pmod(F.xxhash64("id", "twin"), F.lit(parts)).cast("int"), "shard": F.lit(-1), "phrases": F.lit(None).cast("array<bigint>")}).select(*names)
-    grouped = recurring.groupBy(F.pmod(F.xxhash64("phrase"), F.lit(shards)).cast("int").alias("shard")).agg(F.collect_list("phrase").alias("phrases"))
+    names = ("part", "shard", "id", "twin", "codes", "copy", "phrases")
+    own = documents.withColumns({"part": F.pmod(F.xxhash64("id", "twin"), F.lit(parts)).cast("int"), "shard": F.lit(-1), "phrases": F.lit(None).cast(PHRASES)}).select(*names)
+    grouped = recurring.groupBy(F.pmod(F.xxhash64("phrase"), F.lit(shards)).cast("int").alias("shard")).agg(F.collect_list(F.struct("phrase", "among")).alias("phrases"))
     every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
     theirs = grouped.select(every.alias("part"), "shard", *[F.lit(None).cast(kind).alias(c) for c, kind in documents.dtypes], "phrases").select(*names)
     return own.unionByName(theirs).repartition(parts, "part").sortWithinPartitions("part", "shard")
 
 
 def _locate(window: int):
-    """The windows (start and 128 bits of hash) whose phrase stands at one of the places found."""
+    """The windows (start and 128 bits of hash) whose phrase stands at one of the places found; of a copy that they cover whole, its length alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", SLICE_BYTES):
@@ -171,16 +176,17 @@ def _locate(window: int):
             found = np.zeros(len(words) + 1, dtype=bool)
             places = part.column(3)
             found[places.flatten().to_numpy() + np.repeat(first[:-1], pa.compute.list_value_length(places).to_numpy())] = True
-            chosen = found[place]
-            if not chosen.any():
-                continue
+            chosen, sizes = found[place], np.diff(before)
+            whole = part.column(4).to_numpy(zero_copy_only=False) & (sizes > 0) & (np.diff(np.concatenate(([0], np.cumsum(chosen)))[before]) == sizes)
+            chosen &= ~np.repeat(whole, sizes)
             counts = np.concatenate(([0], np.cumsum(chosen)))[before]
             at = starts[chosen]
             own = pa.array(at - np.repeat(first[:-1], np.diff(counts)), pa.int32())
-            hashes = [pa.array(gram_hashes(words, window, *seed)[at].view(np.int64), pa.int64()) for seed in ((), (SECOND,))]
+            hashes = [pa.array(gram_hashes(words, window, *seed)[at].view(np.int64) if len(at) else [], pa.int64()) for seed in ((), (SECOND,))]
             offsets = pa.array(counts, pa.int32())
             lists = [pa.ListArray.from_arrays(offsets, x) for x in (own, *hashes)]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *lists], names=["id", "twin", "start", "h1", "h2"])
+            ends = pa.array(np.diff(first), pa.int64(), mask=~whole)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), ends, *lists], names=["id", "twin", "copy_end", "start", "h1", "h2"])
 
     return run
 
@@ -214,26 +220,26 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
     first = long.groupBy("words_sha").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id")).where("first_id < last_id")
     # Kept, and sent everywhere if counted small; if not, the join's hot partitions can be split.
     first = small(keep(first.select("words_sha", "first_id")), 64)
-    slim = long.select("id", "twin", "n_words", "words_sha").join(first, "words_sha")
-    copies = keep(slim.where("id > first_id").select("id", "twin", F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_words").alias("end"))).alias("spans")).distinct())
-    # The rows that take part: all but the copies.
-    names = small(copies.select("id", "twin"), 32)
-    taking_part = prints.select("id", "twin", "codes", "phrase", "context").join(names, ["id", "twin"], "left_anti")
-    each = taking_part.select("id", F.explode(F.arrays_zip("phrase", "context")).alias("p")).select("id", "p.phrase", "p.context")
+    copies = keep(long.select("id", "twin", "words_sha").join(first, "words_sha").where("id > first_id").select("id", "twin", F.lit(True).alias("copy")).distinct())
+    marked = prints.join(small(copies, 32), ["id", "twin"], "left").withColumn("copy", F.coalesce("copy", F.lit(False)))
+    # Among different texts a phrase recurs together with its context; copies of one text count once for that.
+    each = marked.where("not copy").select("id", F.explode(F.arrays_zip("phrase", "context")).alias("p")).select("id", "p.phrase", "p.context")
     confirmed = each.groupBy("context").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.first("phrase").alias("phrase")).where("a < b")
-    recurring = keep(confirmed.select("phrase").distinct())
-    passing = dealt(taking_part.select("id", "twin", "codes"), recurring, shard_phrases)
-    found = passing.mapInArrow(_stream, f"id {kind}, twin long, found array<int>")
-    places = keep(found.groupBy("id", "twin").agg(F.array_distinct(F.flatten(F.collect_list("found"))).alias("found")))
+    copied = long.select("id", "words_sha", "phrase").join(first, "words_sha").where("id = first_id").select(F.explode("phrase").alias("phrase"), F.lit(False).alias("among"))
+    recurring = keep(confirmed.select("phrase", F.lit(True).alias("among")).unionByName(copied).groupBy("phrase").agg(F.max("among").alias("among")))
+    passing = dealt(marked.select("id", "twin", "codes", "copy"), recurring, shard_phrases)
+    found = passing.mapInArrow(_stream, f"id {kind}, twin long, copy boolean, found array<int>")
+    places = keep(found.groupBy("id", "twin").agg(F.max("copy").alias("copy"), F.array_distinct(F.flatten(F.collect_list("found"))).alias("found")))
     size = places.agg(F.count("*") * 32 + F.coalesce(F.sum(F.size("found")), F.lit(0)) * 4).first()[0]
-    texts = base.join(F.broadcast(places) if size <= BROADCAST_BYTES else places, ["id", "twin"]).select("id", "twin", "text", "found")
-    located = keep(texts.mapInArrow(_locate(window), f"id {kind}, twin long, start array<int>, h1 array<bigint>, h2 array<bigint>"))
+    texts = base.join(F.broadcast(places) if size <= BROADCAST_BYTES else places, ["id", "twin"]).select("id", "twin", "text", "found", "copy")
+    located = keep(texts.mapInArrow(_locate(window), f"id {kind}, twin long, copy_end long, start array<int>, h1 array<bigint>, h2 array<bigint>"))
+    whole = located.where("copy_end is not null").select("id", "twin", F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("copy_end").alias("end"))).alias("spans")).distinct()
     pairs = located.select("id", "twin", F.explode(F.arrays_zip("start", "h1", "h2")).alias("w")).select("id", "twin", "w.start", "w.h1", "w.h2")
     earliest = pairs.groupBy("h1", "h2").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id")).where("first_id < last_id").select("h1", "h2", "first_id")
     # Kept first: then both sides of the join are plain exchanges, whose hot partitions can be split.
     repeats = pairs.join(keep(earliest), ["h1", "h2"]).where("id > first_id")
     spans_found = repeats.groupBy("id", "twin").agg(F.collect_list("start").alias("starts")).mapInArrow(_merge(window), f"id {kind}, twin long, spans {SPANS}")
-    return keep(spans_found.unionByName(copies))
+    return keep(spans_found.unionByName(whole))
 
 
 def remove_spans(docs: DataFrame, found: DataFrame, keep_cols: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
