@@ -234,3 +234,19 @@ def test_too_many_splitters_are_refused(spark, monkeypatch):
     monkeypatch.setattr(sharding, "BROADCAST_BYTES", 10)
     with pytest.raises(ValueError, match="ROWS_PER_RANGE"):
         sharding.shard(spark.createDataFrame([(i, "text " * 30) for i in range(500)], "doc_id long, text string"), 8)
+
+
+def test_a_window_of_many_items_is_one_row_an_occurrence(spark):
+    rng = random.Random(31)
+    passage = prose(rng, 24)
+    items = [(i, passage) for i in range(40)] + [(99, prose(rng, 15))]
+    rows = [(i, f"{prose(rng, 8)} {passage} {prose(rng, 8)}") for i in range(20)] + [(50, prose(rng, 30))]
+    docs, benchmark = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.contamination(docs, benchmark).collect()
+    assert Counter((r["doc_id"], r["n_words"], r["n_hit"], ",".join(r["items"])) for r in got) == contaminated(rows, items)
+    windows, sizes = decontaminate.item_windows(benchmark)
+    base = docs.selectExpr("doc_id as id", "doc_id as key").withColumn("words", decontaminate.words(docs["text"])).withColumn("n_words", F.size("words").cast("long"))
+    hits = decontaminate._hits(base, decontaminate._numbered(windows).drop("names"), sizes, 1 << 20).where("at is not null")
+    # Words of the passage are cut at its marks, so its windows are counted by the plain splitter.
+    n = len(BENCH_WORD.findall(passage)) - 9
+    assert hits.count() == 20 * n and hits.select("number").distinct().count() == n

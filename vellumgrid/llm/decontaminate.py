@@ -104,11 +104,20 @@ def item_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str =
     return keep(spelt.select("item", "size", "print", F.col("w.window").alias("window")).distinct()), sizes
 
 
+def _numbered(windows: DataFrame) -> DataFrame:
+    """size, print, window, number and names of every different window, kept: ``names`` are the items that hold it (null ids are not named).
+
+    So an occurrence is one row, whatever the number of items that share its window.
+    """
+    each = windows.groupBy("size", "print", "window").agg(F.collect_set(F.col("item").cast("string")).alias("names"))
+    return keep(each.withColumn("number", F.monotonically_increasing_id()))
+
+
 def _hits(docs: DataFrame, windows: DataFrame, sizes: list[int], broadcast_bytes: int) -> DataFrame:
-    """id, key, n_words, at, size and item of every occurrence, and a row for each document whose ``at`` is null."""
+    """id, key, n_words, at, size and window number of every occurrence, and a row for each document whose ``at`` is null."""
     prints = windows.select(F.col("size").alias("own_size"), F.col("print").alias("own_print")).distinct()
-    texts = windows.select(F.col("size").alias("item_size"), F.col("window").alias("item_window"), "item")
-    bytes_ = windows.agg(F.coalesce(F.count("*") * 40 + F.sum(F.length("window")), F.lit(0))).first()[0]
+    texts = windows.select(F.col("size").alias("item_size"), F.col("window").alias("item_window"), "number")
+    bytes_ = windows.agg(F.coalesce(F.count("*") * 40 + F.sum(F.octet_length("window")), F.lit(0))).first()[0]
     chunks = _chunks(docs)
     # The first chunk of a text begins with a mark of nothing, which stands for the text.
     nothing = F.when(F.col("k") == 0, F.array(F.lit(None).cast(MARK))).otherwise(F.array().cast(f"array<{MARK}>"))
@@ -126,22 +135,33 @@ def _hits(docs: DataFrame, windows: DataFrame, sizes: list[int], broadcast_bytes
     spelt = some.select("id", "key", "n_words", "k", F.col("m.size").alias("size"), F.explode_outer(F.when(F.col("m").isNotNull(), _windows("words", F.col("m")))).alias("w"))
     same = (F.col("size") == F.col("item_size")) & (F.col("w.window") == F.col("item_window"))
     found = spelt.join(texts, same, "left").where("item_window is not null or w is null")
-    return found.select("id", "key", "n_words", (F.col("w.at") + F.col("k") * CHUNK).alias("at"), "size", "item")
+    return found.select("id", "key", "n_words", (F.col("w.at") + F.col("k") * CHUNK).alias("at"), "size", "number")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``id_col``, key (hash of the text), n_words, n_hit, items (sorted names) and spans (at, size) of every row."""
     base = columns(docs, id=id_col, text=text_col).select("id", F.xxhash64("text").alias("key"), words(F.col("text")).alias("words")).withColumn("n_words", F.size("words").cast("long"))
     windows, sizes = item_windows(benchmark, item_id_col, item_text_col)
-    found = _hits(base, windows, sizes, broadcast_bytes)
+    windows = _numbered(windows)
+    found = _hits(base, windows.drop("names"), sizes, broadcast_bytes)
     per_text = found.groupBy("id", "key").agg(
         F.max("n_words").alias("n_words"),
         F.count(F.when(F.col("at").isNull(), 1)).alias("rows"),
         F.collect_set(F.when(F.col("at").isNotNull(), F.struct("at", "size"))).alias("spans"),
-        F.collect_set(F.col("item").cast("string")).alias("items"),
+        F.collect_set("number").alias("numbers"),
     )
     covered = F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["at"], s["at"] + s["size"] - 1)))))
-    out = per_text.select("id", "key", "n_words", F.when(F.size("spans") > 0, covered).otherwise(0).cast("long").alias("n_hit"), F.array_sort("items").alias("items"), F.array_sort("spans").alias("spans"), "rows")
+    counted = per_text.select("id", "key", "n_words", F.when(F.size("spans") > 0, covered).otherwise(0).cast("long").alias("n_hit"), F.array_sort("spans").alias("spans"), "rows", "numbers")
+    # The windows' names are looked up once a document, in the partitions in which its occurrences were gathered.
+    each = counted.select("id", "key", "n_words", "n_hit", "rows", "spans", F.posexplode_outer("numbers").alias("nth", "number"))
+    each = each.withColumn("spans", F.when(F.coalesce("nth", F.lit(0)) == 0, F.col("spans")))
+    bytes_ = windows.agg(F.coalesce(F.count("*") * 40 + F.sum(F.aggregate("names", F.lit(0).cast("long"), lambda n, x: n + 16 + F.octet_length(x))), F.lit(0))).first()[0]
+    names = windows.select("number", "names")
+    named = each.join(F.broadcast(names) if bytes_ <= broadcast_bytes else names, "number", "left")
+    out = named.groupBy("id", "key").agg(
+        *[F.first(c, ignorenulls=True).alias(c) for c in ("n_words", "n_hit", "rows", "spans")],
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("names")))).alias("items"),
+    )
     return out.select(F.col("id").alias(id_col), "key", "n_words", "n_hit", "items", "spans", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))).alias("copy")).drop("copy")
 
 
