@@ -245,8 +245,7 @@ def test_a_window_of_many_items_is_one_row_an_occurrence(spark):
     got = decontaminate.contamination(docs, benchmark).collect()
     assert Counter((r["doc_id"], r["n_words"], r["n_hit"], ",".join(r["items"])) for r in got) == contaminated(rows, items)
     windows, sizes = decontaminate.item_windows(benchmark)
-    base = docs.selectExpr("doc_id as id", "doc_id as key").withColumn("words", decontaminate.words(docs["text"])).withColumn("n_words", F.size("words").cast("long"))
+    base = docs.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("key"), decontaminate.words(F.col("text")).alias("words")).withColumn("n_words", F.size("words").cast("long"))
     hits = decontaminate._hits(base, decontaminate._numbered(windows).drop("names"), sizes, 1 << 20).where("at is not null")
-    # Words of the passage are cut at its marks, so its windows are counted by the plain splitter.
     n = len(BENCH_WORD.findall(passage)) - 9
     assert hits.count() == 20 * n and hits.select("number").distinct().count() == n
