@@ -161,3 +161,10 @@ def test_copies_are_what_the_automaton_finds(spark, monkeypatch):
 def test_phrases_of_copies_count_in_copies_only():
     automaton = substring_dedup.compile_phrases([int.from_bytes(b"abcdefgh", "little"), int.from_bytes(b"bcdefghi", "little")], [True, False])
     assert substring_dedup.occurrences(automaton, b"xabcdefghi") == [1] and substring_dedup.occurrences(automaton, b"xabcdefghi", True) == [1, 2]
+
+
+def test_every_part_is_a_task_of_its_own(spark):
+    documents = spark.range(400).selectExpr("id", "id * 7 as twin", "cast(repeat('x', 100) as binary) as codes", "false as copy")
+    recurring = spark.range(10).selectExpr("id as phrase", "true as among")
+    tasks = substring_dedup.dealt(documents, recurring, part_words=5000).select("part", F.spark_partition_id().alias("task")).distinct().collect()
+    assert len(tasks) == 8 and len({t["part"] for t in tasks}) == len({t["task"] for t in tasks}) == 8

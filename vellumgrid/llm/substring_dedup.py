@@ -43,10 +43,11 @@ WINDOW = 50
 #: Words of a phrase; each is a Latin-1 character of its hash in the automata, and all are one long integer.
 PHRASE = 8
 SLICE_BYTES = 1 << 20
-#: Phrases of an automaton: at most about 120 MB in a worker.
-SHARD_PHRASES = 1 << 18
-#: Words (bytes of codes) of a part, which a worker holds: all phrases go to every part, so parts are large and few.
-PART_WORDS = 64 << 20
+#: Phrases of an automaton: at most about 240 MB in a worker.
+SHARD_PHRASES = 1 << 19
+#: Words (bytes of codes) of a part, which a worker holds and which is a task: small enough that tasks outnumber cores, large enough that
+#: the phrases, which go to every part, stay a fraction of the documents.
+PART_WORDS = 16 << 20
 #: Mixed into the second half of a window's 128 bits.
 SECOND = 0xA24BAED4963EE407
 
@@ -163,7 +164,8 @@ def dealt(documents: DataFrame, recurring: DataFrame, shard_phrases: int = SHARD
     grouped = recurring.groupBy(F.pmod(F.xxhash64("phrase"), F.lit(shards)).cast("int").alias("shard")).agg(F.collect_list(F.struct("phrase", "among")).alias("phrases"))
     every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
     theirs = grouped.select(every.alias("part"), "shard", *[F.lit(None).cast(kind).alias(c) for c, kind in documents.dtypes], "phrases").select(*names)
-    return own.unionByName(theirs).repartition(parts, "part").sortWithinPartitions("part", "shard")
+    # By the part's own number: by its hash, some tasks would get several parts and others none.
+    return own.unionByName(theirs).repartitionById(parts, "part").sortWithinPartitions("part", "shard")
 
 
 def _locate(window: int):
