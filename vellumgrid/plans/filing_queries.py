@@ -13,6 +13,7 @@ from vellumgrid.plans import filing
 from vellumgrid.plans.evidence_queries import RANKED_SQL, ranked
 from vellumgrid.plans.text_queries import CLEAN_SQL, FURNITURE_SQL
 from vellumgrid.sources import files
+from vellumgrid.sources.tables import keep
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -47,14 +48,15 @@ from facts
 @query(FILING_SQL)
 def filing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A filing's pages cleaned, re-read as tables, scoped and judged."""
-    pages = filing.clean(lines(spark, sf_dir))
+    # Pages are read three times below: as such, as readings and for their keys.
+    pages = keep(filing.clean(lines(spark, sf_dir)))
     plain = (F.col("columns") == 1) & ~F.col("spread")
     table = F.concat(F.lit("|"), F.replace("text", F.lit("\n"), F.lit("|\n|")), F.lit("|"))
     poor = (F.col("page") % 5 == 3) & F.contains("text", F.lit("Total | "))
     markdown = F.when(poor, "|no figures|here|").otherwise(F.replace(table, F.lit(" | "), F.lit("|")))
     readings = pages.where(plain & ((F.col("page") % 5).isin(0, 2) | poor)).select("company", "page", markdown.alias("markdown"), F.lit(True).alias("found"), (F.col("page") % 5 == 0).alias("timed_out"))
     heading = F.when(F.col("page") % 4 == 0, "Standalone Balance Sheet").when(F.col("page") % 4 == 1, "Consolidated Balance Sheet").otherwise("Report")
-    keys = lines(spark, sf_dir).select("company", "page").distinct()
+    keys = pages.select("company", "page")
     reason = F.map_from_entries(F.collect_list(F.when(F.col("page") % 10 == 0, F.struct(F.col("page").cast("string"), F.concat(F.lit("reviewed "), F.col("page").cast("string"))))))
     judged = filing.judge_pages(filing.swap_tables(pages, readings), keys.withColumn("text", heading), keys.groupBy("company").agg(reason.alias("quality_exclusions")))
     return judged.select("company", "page", "excluded", "table_reader", "table_gate", "scope", F.array_join("units", ";").alias("units"), F.array_join("headers", ";").alias("headers"), "text")
@@ -66,7 +68,7 @@ select company, page, string_agg(distinct row, chr(10) order by row) as rows fro
 """)
 def filing_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row of a page that is not left out stands in a chunk of it (O3, P12): the rows that its chunks hold."""
-    own = lines(spark, sf_dir)
+    own = keep(lines(spark, sf_dir))
     keys = own.select("company", "page").distinct()
     reason = F.map_from_entries(F.collect_list(F.when(F.col("page") % 10 == 0, F.struct(F.col("page").cast("string"), F.lit("reviewed")))))
     manifest = keys.groupBy("company").agg(reason.alias("quality_exclusions")).withColumn("fiscal_year", F.lit("FY25"))
