@@ -312,3 +312,18 @@ def test_named_holdings_are_found_by_their_first_letters(spark):
     assert sorted((r["question_id"], r["row"]) for r in got) == sorted(expected) and len(expected) > 15
     plan = holdings.named(spark.createDataFrame(asked, "question_id string, fund int, q string"), held)._jdf.queryExecution().optimizedPlan().toString()
     assert "key" in plan.split("Join Inner")[1].split("\n")[0]
+
+
+def test_lines_are_made_once_for_furniture(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def drawn(i):
+        made.add(1)
+        return f"Annual Report {i}" if i % 5 == 0 else f"row {i}"
+
+    at = F.col("id") % 5
+    rows = spark.range(50).select(F.lit("A").alias("company"), (F.col("id") / 5).cast("int").alias("page"), at.alias("line"), drawn("id").alias("text"), (at * 100.0 + 20).alias("y0"), (at * 100.0 + 30).alias("y1"), F.when(at == 0, 7.0).otherwise(9.0).alias("size"), F.lit(800.0).alias("height"))
+    layout.repaired(rows).write.format("noop").mode("overwrite").save()
+    once = made.value
+    assert layout.furniture(layout.repaired(rows)).count() == 10 and made.value == 2 * once

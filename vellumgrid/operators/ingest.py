@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vellumgrid.functions import fixed as X
 from vellumgrid.functions import text as T
 from vellumgrid.operators import holdings, layout
+from vellumgrid.sources.tables import keep
 
 #: Unlabelled candidates whose reports are opened to find their year.
 MAX_UNLABELLED = 6
@@ -63,7 +64,8 @@ def ingest_profile(pages: DataFrame) -> DataFrame:
 
 def furniture_profile(lines: DataFrame) -> DataFrame:
     """company, signature and number of pages of its running heads and footers."""
-    running = lines.join(layout.furniture(lines), ["company", "page", "line"], "left_semi")
+    lines = keep(lines)
+    running = lines.join(layout.running(lines), ["company", "page", "line"], "left_semi")
     return running.groupBy("company", T.signature(F.col("text")).alias("signature")).agg(F.countDistinct("page").alias("pages"))
 
 
