@@ -34,3 +34,11 @@ def test_entry(spark):
 def test_queries_without_sql_run(spark):
     for name in sorted(set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL)):
         assert catalogue.QUERIES[name](spark, SF).count() > 0
+
+
+@pytest.mark.parametrize("name", ["recited_citations", "guarded_answers"])
+def test_a_price_may_equal_the_made_up_sum(spark, con, name, tmp_path):
+    for table in ("lineitem", "part"):
+        price = "replace (case when (l_orderkey + l_linenumber) % 40 = 0 then 100999.99 else l_extendedprice end as l_extendedprice)" if table == "lineitem" else ""
+        con.sql(f"copy (select * {price} from {table}) to '{tmp_path}/{table}.parquet' (format parquet)")
+    assert compare(catalogue.QUERIES[name], catalogue.ORACLE_SQL[name], spark, str(tmp_path), connect(str(tmp_path))) > 0
