@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from vellumgrid.functions import fixed as X
 from vellumgrid.operators import chunking, evals, evidence, guard, holdings, layout, search
+from vellumgrid.plans import derived
 
 
 def hits_of(spark, rows):
@@ -327,3 +328,11 @@ def test_lines_are_made_once_for_furniture(spark):
     layout.repaired(rows).write.format("noop").mode("overwrite").save()
     once = made.value
     assert layout.furniture(layout.repaired(rows)).count() == 10 and made.value == 2 * once
+
+
+def test_holdings_scan_the_items_once(spark):
+    rows = derived.holdings_rows(spark, "/root/testdata/sf0.001")
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("l_extendedprice") > 0 and len(rows.inputFiles()) == 2 and plan.count("Relation [l_orderkey") + plan.count("Relation[l_orderkey") <= 1
+    again = derived.spark_rows(spark, "/root/testdata/sf0.001", derived.HOLDINGS)
+    assert rows.exceptAll(again).count() == again.exceptAll(rows).count() == 0

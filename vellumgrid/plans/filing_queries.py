@@ -106,7 +106,7 @@ select fund, row, name, isin, company, weight_pct, rank, coalesce(rank <= 10, fa
 """)
 def fund_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Holdings built from a long cell grid: reviewed layout, sections, company codes, ranks."""
-    own = D.spark_rows(spark, sf_dir, D.HOLDINGS).withColumn("sheet", F.concat(F.lit("F"), F.col("fund").cast("string"), F.when(F.col("asset_type") == holdings.EQUITY, "e").otherwise("d")))
+    own = D.holdings_rows(spark, sf_dir).withColumn("sheet", F.concat(F.lit("F"), F.col("fund").cast("string"), F.when(F.col("asset_type") == holdings.EQUITY, "e").otherwise("d")))
     cell = F.array(*[F.struct(F.lit(c).alias("col"), F.col(v).cast("string").alias("value")) for c, v in (("A", "name"), ("B", "isin"), ("C", "weight_pct"))])
     cells = own.select("sheet", "row", F.explode(cell).alias("c")).select("sheet", "row", "c.col", "c.value")
     sections = own.groupBy(F.col("fund"), "sheet", "asset_type").agg(F.min("row").alias("start"), F.max("row").alias("end"))
