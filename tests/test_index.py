@@ -5,10 +5,14 @@ from __future__ import annotations
 import os
 import random
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from tests import oracle
 from vellumgrid.operators import search
+from vellumgrid.plans import search_queries
 from vellumgrid.sources import index
 from vellumgrid.sources.store import Store
 from vellumgrid.streaming import upserts
@@ -265,3 +269,20 @@ def test_a_batch_that_fails_is_sent_again(spark, tmp_path):
         if count["n"] < at:
             break
     assert at == 7
+
+
+@pytest.mark.parametrize("rows", [2, 256])
+def test_keyword_search_scores_documents_where_they_stand(spark, tmp_path, monkeypatch, rows):
+    """Ids that repeat, ties and empty texts as in the SQL, and no row a document and question is dealt out."""
+    monkeypatch.setattr(search, "SCORED_ROWS", rows)
+    rng = random.Random(11)
+    texts = [prose(rng, rng.choice([1, 4, 30])) for _ in range(120)] + [None, "", "?", "total", "total"]
+    ids = [i % 110 for i in range(len(texts))]
+    docs = pa.table({"doc_id": pa.array(ids, pa.int64()), "text": texts, "lang": ["en"] * len(ids), "source": ["src1"] * len(ids)})
+    asked = pa.table({"item_id": pa.array(range(6), pa.int64()), "text": ["total assets", "TOTAL tax tax", "zebra", "", None, "a bank of ships and debt"]})
+    for name, table in (("documents", docs), ("benchmark", asked)):
+        pq.write_table(table, tmp_path / f"{name}.parquet")
+    run = search_queries.QUERIES["keyword_topk_bm25"]
+    assert oracle.compare(run, search_queries.ORACLE_SQL["keyword_topk_bm25"], spark, str(tmp_path), oracle.connect(str(tmp_path))) == 150
+    plan = run(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "MapInArrow" in plan

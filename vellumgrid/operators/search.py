@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +20,9 @@ BROADCAST_BYTES = 48 << 20
 QUERY_BLOCK = 1024
 #: Rows of a block where neither side is sent everywhere.
 BLOCK_ROWS = 4096
+#: Documents, and scores, that are made at a time.
+SCORED_ROWS = 256
+SCORES = 1 << 20
 
 
 def in_scope(index: DataFrame, company: str | None = None, scope: str | None = None) -> DataFrame:
@@ -158,17 +162,136 @@ def text_index(docs: DataFrame, key: str = "key", text: str = "text", group: str
     return TextIndex(postings, postings.groupBy("term", *by).agg(F.count("*").alias("df")), lengths.withColumn("mean_length", F.col("n_terms") / F.col("n_docs")).drop("n_terms"))
 
 
+def _lists(values: np.ndarray, rows: np.ndarray, n: int) -> pa.Array:
+    """One list of whole numbers a row, from values in the order of their rows."""
+    ends = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=n))])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()))
+
+
+def _asked_of_texts(docs: DataFrame, vocabulary: pa.Array, key: str, text: str) -> DataFrame:
+    """key, n (rows of that key), words, and of every asked term the places in the vocabulary (``ids``), ``tfs`` and ``lengths``.
+
+    A document's terms are counted beside it, so nothing is shuffled. Only rows whose key is not theirs alone meet: they
+    are one document that stands once for each row's length.
+    """
+    kind = dict(docs.dtypes)[key]
+    cut = docs.select(F.col(key).alias("key"), T.tokens(F.coalesce(F.col(text), F.lit(""))).alias("terms"))
+    each = cut.select("key", "terms", F.array(F.size("terms")).alias("sizes"))
+    again = keep(docs.groupBy(F.col(key).alias("key")).count().where("count > 1 and key is not null").select("key"))
+    if not again.isEmpty():
+        same = cut.join(again, "key").groupBy("key").agg(F.flatten(F.collect_list("terms")).alias("terms"), F.collect_list(F.size("terms")).alias("sizes"))
+        each = each.join(again, "key", "left_anti").unionByName(same)
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = shared.value
+        width = max(1, len(asked))
+        for batch in batches:
+            keys, terms, sizes = batch.columns
+            n = batch.num_rows
+            place = pc.index_in(terms.flatten(), value_set=asked).fill_null(-1).to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(n), pc.list_value_length(terms).to_numpy(zero_copy_only=False))
+            pairs, tf = np.unique(row[place >= 0] * width + place[place >= 0], return_counts=True)
+            own = sizes.flatten().to_numpy(zero_copy_only=False)
+            copies = pc.list_value_length(sizes).to_numpy(zero_copy_only=False)
+            first = np.cumsum(copies) - copies
+            times = copies[pairs // width]
+            nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            row = np.repeat(pairs // width, times)
+            words = np.bincount(np.repeat(np.arange(n), copies), weights=own, minlength=n).astype(np.int64)
+            lists = [_lists(v, row, n) for v in (np.repeat(pairs % width, times), np.repeat(tf, times), own[first[row] + nth])]
+            yield pa.RecordBatch.from_arrays([keys, pa.array(copies, pa.int64()), pa.array(words, pa.int64()), *lists], names=["key", "n", "words", "ids", "tfs", "lengths"])
+
+    return keep(each.mapInArrow(count, f"key {kind}, n long, words long, ids array<int>, tfs array<int>, lengths array<int>"))
+
+
+def _asked_of_postings(stored: TextIndex, places: DataFrame, key: str) -> DataFrame:
+    """key, and of every asked term that it holds ids, tfs and lengths; only postings of asked terms are shuffled."""
+    found = stored.postings.join(F.broadcast(places), "term").groupBy(F.col(key).alias("key"))
+    one = found.agg(F.collect_list(F.struct("id", F.col("tf").cast("int").alias("tf"), F.col("length").cast("int").alias("length"))).alias("p"))
+    return one.select("key", F.col("p.id").alias("ids"), F.col("p.tf").alias("tfs"), F.col("p.length").alias("lengths"))
+
+
+def _best_documents(counted: DataFrame, names: pa.Array, asking: tuple[np.ndarray, np.ndarray, np.ndarray], mean_length: float, k: int, key: str, query: str, name_kind: str) -> DataFrame:
+    """The k best documents of each question. A document is scored where it stands, and of each task only the k best of every question go on.
+
+    ``asking``: the questions in the order of their terms, where each term's begin (and the last end), and each term's weight.
+    """
+    kind = dict(counted.dtypes)["key"]
+    shared = counted.sparkSession.sparkContext.broadcast((names, asking))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, (questions, begins, idf) = shared.value
+        wide, least, pool = len(names), np.full(len(names), -np.inf), []
+        step = max(1, min(SCORED_ROWS, SCORES // wide))
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                keys, *lists = batch.slice(at, step).columns
+                ids, tf, length = (c.flatten().to_numpy(zero_copy_only=False) for c in lists)
+                part = idf[ids] * tf * (X.BM25_K1 + 1) / (tf + X.BM25_K1 * (1 - X.BM25_B + X.BM25_B * length / mean_length))
+                row = np.repeat(np.arange(len(keys)), pc.list_value_length(lists[0]).to_numpy(zero_copy_only=False))
+                # Every question that asks a document's term.
+                n = begins[ids + 1] - begins[ids]
+                asked = questions[np.arange(n.sum()) + np.repeat(begins[ids] - np.cumsum(n) + n, n)]
+                scores = np.bincount(np.repeat(row, n) * wide + asked, weights=np.repeat(part, n), minlength=len(keys) * wide).reshape(len(keys), wide)
+                rounded = np.round(scores, 9)
+                row, q = np.nonzero((scores > 0) & (rounded >= least))
+                new = [q, np.array(keys.to_pylist())[row], scores[row, q], rounded[row, q]]
+                pool = [np.concatenate(c) for c in zip(pool, new, strict=True)] if pool else new
+                order = np.lexsort((pool[1], -pool[3], pool[0]))
+                q = pool[0][order]
+                rank = np.arange(len(q)) - np.searchsorted(q, q)
+                least[q[rank == k - 1]] = pool[3][order[rank == k - 1]]
+                pool = [c[order[rank < k]] for c in pool]
+        if pool:
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(pool[0])), pa.array(pool[1].tolist(), batch.schema.field(0).type), pa.array(pool[2]), pa.array(pool[3])], names=["q", "k", "s", "r"])
+
+    near = counted.where("key is not null and size(ids) > 0").select("key", "ids", "tfs", "lengths").mapInArrow(best, f"q {name_kind}, k {kind}, s double, r double")
+    order = Window.partitionBy("q").orderBy(F.desc("r"), "k")
+    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(F.col("q").alias(query), F.col("k").alias(key), F.col("s").alias("score"), "rank")
+
+
+def _scored_in_place(docs: DataFrame | None, asked: DataFrame, stored: TextIndex | None, k: int, key: str, text: str, query: str) -> DataFrame:
+    """``keyword_topk`` of all documents for ``asked`` (question and term), which was counted small."""
+    pairs = asked.toArrow()
+    terms, questions = (pairs.column(c).combine_chunks().dictionary_encode() for c in ("term", query))
+    vocabulary, names = terms.dictionary, questions.dictionary
+    spark = asked.sparkSession
+    places = spark.createDataFrame(pa.table({"term": vocabulary, "id": pa.array(np.arange(len(vocabulary)), pa.int32())}))
+    if stored:
+        counted, totals = _asked_of_postings(stored, places, key), stored.totals
+        df = stored.df.join(F.broadcast(places), "term").select("id", "df")
+    else:
+        counted = _asked_of_texts(docs, vocabulary, key, text)
+        totals = counted.agg(F.sum("n").alias("n_docs"), (F.sum("words") / F.sum("n")).alias("mean_length"))
+        df = counted.select(F.explode(F.array_distinct("ids")).alias("id")).groupBy("id").agg(F.count("*").alias("df"))
+    # One row, and one for each asked term at most.
+    totals, held = totals.first(), np.full(len(vocabulary), np.nan)
+    df = df.toArrow()
+    held[df.column("id").to_numpy()] = df.column("df").to_numpy()
+    n = totals["n_docs"] or 0
+    idf = np.nan_to_num(np.log(1 + (n - held + 0.5) / (held + 0.5)))
+    at = terms.indices.to_numpy()
+    asking = (questions.indices.to_numpy()[np.argsort(at, kind="stable")], np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(vocabulary)))]), idf)
+    return _best_documents(counted, names, asking, totals["mean_length"] or 1.0, k, key, query, dict(asked.dtypes)[query])
+
+
 def keyword_topk(docs: DataFrame | None, queries: DataFrame, k: int = X.FUSION_DEPTH, key: str = "key", text: str = "text", query: str = "question_id", group: str | None = None, belongs: Column | None = None, carry: tuple[str, ...] = (), stored: TextIndex | None = None) -> DataFrame:
     """question_id, key, score and rank of the k best documents by BM25.
 
     Statistics are those of the whole collection, or with ``group`` those of each group, in which case
     ``queries`` carry the group they ask and only its documents compete. ``belongs`` says, over the columns of ``queries``
     and those of the documents in ``carry``, which documents compete for a question. With ``stored`` no text is read. Ties go to the smaller key.
+
+    Where all documents compete for questions counted small, these are sent to every task, which scores its documents in blocks and lets only the
+    best k pass on; else postings are joined, and every document that shares a term with a question is a row.
     """
     by = [group] if group else []
     others = [c for c in queries.columns if c not in (query, "text", *by)] if belongs is not None else []
     asked = keep(queries.select(query, *by, *others, F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term")))
     fits = asked.count() * 64 <= BROADCAST_BYTES
+    if fits and not by and belongs is None:
+        return _scored_in_place(docs, asked, stored, k, key, text, query)
     small = F.broadcast if fits else (lambda table: table)
     terms = small(asked.select("term", *by).distinct())
     index = stored or text_index(docs, key, text, group, terms, carry)
