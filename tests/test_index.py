@@ -286,3 +286,14 @@ def test_keyword_search_scores_documents_where_they_stand(spark, tmp_path, monke
     assert oracle.compare(run, search_queries.ORACLE_SQL["keyword_topk_bm25"], spark, str(tmp_path), oracle.connect(str(tmp_path))) == 150
     plan = run(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "MapInArrow" in plan
+
+
+def test_texts_of_a_context_stay_where_they_are(spark):
+    """The few hits go to the documents, also where the optimiser would deal both out."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = search_queries.QUERIES["answer_in_context"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "hashpartitioning(key" not in plan

@@ -10,6 +10,7 @@ from vellumgrid.functions import text as T
 from vellumgrid.operators import chunking, evals, search
 from vellumgrid.plans import derived as D
 from vellumgrid.sources import index
+from vellumgrid.sources.tables import keep
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -233,7 +234,9 @@ def answer_in_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the best eight documents hold an item's first forty characters, and where first."""
     asked = D.load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.substring("text", 1, 40).alias("answer_text"))
     docs = documents(spark, sf_dir)
-    hits = search.keyword_topk(docs, questions(spark, sf_dir), k=8)
+    # Eight rows a question meet the documents, whose texts stay where they are; only texts of hits are cut into tokens.
+    hits = keep(search.keyword_topk(docs, questions(spark, sf_dir), k=8))
     text = F.coalesce("text", F.lit(""))
-    context = hits.join(docs.select("key", text.alias("text"), F.size(T.tokens(text)).cast("long").alias("tokens")), "key").select("question_id", F.col("key").alias("page"), F.lit(0).alias("chunk"), F.col("rank").alias("position"), "tokens", "text")
+    found = docs.join(F.broadcast(hits) if hits.count() * 64 <= search.BROADCAST_BYTES else hits, "key")
+    context = found.select("question_id", F.col("key").alias("page"), F.lit(0).alias("chunk"), F.col("rank").alias("position"), F.size(T.tokens(text)).cast("long").alias("tokens"), text.alias("text"))
     return evals.answer_in_context(context, asked)
