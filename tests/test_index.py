@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import random
+import re
+from collections import Counter
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -297,3 +299,16 @@ def test_texts_of_a_context_stay_where_they_are(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert "hashpartitioning(key" not in plan
+
+
+def test_terms_are_counted_in_their_rows(spark):
+    """Rows that share a key and a length are counted together; nothing else is dealt out."""
+    rows = [(1, "b a b"), (2, ""), (3, None), (4, "x X, x"), (5, "a"), (5, "b a"), (6, "c d"), (6, "d e")]
+    expected = Counter()
+    for key, text in rows:
+        terms = re.findall(r"\w+", (text or "").lower())
+        for term in terms:
+            expected[key, len(terms), term] += 1
+    count = lambda rows: search.term_counts(spark.createDataFrame(rows, "key int, text string"))
+    assert {(r["key"], r["length"], r["term"]): r["tf"] for r in count(rows).collect()} == expected
+    assert "Exchange" not in count(rows[:5])._jdf.queryExecution().executedPlan().toString()

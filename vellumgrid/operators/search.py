@@ -140,9 +140,26 @@ def _each_term(docs: DataFrame, keep_cols: list[str], text: str) -> DataFrame:
 
 
 def term_counts(docs: DataFrame, key: str = "key", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """key, ``carry``, length, term and tf of every term of every document."""
+    """key, ``carry``, length, term and tf of every term of every document.
+
+    Terms are counted within their row, in sorted runs, so nothing is shuffled; only rows that share their key are counted together.
+    """
     names = [key, *carry]
-    return _each_term(docs, names, text).where("term is not null").groupBy(*names, "length", "term").agg(F.count("*").alias("tf"))
+    again = keep(docs.groupBy(key).count().where("count > 1").select(key))
+    if again.isEmpty():
+        return _row_terms(docs, names, text)
+    few = F.broadcast(again) if again.count() * 64 <= BROADCAST_BYTES else again
+    together = _each_term(docs.join(few, key, "left_semi"), names, text).where("term is not null").groupBy(*names, "length", "term").agg(F.count("*").alias("tf"))
+    return _row_terms(docs.join(few, key, "left_anti"), names, text).unionByName(together)
+
+
+def _row_terms(docs: DataFrame, names: list[str], text: str) -> DataFrame:
+    """The same of rows whose keys are theirs alone."""
+    terms = docs.select(*names, F.sort_array(T.tokens(F.coalesce(F.col(text), F.lit("")))).alias("terms")).withColumn("length", F.size("terms"))
+    starts = F.filter(F.sequence(F.lit(0), F.greatest(F.col("length") - 1, F.lit(0))), lambda i: (i < F.col("length")) & ((i == 0) | (F.get("terms", i) != F.get("terms", i - 1))))
+    runs = terms.select(*names, "length", "terms", starts.alias("starts"))
+    counted = F.transform("starts", lambda s, i: F.struct(F.get("terms", s).alias("term"), (F.coalesce(F.get("starts", i + 1), F.col("length")) - s).cast("long").alias("tf")))
+    return runs.select(*names, "length", F.inline(counted))
 
 
 def text_index(docs: DataFrame, key: str = "key", text: str = "text", group: str | None = None, only: DataFrame | None = None, carry: tuple[str, ...] = ()) -> TextIndex:

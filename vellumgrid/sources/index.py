@@ -31,6 +31,8 @@ REQUIRED = {"company", "fiscal_year", "page", "chunk", "scope", "tokens", "text"
 KEY = ("company", "fiscal_year", "page", "chunk")
 #: Segments of a snapshot beyond which a change compacts them.
 MAX_SEGMENTS = 32
+#: Filings whose postings a task writes at a time.
+OPEN_FILES = 32
 #: Times that a change is tried against other writers.
 TRIES = 5
 
@@ -108,6 +110,21 @@ def _put(frame: DataFrame, path: str, part: str, segment: str, *order: str) -> N
     (out.partitionBy("company") if part != "df" else out).parquet(f"{path}/{part}/segment={segment}")
 
 
+def _put_postings(postings: DataFrame, path: str, segment: str) -> None:
+    """Postings in the files of their filings, as they come: whoever reads them looks for terms in all, so they are not sorted.
+
+    Tasks hold few filings, so they write with a file open for each, up to OPEN_FILES; only beyond that are postings sorted by filing.
+    """
+    conf = postings.sparkSession.conf
+    key = "spark.sql.maxConcurrentOutputFileWriters"
+    before = conf.get(key, None)
+    conf.set(key, str(OPEN_FILES))
+    try:
+        postings.write.mode("errorifexists").partitionBy("company").parquet(f"{path}/postings/segment={segment}")
+    finally:
+        conf.set(key, before) if before is not None else conf.unset(key)
+
+
 def _read(spark: SparkSession, path: str, part: str, files: list, schema: t.StructType) -> DataFrame:
     if not files:
         return spark.createDataFrame([], schema)
@@ -127,7 +144,8 @@ def _segment(chunks: DataFrame, path: str, old_postings: DataFrame) -> tuple[str
     rows = _read(spark, path, "rows", parts["rows"], chunks.schema)
     keyed = rows.withColumn("key", F.concat_ws("|", *[F.col(c).cast("string") for c in KEY]))
     terms = search.term_counts(keyed, carry=("company", "scope")).select(*POSTINGS.names)
-    _put(terms, path, "postings", name, "company", "term")
+    # Terms stay with their rows, which stand in the files of their filing: nothing is dealt out.
+    _put_postings(terms, path, name)
     parts["postings"] = _written(spark, path, "postings", name)
     own = _read(spark, path, "postings", parts["postings"], POSTINGS)
     change = own.select("term", F.lit(1).cast("long").alias("df")).unionByName(old_postings.select("term", F.lit(-1).cast("long").alias("df")))
@@ -185,7 +203,7 @@ def compact(spark: SparkSession, path: str) -> None:
     old = snapshot(spark, path)
     schema, name = t.StructType.fromJson(json.loads(old.schema)), uuid.uuid4().hex
     _put(_read(spark, path, "rows", old.files("rows"), schema), path, "rows", name, "company", "fiscal_year", "page", "chunk")
-    _put(_read(spark, path, "postings", old.files("postings"), POSTINGS), path, "postings", name, "company", "term")
+    _put_postings(_read(spark, path, "postings", old.files("postings"), POSTINGS).hint("rebalance", "company"), path, name)
     _put(document_counts(spark, path, old), path, "df", name, "term")
     parts = {part: _written(spark, path, part, name) for part in ("rows", "postings", "df")}
     filings = {c: (name, rows, terms) for c, (_, rows, terms) in old.filings.items()}
