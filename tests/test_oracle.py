@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 from vellumgrid.plans import catalogue
+from vellumgrid.plans import derived as D
 from tests.oracle import compare, connect
 
 SF = "/root/testdata/sf0.001"
@@ -42,3 +43,10 @@ def test_a_price_may_equal_the_made_up_sum(spark, con, name, tmp_path):
         price = "replace (case when (l_orderkey + l_linenumber) % 40 = 0 then 100999.99 else l_extendedprice end as l_extendedprice)" if table == "lineitem" else ""
         con.sql(f"copy (select * {price} from {table}) to '{tmp_path}/{table}.parquet' (format parquet)")
     assert compare(catalogue.QUERIES[name], catalogue.ORACLE_SQL[name], spark, str(tmp_path), connect(str(tmp_path))) > 0
+
+
+def test_line_rows_are_those_of_the_sql(spark):
+    expected, got = D.spark_rows(spark, SF, D.LINES), D.line_rows(spark, SF)
+    assert got.dtypes == expected.dtypes and got.exceptAll(expected).count() == expected.exceptAll(got).count() == 0
+    # An item is not held against every kind of line.
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()

@@ -29,7 +29,7 @@ def query(sql: str | None = None):
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.spark_rows(spark, sf_dir, D.LINES)
+    return D.line_rows(spark, sf_dir)
 
 
 #: Some pages have a table reading: the page's own rows as a table (taken), one without its figures (refused), or none in time.

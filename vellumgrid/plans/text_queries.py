@@ -178,19 +178,19 @@ select company, page, line from clustered semi join running using (company, sign
 @query(FURNITURE_SQL)
 def page_furniture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running heads and footers by size, margin, signature and height."""
-    return layout.furniture(layout.repaired(D.spark_rows(spark, sf_dir, D.LINES)))
+    return layout.furniture(layout.repaired(D.line_rows(spark, sf_dir)))
 
 
 @query(f"select company, size as body_size from (select company, size, sum(length(text)) as chars from ({D.LINES_SQL}) group by all) qualify row_number() over (partition by company order by chars desc, size) = 1")
 def modal_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Body size of each company's pages (A1)."""
-    return layout.modal_size(D.spark_rows(spark, sf_dir, D.LINES))
+    return layout.modal_size(D.line_rows(spark, sf_dir))
 
 
 @query(f"select company, page, block, min(x0) as x0, min(y0) as y0, max(x1) as x1, max(y1) as y1, count(*) as n_lines from ({D.LINES_SQL}) group by company, page, block")
 def block_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bounding boxes of blocks (A4)."""
-    return layout.blocks(D.spark_rows(spark, sf_dir, D.LINES))
+    return layout.blocks(D.line_rows(spark, sf_dir))
 
 
 @query(f"""
@@ -200,7 +200,7 @@ select company, page, line, cast(sum(new) over (partition by company, page order
 """)
 def column_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Column starts by the gap between left edges."""
-    lines = D.spark_rows(spark, sf_dir, D.LINES)
+    lines = D.line_rows(spark, sf_dir)
     return layout.gap_clusters(lines, ("company", "page"), "x0", F.col("width") * X.COLUMN_GAP, ("line",)).select("company", "page", "line", "cluster")
 
 
@@ -210,7 +210,7 @@ from ({D.LINES_SQL}) group by company, page
 """)
 def page_spreads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two-page spreads."""
-    return layout.spreads(D.spark_rows(spark, sf_dir, D.LINES))
+    return layout.spreads(D.line_rows(spark, sf_dir))
 
 
 #: Where the lines of every shape end up: group of reading, row and cell; what is joined or split is written out.
@@ -234,7 +234,7 @@ from rows group by company, page, shape
 @query(CLEAN_SQL)
 def clean_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages rebuilt from their lines: columns, bands, spreads, rows, cells."""
-    pages = layout.clean_pages(layout.repaired(D.spark_rows(spark, sf_dir, D.LINES)))
+    pages = layout.clean_pages(layout.repaired(D.line_rows(spark, sf_dir)))
     return pages.select("company", "page", "text", "columns", "spread", "title", F.array_join("furniture", "\n").alias("furniture"))
 
 
