@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -168,3 +169,40 @@ def test_every_part_is_a_task_of_its_own(spark):
     recurring = spark.range(10).selectExpr("id as phrase", "true as among")
     tasks = substring_dedup.dealt(documents, recurring, part_words=5000).select("part", F.spark_partition_id().alias("task")).distinct().collect()
     assert len(tasks) == 8 and len({t["part"] for t in tasks}) == len({t["task"] for t in tasks}) == 8
+
+
+def test_phrases_in_memory_are_bounded(spark, monkeypatch):
+    """An automaton holds few of a shard's phrases, those that may stand in its part; rows of phrases are small; what is found stays the same."""
+    rng = np.random.default_rng(4)
+    codes = [rng.integers(0, 256, 300).astype(np.uint8) for _ in range(30)]
+    documents = spark.createDataFrame([(i, i, bytearray(c.tobytes()), i % 2 == 0) for i, c in enumerate(codes)], "id long, twin long, codes binary, copy boolean")
+    at = lambda c, j: int.from_bytes(c[j : j + substring_dedup.PHRASE].tobytes(), "little", signed=True)
+    held = {at(c, j): (i + j) % 3 > 0 for i, c in enumerate(codes) for j in (0, 100, 292)}
+    strange = {int(p): True for p in rng.integers(-(2**63), 2**63 - 1, 5000)}
+    recurring = spark.createDataFrame([*held.items(), *strange.items()], "phrase long, among boolean")
+    monkeypatch.setattr(substring_dedup, "ROW_PHRASES", 200, raising=False)
+    passing = substring_dedup.dealt(documents, recurring, part_words=3000)
+    assert passing.agg(F.max(F.size("phrases"))).first()[0] < 500
+    monkeypatch.setattr(substring_dedup, "AUTOMATON_PHRASES", 10, raising=False)
+    compiled, real = [], substring_dedup.compile_phrases
+    monkeypatch.setattr(substring_dedup, "compile_phrases", lambda phrases, among: compiled.append(len(phrases)) or real(phrases, among))
+    found = Counter()
+    for batch in substring_dedup._stream(iter(passing.toArrow().to_batches(max_chunksize=7))):
+        for r in batch.to_pylist():
+            found.update((r["id"], place) for place in r["found"])
+    assert found == Counter((i, j) for i, c in enumerate(codes) for j in (0, 100, 292) if held[at(c, j)] or i % 2 == 0)
+    assert max(compiled) < 200 and sum(compiled) < 400
+
+
+def test_no_phrase_of_a_part_is_passed_over():
+    """Bits are set at every place, over the ends of blocks and documents too."""
+    rng = np.random.default_rng(5)
+    codes = rng.integers(0, 256, substring_dedup.BLOCK * 2 + 5).astype(np.uint8)
+    bits = np.zeros(1 << (substring_dedup.PART_BITS - 3), dtype=np.uint8)
+    substring_dedup.mark(bits, codes[:4])
+    assert not bits.any()
+    substring_dedup.mark(bits, codes)
+    every = np.lib.stride_tricks.sliding_window_view(codes, substring_dedup.PHRASE).copy().view("<i8").reshape(-1)
+    assert substring_dedup.may_stand(bits, every).all()
+    assert substring_dedup.may_stand(bits, rng.integers(-(2**63), 2**63 - 1, 10_000)).mean() < 0.01
+    assert not substring_dedup.may_stand(np.zeros_like(bits), every).any()

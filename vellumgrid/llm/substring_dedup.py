@@ -8,14 +8,15 @@ with the smallest hash, so equal windows have equal phrases. The steps:
    are added. They are dealt by hash into shards of about ``shard_phrases``, whose number grows with them.
 2. All documents, as codes (a character a word), are dealt once into parts of about ``PART_WORDS`` words, and all shards'
    phrases to every part, in one exchange. A worker holds its part's documents and takes one shard after another: it compiles the shard's
-   phrases into an Aho-Corasick automaton and streams all of the part's documents through it; what that finds, and nothing else,
-   are the phrases' occurrences.
+   phrases, but for those that cannot stand in the part, into an Aho-Corasick automaton and streams all of the part's documents through it;
+   what that finds, and nothing else, are the phrases' occurrences. What cannot stand there is told by a bit for the hash of every
+   eight neighbouring words of the part. Where more than ``AUTOMATON_PHRASES`` are left, a shard takes several automata.
 3. The windows named by the occurrences are confirmed. A document of which every window was found, and whose word sequence is that
    of an earlier document, repeats it from end to end. Of all others 128 bits of hash over each window's words are grouped, and
    a word is removed if a window over it also starts in a document with a smaller id.
 
 So documents are streamed as many times as there are shards, whatever they hold, but moved once; a worker's memory is set by
-``shard_phrases`` and ``PART_WORDS``, and the driver only learns counts.
+``AUTOMATON_PHRASES`` and ``PART_WORDS``, rows of phrases are bounded by ``ROW_PHRASES``, and the driver only learns counts.
 
 Null texts have no words; an empty text has none either. A null id is neither earlier nor later than
 another, so such rows are returned whole. Rows that share an id are not earlier than one another; each is
@@ -37,21 +38,27 @@ from pyspark.sql import functions as F
 
 from vellumgrid.llm._arrow import columns, slices
 from vellumgrid.llm._tables import BROADCAST_BYTES, keep, small, text_key
-from vellumgrid.llm._words import SPACE, U, buffers, gram_hashes, span_hashes, spans, window_argmin
+from vellumgrid.llm._words import BLOCK, SPACE, U, buffers, gram_hashes, span_hashes, spans, window_argmin
 
 WINDOW = 50
 #: Words of a phrase; each is a Latin-1 character of its hash in the automata, and all are one long integer.
 PHRASE = 8
 SLICE_BYTES = 1 << 20
-#: Phrases of an automaton: at most about 240 MB in a worker.
-SHARD_PHRASES = 1 << 19
+#: Phrases of a shard. All are read in every part, few are compiled there.
+SHARD_PHRASES = 1 << 21
+#: Phrases of an automaton: at most about 120 MB in a worker.
+AUTOMATON_PHRASES = 1 << 18
+#: Phrases of a row (eight bytes each): small, since such rows are gathered, sorted and sent in the JVM.
+ROW_PHRASES = 1 << 14
 #: Words (bytes of codes) of a part, which a worker holds and which is a task: small enough that tasks outnumber cores, large enough that
 #: the phrases, which go to every part, stay a fraction of the documents.
 PART_WORDS = 16 << 20
+#: Bits that tell what stands in a part, as a power of two: 32 MB, a sixteenth of them set by ``PART_WORDS`` different phrases.
+PART_BITS = 28
 #: Mixed into the second half of a window's 128 bits.
 SECOND = 0xA24BAED4963EE407
 
-PHRASES = "array<struct<phrase:bigint,among:boolean>>"
+PHRASES = "array<bigint>"
 
 _KINDS = (~SPACE).astype(np.uint8)
 
@@ -120,9 +127,29 @@ def occurrences(automaton: ahocorasick.Automaton, codes: bytes, copy: bool = Fal
     return [end - PHRASE + 1 for end, among in automaton.iter(codes.decode("latin-1")) if among or copy]
 
 
+def _bit(phrases: np.ndarray) -> np.ndarray:
+    return (phrases.view(U) * U(0x9E3779B97F4A7C15)) >> U(64 - PART_BITS)
+
+
+def mark(bits: np.ndarray, codes: np.ndarray) -> None:
+    """Set the bit of every phrase that stands in the codes (documents one after another: also where one goes over into the next)."""
+    for i in range(0, len(codes) - PHRASE + 1, BLOCK):
+        own = codes[i : i + BLOCK + PHRASE - 1]
+        bit = np.sort(_bit(np.ndarray(shape=(len(own) - PHRASE + 1,), dtype="<i8", buffer=own, strides=(1,)).copy()))
+        byte = (bit >> U(3)).astype(np.int64)
+        starts = np.flatnonzero(np.concatenate(([True], byte[1:] != byte[:-1])))
+        bits[byte[starts]] |= np.bitwise_or.reduceat(U(1) << (bit & U(7)), starts).astype(np.uint8)
+
+
+def may_stand(bits: np.ndarray, phrases: np.ndarray) -> np.ndarray:
+    """Whether each phrase may stand in the codes that were marked: never False of one that does."""
+    bit = _bit(phrases)
+    return (bits[(bit >> U(3)).astype(np.int64)] >> (bit & U(7)).astype(np.uint8)) & 1 == 1
+
+
 def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Parts, one after another: first their documents, as codes, which are held, then their phrases, shard by shard."""
-    part, shard, held, phrases, among = None, None, [], [], []
+    part, shard, held, bits, phrases, among = None, None, [], None, [], []
 
     def found() -> Iterator[pa.RecordBatch]:
         if phrases and held:
@@ -138,32 +165,47 @@ def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts = np.flatnonzero(np.concatenate(([True], (np.diff(where, axis=0) != 0).any(1)))).tolist()
         for a, b in zip(cuts, [*cuts[1:], batch.num_rows], strict=True):
             own, number = where[a].tolist()
-            if (own, number) != (part, shard):
+            begins = (own, number) != (part, shard)
+            if begins:
                 yield from found()
-                held, phrases, among = ([] if own != part else held), [], []
+                phrases, among = [], []
+                if own != part:
+                    held, bits = [], np.zeros(1 << (PART_BITS - 3), dtype=np.uint8)
                 part, shard = own, number
             if number < 0:
                 held.append(pa.RecordBatch.from_arrays([c.slice(a, b - a) for c in batch.columns[2:6]], names=["id", "twin", "codes", "copy"]))
-            else:
-                own_phrases, marks = batch.column(6).slice(a, b - a).flatten().flatten()
-                phrases += own_phrases.to_pylist()
-                among += marks.to_pylist()
+                mark(bits, buffers(held[-1].column(2))[0])
+                continue
+            for i in range(a, b):
+                row = batch.column(6).slice(i, 1).flatten().to_numpy()
+                ok = may_stand(bits, row)
+                # A shard of which nothing may stand here is streamed like any other.
+                ok[:1] |= begins and i == a
+                phrases += row[ok].tolist()
+                among += [not batch.column(5)[i].as_py()] * (len(phrases) - len(among))
+                if len(phrases) >= AUTOMATON_PHRASES:
+                    yield from found()
+                    phrases, among = [], []
     yield from found()
 
 
 def dealt(documents: DataFrame, recurring: DataFrame, shard_phrases: int = SHARD_PHRASES, part_words: int = PART_WORDS) -> DataFrame:
-    """Every document (id, twin, codes, copy) in its part, and all phrases (phrase, among), a row for each shard, in every part: part, shard, id, twin, codes, copy, phrases, in order.
+    """Every document (id, twin, codes, copy) in its part, and all phrases (phrase, among), shard by shard, in every part: part, shard, id, twin, codes, copy, phrases, in order.
 
-    A document's row has shard -1 and stands before the part's phrases, which have no codes. A shard's row has about ``shard_phrases`` of nine bytes.
+    A document's row has shard -1 and stands before the part's phrases, which have no codes. A shard has about ``shard_phrases``, in rows of about
+    ``ROW_PHRASES``; ``copy`` tells the rows whose phrases recur only in copies.
     """
-    shards = max(1, -(-recurring.count() // shard_phrases))
+    n_phrases = recurring.count()
+    shards = max(1, -(-n_phrases // shard_phrases))
+    rows = max(1, -(-min(n_phrases, shard_phrases) // ROW_PHRASES))
     words = documents.agg(F.coalesce(F.sum(F.octet_length("codes")), F.lit(0))).first()[0]
     parts = max(1, -(-words // part_words))
     names = ("part", "shard", "id", "twin", "codes", "copy", "phrases")
     own = documents.withColumns({"part": F.pmod(F.xxhash64("id", "twin"), F.lit(parts)).cast("int"), "shard": F.lit(-1), "phrases": F.lit(None).cast(PHRASES)}).select(*names)
-    grouped = recurring.groupBy(F.pmod(F.xxhash64("phrase"), F.lit(shards)).cast("int").alias("shard")).agg(F.collect_list(F.struct("phrase", "among")).alias("phrases"))
+    dealt_to = lambda n, *salt: F.pmod(F.xxhash64("phrase", *salt), F.lit(n)).cast("int")
+    grouped = recurring.groupBy(dealt_to(shards).alias("shard"), dealt_to(rows, F.lit(1)).alias("row"), (~F.col("among")).alias("copy")).agg(F.collect_list("phrase").alias("phrases"))
     every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    theirs = grouped.select(every.alias("part"), "shard", *[F.lit(None).cast(kind).alias(c) for c, kind in documents.dtypes], "phrases").select(*names)
+    theirs = grouped.select(every.alias("part"), "shard", *[F.lit(None).cast(kind).alias(c) for c, kind in documents.dtypes if c != "copy"], "copy", "phrases").select(*names)
     # By the part's own number: by its hash, some tasks would get several parts and others none.
     return own.unionByName(theirs).repartitionById(parts, "part").sortWithinPartitions("part", "shard")
 
