@@ -28,9 +28,8 @@ def swap_tables(pages: DataFrame, readings: DataFrame) -> DataFrame:
     Adds table_reader and table_gate (why a reading was not taken). Excluded pages are not looked at.
     """
     late = F.coalesce("timed_out", F.lit(False)) if "timed_out" in readings.columns else F.lit(False)
-    rows = F.array_except(T.table_rows(F.coalesce("markdown", F.lit(""))), F.coalesce("furniture", F.array().cast("array<string>")))
-    # array_except also drops repeated rows, which the gate has to see.
-    kept = F.filter(T.table_rows(F.coalesce("markdown", F.lit(""))), lambda r: F.array_contains(rows, r))
+    # Repeated rows stay: the gate has to see them.
+    kept = F.filter(T.table_rows(F.coalesce("markdown", F.lit(""))), lambda r: ~F.coalesce(F.array_contains("furniture", r), F.lit(False)))
     own = readings.select(*PAGE, "markdown", "found", late.alias("late"))
     joined = pages.join(own, PAGE, "left").withColumn("rows", kept)
     open_ = F.col("excluded").isNull()
